@@ -32,7 +32,7 @@ HASHES = BANDS * ROWS
 SIX_SIGMA = 6.0
 #: Members that one center is tested against in one group of the confirming step.
 CENTER_SHARE = 256
-_CHUNK = 4096
+_CHUNK = 256
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -51,12 +51,15 @@ _B = mix(np.arange(10_001, 10_001 + HASHES, dtype=np.uint64))
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """HASHES minima of multiply-shift hash functions (a x + b mod 2**64, upper half)."""
-    low = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    room = np.empty((HASHES, min(_CHUNK, max(1, len(shingles)))), dtype=np.uint64)
     for k in range(0, len(shingles), _CHUNK):
         part = shingles[k : k + _CHUNK]
-        for i in range(HASHES):
-            low[i] = min(low[i], np.uint32((part * _A[i] + _B[i] >> np.uint64(32)).min()))
-    return low
+        hashed = room[:, : len(part)]
+        np.multiply(_A[:, None], part[None, :], out=hashed)
+        hashed += _B[:, None]
+        np.minimum(low, hashed.min(axis=1), out=low)
+    return (low >> np.uint64(32)).astype(np.uint32)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
