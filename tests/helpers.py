@@ -8,5 +8,11 @@ def turns(spark, rows, recording="r"):
     return spark.createDataFrame([(recording, i, s, float(a), float(b), t, float(c[0]) if c else 0.5) for i, (s, a, b, t, *c) in enumerate(rows)], TURN)
 
 
+def many(spark, by_recording):
+    """{recording: rows} as one frame."""
+    rows = [(r, i, s, float(a), float(b), t, float(c)) for r, x in by_recording.items() for i, (s, a, b, t, c) in enumerate(x)]
+    return spark.createDataFrame(rows, TURN)
+
+
 def listed(df, *columns, order=("recording", "turn_idx")):
     return [tuple(r[c] for c in columns) for r in df.orderBy(*[o for o in order if o in df.columns]).collect()]

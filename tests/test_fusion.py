@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tests.helpers import listed, turns
+from tests.helpers import listed, many, turns
 from turnweave import schemas
 from turnweave.operators import match, merge, offset, reports
 from turnweave.plans import pipelines
@@ -136,15 +136,13 @@ def plain_merge(a, b):
 def test_merge_random(spark):
     rng = random.Random(11)
     words = ["alpha bravo charlie delta", "bravo charlie delta echo foxtrot", "golf", "alpha bravo charlie delta echo foxtrot golf hotel"]
-    ta = tb = None
-    want = []
+    ta, tb, want = {}, {}, []
     for k in range(60):
         make = lambda n: sorted(((f"S{rng.randint(0, 1)}", s := rng.randint(0, 40) / 2, s + rng.randint(0, 16) / 2, rng.choice(words), rng.randint(1, 9) / 10) for _ in range(n)), key=lambda r: r[1])
         a, b = make(rng.randint(1, 8)), make(rng.randint(1, 8))
-        x, y = turns(spark, a, f"r{k:02}"), turns(spark, b, f"r{k:02}")
-        ta, tb = (x, y) if ta is None else (ta.unionByName(x), tb.unionByName(y))
+        ta[f"r{k:02}"], tb[f"r{k:02}"] = a, b
         want += [(f"r{k:02}", *r) for r in plain_merge(a, b)]
-    assert listed(merge.merge_turns(ta, tb), "recording", "speaker", "start", "end", "text") == want
+    assert listed(merge.merge_turns(many(spark, ta), many(spark, tb)), "recording", "speaker", "start", "end", "text") == want
 
 
 def envelopes(spark, a, b, pair="p"):

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tests.helpers import listed, turns
+from tests.helpers import listed, many, turns
 from turnweave import schemas
 from turnweave.operators import align, loops, turns as ops
 from turnweave.operators.duplicates import cross_speaker_duplicates, near_duplicates
@@ -84,13 +84,12 @@ def test_smoothing(spark):
 
 def test_smoothing_random(spark):
     rng = random.Random(3)
-    all_rows, want = None, []
+    all_rows, want = {}, []
     for k in range(40):
         rows = [(f"S{rng.randint(0, 1)}", i, i + rng.choice([0, 0, 1]), rng.choice(["a", "b c", "yeah", "x y z", ""]), rng.randint(1, 9) / 10) for i in range(rng.randint(1, 14))]
-        df = turns(spark, rows, f"r{k:02}")
-        all_rows = df if all_rows is None else all_rows.unionByName(df)
+        all_rows[f"r{k:02}"] = rows
         want += [(f"r{k:02}", *x) for x in smoothed(rows)]
-    assert listed(ops.smooth_micro_turns(all_rows), "recording", "speaker", "start", "end", "text", "confidence") == want
+    assert listed(ops.smooth_micro_turns(many(spark, all_rows)), "recording", "speaker", "start", "end", "text", "confidence") == want
 
 
 def test_loops(spark):
