@@ -12,7 +12,7 @@ from ..operators.render import parse_blocks
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_blocks(files.select(stem(F.input_file_name()).alias("recording"), F.col("value").alias("markdown")))
 
 
