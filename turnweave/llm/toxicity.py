@@ -93,7 +93,7 @@ class ToxicityModel:
                 else:
                     spared.append((start, end))
         total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
-        return total, body.count(" ") - 1
+        return total, body.count(" ") - 1 if len(body) > 2 else 0
 
     def inputs(self, text: str) -> np.ndarray:
         total, words = self.hits(text)
