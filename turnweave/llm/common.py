@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -55,8 +57,10 @@ def forget(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps before the next large step begins."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works on its own thread
 
 
 def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
@@ -67,10 +71,14 @@ def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BY
 
 # -- words -----------------------------------------------------------------------------------
 
-#: The separators of the word pattern [^\x20\x09-\x0D]+.
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+#: Value of every byte in a word's polynomial; 0 for the separators of the word pattern [^\x20\x09-\x0D]+.
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[[0x20, *range(0x09, 0x0E)]] = 0
+#: Bytes hashed at a time, and the powers of the base and of its inverse modulo 2**64 up to there.
+_SPAN = 1 << 18
+_SEPARATORS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+_POWERS: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,22 +90,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers() -> list[np.ndarray]:
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(_SPAN, base, dtype=np.uint64)
+            x[0] = 1
+            _POWERS.append(np.cumprod(x))
+    return _POWERS
+
+
+def _long_text(data: bytes):
+    """Hashes of the words of data, in parts that end at separators; a word of _SPAN bytes or more is a part of its own."""
+    start = 0
+    while len(data) - start >= _SPAN:
+        part = data[start : start + _SPAN]
+        cut = max(part.rfind(c) for c in _SEPARATORS) + 1
+        if cut:
+            yield hashed_words(part[: cut - 1])
+            start += cut
+        else:
+            end = min((e for e in (data.find(c, start) for c in _SEPARATORS) if e >= 0), default=len(data))
+            yield np.array([int.from_bytes(hashlib.blake2b(data[start:end], digest_size=8).digest(), "little")], dtype=np.uint64)
+            start = end
+    yield hashed_words(data[start:])
+
+
 def hashed_words(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of data, in order, without a Python loop over words."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, dtype=np.uint64)
-    inside = ~_SPACE[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
+    """A 64-bit hash of every word of data, in order, without a Python loop over words.
+
+    The polynomial of a word is the difference of two running sums, moved to the word's start.  Long texts are cut at
+    separators; a single word longer than a cut is hashed by itself.
+    """
+    if len(data) >= _SPAN:
+        return np.concatenate(list(_long_text(data)) or [np.empty(0, dtype=np.uint64)])
+    value = _VALUE[np.frombuffer(data, dtype=np.uint8)]
+    inside = np.zeros(len(value) + 2, dtype=bool)
+    inside[1:-1] = value != 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edges):
         return np.empty(0, dtype=np.uint64)
-    lengths = ends - starts
-    chars = raw[inside].astype(np.uint64) + np.uint64(1)
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(len(chars)) - np.repeat(first, lengths)
-    power = np.cumprod(np.full(int(lengths.max()), _BASE, dtype=np.uint64))
-    return mix(np.add.reduceat(chars * power[place], first))
+    power, inverse = _powers()
+    total = np.zeros(len(value) + 1, dtype=np.uint64)
+    np.cumsum(value * power[: len(value)], out=total[1:])
+    starts, ends = edges[::2], edges[1::2]
+    return mix((total[ends] - total[starts]) * inverse[starts])
 
 
 def gram_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -12,7 +12,7 @@ windows have equal anchors, and about one word in eighteen is an anchor.
    window, of which every window of a passage holds one.  All documents of the shard stream through; each hit is
    extended word by word, and a common run of WINDOW words or more with a passage of a smaller doc_id is removed.
 
-Hashes only choose candidates; what is removed has been compared word by word.  No step gathers the documents of
+Hashes (64 bits) only choose candidates; what is removed has been compared word by word.  No step gathers the documents of
 one anchor: counts are aggregated before the shuffle, and a passage reaches a shard once, however often it occurs there.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose nothing; passages within one
@@ -23,6 +23,7 @@ one document and each get a result.  An empty table gives an empty result.  Extr
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import SHARD_BYTES, forget, gram_hashes, hashed_words, materialize, mix, release, shard_count, signed, small_batches, table
 
 WINDOW, GRAM = 50, 16
-PASSAGE_WORDS, AUTOMATON_WORDS = 400, 400_000
+PASSAGE_WORDS, AUTOMATON_WORDS = 400, 200_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -109,27 +110,27 @@ def _in_sorted(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-HASHED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
+HASHED = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 
 
 def candidate_windows(sharded: DataFrame, routed: DataFrame, window: int) -> DataFrame:
-    """h1, h2 and doc_id of the windows whose anchor recurs."""
+    """h and doc_id of the windows whose anchor recurs."""
 
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         known = np.sort(anchors.column("anchor").to_numpy())
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], []]
         if len(known):
             for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
                 w = Windows((t or "").encode(), window)
                 hit = _in_sorted(signed(w.anchors), known)
                 if hit.any():
-                    h = np.unique(np.stack([signed(w.hashes(1))[hit], signed(w.hashes(2))[hit]], axis=1), axis=0)
-                    for c, v in zip(out, (h[:, 0], h[:, 1], np.full(len(h), d, dtype=np.int64)), strict=True):
-                        c.append(v)
+                    h = np.unique(signed(w.hashes(1))[hit])
+                    out[0].append(h)
+                    out[1].append(np.full(len(h), d, dtype=np.int64))
         cols = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in out]
         return pa.table([pa.array(c, pa.int64()) for c in cols], schema=HASHED)
 
-    return sharded.groupBy("shard").cogroup(routed.select("shard", "anchor").groupBy("shard")).applyInArrow(run, "h1 long, h2 long, doc_id long")
+    return sharded.groupBy("shard").cogroup(routed.select("shard", "anchor").groupBy("shard")).applyInArrow(run, "h long, doc_id long")
 
 
 PASSAGES = pa.schema([("owner", pa.int64()), ("at", pa.int64()), ("passage", pa.string()), ("anchors", pa.list_(pa.int64()))])
@@ -139,7 +140,7 @@ def owned_passages(sharded: DataFrame, confirmed: DataFrame, window: int) -> Dat
     """owner, at, passage (words with one space between) and anchors of the confirmed windows, as runs in their owners."""
 
     def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
-        known = by_document(windows.select(["owner", "h1"]), "owner", "h1")
+        known = by_document(windows.select(["owner", "h"]), "owner", "h")
         rows = []
         for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
             if d not in known:
@@ -176,52 +177,78 @@ def same_run(a: str, i: int, b: str, j: int) -> int:
 
 
 class PhraseAutomaton:
-    """Passages as strings with one character a word, and an automaton of their half-window runs."""
+    """Passages as strings of digits, and an automaton of their half-window runs.
+
+    A word is its number in the passages' vocabulary, written with a fixed count of digits of base 16; the first digit has
+    symbols of its own, so that matches begin at words, and no node of the automaton has over 16 branches (the library
+    searches branches one by one).  Numbers are given by word hashes, without a loop over the words of a document; runs
+    that are found are compared as words before they count.
+    """
 
     def __init__(self, passages: list[tuple[int, bytes]], window: int):
         self.window, self.half = window, max(1, window // 2)
-        self.code: dict[bytes, str] = {}
         self.owners = [o for o, _ in passages]
-        self.texts = ["".join(self._char(w) for w in p.split()) for _, p in passages]
+        self.words = [p.split() for _, p in passages]
+        hashes = [hashed_words(p) for _, p in passages]
+        self.vocabulary = np.unique(np.concatenate(hashes))
+        self.digits = max(1, -(-len(self.vocabulary).bit_length() // 4))
+        self.texts = [self.translate(h) for h in hashes]
         self.backward = [t[::-1] for t in self.texts]
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, t in enumerate(self.texts):
-            for off in range(0, len(t) - self.half + 1, self.half):
-                places.setdefault(t[off : off + self.half], []).append((i, off))
         self.automaton = ahocorasick.Automaton()
+        places: dict[str, list[tuple[int, int, int]]] = {}
+        size = self.half * self.digits
+        for i in sorted(range(len(passages)), key=self.owners.__getitem__):
+            t = self.texts[i]
+            for off in range(0, len(t) - size + 1, size):
+                places.setdefault(t[off : off + size], []).append((self.owners[i], i, off))
         for phrase, at in places.items():
             self.automaton.add_word(phrase, at)
-        if places:
-            self.automaton.make_automaton()
-
-    def _char(self, word: bytes) -> str:
-        c = self.code.get(word)
-        if c is None:
-            k = len(self.code) + 1
-            c = self.code[word] = chr(k if k < 0xD800 else k + 0x800)
-        return c
-
-    def mark(self, doc_id: int, words: list[bytes], covered: np.ndarray) -> None:
-        """Set covered where a passage of a smaller doc_id has a whole window in common with words."""
-        get = self.code.get
-        s = "".join([get(w, "\0") for w in words])
-        back = s[::-1]
-        n, half = len(s), self.half
+        self.automaton.make_automaton()
+
+    def translate(self, hashes: np.ndarray) -> str:
+        """self.digits symbols a word; words outside the vocabulary have a number of their own, 0."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        at[at == len(self.vocabulary)] = 0
+        number = np.where(self.vocabulary[at] == hashes, at + 1, 0)
+        shown = np.empty((len(number), self.digits), dtype=np.uint8)
+        for k in range(self.digits):
+            shown[:, k] = (number >> (4 * (self.digits - 1 - k)) & 15) + (97 if k else 65)
+        shown[number == 0] = 48
+        return shown.tobytes().decode("ascii")
+
+    def mark(self, doc_id: int, hashes: np.ndarray, words: Callable[[], list[bytes]], covered: bytearray) -> None:
+        """Set covered where a passage of a smaller doc_id has a whole window in common with the words.
+
+        A hit whose every window is covered already adds nothing and is passed over, so a text that many passages share
+        costs no more than one of them.
+        """
+        s, k = self.translate(hashes), self.digits
+        n, size, back = len(s), self.half * self.digits, None
+        reach = self.window - self.half
         done: dict[tuple[int, int], int] = {}
         for end, at in self.automaton.iter(s):
-            p = end + 1 - half
-            for i, off in at:
-                if self.owners[i] >= doc_id:
-                    continue
+            p = end + 1 - size
+            w = p // k
+            low, high = max(0, w - reach), w + self.window
+            if covered.find(0, low, high) < 0:
+                continue
+            for owner, i, off in at:
+                if owner >= doc_id:
+                    break
                 key = (i, p - off)
                 if done.get(key, -1) > p:
                     continue
+                if back is None:
+                    back = s[::-1]
                 t = self.texts[i]
-                right = same_run(s, p, t, off)
-                left = same_run(back, n - p, self.backward[i], len(t) - off)
-                done[key] = p + right
-                if left + right >= self.window:
-                    covered[p - left : p + right] = True
+                right = same_run(s, p, t, off) // k
+                left = same_run(back, n - p, self.backward[i], len(t) - off) // k
+                done[key] = p + right * k
+                a, b = w - left, off // k - left
+                if left + right >= self.window and words()[a : a + left + right] == self.words[i][b : b + left + right]:
+                    covered[a : a + left + right] = b"\x01" * (left + right)
+                    if covered.find(0, low, high) < 0:
+                        break
 
 
 def automata(passages: list[tuple[int, str]], window: int):
@@ -240,21 +267,36 @@ def automata(passages: list[tuple[int, str]], window: int):
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
+def cached_split(data: bytes) -> Callable[[], list[bytes]]:
+    """The words of data, split when first asked for."""
+    made: list[list[bytes]] = []
+
+    def words() -> list[bytes]:
+        if not made:
+            made.append(data.split())
+        return made[0]
+
+    return words
+
+
 def stream_shards(sharded: DataFrame, passages: DataFrame, window: int, keep_text: bool) -> DataFrame:
     """Result rows of all documents of every shard."""
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         ids = docs.column("doc_id").to_pylist()
-        words = [(t or "").encode().split() for t in docs.column("text").to_pylist()]
-        covered = [np.zeros(len(w), dtype=bool) for w in words]
+        datas = [(t or "").encode() for t in docs.column("text").to_pylist()]
+        hashes = [hashed_words(x) for x in datas] if phrases.num_rows else []
+        covered = [bytearray(len(h)) for h in hashes]
         for a in automata(list(zip(phrases.column("owner").to_pylist(), phrases.column("passage").to_pylist(), strict=True)), window):
-            for d, w, c in zip(ids, words, covered, strict=True):
-                if len(w) >= window:
-                    a.mark(d, w, c)
+            for d, x, h, c in zip(ids, datas, hashes, covered, strict=True):
+                if len(h) >= window:
+                    a.mark(d, h, cached_split(x), c)
         rows = []
-        for d, w, c in zip(ids, words, covered, strict=True):
-            n = int(c.sum())
-            kept = b" ".join(w if not n else [x for x, gone in zip(w, c.tolist(), strict=True) if not gone])
+        for k, (d, x) in enumerate(zip(ids, datas, strict=True)):
+            w = x.split()
+            c = covered[k] if covered else b""
+            n = sum(c)
+            kept = b" ".join(w if not n else [x for x, gone in zip(w, c, strict=True) if not gone])
             rows.append((d, len(w), n, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
         cols = zip(*rows, strict=True) if rows else ((),) * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, KEPT.types, strict=True)], schema=KEPT)
@@ -277,8 +319,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     release(spark)
 
     hashed = candidate_windows(sharded, routed, window)
-    counted = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
-    confirmed = materialize(counted.select("owner", "h1").withColumn("shard", shard_of("owner", shards)))
+    counted = hashed.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
+    confirmed = materialize(counted.select("owner", "h").withColumn("shard", shard_of("owner", shards)))
     release(spark)
     passages = materialize(owned_passages(sharded, confirmed, window))
     release(spark)
