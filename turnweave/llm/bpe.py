@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,8 +34,9 @@ NEWER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2
 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6
 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4
 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+OTHER_SPACE = re.compile(r" (?!\S)")
 #: Words remembered by one worker; beyond it the memory starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def newer_class() -> str:
@@ -57,6 +59,15 @@ class PreTokenizer:
             return self.exact.findall(text)
         return self.plain.findall(text)
 
+    @staticmethod
+    def at_spaces(text: str) -> list[str] | None:
+        """The text cut at its spaces, each part but the first standing for itself with one space before it.
+
+        A space before a character that is no white space always begins a pre-token, so each part splits into pre-tokens
+        as it does in place.  If the text has any other space, the answer is None.
+        """
+        return None if OTHER_SPACE.search(text) else text.split(" ")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of every byte: printable bytes stand for themselves, others move to 256 and up."""
@@ -94,6 +105,7 @@ class PrefixBpe:
         self.pattern = PreTokenizer()
         self.fits: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[str, bytes, int]] = {}
+        self.parts: dict[str, tuple[str, bytes, int]] = {}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
 
     def _merge(self, ids: list[int]) -> list[int]:
@@ -135,7 +147,7 @@ class PrefixBpe:
                 bound, left = a[0], a[2]
             else:
                 bound, right = b[0] + 1, b[1]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         self.fits[key] = ok
         return ok
@@ -161,24 +173,42 @@ class PrefixBpe:
         """(decimal ids joined by commas, bytes that these ids decode to, number of ids) of a pre-token."""
         hit = self.words.get(word)
         if hit is None:
-            if len(self.words) >= CACHE_WORDS:
+            if len(self.words) >= CACHE_WORDS // 2:
                 self.words.clear()
             ids = self.encode_word(word.encode())
             hit = (",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), len(ids))
             self.words[word] = hit
         return hit
 
+    def spaced(self, part: str) -> tuple[str, bytes, int]:
+        """As known(), of a part of a text cut at spaces, with its space."""
+        hit = self.parts.get(part)
+        if hit is None:
+            if len(self.parts) >= CACHE_WORDS:
+                self.parts.clear()
+            names, datas, counts = zip(*map(self.known, self.pattern.findall(" " + part)), strict=True)
+            hit = self.parts[part] = (",".join(names), b"".join(datas), sum(counts))
+        return hit
+
+    def plain_pieces(self, text: str) -> Iterator[tuple[str, bytes, int]]:
+        parts = self.pattern.at_spaces(text)
+        if parts is None:
+            yield from map(self.known, self.pattern.findall(text))
+        else:
+            yield from map(self.known, self.pattern.findall(parts[0]))
+            yield from map(self.spaced, parts[1:])
+
     def pieces(self, text: str) -> Iterator[tuple[str, bytes, int]]:
-        known = self.known
+        """Pieces of a text, in order; special tokens are cut out first."""
         if self.split is None or not any(s in text for s in self.special):
-            yield from map(known, self.pattern.findall(text))
+            yield from self.plain_pieces(text)
             return
         for part in self.split.split(text):
             if part in self.special:
                 i = self.special[part]
                 yield str(i), self.bytes_of[i], 1
             else:
-                yield from map(known, self.pattern.findall(part))
+                yield from self.plain_pieces(part)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.pieces(text) for i in p[0].split(",")]
