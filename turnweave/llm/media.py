@@ -2,7 +2,7 @@
 
 A payload of 8-bit samples gets a WAV header.  The header stays in the recipe row; a rolling gear hash cuts
 the samples into chunks.  A Spark aggregation over chunk digests keeps one copy of each chunk, in a table
-bucketed by digest, and a recipe row lists the digests of each distinct payload in order.  Reading back joins
+bucketed by digest (packed with a dictionary that the table <chunks>_dictionary keeps), and a recipe row lists the digests of each distinct payload in order.  Reading back joins
 recipes with chunks, checks every digest, length and total digest, and puts the file together.
 
 Defined results: a null or empty text becomes one block of padding; equal texts have equal recipes and are
@@ -28,8 +28,10 @@ from .common import materialize, mix, release, shard_count, small_batches, table
 #: A cut where the low CUT_BITS of the gear hash are zero; chunks hold MIN_CHUNK to MAX_CHUNK bytes.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 13, 2048, 65536
 BLOCK, PAD, RATE = 576, 255, 8000
+#: Chunks are packed with a shared dictionary, built from at most DICT_TEXTS texts, DICT_SAMPLE bytes of each.
+DICT_TEXTS, DICT_SAMPLE, DICT_BYTES, LEVEL = 1500, 4096, 112_640, 6
 #: Bytes of text for each bucket of the chunk table.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 #: One pseudo-random number a byte value, made by rule.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
@@ -94,6 +96,10 @@ def _digest(piece: bytes) -> bytes:
     return hashlib.blake2b(piece, digest_size=16).digest()
 
 
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(raw) if raw else None
+
+
 def recipes_of(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -109,9 +115,22 @@ def recipes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, root binary, header binary, digests array<binary>")
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
+def shared_dictionary(docs: DataFrame) -> bytes:
+    """A compression dictionary from a bounded sample, the texts with the smallest hash of doc_id; empty for few texts."""
+    some = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICT_SAMPLE).alias("t")).orderBy("h", "t").limit(DICT_TEXTS)
+    texts = [r["t"].encode()[:DICT_SAMPLE] for r in some.collect()]
+    try:
+        return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, texts)) // 10), texts).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def chunks_of(docs: DataFrame, dictionary: bytes = b"") -> DataFrame:
+    """digest and packed data of the chunks, once for each batch of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
+
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_dict_id=False)
         for b in batches:
             found: dict[bytes, bytes] = {}
             for t in b.column("text").to_pylist():
@@ -130,7 +149,10 @@ def write_media(docs: DataFrame, chunk_table: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     recipes = materialize(recipes_of(docs))
     buckets = max(8, shard_count(docs, shard_bytes=BUCKET_BYTES))
-    unique = chunks_of(docs).repartition(buckets, "digest").dropDuplicates(["digest"])
+    dictionary = shared_dictionary(docs)
+    spark = docs.sparkSession
+    spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.format("parquet").saveAsTable(f"{chunk_table}_dictionary")
+    unique = chunks_of(docs, dictionary).repartition(buckets, "digest").dropDuplicates(["digest"])
     unique.write.option("compression", "none").bucketBy(buckets, "digest").format("parquet").saveAsTable(chunk_table)
     release(docs.sparkSession)
     return recipes
@@ -145,13 +167,14 @@ def read_media(recipes: DataFrame, chunk_table: str, keep_media: bool = True) ->
     Fails if a chunk is missing, or differs from its digest, or the header's length from what was read.
     """
     spark = recipes.sparkSession
+    shared = spark.sparkContext.broadcast(bytes(spark.table(f"{chunk_table}_dictionary").first()["dictionary"]))
     distinct = recipes.groupBy("root").agg(F.min(F.struct("n_bytes", "header", "digests")).alias("r")).select("root", "r.*")
     parts = distinct.select("root", "header", F.posexplode("digests").alias("seq", "digest"))
     found = parts.join(spark.table(chunk_table), "digest", "left")
     ordered = found.select("root", F.when(F.col("seq") == 0, F.col("header")).alias("header"), "seq", "digest", "data").repartition("root").sortWithinPartitions("root", "seq")
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(shared.value))
         root, header, parts = None, b"", []
 
         def finish():
