@@ -6,7 +6,8 @@ document lists its chunk digests in order, with the Merkle root over these diges
 to chunks, checks every digest and every root, and puts the ids together again.
 
 Files (all Parquet, below one folder):
-  chunks/  digest binary, data binary (zstandard, little-endian unsigned 32-bit ids)
+  chunks/  digest binary (of the little-endian unsigned 32-bit ids), data binary (a byte that says how many bytes an id
+           takes, 2 or 4, and the ids so written, packed with zstandard)
   recipes/ doc_id, start, n_tokens, chunk_digests array<binary>, merkle_root binary; sorted by doc_id, so the
            files in name order give the stream in ascending doc_id order
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +29,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenizer, default_vocabulary
+from .bpe import PreTokenizer, byte_alphabet, default_vocabulary
 from .common import forget, materialize, mix, release, scratch_dir, small_batches, table
 
 END_ID = 2
 #: Cut where the hash of the last WINDOW ids has MASK_BITS zero bits; chunks hold MIN_IDS to MAX_IDS ids.
-WINDOW, MASK_BITS, MIN_IDS, MAX_IDS = 16, 10, 256, 8192
-CACHE_WORDS = 300_000
+WINDOW, MASK_BITS, MIN_IDS, MAX_IDS = 8, 10, 256, 8192
+#: Parts of texts remembered by one worker; beyond it the memory starts anew.
+CACHE_WORDS = 500_000
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct pre-token of a worker's memory."""
+    """The tokenizers library, asked once for each distinct part, cut at spaces, that a worker remembers."""
 
     def __init__(self, path: str):
         import os
@@ -49,25 +52,46 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.split = PreTokenizer()
-        self.words: dict[str, bytes] = {}
+        self.newer = PreTokenizer().newer
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.parts: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(texts), 20_000):
+            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Fill self.parts for parts of texts that stood behind a space.
+
+        Letters behind a space are one pre-token, so the library's model takes them at once, in its byte alphabet; other
+        parts go through the whole library.
+        """
+        tokenize, space = self.library.model.tokenize, self.shown[0x20]
+        mixed = []
+        for p in new:
+            if p.isascii() and p.isalpha():
+                self.parts[p] = array("I", [t.id for t in tokenize(space + p)]).tobytes()
+            elif p.isalpha() and not self.newer.search(p):
+                self.parts[p] = array("I", [t.id for t in tokenize(space + p.encode().decode("latin-1").translate(self.shown))]).tobytes()
+            else:
+                mixed.append(p)
+        self.parts.update(zip(mixed, self._ask([" " + p for p in mixed]), strict=True))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text.  Texts with special tokens go to the library whole."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        parts = [[] if i in whole else self.split.findall(t) for i, t in enumerate(texts)]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list({w for p in parts for w in p if w not in self.words})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.words.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return out
+        """Little-endian unsigned 32-bit ids of every text.
+
+        Texts with special tokens, or with spaces that begin no word, go to the library whole; of the others the first
+        part does, and each part after a space once, with its space.
+        """
+        cut = [None if any(s in t for s in self.special) else PreTokenizer.at_spaces(t) for t in texts]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        self._learn(set().union(*(p[1:] for p in cut if p)) - self.parts.keys())
+        get = self.parts.__getitem__
+        whole = self._ask([t if p is None else p[0] for t, p in zip(texts, cut, strict=True)])
+        return [first if p is None else first + b"".join(map(get, p[1:])) for first, p in zip(whole, cut, strict=True)]
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -106,6 +130,17 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return cuts
 
 
+def packed(ids: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """A chunk as it is stored: two bytes an id if all ids fit."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([width]) + pack.compress(ids.astype(f"<u{width}").tobytes())
+
+
+def unpacked(data: bytes, unpack: zstandard.ZstdDecompressor) -> bytes:
+    """The little-endian unsigned 32-bit ids of a stored chunk."""
+    return np.frombuffer(unpack.decompress(data[1:]), dtype=f"<u{data[0]}").astype("<u4").tobytes()
+
+
 def merkle_root(digests: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd node moves up unchanged; leaves and nodes hash under different prefixes."""
     level = [hashlib.blake2b(b"\x00" + d, digest_size=16).digest() for d in digests]
@@ -138,7 +173,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Dat
                     ds.append(d)
                     if d not in seen:
                         seen.add(d)
-                        new.append(pack.compress(piece))
+                        new.append(packed(ids[start:end], pack))
                     else:
                         new.append(None)
                     start = end
@@ -211,7 +246,7 @@ def read_store(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataF
                     root, names, datas, want = r, [], [], n
                 if data is None:
                     raise ValueError(f"token store: no chunk {d.hex()}")
-                raw = unpack.decompress(data)
+                raw = unpacked(data, unpack)
                 if hashlib.blake2b(raw, digest_size=16).digest() != d:
                     raise ValueError(f"token store: chunk {d.hex()} is damaged")
                 names.append(d)
