@@ -3,11 +3,11 @@
 Every text becomes a set of hashed word shingles.  Texts with equal sets are one node from the start.  HASHES
 minima of universal hash functions form a signature; BANDS bands of ROWS minima put nodes into buckets, and
 a pair with the asked similarity shares no bucket with chance under (1 - 0.8**5)**40 = 1.3e-7.  Pairs pass a test of
-one bit of each minimum (off by over six standard deviations for a true link) and are then confirmed on the full
+four bits of each of HASHES minima (a true link fails it with a chance of about 3e-6) and are then confirmed on the full
 sets of both texts.
 
-No bucket is expanded into all pairs.  First each member of a bucket is tested against the bucket's least node,
-and components are formed.  Then members whose component is not that of the most of their bucket are tested
+No bucket is expanded into all pairs.  First each member of a bucket is tested against the bucket's center, the node that
+meets most others over all its buckets (of a text and its copies, the text), and components are formed.  Then members whose component is not that of the most of their bucket are tested
 against the bucket's nodes in other components, so that no link between two components is lost.  Components
 come from alternating large-star and small-star until nothing changes; each step is written to the shared folder.
 
@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import forget, gram_hashes, hashed_words, materialize, mix, release, signed, small_batches, table
 
 BANDS, ROWS = 40, 5
-HASHES = BANDS * ROWS
-SIX_SIGMA = 6.0
+#: Minima in a signature; the first BANDS * ROWS make the bands.  A packed signature keeps NIBBLES bits of each.
+HASHES, NIBBLES = 480, 4
+PACKED = HASHES * NIBBLES // 64
+FIRST_LONGS = 8
+SIGMAS = 4.5
 #: Members that one center is tested against in one group of the confirming step.
 CENTER_SHARE = 256
 _CHUNK = 256
@@ -63,24 +66,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.astype(np.uint64).reshape(BANDS, ROWS)
+    rows = sig[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
     key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(7919))
     for j in range(ROWS):
         key = mix(key ^ rows[:, j]) + np.uint64(j)
     return signed(key)
 
 
-def sign_bits(sig: np.ndarray) -> np.ndarray:
-    """One bit of every minimum, packed into longs."""
-    bits = np.zeros(-(-HASHES // 64) * 64, dtype=np.uint8)
-    bits[:HASHES] = mix(sig.astype(np.uint64) + np.uint64(1)) & np.uint64(1)
-    return np.packbits(bits).view(np.int64)
+def packed_bits(sig: np.ndarray) -> np.ndarray:
+    """NIBBLES bits of every minimum, packed into longs."""
+    low = mix(sig.astype(np.uint64) + np.uint64(1)) & np.uint64((1 << NIBBLES) - 1)
+    shift = (np.arange(HASHES, dtype=np.uint64) % np.uint64(64 // NIBBLES)) * np.uint64(NIBBLES)
+    return np.bitwise_or.reduce((low << shift).reshape(PACKED, -1), axis=1).view(np.int64)
 
 
-def most_different_bits(similarity: float) -> int:
-    """Differing sign bits that a pair of this similarity exceeds with no real chance."""
-    p = (1 - similarity) / 2
-    return int(HASHES * p + SIX_SIGMA * (HASHES * p * (1 - p)) ** 0.5)
+def most_different(similarity: float, places: int = HASHES) -> int:
+    """Differing places of two packed signatures that a pair of this similarity exceeds with no real chance."""
+    p = (1 - similarity) * (1 - 2.0**-NIBBLES)
+    return int(places * p + SIGMAS * (places * p * (1 - p)) ** 0.5)
 
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
@@ -98,7 +101,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 if key and key not in known:
                     sig = signature(s)
-                    known[key] = (band_keys(sig).tolist(), sign_bits(sig).tolist())
+                    known[key] = (band_keys(sig).tolist(), packed_bits(sig).tolist())
                 for c, v in zip(cols, (len(s), key, *(known[key] if key else (None, None))), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, SKETCH.types[1:], strict=True))], schema=SKETCH)
@@ -106,10 +109,23 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
-def alike(a: str, b: str, most: int):
-    """Whether the packed sign bits of two columns differ in at most most places."""
-    diff = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(-(-HASHES // 64))), F.lit(0))
-    return diff <= most
+def alike(a: str, b: str, similarity: float):
+    """Whether the packed signatures of two columns can be those of a pair of this similarity.
+
+    A few longs are compared first, in generated code; only pairs that pass are compared in all.
+    """
+    step = 64 // NIBBLES
+    ones = F.lit(int("1" * step, 16))
+
+    def differing(x, y):
+        z = x.bitwiseXOR(y)
+        for k in (1, 2):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
+        return F.bit_count(z.bitwiseAND(ones))
+
+    first = sum((differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(FIRST_LONGS)), F.lit(0))
+    every = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, v: s + v)
+    return (first <= most_different(similarity, FIRST_LONGS * step)) & (every <= most_different(similarity))
 
 
 VERDICT = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -125,7 +141,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     members = pairs.join(load, "a").select("a", F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(1).alias("role"))
     centers = load.select("a", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("role"))
     wanted = members.unionByName(centers)
-    rows = wanted.join(docs, "doc_id").select("a", "g", "role", "doc_id", "text").repartition("a", "g").sortWithinPartitions("a", "g", "role")
+    rows = wanted.join(docs.hint("merge"), "doc_id").select("a", "g", "role", "doc_id", "text").repartition("a", "g").sortWithinPartitions("a", "g", "role")
 
     def run(batches):
         at, center = None, None
@@ -172,17 +188,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch = materialize(sketches(docs, size))
-    most = most_different_bits(percent / 100)
+    alike_enough = alike("bits", "center_bits", percent / 100)
 
     member = sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    nodes = sketch.join(member.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("_k")), "doc_id", "left_semi").where("set_key is not null").select(F.col("doc_id").alias("rep"), "bands", "bits")
-    rows = nodes.select("rep", "bits", F.explode("bands").alias("band"))
-    shared = rows.select("band", "rep").groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "center")
-    buckets = materialize(rows.join(shared, "band").select("band", "center", "rep", "bits"))
+    nodes = sketch.join(member.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").where("set_key is not null").select(F.col("doc_id").alias("rep"), "bands", "bits")
+    rows = nodes.select("rep", F.posexplode("bands").alias("at", "band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(rows.join(shared.hint("merge"), "band"))
+    release(spark)
+    # the text that the others are copies of meets most of them: it is the center of its buckets
+    weight = met.groupBy("rep").agg(F.sum("n").alias("weight"))
+    centers = met.join(weight, "rep").groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("center"))
+    buckets = materialize(met.join(centers, "band").select("at", "band", "center", "rep"))
     release(spark)
+    forget(met)
 
-    bits = nodes.select(F.col("rep").alias("center"), F.col("bits").alias("center_bits"))
-    star = buckets.where("rep <> center").select("center", "rep", "bits").dropDuplicates(["center", "rep"]).join(bits, "center").where(alike("bits", "center_bits", most)).select(F.col("center").alias("a"), F.col("rep").alias("b"))
+    bits = materialize(nodes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "bits", "bands"))
+    pairs = buckets.where("rep <> center").select("center", "rep").distinct().join(bits.drop("bands"), "rep")
+    star = pairs.join(bits.select(F.col("rep").alias("center"), F.col("bits").alias("center_bits")), "center").where(alike_enough).select(F.col("center").alias("a"), F.col("rep").alias("b"))
     edges = materialize(confirm(materialize(star), docs, size, percent))
     release(spark)
     comp = components(edges)
@@ -191,17 +214,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
     main = parts.groupBy("band").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1").select("band", "main")
-    open_rows = materialize(placed.join(main, "band").select("band", "main", "component", "rep", "bits"))
-    few = open_rows.where("component <> main").select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("center_bits"))
-    every = open_rows.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), "bits", (F.col("component") == F.col("main")).alias("is_main"))
-    crossing = few.join(every, "band").where("ca <> cb and (is_main or a < b)").where(alike("bits", "center_bits", most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_rows = materialize(placed.join(main, "band").join(bits, "rep").select("at", "band", "main", "component", "rep", "bits", "bands"))
+    few = open_rows.where("component <> main").select("at", "band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("center_bits"), F.col("bands").alias("a_bands"))
+    every = open_rows.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), "bits", "bands", (F.col("component") == F.col("main")).alias("is_main"))
+    # a pair that shares several bands is taken in the first of them
+    first_meeting = F.array_position(F.zip_with("a_bands", "bands", lambda x, y: x == y), True) == F.col("at") + 1
+    crossing = few.join(every, "band").where(F.expr("ca <> cb and (is_main or a < b)") & alike_enough & first_meeting).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = materialize(crossing)
     if left.limit(1).count():
         more = materialize(confirm(left, docs, size, percent))
         if more.limit(1).count():
             comp = components(edges.unionByName(more))
     release(spark)
-    forget(buckets, open_rows)
+    forget(buckets, open_rows, bits)
 
     by_set = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
