@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import duplicate_text
@@ -12,27 +14,98 @@ KEY = "recording"
 MIN_CHARS, MIN_SHARE, MAX_DISTANCE = 40, 0.5, 5
 
 
+#: Base of the rolling hash and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Windows:
+    """A text and the hashes of its windows of any length, by position."""
+
+    def __init__(self, text: str, size: int) -> None:
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(self.codes)
+        powers = np.full(n, BASE, np.uint64)
+        self.back = np.full(n, INVERSE, np.uint64)
+        powers[:1] = self.back[:1] = 1
+        powers, self.back = np.cumprod(powers, dtype=np.uint64), np.cumprod(self.back, dtype=np.uint64)
+        x = (self.codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x ^ (x >> np.uint64(32))) * powers, dtype=np.uint64)])
+        self.first = np.unique(self.hashes(np.arange(n - size + 1), size))
+
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[at + size] - self.sums[at]) * self.back[at]
+
+
+def found_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def longest_shared(a: Windows, b: Windows, least: int) -> int:
+    """Length of the longest common substring, 0 where it is under least; equal hashes are confirmed on the texts."""
+    if len(a.first) > len(b.first):
+        a, b = b, a
+    if not found_in(a.first, b.first).any():
+        return 0
+
+    def meet(pa: np.ndarray, pb: np.ndarray, size: int):
+        pa, pb = pa[pa + size <= len(a.codes)], pb[pb + size <= len(b.codes)]
+        if not len(pa) or not len(pb):
+            return None
+        ha, hb = a.hashes(pa, size), b.hashes(pb, size)
+        ua, first_a = np.unique(ha, return_index=True)
+        ub, first_b = np.unique(hb, return_index=True)
+        both = found_in(ua, ub)
+        for h, p in zip(ua[both], pa[first_a[both]], strict=True):
+            q = pb[first_b[np.searchsorted(ub, h)]]
+            if np.array_equal(a.codes[p : p + size], b.codes[q : q + size]):
+                return pa[found_in(ha, ub)], pb[found_in(hb, ua)]
+        return None
+
+    places = meet(np.arange(len(a.codes)), np.arange(len(b.codes)), least)
+    if places is None:
+        return 0
+    low, high = least, min(len(a.codes), len(b.codes))
+    size = high
+    while low < high:
+        longer = meet(*places, size)
+        if longer is None:
+            high = size - 1
+        else:
+            low, places = size, longer
+        size = (low + high + 1) // 2
+    return low
+
+
 def shared_substrings(blocks: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, cross_speaker: bool = True) -> DataFrame:
     """recording, i, j, shared_chars (over min_chars) of pairs of blocks (turn_idx, speaker, norm) up to max_distance apart.
 
-    A common substring of over min_chars characters is a run of common grams of min_chars + 1 characters on one
-    diagonal; the longest run gives its length.  Grams meet by an equi-join on (recording, gram, cell); a cell holds
-    max_distance + 1 neighbouring blocks, so frequent grams stay linear.
+    A task sees cells of max_distance + 1 neighbouring blocks and the max_distance blocks after them, so each block is
+    sent twice at most and frequent passages stay linear.  The longest common substring is searched for by halving.
     """
     size, width = min_chars + 1, max_distance + 1
-    long = blocks.where(F.length("norm") >= size)
-    starts = F.sequence(F.lit(1), F.length("norm") - size + 1)
-    grams = F.transform(starts, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.substr("norm", p, F.lit(size))).alias("gram")))
-    exploded = long.select(KEY, "turn_idx", "speaker", F.inline(grams))
-    left = exploded.select(KEY, F.col("turn_idx").alias("i"), F.col("speaker").alias("si"), F.col("pos").alias("pi"), "gram", F.floor(F.col("turn_idx") / width).alias("cell"))
-    cells = F.array_distinct(F.array(F.floor((F.col("turn_idx") - max_distance) / width), F.floor((F.col("turn_idx") - 1) / width)))
-    right = exploded.select(KEY, F.col("turn_idx").alias("j"), F.col("speaker").alias("sj"), F.col("pos").alias("pj"), "gram", F.explode(cells).alias("cell"))
-    met = left.join(right, [KEY, "gram", "cell"]).where((F.col("j") - F.col("i")).between(1, max_distance))
-    if cross_speaker:
-        met = met.where("si <> sj")
-    diagonal = Window.partitionBy(KEY, "i", "j", F.col("pi") - F.col("pj")).orderBy("pi")
-    islands = met.withColumn("_island", F.col("pi") - F.row_number().over(diagonal)).groupBy(KEY, "i", "j", (F.col("pi") - F.col("pj")).alias("_d"), "_island").agg(F.count("*").alias("n"))
-    return islands.groupBy(KEY, "i", "j").agg((F.max("n") + min_chars).alias("shared_chars"))
+    cells = F.array_distinct(F.array(F.floor((F.col("turn_idx") - max_distance) / width), F.floor(F.col("turn_idx") / width)))
+    long = blocks.where((F.length("norm") >= size) & F.col(KEY).isNotNull())
+    near = long.select(KEY, "turn_idx", "speaker", "norm", F.explode(cells).alias("_cell"))
+    kinds = dict(near.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        windows: dict[int, Windows] = {}
+        at = lambda k: windows.get(k) or windows.setdefault(k, Windows(pdf["norm"].iat[k], size))
+        turn, speaker, own = pdf["turn_idx"].to_numpy(), pdf["speaker"].tolist(), pdf["turn_idx"].to_numpy() // width == pdf["_cell"].to_numpy()
+        out = []
+        for x in np.flatnonzero(own):
+            for y in np.flatnonzero((turn > turn[x]) & (turn <= turn[x] + max_distance)):
+                if cross_speaker and (speaker[x] is None or speaker[y] is None or speaker[x] == speaker[y]):
+                    continue
+                n = longest_shared(at(x), at(y), size)
+                if n:
+                    out.append((pdf[KEY].iat[x], turn[x], turn[y], n))
+        return pd.DataFrame(out, columns=[KEY, "i", "j", "shared_chars"])
+
+    pairs = near.groupBy(KEY, "_cell").applyInPandas(run, f"{KEY} {kinds[KEY]}, i {kinds['turn_idx']}, j {kinds['turn_idx']}, shared_chars long")
+    return pairs.groupBy(KEY, "i", "j").agg(F.max("shared_chars").alias("shared_chars"))
 
 
 def near_duplicates(turns: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, min_share: float = MIN_SHARE, cross_speaker: bool = True) -> DataFrame:

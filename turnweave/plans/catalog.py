@@ -87,7 +87,7 @@ def smoothing_report(spark, d):
 
 
 def cross_speaker_duplicates(spark, d):
-    return duplicates.near_duplicates(p.document_blocks(spark, d)).select(KEY, "i", "j", "distance", "first_speaker", "second_speaker", "start", "shared_chars")
+    return duplicates.cross_speaker_duplicates(p.document_blocks(spark, d)).select(KEY, "i", "j", "distance", "first_speaker", "second_speaker", "start", "shared_chars")
 
 
 def redundancy_by_distance(spark, d):

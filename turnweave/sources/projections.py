@@ -86,10 +86,10 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as blocks; texts that begin alike share a recording and stand side by side."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("speaker"), duplicate_text(F.col("text")).alias("norm"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("speaker"), "text", duplicate_text(F.col("text")).alias("norm"))
     d = d.withColumn(KEY, F.substring("norm", 1, 2))
     index = F.row_number().over(Window.partitionBy(KEY).orderBy(F.substring("norm", 1, 80), "doc_id")).cast("long") - 1
-    return d.select(KEY, index.alias("turn_idx"), "speaker", index.cast("double").alias("start"), F.substring("norm", 1, 600).alias("text"))
+    return d.select(KEY, index.alias("turn_idx"), "speaker", index.cast("double").alias("start"), "text")
 
 
 def envelope_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
