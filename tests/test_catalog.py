@@ -1,7 +1,10 @@
 """Queries of the catalogue over small tables, against brute force: the whole of each table is used."""
 
+import itertools
 import random
 
+import numpy as np
+
 from turnweave.plans import catalog
 
 
@@ -41,3 +44,16 @@ def test_duplicates_of_whole_documents(spark, tmp_path):
             assert sorted((r["i"], r["j"], r["shared_chars"]) for r in got) == want and max(n for *_, n in want) > 600
         else:
             assert {(r["distance"], r["same_speaker"]): r["n"] for r in got} == {k: want.count(k) for k in want}
+
+
+def test_voices_of_all_labels(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(v, v // 2 % 8, rng.normal(size=4).tolist()) for v in range(64)]
+    d = written(spark, tmp_path, "embeddings", rows, "vec_id long, label int, embedding array<float>")
+    unit = lambda m: m / np.linalg.norm(m)
+    a, b = ([unit(np.mean([np.float32(x).astype(float) for v, y, x in rows if v % 2 == side and y == k], axis=0)) for k in range(8)] for side in (0, 1))
+    sim = np.array(a) @ np.array(b).T
+    got = {(r["speaker_a"], r["speaker_b"]): r["similarity"] for r in catalog.cosine_matrix(spark, d).collect()}
+    assert len(got) == 64 and all(abs(got[f"S{i}", f"S{j}"] - sim[i, j]) < 2e-6 for i in range(8) for j in range(8))
+    best = max(itertools.permutations(range(8)), key=lambda p: sum(sim[i, j] for i, j in enumerate(p)))
+    assert {r["speaker_a"]: r["speaker_b"] for r in catalog.match_speakers(spark, d).collect()} == {f"S{i}": f"S{j}" for i, j in enumerate(best)}

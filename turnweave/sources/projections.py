@@ -103,8 +103,8 @@ def envelope_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Mean embeddings of six labels, of even and of odd vectors."""
-    v = table(spark, sf_dir, "embeddings").where("label < 6").select(F.col("label").cast("long").alias("label"), (F.col("vec_id") % 2).alias("side"), F.posexplode("embedding").alias("k", "x"))
+    """Mean embeddings of all labels, of even and of odd vectors."""
+    v = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").cast("long").alias("label"), (F.col("vec_id") % 2).alias("side"), F.posexplode("embedding").alias("k", "x"))
     means = v.groupBy("side", "label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
     m = means.groupBy("side", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("embedding"))
     out = m.select(F.lit("meeting").alias("meeting"), "side", F.col("label").alias("label_idx"), F.concat(F.lit("S"), F.col("label").cast("string")).alias("speaker"), "embedding")
