@@ -57,3 +57,18 @@ def test_voices_of_all_labels(spark, tmp_path):
     assert len(got) == 64 and all(abs(got[f"S{i}", f"S{j}"] - sim[i, j]) < 2e-6 for i in range(8) for j in range(8))
     best = max(itertools.permutations(range(8)), key=lambda p: sum(sim[i, j] for i, j in enumerate(p)))
     assert {r["speaker_a"]: r["speaker_b"] for r in catalog.match_speakers(spark, d).collect()} == {f"S{i}": f"S{j}" for i, j in enumerate(best)}
+
+
+def test_envelopes_of_all_events(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    values = rng.uniform(1, 500, 1000)
+    d = written(spark, tmp_path, "events", [(i, float(v)) for i, v in enumerate(values)], "event_id long, value double")
+    heard = np.concatenate([np.full(2000, 0.5), values * 0.3 + 0.5])
+    env = {s: np.sqrt((x.reshape(-1, 10) ** 2).mean(axis=1)) for s, x in (("a", values), ("b", heard))}
+    got = {(r["side"], r["win_idx"]): r["rms"] for r in catalog.rms_envelope(spark, d).collect()}
+    assert len(got) == 400 and all(abs(got[s, k] - v) < 2e-6 for s, x in env.items() for k, v in enumerate(x))
+    a, b = (x - x.mean() for x in env.values())
+    corr = {k: sum(a[i] * b[i - k] for i in range(max(0, k), min(100, k + 300))) for k in range(-299, 100)}
+    rows = catalog.cross_correlation(spark, d).collect()
+    assert len(rows) == 399 and all(abs(r["corr"] - corr[r["lag"]]) < 0.011 for r in rows)
+    assert [r["offset_s"] for r in catalog.offset_confidence(spark, d).collect()] == [-20.0]

@@ -93,12 +93,13 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of ten event values; b is a stretch of a, quieter and with a hum."""
+    """Windows of ten event values; b is all of a, quieter and with a hum, after 2,000 samples of hum alone."""
     from ..operators.offset import rms_envelope
 
     e = table(spark, sf_dir, "events")
     a = e.select(F.lit("a").alias(KEY), F.col("event_id").alias("sample_idx"), "value")
-    b = e.where("event_id between 2000 and 5999").select(F.lit("b").alias(KEY), (F.col("event_id") - 2000).alias("sample_idx"), (F.col("value") * 0.3 + 0.5).alias("value"))
+    lead = spark.range(2000).select(F.lit("b").alias(KEY), F.col("id").alias("sample_idx"), F.lit(0.5).alias("value"))
+    b = e.select(F.lit("b").alias(KEY), (F.col("event_id") + 2000).alias("sample_idx"), (F.col("value") * 0.3 + 0.5).alias("value")).unionByName(lead)
     return rms_envelope(a.unionByName(b), 10).select(F.lit("pair").alias("pair_id"), F.col(KEY).alias("side"), "win_idx", "rms")
 
 
