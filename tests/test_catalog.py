@@ -72,3 +72,9 @@ def test_envelopes_of_all_events(spark, tmp_path):
     rows = catalog.cross_correlation(spark, d).collect()
     assert len(rows) == 399 and all(abs(r["corr"] - corr[r["lag"]]) < 0.011 for r in rows)
     assert [r["offset_s"] for r in catalog.offset_confidence(spark, d).collect()] == [-20.0]
+
+
+def test_backchannels_of_whole_texts(spark, tmp_path):
+    texts = ["Yeah, yeah", "mm-hmm", "No.", "right okay then", "two words", "yeah and so on for long", "", None]
+    d = written(spark, tmp_path, "documents", [(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    assert [tuple(r) for r in catalog.backchannel_split(spark, d).collect()] == [("en", 5, 2, 3)]
