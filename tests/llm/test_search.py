@@ -199,6 +199,37 @@ def test_html(spark):
     assert html_text.extract_pages(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_html_neighbours_with_other_lines(spark, parts):
+    """Whatever the number of ranges, each page meets the nearest pages of its host with other lines."""
+    rng = random.Random(11)
+    body = lambda k: "<body><div>Site</div>" + "".join(f"<p>{x}</p>" for x in (f"text {k}", "one", f"rare {k % 3}")) + "<p>Contact</p></body>"
+    rows, n = [], 0
+    for host, count in (("a.org", 1), ("b.org", 40), ("c.org", 60), ("d.org", 9)):
+        k = 0
+        for p in range(count):
+            k = k if host == "d.org" or (host == "c.org" and 10 < p < 50) or rng.random() < 0.4 else p
+            rows.append((n, f"http://{host}/{p // 7:03}/{p:03}", body(k)))
+            n += 1
+    rows.append(rows[20])
+    ordered = sorted((*html_text.re.match("http://([^/]*)(.*)", u).groups(), i, u, html_text.page_lines(h)) for i, u, h in rows)
+    want = []
+    for at, (host, path, i, u, lines) in enumerate(ordered):
+        other = lambda xs: next((x for x in xs if x[0] == host and x[4] != lines), None)  # noqa: B023, E731
+        near = [x for x in (other(ordered[:at][::-1]), other(ordered[at + 1 :])) if x]
+        best = max(near, key=lambda x: html_text.common_start(x[1], path), default=None)
+        shared = html_text.shared_lines([x for x, _ in lines], [x for x, _ in best[4]])[0] if best else set()
+        want.append((i, u, html_text.main_text(lines, shared)))
+    assert all(t for *_, t in want)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = html_text.extract_pages(pages(spark, rng.sample(rows, len(rows)))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["page_id"], r["url"], r["text"]) for r in got) == sorted(want)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(500):

@@ -2,26 +2,29 @@
 
 A page becomes lines: one for each block of text, with white space turned into single spaces and character
 references decoded, and with a mark that says whether the markup around it is part of the article.  Pages are
-sorted by host and URL path, and each is paired with its nearest neighbour on the same host, the one that shares
-the longer beginning of the path.  The lines of a pair are aligned by a longest common subsequence, and shared
+sorted by host and URL path, and each is paired with its nearest neighbour on the same host whose lines are not the
+same as its own, before or after it, the one that shares the longer beginning of the path.  The lines of a pair are aligned by a longest common subsequence, and shared
 lines are deleted as the host's template, unless the page marks them as its article.  (Copies of an article occur
 on one host, so the comparison alone would empty them; it decides on pages that mark no article.)
 
 Defined results: null or empty html gives an empty text with n_chars 0; a null or broken URL counts as a host of
-its own kind (the empty one); a page alone on its host is judged by its markup only; equal lines align in order;
+its own kind (the empty one); a page alone on its host, or with nothing but copies of itself, is judged by its markup only; equal lines align in order;
 repeated rows each get a result.  An empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import pickle
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import forget, materialize, small_batches, table
 
 #: Elements whose content is never text of the page.
 UNSEEN = frozenset("head script style noscript template iframe object svg canvas math audio video title".split())
@@ -178,53 +181,155 @@ def common_start(a: str, b: str) -> int:
     return n
 
 
+ORDER = ["_host", "_path", "page_id", "_h"]
+#: Ranges of pages for each shuffle partition; more of them fill partitions more evenly.
+RANGES = 4
+
+
+def place(host: str, path: str, page_id: int | None, h: int) -> tuple:
+    """Key that sorts as ORDER does, nulls first."""
+    return host, path, (page_id is not None, page_id or 0), h
+
+
+def row_keys(batch: pa.RecordBatch):
+    return (place(*k) for k in zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True))
+
+
+def digests(batches):
+    """The columns of ORDER and a digest of the page's lines."""
+    for b in batches:
+        texts = ("\n".join(x for x, _ in page_lines(h)) for h in b.column("html").to_pylist())
+        digest = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ORDER), pa.array(digest, pa.binary())], names=[*ORDER, "_digest"])
+
+
+def range_ends(batches):
+    """One row of a sorted range: its first and last page as (key, digest), and the nearest pages of other lines on their hosts.
+
+    The last item says whether the range is one run of equal lines on one host.
+    """
+    first = after_first = last = before_last = None
+    runs = 0
+    for b in batches:
+        for page in zip(row_keys(b), b.column("_digest").to_pylist(), strict=True):
+            if last is None:
+                first, runs = page, 1
+            elif page[0][0] != last[0][0] or page[1] != last[1]:
+                runs += 1
+                before_last = last if page[0][0] == last[0][0] else None
+                if runs == 2 and before_last:
+                    after_first = page
+            last = page
+    if first:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((first, after_first, last, before_last, runs == 1))], pa.binary())], names=["ends"])
+
+
+def across(ranges: list[tuple]) -> list[tuple | None]:
+    """For (entry, entry's other, exit, exit's other, one run) of ranges in walking order, the page that each needs from those walked before."""
+    needed, seen, other = [], None, None
+    for entry, _, leave, leave_other, one in ranges:
+        near = None
+        if seen and seen[0][0] == entry[0][0]:
+            near = seen if seen[1] != entry[1] else other
+        needed.append(near)
+        seen, other = leave, near if one else leave_other
+    return needed
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_shared_lines of every row of pages (page_id, url, html).
 
-    One range shuffle sorts pages by (host, path); each task walks its run of pages with three pages in memory.
-    A hot host spans many tasks.
+    Keys and digests of lines are sorted by (host, path) first, into ranges whose ends go to the driver.  From these it
+    is known which pages a range needs from others: two at most, whatever lies between.  Then pages are dealt by
+    range, with these copied into it, and each range is walked run by run of equal lines.  A hot host spans many ranges.
     """
-    small_batches(pages.sparkSession, 500)
+    spark = pages.sparkSession
+    small_batches(spark, 500)
     host, path = split_url(F.col("url"))
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("_host"), path.alias("_path"))
-    order = ["_host", "_path", "page_id"]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = keyed.withColumn("_h", F.xxhash64("html"))
+    keys = materialize(keyed.mapInArrow(digests, "_host string, _path string, page_id long, _h long, _digest binary"))
+    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = keys.repartitionByRange(parts, *ORDER[:3]).sortWithinPartitions(*ORDER).mapInArrow(range_ends, "ends binary")
+    ranges = sorted((pickle.loads(r["ends"]) for r in ends.collect()), key=lambda r: r[0][0])
+    forget(keys)
+    starts = [r[0][0][:3] for r in ranges]
+    wanted: dict[tuple, set[int]] = {}
+    back = across([(last, before, first, after, one) for first, after, last, before, one in reversed(ranges)])[::-1]
+    for k, near in enumerate(zip(across(ranges), back, strict=True)):
+        for page in near:
+            if page:
+                wanted.setdefault(page[0], set()).add(k)
+
+    def deal(batches):
+        for b in batches:
+            at, to, guest = [], [], []
+            for i, key in enumerate(row_keys(b)):
+                own = max(0, bisect_right(starts, key[:3]) - 1)
+                for k in (own, *wanted.get(key, ())):
+                    at.append(i)
+                    to.append(k)
+                    guest.append(k != own)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(to, pa.int32()), pa.array(guest, pa.bool_())], names=[*b.schema.names, "_range", "_guest"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
+    dealt = keyed.mapInArrow(deal, f"{kinds}, _range int, _guest boolean").repartition("_range").sortWithinPartitions("_range", *ORDER)
 
     def run(batches):
         def rows():
             for b in batches:
-                names = ("page_id", "url", "html", "_host", "_path")
-                yield from ((i, u, page_lines(h), host, path) for i, u, h, host, path in zip(*(b.column(c).to_pylist() for c in names), strict=True))
-
-        def result(before, page, after):
-            i, u, lines, host, path = page
-            near = [x for x in (before, after) if x is not None and x[3] == host]
-            shared: set[int] = set()
-            if near:
-                other = max(near, key=lambda x: common_start(x[4], path))
-                shared = shared_lines([x for x, _ in lines], [x for x, _ in other[2]])[0]
-            text = main_text(lines, shared)
-            return i, u, text, len(text), len(shared)
+                names = ("page_id", "url", "html", "_path", "_guest", "_range", "_host")
+                yield from ((i, u, page_lines(h), path, guest, (k, host)) for i, u, h, path, guest, k, host in zip(*(b.column(c).to_pylist() for c in names), strict=True))
+
+        def results(before, same, after):
+            """Of pages with the same lines; before and after are the nearest pages with others."""
+            near = [x for x in (before, after) if x is not None]
+            found: dict[int, set[int]] = {}
+            for i, u, lines, path, guest, _ in same:
+                if guest:
+                    continue
+                shared: set[int] = set()
+                if near:
+                    k = max(range(len(near)), key=lambda k: common_start(near[k][3], path))
+                    if k not in found:
+                        found[k] = shared_lines(texts(lines), texts(near[k][2]))[0]
+                    shared = found[k]
+                text = main_text(lines, shared)
+                yield i, u, text, len(text), len(shared)
+
+        def texts(lines):
+            return [x for x, _ in lines]
+
+        def runs():
+            before, same = None, []
+            for page in rows():
+                if same and same[-1][5] == page[5]:
+                    if same[-1][2] == page[2]:
+                        page = (*page[:2], same[-1][2], *page[3:])
+                    elif texts(same[-1][2]) != texts(page[2]):
+                        yield from results(before, same, page)
+                        before, same = same[-1], []
+                elif same:
+                    yield from results(before, same, None)
+                    before, same = None, []
+                same.append(page)
+            if same:
+                yield from results(before, same, None)
 
         def batch(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), OUT.types, strict=True)], schema=OUT)
 
-        before = page = None
         out, size = [], 0
-        for after in rows():
-            if page is not None:
-                out.append(result(before, page, after))
-                size += out[-1][3]
-                if len(out) >= 500 or size > 4 << 20:
-                    yield batch(out)
-                    out, size = [], 0
-            before, page = page, after
-        if page is not None:
-            out.append(result(before, page, None))
+        for row in runs():
+            out.append(row)
+            size += row[3]
+            if len(out) >= 500 or size > 4 << 20:
+                yield batch(out)
+                out, size = [], 0
         if out:
             yield batch(out)
 
-    return ranged.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared_lines int")
+    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared_lines int")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
