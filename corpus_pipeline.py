@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each group of near copies (five words, 0.8)."""
+    """One document, the one with the least doc_id, of each group of near copies (five words, 0.8); a null doc_id stays."""
     kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
 from turnweave.llm import decontaminate, html_text, licenses, near_dup, substring
 
@@ -88,6 +89,18 @@ def test_near_copies_of_an_empty_table(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_documents_without_an_id(spark):
+    """They are kept, link with nothing, own no passage and lose none."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (1, text), (2, text + " more"), (None, text), (None, "other words"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(d).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True)] * 4 + [(1, 1, True), (2, 1, False)]
+    assert sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()))) == sorted(map(str, (r for r in rows if r[0] != 2)))
+    cut = substring.remove_repeats(d).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in cut) == [(0, 0)] * 4 + [(1, 0), (2, 60)]
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i + 1000, i + 1001) for i in range(40)]

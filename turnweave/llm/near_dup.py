@@ -13,7 +13,8 @@ come from alternating large-star and small-star until nothing changes; each step
 
 Defined results: texts without words (null and empty ones too) have an empty set and link with nothing; a text with
 fewer words than a shingle is one shingle; equal texts are in one component, which takes the least doc_id; repeated
-doc_ids count as one document of either text.  An empty table gives an empty result.  Extra columns are not read.
+doc_ids count as one document of either text; rows with a null doc_id are kept, link with nothing and have a null
+component_id.  An empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -229,8 +230,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     forget(buckets, open_rows, bits)
 
     by_set = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = sketch.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

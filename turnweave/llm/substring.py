@@ -17,7 +17,7 @@ one anchor: counts are aggregated before the shuffle, and a passage reaches a sh
 
 Defined results: a null or empty text has no words; texts shorter than a window lose nothing; passages within one
 document are no duplicates; equal texts lose all windows but in the least doc_id; rows that repeat a doc_id count as
-one document and each get a result.  An empty table gives an empty result.  Extra columns are not read.
+one document and each get a result; rows with a null doc_id own nothing and lose nothing.  An empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -121,6 +121,8 @@ def candidate_windows(sharded: DataFrame, routed: DataFrame, window: int) -> Dat
         out: list[list[np.ndarray]] = [[], []]
         if len(known):
             for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+                if d is None:
+                    continue
                 w = Windows((t or "").encode(), window)
                 hit = _in_sorted(signed(w.anchors), known)
                 if hit.any():
@@ -289,7 +291,7 @@ def stream_shards(sharded: DataFrame, passages: DataFrame, window: int, keep_tex
         covered = [bytearray(len(h)) for h in hashes]
         for a in automata(list(zip(phrases.column("owner").to_pylist(), phrases.column("passage").to_pylist(), strict=True)), window):
             for d, x, h, c in zip(ids, datas, hashes, covered, strict=True):
-                if len(h) >= window:
+                if d is not None and len(h) >= window:
                     a.mark(d, h, cached_split(x), c)
         rows = []
         for k, (d, x) in enumerate(zip(ids, datas, strict=True)):
@@ -313,7 +315,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     sharded = docs.withColumn("shard", shard_of("doc_id", shards))
 
     anchors = materialize(document_anchors(docs, window))
-    placed = anchors.select("doc_id", F.explode("anchors").alias("anchor"))
+    placed = anchors.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     recurring = placed.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     routed = materialize(placed.join(recurring, "anchor").groupBy(shard_of("doc_id", shards).alias("shard"), "anchor").agg(F.max("doc_id").alias("most")))
     release(spark)
