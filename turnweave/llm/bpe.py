@@ -3,7 +3,8 @@
 For every prefix of a pre-token the table holds the one token that ends the prefix's encoding.  It is the
 longest vocabulary entry that ends there and is compatible with the last token of the prefix before it:
 compatible means that merging the two tokens side by side would give back the same two tokens.  All
-entries that end at a place come from one suffix automaton over the vocabulary.  Back-pointers then
+entries that end at a place come from one automaton over the vocabulary (of Aho and Corasick, whose states are the
+longest suffixes of the text read that begin an entry).  Back-pointers then
 give the ids.
 
 Defined results: a null text counts as empty; an empty text has no ids, and its digests are those of the
@@ -16,15 +17,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import portions, table
 
 #: The byte-level pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,8 +39,10 @@ NEWER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2
 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4
 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
 OTHER_SPACE = re.compile(r" (?!\S)")
-#: Words remembered by one worker; beyond it the memory starts anew.
-CACHE_WORDS = 200_000
+#: Symbols that may end a word; a run of them behind letters is a pre-token of its own.
+SYMBOLS = string.punctuation
+#: Words remembered by one worker.
+ROOM = 800_000
 
 
 def newer_class() -> str:
@@ -59,14 +65,94 @@ class PreTokenizer:
             return self.exact.findall(text)
         return self.plain.findall(text)
 
-    @staticmethod
-    def at_spaces(text: str) -> list[str] | None:
-        """The text cut at its spaces, each part but the first standing for itself with one space before it.
 
-        A space before a character that is no white space always begins a pre-token, so each part splits into pre-tokens
-        as it does in place.  If the text has any other space, the answer is None.
-        """
-        return None if OTHER_SPACE.search(text) else text.split(" ")
+class SpacedEncoder:
+    """Encodes texts, cut at their spaces, by encoding each distinct word once while a worker remembers it.
+
+    A space before a character that is no white space always begins a pre-token, so each part of a text between spaces,
+    with the space before it, splits into pre-tokens as it does in place.  Texts with any other space, or with special
+    tokens, are encoded whole.  What is remembered is bounded: beyond `room` words only those of the present texts stay,
+    and parts that are more than a word are forgotten with the texts.
+    """
+
+    def __init__(self, special: list[str], room: int = ROOM):
+        self.special_texts, self.room = special, room
+        self.pattern = PreTokenizer()
+        #: Ids (little-endian, unsigned, 32 bits) of parts that stand behind a space, and of pre-tokens without one.
+        self.parts: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens."""
+        raise NotImplementedError
+
+    def ids_of_letters(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of letters, each with a space before it."""
+        return self.ids_of([" " + p for p in parts])
+
+    def ids_of_whole(self, text: str) -> bytes:
+        """Ids of a text that cannot be cut at its spaces."""
+        raise NotImplementedError
+
+    def _add(self, words: Iterable[str]) -> None:
+        """Encode those pre-tokens that are not remembered."""
+        new = [w for w in words if (w[1:] not in self.parts if w[0] == " " else w not in self.bare)]
+        for w, ids in zip(new, self.ids_of(new), strict=True):
+            if w[0] == " ":
+                self.parts[w[1:]] = ids
+            else:
+                self.bare[w] = ids
+
+    def _joined(self, words: list[str]) -> bytes:
+        parts, bare = self.parts, self.bare
+        return b"".join([parts[w[1:]] if w[0] == " " else bare[w] for w in words])
+
+    def ids_of_plain(self, texts: list[str]) -> list[bytes]:
+        words = list(map(self.pattern.findall, texts))
+        self._add(set().union(*words))
+        return list(map(self._joined, words))
+
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Fill self.parts for all that is wanted; returns what need not be remembered."""
+        new = wanted - self.parts.keys()
+        if len(self.parts) + len(self.bare) + len(new) > self.room:
+            self.parts = {p: self.parts[p] for p in wanted - new}
+            self.bare = {}
+        odd = self.pattern.newer.search("".join(set("".join(new)))) is not None
+        letters, ended, mixed = set(), [], []
+        for p in new:
+            if odd and self.pattern.newer.search(p):
+                mixed.append(p)
+            elif p.isalpha():
+                letters.add(p)
+            else:
+                stem = p.rstrip(SYMBOLS)
+                if stem.isalpha():
+                    ended.append((p, stem, p[len(stem) :]))
+                else:
+                    mixed.append(p)
+        parts = self.parts
+        letters.update(stem for _, stem, _ in ended)
+        fresh = [p for p in letters if p not in parts]
+        parts.update(zip(fresh, self.ids_of_letters(fresh), strict=True))
+        cut = [self.pattern.findall(" " + p) for p in mixed]
+        self._add({tail for _, _, tail in ended}.union(*cut))
+        bare = self.bare
+        parts.update((p, parts[stem] + bare[tail]) for p, stem, tail in ended)
+        parts.update(zip(mixed, map(self._joined, cut), strict=True))
+        return mixed + [p for p, _, _ in ended]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
+        special = self.special_texts
+        cut = [None if OTHER_SPACE.search(t) or any(s in t for s in special) else t.split(" ") for t in texts]
+        passing = self._learn(set().union(*(p[1:] for p in cut if p)))
+        first = iter(self.ids_of_plain([p[0] for p in cut if p]))
+        get = self.parts.__getitem__
+        out = [b"".join([next(first), *map(get, p[1:])]) if p else self.ids_of_whole(t) for t, p in zip(texts, cut, strict=True)]
+        for p in passing:
+            del self.parts[p]
+        return out
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -76,12 +162,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
-class PrefixBpe:
+def cuts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizers file is byte-level with the pattern above and changes no text before."""
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return plain and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+
+
+class PrefixBpe(SpacedEncoder):
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not cuts_at_spaces(spec):
+            raise ValueError(f"{path}: only byte-level vocabularies with the pattern of this module are supported")
+        super().__init__([t["content"] for t in spec["added_tokens"]])
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items()}
@@ -102,10 +198,13 @@ class PrefixBpe:
             if len(word) == 1 or self._canonical(i):
                 self.suffixes.add_word(word, (i, len(word)))
         self.suffixes.make_automaton()
-        self.pattern = PreTokenizer()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[str, bytes, int]] = {}
-        self.parts: dict[str, tuple[str, bytes, int]] = {}
+        self.fits: dict[int, bool] = {}
+        self.one_id = {i: i.to_bytes(4, "little") for i in self.bytes_of}
+        tokens = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.token_sizes = np.array([len(t) for t in tokens])
+        self.names = pa.array([str(i) for i in range(len(tokens))])
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
 
     def _merge(self, ids: list[int]) -> list[int]:
@@ -123,99 +222,81 @@ class PrefixBpe:
             self._single = {b[0]: i for i, b in self.bytes_of.items() if len(b) == 1}
         return self._merge([self._single[b] for b in self.bytes_of[token]]) == [token]
 
-    def compatible(self, left: int, right: int) -> bool:
+    def _compatible(self, left: int, right: int) -> bool:
         """Whether left and right, side by side, are still left and right after all merges.
 
         Takes the two tokens apart along the seam in the reverse order of their merges.  Some pair that meets
         at the seam with a merge earlier than both of its parts' next use would have crossed the seam.
         """
-        key = (left, right)
-        known = self.fits.get(key)
-        if known is not None:
-            return known
-        bound, ok = 1 << 60, True
+        bound = 1 << 60
         while True:
             r = self.rank.get((left, right))
             if r is not None and r < bound:
-                ok = False
-                break
+                return False
             a, b = self.halves.get(left), self.halves.get(right)
             if a is None and b is None:
-                break
+                return True
             # undo the later of the two merges; a crossing pair on a tie is decided by position: leftmost first
             if b is None or (a is not None and a[0] > b[0]):
                 bound, left = a[0], a[2]
             else:
                 bound, right = b[0] + 1, b[1]
-        if len(self.fits) > 300_000:
-            self.fits.clear()
-        self.fits[key] = ok
-        return ok
 
     def encode_word(self, word: bytes) -> list[int]:
         n = len(word)
         last, size = [-1] * (n + 1), [0] * (n + 1)
-        fits = self.compatible
+        fits = self.fits
         for end, (token, length) in self.suffixes.iter(word.decode("latin-1")):
             e = end + 1
             if last[e] >= 0:
                 continue
             s = e - length
-            if s == 0 or (last[s] >= 0 and fits(last[s], token)):
-                last[e], size[e] = token, length
+            if s:
+                before = last[s]
+                if before < 0:
+                    continue
+                key = before << 24 | token
+                ok = fits.get(key)
+                if ok is None:
+                    if len(fits) > 500_000:
+                        fits.clear()
+                    ok = fits[key] = self._compatible(before, token)
+                if not ok:
+                    continue
+            last[e], size[e] = token, length
         out, e = [], n
         while e:
             out.append(last[e])
             e -= size[e]
         return out[::-1]
 
-    def known(self, word: str) -> tuple[str, bytes, int]:
-        """(decimal ids joined by commas, bytes that these ids decode to, number of ids) of a pre-token."""
-        hit = self.words.get(word)
-        if hit is None:
-            if len(self.words) >= CACHE_WORDS // 2:
-                self.words.clear()
-            ids = self.encode_word(word.encode())
-            hit = (",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), len(ids))
-            self.words[word] = hit
-        return hit
-
-    def spaced(self, part: str) -> tuple[str, bytes, int]:
-        """As known(), of a part of a text cut at spaces, with its space."""
-        hit = self.parts.get(part)
-        if hit is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            names, datas, counts = zip(*map(self.known, self.pattern.findall(" " + part)), strict=True)
-            hit = self.parts[part] = (",".join(names), b"".join(datas), sum(counts))
-        return hit
-
-    def plain_pieces(self, text: str) -> Iterator[tuple[str, bytes, int]]:
-        parts = self.pattern.at_spaces(text)
-        if parts is None:
-            yield from map(self.known, self.pattern.findall(text))
-        else:
-            yield from map(self.known, self.pattern.findall(parts[0]))
-            yield from map(self.spaced, parts[1:])
-
-    def pieces(self, text: str) -> Iterator[tuple[str, bytes, int]]:
-        """Pieces of a text, in order; special tokens are cut out first."""
-        if self.split is None or not any(s in text for s in self.special):
-            yield from self.plain_pieces(text)
-            return
-        for part in self.split.split(text):
-            if part in self.special:
-                i = self.special[part]
-                yield str(i), self.bytes_of[i], 1
-            else:
-                yield from self.plain_pieces(part)
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        one, encode = self.one_id, self.encode_word
+        return [b"".join(map(one.__getitem__, encode(w.encode()))) for w in words]
+
+    def ids_of_whole(self, text: str) -> bytes:
+        out = []
+        for part in self.split.split(text) if self.split else (text,):
+            out.append(self.one_id[self.special[part]] if part in self.special else self.ids_of_plain([part])[0])
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.pieces(text) for i in p[0].split(",")]
+        return np.frombuffer(self.encode_many([text])[0], dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_many(self, ids: np.ndarray, counts: list[int]) -> list[bytes]:
+        """The bytes of texts, in UTF-8, from their ids: counts[k] of the ids are text k's."""
+        size = self.token_sizes[ids]
+        ends = np.cumsum(size)
+        # place of every byte in the bytes of all tokens: a token's first place, then one more for each byte
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.token_starts[ids] - (ends - size), size)
+        data = self.token_bytes[place].tobytes()
+        stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist() if counts else [0]
+        parts = [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+        return [p if p.isascii() else p.decode("utf-8", "replace").encode() for p in parts]
+
 
 _LOADED: dict[str, PrefixBpe] = {}
 
@@ -237,16 +318,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def encoded(bpe: PrefixBpe, texts: list[str]) -> tuple[list[int], np.ndarray]:
+    """How many ids each text has, and the ids of all texts."""
+    raw = bpe.encode_many(texts)
+    return [len(r) // 4 for r in raw], np.frombuffer(b"".join(raw), dtype="<u4")
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids and the text decoded from these ids, for every row of docs (doc_id, text)."""
     path = vocabulary or default_vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = encoder(path)
-        for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], schema=TOKENS)
+        for b in portions(batches):
+            n, ids = encoded(bpe, [t or "" for t in b.column("text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
+            back = pa.array(bpe.decode_many(ids, n), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), lists, back], schema=TOKENS)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -254,19 +342,15 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The digests of encode_documents() without moving the ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path = vocabulary or default_vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = encoder(path)
-        for b in batches:
-            n, ids, back = [], [], []
-            for text in b.column("text").to_pylist():
-                parts = list(bpe.pieces(text or ""))
-                names, datas, counts = zip(*parts, strict=True) if parts else ((), (), ())
-                n.append(sum(counts))
-                ids.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join(datas).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], schema=DIGESTS)
+        for b in portions(batches):
+            n, ids = encoded(bpe, [t or "" for t in b.column("text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), bpe.names.take(pa.array(ids)))
+            listed = pc.binary_join(lists, ",").to_pylist()
+            shas = [[hashlib.sha256(x).hexdigest() for x in part] for part in (map(str.encode, listed), bpe.decode_many(ids, n))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in shas)], schema=DIGESTS)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -2,46 +2,75 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of source text that one shard of a sharded stage should hold.
 SHARD_BYTES = 6 << 20
+#: Bytes of texts that a worker turns into Python objects at a time.
+PORTION_BYTES = 4 << 20
+#: Fixed value: Spark's setting for deleting shuffle files at the end of an execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small; long texts make 10,000 rows too many for a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def portions(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of about most bytes of one column, so that a worker holds few long texts as objects.
+
+    Spark bounds a batch by bytes as well as rows (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), b.num_rows]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if end > start:
+                yield b.slice(start, end - start)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below the folder that all machines share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in local tests, a temporary folder of this machine is used.
+    Only where that setting is absent and everything runs in this one process, as in local tests, a temporary folder of
+    this machine is used; elsewhere that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/turnweave-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of a write as soon as the write is done."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,12 +84,13 @@ def forget(*frames: DataFrame) -> None:
                 parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps before the next large step begins."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner works on its own thread
+def least_hashes(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """The rows of df with the smallest values of the long hash h: about twice as many as asked for, or all if there are few.
+
+    Only a count of df is needed to choose them, so little is moved however large df is; whoever needs exactly rows sorts.
+    """
+    n = df.count()
+    return df if n <= 2 * rows else df.where(h < -(1 << 63) + (2 * rows << 64) // n)
 
 
 def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
@@ -151,5 +181,3 @@ def gram_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
-
-__all__ = ["SHARD_BYTES", "forget", "gram_hashes", "hashed_words", "materialize", "mix", "release", "scratch_dir", "shard_count", "signed", "small_batches", "table"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import portions, table
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -136,13 +136,12 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
 def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id and distance of every benchmark item that occurs in a document within its budget of edits."""
     spark = docs.sparkSession
-    small_batches(spark)
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def matcher(shared):
         def run(batches):
             index = ItemIndex(shared.value, error_rate)
-            for b in batches:
+            for b in portions(batches):
                 rows = [(d, i, x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for i, x in index.matches(t).items()]
                 cols = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=MATCHES)

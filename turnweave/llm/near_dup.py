@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, gram_hashes, hashed_words, materialize, mix, release, signed, small_batches, table
+from .common import forget, gram_hashes, hashed_words, materialize, mix, portions, signed, table
 
 BANDS, ROWS = 40, 5
 #: Minima in a signature; the first BANDS * ROWS make the bands.  A packed signature keeps NIBBLES bits of each.
@@ -93,7 +93,7 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_ke
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         known: dict[bytes, tuple] = {}
-        for b in batches:
+        for b in portions(batches):
             cols: list[list] = [[], [], [], []]
             if len(known) > 20_000:
                 known.clear()
@@ -146,7 +146,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
     def run(batches):
         at, center = None, None
-        for b in batches:
+        for b in portions(batches):
             out = []
             for a, g, role, d, t in zip(*(b.column(c).to_pylist() for c in ("a", "g", "role", "doc_id", "text")), strict=True):
                 s = shingle_set(t, size)
@@ -186,7 +186,6 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch = materialize(sketches(docs, size))
     alike_enough = alike("bits", "center_bits", percent / 100)
@@ -196,19 +195,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = nodes.select("rep", F.posexplode("bands").alias("at", "band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(rows.join(shared.hint("merge"), "band"))
-    release(spark)
     # the text that the others are copies of meets most of them: it is the center of its buckets
     weight = met.groupBy("rep").agg(F.sum("n").alias("weight"))
     centers = met.join(weight, "rep").groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("center"))
     buckets = materialize(met.join(centers, "band").select("at", "band", "center", "rep"))
-    release(spark)
     forget(met)
 
     bits = materialize(nodes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "bits", "bands"))
     pairs = buckets.where("rep <> center").select("center", "rep").distinct().join(bits.drop("bands"), "rep")
     star = pairs.join(bits.select(F.col("rep").alias("center"), F.col("bits").alias("center_bits")), "center").where(alike_enough).select(F.col("center").alias("a"), F.col("rep").alias("b"))
     edges = materialize(confirm(materialize(star), docs, size, percent))
-    release(spark)
     comp = components(edges)
 
     # pairs of a bucket that are in different components yet: the few against all
@@ -226,7 +222,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         more = materialize(confirm(left, docs, size, percent))
         if more.limit(1).count():
             comp = components(edges.unionByName(more))
-    release(spark)
     forget(buckets, open_rows, bits)
 
     by_set = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

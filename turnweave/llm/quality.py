@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import portions, table
 
 FIT_ROWS, FIT_BYTES, DICT_BYTES, LEVEL = 4000, 8192, 112_640, 3
 THRESHOLD = 0.3
@@ -116,12 +116,11 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 def score_documents(docs: DataFrame, model) -> DataFrame:
     """doc_id and score of every row; model.score(text) gives 0 to 1."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in portions(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([m.score(t) for t in b.column("text").to_pylist()], pa.float64())], schema=SCORES)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHARD_BYTES, forget, gram_hashes, hashed_words, materialize, mix, release, shard_count, signed, small_batches, table
+from .common import SHARD_BYTES, forget, gram_hashes, hashed_words, materialize, mix, portions, shard_count, signed, table
 
 WINDOW, GRAM = 50, 16
 PASSAGE_WORDS, AUTOMATON_WORDS = 400, 200_000
@@ -80,7 +80,7 @@ def document_anchors(docs: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             ids, found = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 a = np.unique(Windows((t or "").encode(), window).anchors)
@@ -309,7 +309,6 @@ def stream_shards(sharded: DataFrame, passages: DataFrame, window: int, keep_tex
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (keep_text) the kept words of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shards = shard_count(docs, shard_bytes=shard_bytes)
     sharded = docs.withColumn("shard", shard_of("doc_id", shards))
@@ -318,14 +317,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     placed = anchors.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     recurring = placed.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     routed = materialize(placed.join(recurring, "anchor").groupBy(shard_of("doc_id", shards).alias("shard"), "anchor").agg(F.max("doc_id").alias("most")))
-    release(spark)
 
     hashed = candidate_windows(sharded, routed, window)
     counted = hashed.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
     confirmed = materialize(counted.select("owner", "h").withColumn("shard", shard_of("owner", shards)))
-    release(spark)
     passages = materialize(owned_passages(sharded, confirmed, window))
-    release(spark)
     forget(confirmed, anchors)
 
     goes = passages.select("owner", "at", F.explode("anchors").alias("anchor")).join(routed, "anchor").where("owner < most").select("owner", "at", "shard").distinct()

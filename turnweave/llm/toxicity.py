@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import portions, table
 from .quality import bounded_sample, fit_logistic, fold, score_documents
 
 FIT_ROWS, THRESHOLD = 6000, 0.7
@@ -171,12 +171,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_below(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text scores below threshold; no shuffle."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in portions(batches):
             scores = [m.score(t) for t in b.column("text").to_pylist()]
             yield b.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
