@@ -16,9 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import string
-from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
@@ -38,9 +36,10 @@ NEWER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2
 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6
 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4
 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
-OTHER_SPACE = re.compile(r" (?!\S)")
 #: Symbols that may end a word; a run of them behind letters is a pre-token of its own.
 SYMBOLS = string.punctuation
+#: Bytes of texts that are encoded at a time.
+PORTION_BYTES = 12 << 20
 #: Words remembered by one worker.
 ROOM = 800_000
 
@@ -70,89 +69,102 @@ class SpacedEncoder:
     """Encodes texts, cut at their spaces, by encoding each distinct word once while a worker remembers it.
 
     A space before a character that is no white space always begins a pre-token, so each part of a text between spaces,
-    with the space before it, splits into pre-tokens as it does in place.  Texts with any other space, or with special
-    tokens, are encoded whole.  What is remembered is bounded: beyond `room` words only those of the present texts stay,
-    and parts that are more than a word are forgotten with the texts.
+    with the space before it, splits into pre-tokens as it does in place.  Most parts are letters and then symbols: two
+    pre-tokens.  Texts with any other space, or with special tokens, are encoded whole.  Words of letters are remembered;
+    beyond `room` of them only those of the present texts stay.
     """
 
     def __init__(self, special: list[str], room: int = ROOM):
         self.special_texts, self.room = special, room
         self.pattern = PreTokenizer()
-        #: Ids (little-endian, unsigned, 32 bits) of parts that stand behind a space, and of pre-tokens without one.
-        self.parts: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        #: Ids (little-endian, unsigned, 32 bits) of words of letters behind a space, and of other pre-tokens.
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens."""
         raise NotImplementedError
 
-    def ids_of_letters(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts of letters, each with a space before it."""
-        return self.ids_of([" " + p for p in parts])
+    def ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it."""
+        return self.ids_of([" " + w for w in words])
 
     def ids_of_whole(self, text: str) -> bytes:
         """Ids of a text that cannot be cut at its spaces."""
         raise NotImplementedError
 
-    def _add(self, words: Iterable[str]) -> None:
-        """Encode those pre-tokens that are not remembered."""
-        new = [w for w in words if (w[1:] not in self.parts if w[0] == " " else w not in self.bare)]
-        for w, ids in zip(new, self.ids_of(new), strict=True):
-            if w[0] == " ":
-                self.parts[w[1:]] = ids
-            else:
-                self.bare[w] = ids
-
-    def _joined(self, words: list[str]) -> bytes:
-        parts, bare = self.parts, self.bare
-        return b"".join([parts[w[1:]] if w[0] == " " else bare[w] for w in words])
-
     def ids_of_plain(self, texts: list[str]) -> list[bytes]:
-        words = list(map(self.pattern.findall, texts))
-        self._add(set().union(*words))
-        return list(map(self._joined, words))
-
-    def _learn(self, wanted: set[str]) -> list[str]:
-        """Fill self.parts for all that is wanted; returns what need not be remembered."""
-        new = wanted - self.parts.keys()
-        if len(self.parts) + len(self.bare) + len(new) > self.room:
-            self.parts = {p: self.parts[p] for p in wanted - new}
-            self.bare = {}
-        odd = self.pattern.newer.search("".join(set("".join(new)))) is not None
-        letters, ended, mixed = set(), [], []
-        for p in new:
-            if odd and self.pattern.newer.search(p):
-                mixed.append(p)
-            elif p.isalpha():
-                letters.add(p)
-            else:
-                stem = p.rstrip(SYMBOLS)
-                if stem.isalpha():
-                    ended.append((p, stem, p[len(stem) :]))
-                else:
-                    mixed.append(p)
-        parts = self.parts
-        letters.update(stem for _, stem, _ in ended)
-        fresh = [p for p in letters if p not in parts]
-        parts.update(zip(fresh, self.ids_of_letters(fresh), strict=True))
-        cut = [self.pattern.findall(" " + p) for p in mixed]
-        self._add({tail for _, _, tail in ended}.union(*cut))
-        bare = self.bare
-        parts.update((p, parts[stem] + bare[tail]) for p, stem, tail in ended)
-        parts.update(zip(mixed, map(self._joined, cut), strict=True))
-        return mixed + [p for p, _, _ in ended]
+        """Ids of texts without special tokens, by their pre-tokens."""
+        cut = list(map(self.pattern.findall, texts))
+        self._add(set().union(*cut))
+        get = self.others.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
+
+    def _add(self, words: set[str]) -> None:
+        if len(self.others) > self.room // 4:
+            self.others = {}
+        new = list(words - self.others.keys())
+        self.others.update(zip(new, self.ids_of(new), strict=True))
+
+    def _words(self, words: list[str], characters: str) -> tuple[list[bytes], np.ndarray]:
+        """Ids of those of the words that are all letters (known to the library), and which these are."""
+        newer = self.pattern.newer.search
+        odd = newer(characters) is not None
+        letters = [w.isalpha() and not (odd and newer(w)) for w in words]
+        known = self.words
+        fresh = [w for w, ok in zip(words, letters, strict=True) if ok and w not in known]
+        if len(known) + len(fresh) > self.room:
+            known = self.words = {w: known[w] for w in words if w in known}
+        known.update(zip(fresh, self.ids_of_letters(fresh), strict=True))
+        return [known[w] if ok else b"" for w, ok in zip(words, letters, strict=True)], np.array(letters, dtype=bool)
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """Ids of distinct parts, each with a space before it."""
+        stems = pc.utf8_rtrim(parts, SYMBOLS)
+        tailed = pc.not_equal(pc.binary_length(stems), pc.binary_length(parts)).to_numpy(zero_copy_only=False)
+        coded = stems.dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        characters = "".join(set("".join(words)))
+        values, letters = self._words(words, characters)
+        mixed, tailed = np.flatnonzero(~letters[at]), np.flatnonzero(tailed & letters[at])
+        # what is left of a word and its symbols without the letters of all words
+        tails = pc.utf8_ltrim(parts.take(pa.array(tailed)), "".join(filter(str.isalpha, characters)) or " ").dictionary_encode()
+        ends = [b"", *self.ids_of_plain([*tails.dictionary.to_pylist(), *(" " + p for p in parts.take(pa.array(mixed)).to_pylist())])]
+        end = np.zeros(len(parts), dtype=np.int64)
+        end[tailed] = tails.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        end[mixed] = len(tails.dictionary) + np.arange(1, len(mixed) + 1)
+        return pc.binary_join_element_wise(pa.array(values, pa.binary()).take(pa.array(at)), pa.array(ends, pa.binary()).take(pa.array(end)), b"")
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all texts; a null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        coded, offsets = cut.flatten().dictionary_encode(), cut.offsets.to_numpy().astype(np.int64)
+        at, first = coded.indices.to_numpy().astype(np.int64), offsets[:-1]
+        # a part that is empty or begins with white space follows a space that begins no pre-token
+        begin = pc.utf8_slice_codeunits(coded.dictionary, 0, 1).dictionary_encode()
+        spaces = [not c or c.isspace() for c in begin.dictionary.to_pylist()]
+        whole = np.zeros(len(first), dtype=bool)
+        if any(spaces):
+            odd = np.array(spaces)[begin.indices.to_numpy()][at]
+            odd[first] = False
+            whole = np.add.reduceat(odd, first) > 0
+        for s in self.special_texts:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        values = self._parts(coded.dictionary)
+        begins: list[bytes] = self.ids_of_plain(pc.if_else(pa.array(whole), "", cut.flatten().take(pa.array(first))).to_pylist())
+        for k in np.flatnonzero(whole).tolist():
+            at[first[k] : offsets[k + 1]] = len(values)
+            begins[k] = self.ids_of_whole(texts[k].as_py())
+        at[first] = np.arange(len(first)) + len(values) + 1
+        ids = pa.concat_arrays([values, pa.array([b"", *begins], pa.binary())]).take(pa.array(at))
+        stops = np.frombuffer(ids.buffers()[1], dtype=np.int32, count=len(at) + 1)[offsets] // 4 if len(at) else np.zeros(1, dtype=np.int32)
+        return np.diff(stops), np.frombuffer(ids.buffers()[2] or b"", dtype="<u4", count=stops[-1])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        special = self.special_texts
-        cut = [None if OTHER_SPACE.search(t) or any(s in t for s in special) else t.split(" ") for t in texts]
-        passing = self._learn(set().union(*(p[1:] for p in cut if p)))
-        first = iter(self.ids_of_plain([p[0] for p in cut if p]))
-        get = self.parts.__getitem__
-        out = [b"".join([next(first), *map(get, p[1:])]) if p else self.ids_of_whole(t) for t, p in zip(texts, cut, strict=True)]
-        for p in passing:
-            del self.parts[p]
-        return out
+        n, ids = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -286,14 +298,14 @@ class PrefixBpe(SpacedEncoder):
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def decode_many(self, ids: np.ndarray, counts: list[int]) -> list[bytes]:
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of texts, in UTF-8, from their ids: counts[k] of the ids are text k's."""
         size = self.token_sizes[ids]
         ends = np.cumsum(size)
         # place of every byte in the bytes of all tokens: a token's first place, then one more for each byte
         place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.token_starts[ids] - (ends - size), size)
         data = self.token_bytes[place].tobytes()
-        stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist() if counts else [0]
+        stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
         parts = [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
         return [p if p.isascii() else p.decode("utf-8", "replace").encode() for p in parts]
 
@@ -318,20 +330,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoded(bpe: PrefixBpe, texts: list[str]) -> tuple[list[int], np.ndarray]:
-    """How many ids each text has, and the ids of all texts."""
-    raw = bpe.encode_many(texts)
-    return [len(r) // 4 for r in raw], np.frombuffer(b"".join(raw), dtype="<u4")
-
-
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids and the text decoded from these ids, for every row of docs (doc_id, text)."""
     path = vocabulary or default_vocabulary()
 
     def run(batches):
         bpe = encoder(path)
-        for b in portions(batches):
-            n, ids = encoded(bpe, [t or "" for t in b.column("text").to_pylist()])
+        for b in portions(batches, most=PORTION_BYTES):
+            n, ids = bpe.encode_column(b.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
             back = pa.array(bpe.decode_many(ids, n), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), lists, back], schema=TOKENS)
@@ -345,8 +351,8 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe = encoder(path)
-        for b in portions(batches):
-            n, ids = encoded(bpe, [t or "" for t in b.column("text").to_pylist()])
+        for b in portions(batches, most=PORTION_BYTES):
+            n, ids = bpe.encode_column(b.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), bpe.names.take(pa.array(ids)))
             listed = pc.binary_join(lists, ",").to_pylist()
             shas = [[hashlib.sha256(x).hexdigest() for x in part] for part in (map(str.encode, listed), bpe.decode_many(ids, n))]

@@ -19,28 +19,34 @@ Merkle root.  An empty table gives empty files.  Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-import struct
+import json
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenizer, byte_alphabet, default_vocabulary
-from .common import forget, materialize, mix, release, scratch_dir, small_batches, table
+from .bpe import PORTION_BYTES, SpacedEncoder, byte_alphabet, cuts_at_spaces, default_vocabulary
+from .common import forget, materialize, mix, portions, scratch_dir, table
 
 END_ID = 2
-#: Cut where the hash of the last WINDOW ids has MASK_BITS zero bits; chunks hold MIN_IDS to MAX_IDS ids.
+#: Cut where the upper MASK_BITS bits of the hash of the last WINDOW ids (a power of two) are zero; chunks hold MIN_IDS to
+#: MAX_IDS ids.
 WINDOW, MASK_BITS, MIN_IDS, MAX_IDS = 8, 10, 256, 8192
-#: Parts of texts remembered by one worker; beyond it the memory starts anew.
-CACHE_WORDS = 500_000
+_BASE = 0x9E3779B97F4A7C15
+#: Words of one row that the library is asked for.
+ROW_WORDS = 2000
 
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct part, cut at spaces, that a worker remembers."""
+class LibraryEncoder(SpacedEncoder):
+    """The tokenizers library, asked once for each distinct pre-token that a worker remembers.
+
+    Other kinds of vocabulary than byte-level ones with the usual pattern get whole texts only.
+    """
 
     def __init__(self, path: str):
         import os
@@ -51,47 +57,41 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.newer = PreTokenizer().newer
-        self.shown = {b: c for c, b in byte_alphabet().items()}
-        self.parts: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
+        super().__init__(sorted(t.content for t in self.library.get_added_tokens_decoder().values()))
+        self.cuttable = cuts_at_spaces(json.loads(self.library.to_str()))
+        if self.cuttable:
+            alphabet = byte_alphabet()
+            self.sizes = np.zeros(self.library.get_vocab_size(), dtype=np.int64)
+            for token, i in self.library.get_vocab(with_added_tokens=False).items():
+                self.sizes[i] = len(bytes(map(alphabet.__getitem__, token)))
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self._ask(words)]
+
+    def ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """Words are asked for in rows: each begins a pre-token.  The ids of a row are cut where the bytes of its words end."""
         out: list[bytes] = []
-        for k in range(0, len(texts), 20_000):
-            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+        for at in range(0, len(words), ROW_WORDS):
+            text = " " + " ".join(words[at : at + ROW_WORDS])
+            data = text.encode()
+            ids = np.array(self._ask([text])[0], dtype="<u4")
+            ends = np.append(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 0x20)[1:], len(data))
+            stops = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Fill self.parts for parts of texts that stood behind a space.
-
-        Letters behind a space are one pre-token, so the library's model takes them at once, in its byte alphabet; other
-        parts go through the whole library.
-        """
-        tokenize, space = self.library.model.tokenize, self.shown[0x20]
-        mixed = []
-        for p in new:
-            if p.isascii() and p.isalpha():
-                self.parts[p] = array("I", [t.id for t in tokenize(space + p)]).tobytes()
-            elif p.isalpha() and not self.newer.search(p):
-                self.parts[p] = array("I", [t.id for t in tokenize(space + p.encode().decode("latin-1").translate(self.shown))]).tobytes()
-            else:
-                mixed.append(p)
-        self.parts.update(zip(mixed, self._ask([" " + p for p in mixed]), strict=True))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text.
-
-        Texts with special tokens, or with spaces that begin no word, go to the library whole; of the others the first
-        part does, and each part after a space once, with its space.
-        """
-        cut = [None if any(s in t for s in self.special) else PreTokenizer.at_spaces(t) for t in texts]
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        self._learn(set().union(*(p[1:] for p in cut if p)) - self.parts.keys())
-        get = self.parts.__getitem__
-        whole = self._ask([t if p is None else p[0] for t, p in zip(texts, cut, strict=True)])
-        return [first if p is None else first + b"".join(map(get, p[1:])) for first, p in zip(whole, cut, strict=True)]
+    def ids_of_whole(self, text: str) -> bytes:
+        return array("I", self._ask([text])[0]).tobytes()
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.cuttable:
+            return super().encode_column(texts)
+        ids = self._ask(pc.fill_null(texts, "").to_pylist())
+        return np.array([len(x) for x in ids], dtype=np.int64), np.array([i for x in ids for i in x], dtype="<u4")
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -108,12 +108,12 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= MIN_IDS:
         return [n]
-    mixed = mix(ids.astype(np.uint64) + np.uint64(1))
-    weights = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
-    rolled = np.zeros(n - WINDOW + 1, dtype=np.uint64)
-    for j in range(WINDOW):
-        rolled += mixed[j : n - WINDOW + 1 + j] * weights[j]
-    hits = np.flatnonzero((mix(rolled) & np.uint64((1 << MASK_BITS) - 1)) == 0) + WINDOW
+    # a polynomial of the last WINDOW ids, put together from halves
+    rolled, have, base = mix(ids.astype(np.uint64) + np.uint64(1)), 1, _BASE
+    while have < WINDOW:
+        rolled = rolled[:-have] * np.uint64(base) + rolled[have:]
+        have, base = 2 * have, base * base & 0xFFFFFFFFFFFFFFFF
+    hits = np.flatnonzero(rolled >> np.uint64(64 - MASK_BITS) == 0) + WINDOW
     cuts, start = [], 0
     for h in hits.tolist():
         while h - start > MAX_IDS:
@@ -154,18 +154,17 @@ CUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("chunk_diges
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, chunk_digests, merkle_root and the compressed chunks that this batch of rows met first."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_tokens, chunk_digests, merkle_root and the compressed chunks that this portion of rows met first."""
 
     def run(batches):
-        lib, pack = library(vocabulary), zstandard.ZstdCompressor(level=3)
-        tail = struct.pack("<I", end_id)
-        for b in batches:
+        lib, pack = library(vocabulary), zstandard.ZstdCompressor(level=1)
+        for b in portions(batches, most=PORTION_BYTES):
             seen: set[bytes] = set()
             n, names, roots, datas = [], [], [], []
-            for raw in lib.encode_many([t or "" for t in b.column("text").to_pylist()]):
-                raw += tail
-                ids = np.frombuffer(raw, dtype="<u4")
+            counts, stream = lib.encode_column(b.column("text"))
+            for part in np.split(stream, np.cumsum(counts)[:-1]):
+                ids = np.append(part, np.uint32(end_id)).astype("<u4", copy=False)
+                raw = ids.tobytes()
                 ds, new, start = [], [], 0
                 for end in cut_points(ids):
                     piece = raw[4 * start : 4 * end]
@@ -187,7 +186,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Dat
 
 
 def running_start(counts: DataFrame) -> DataFrame:
-    """counts (doc_id, n_tokens, merkle_root) with start: tokens of all rows before, in (doc_id, root) order.
+    """counts (doc_id, n_tokens, merkle_root and more) with start: tokens of all rows before, in (doc_id, root) order.
 
     Rows are dealt by ranges of doc_id; each range is summed by itself, and only one row a range meets in one place.
     """
@@ -201,15 +200,11 @@ def running_start(counts: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Write chunks/ and recipes/ of docs (doc_id, text) below folder."""
-    spark = docs.sparkSession
     cut = materialize(cut_documents(docs, vocabulary or default_vocabulary(), end_id))
     met = cut.select(F.explode(F.arrays_zip("chunk_digests", "chunks")).alias("c")).select(F.col("c.chunk_digests").alias("digest"), F.col("c.chunks").alias("data")).where("data is not null")
     met.dropDuplicates(["digest"]).write.option("compression", "none").parquet(f"{folder}/chunks")
-    counts = cut.select("doc_id", "n_tokens", "merkle_root")
-    started = running_start(counts).select("doc_id", "n_tokens", "merkle_root", "start")
-    roots = cut.select("merkle_root", "chunk_digests").dropDuplicates(["merkle_root"])
-    started.join(roots, "merkle_root").select("doc_id", "start", "n_tokens", "chunk_digests", "merkle_root").orderBy("doc_id", "start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    release(spark)
+    started = running_start(cut.select("doc_id", "n_tokens", "chunk_digests", "merkle_root"))
+    started.select("doc_id", "start", "n_tokens", "chunk_digests", "merkle_root").orderBy("doc_id", "start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     forget(cut)
 
 
