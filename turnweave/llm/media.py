@@ -3,10 +3,11 @@
 A payload of 8-bit samples gets a WAV header.  The header stays in the recipe row; a rolling gear hash cuts
 the samples into chunks.  A Spark aggregation over chunk digests keeps one copy of each chunk, in a table
 bucketed by digest (packed with a dictionary that the table <chunks>_dictionary keeps), and a recipe row lists the digests of each distinct payload in order.  Reading back joins
-recipes with chunks, checks every digest, length and total digest, and puts the file together.
+recipes with chunks, checks every digest, the length, and the root digest over header, byte count and digests in their
+order, and puts the file together.
 
 Defined results: a null or empty text becomes one block of padding; equal texts have equal recipes and are
-rebuilt once; rows with a repeated doc_id each get a result.  An empty table gives an empty result.  Extra
+rebuilt once; rows with a repeated doc_id (or none) each get a result.  An empty table gives an empty result.  Extra
 columns are not read.
 """
 
@@ -23,13 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, release, shard_count, small_batches, table
+from .common import forget, least_hashes, materialize, mix, portions, shard_count, shuffles_dropped, table
 
-#: A cut where the low CUT_BITS of the gear hash are zero; chunks hold MIN_CHUNK to MAX_CHUNK bytes.
-CUT_BITS, MIN_CHUNK, MAX_CHUNK = 13, 2048, 65536
+#: A cut where the upper CUT_BITS of the gear hash are zero; chunks hold MIN_CHUNK to MAX_CHUNK bytes.
+CUT_BITS, MIN_CHUNK, MAX_CHUNK = 11, 512, 65536
 BLOCK, PAD, RATE = 576, 255, 8000
-#: Chunks are packed with a shared dictionary, built from at most DICT_TEXTS texts, DICT_SAMPLE bytes of each.
-DICT_TEXTS, DICT_SAMPLE, DICT_BYTES, LEVEL = 1500, 4096, 112_640, 6
+#: Chunks are packed with a shared dictionary, built from at most DICT_TEXTS texts, a piece of DICT_SAMPLE characters of each.
+DICT_TEXTS, DICT_SAMPLE, DICT_BYTES, LEVEL = 1500, 4096, 112_640, 19
 #: Bytes of text for each bucket of the chunk table.
 BUCKET_BYTES = 16 << 20
 #: One pseudo-random number a byte value, made by rule.
@@ -96,19 +97,23 @@ def _digest(piece: bytes) -> bytes:
     return hashlib.blake2b(piece, digest_size=16).digest()
 
 
+def _root(header: bytes, n_bytes: int, digests: list[bytes]) -> bytes:
+    return _digest(header + str(n_bytes).encode() + b"".join(digests))
+
+
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
 def recipes_of(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             rows = []
             for t in b.column("text").to_pylist():
                 n, payload = payload_of(t)
                 header = wav_header(len(payload))
                 ds = [_digest(p) for p in _pieces(payload)]
-                rows.append((n, _digest(header + str(n).encode() + b"".join(ds)), header, ds))
+                rows.append((n, _root(header, n, ds), header, ds))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, RECIPE.types[1:], strict=True))], schema=RECIPE)
 
@@ -116,9 +121,14 @@ def recipes_of(docs: DataFrame) -> DataFrame:
 
 
 def shared_dictionary(docs: DataFrame) -> bytes:
-    """A compression dictionary from a bounded sample, the texts with the smallest hash of doc_id; empty for few texts."""
-    some = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICT_SAMPLE).alias("t")).orderBy("h", "t").limit(DICT_TEXTS)
-    texts = [r["t"].encode()[:DICT_SAMPLE] for r in some.collect()]
+    """A compression dictionary from a bounded sample, the texts with the smallest hash of id and text; empty for few texts.
+
+    Long texts give a piece from a place that the hash chooses.  Payloads are stored whole whatever the dictionary is.
+    """
+    h = F.xxhash64("doc_id", "text")
+    place = 1 + F.pmod(h, F.greatest(F.char_length("text") - DICT_SAMPLE, F.lit(1)))
+    some = least_hashes(docs.where("text is not null"), h, DICT_TEXTS).select(h.alias("h"), F.col("text").substr(place.cast("int"), F.lit(DICT_SAMPLE)).alias("t")).distinct()
+    texts = [r["t"].encode() for r in sorted(some.collect(), key=lambda r: (r["h"], r["t"]))[:DICT_TEXTS]]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, texts)) // 10), texts).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -126,12 +136,12 @@ def shared_dictionary(docs: DataFrame) -> bytes:
 
 
 def chunks_of(docs: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """digest and packed data of the chunks, once for each batch of rows."""
+    """digest and packed data of the chunks, once for each portion of rows."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_dict_id=False)
-        for b in batches:
+        for b in portions(batches):
             found: dict[bytes, bytes] = {}
             for t in b.column("text").to_pylist():
                 for p in _pieces(payload_of(t)[1]):
@@ -145,7 +155,6 @@ def chunks_of(docs: DataFrame, dictionary: bytes = b"") -> DataFrame:
 
 def write_media(docs: DataFrame, chunk_table: str) -> DataFrame:
     """Store docs (doc_id, text): chunks go to the table chunk_table, the recipes are returned."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     recipes = materialize(recipes_of(docs))
     buckets = max(8, shard_count(docs, shard_bytes=BUCKET_BYTES))
@@ -153,8 +162,8 @@ def write_media(docs: DataFrame, chunk_table: str) -> DataFrame:
     spark = docs.sparkSession
     spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.format("parquet").saveAsTable(f"{chunk_table}_dictionary")
     unique = chunks_of(docs, dictionary).repartition(buckets, "digest").dropDuplicates(["digest"])
-    unique.write.option("compression", "none").bucketBy(buckets, "digest").format("parquet").saveAsTable(chunk_table)
-    release(docs.sparkSession)
+    with shuffles_dropped(spark):
+        unique.write.option("compression", "none").bucketBy(buckets, "digest").format("parquet").saveAsTable(chunk_table)
     return recipes
 
 
@@ -164,20 +173,24 @@ MEDIA = pa.schema([("root", pa.binary()), ("payload_bytes", pa.int64()), ("paylo
 def read_media(recipes: DataFrame, chunk_table: str, keep_media: bool = True) -> DataFrame:
     """One row for each distinct recipe: root, digests and features of the rebuilt file, and (keep_media) the file.
 
-    Fails if a chunk is missing, or differs from its digest, or the header's length from what was read.
+    Fails if a chunk is missing or differs from its digest, if the header's length is not that of what was read, or if the
+    root is not that of what was read in its order.
     """
     spark = recipes.sparkSession
     shared = spark.sparkContext.broadcast(bytes(spark.table(f"{chunk_table}_dictionary").first()["dictionary"]))
     distinct = recipes.groupBy("root").agg(F.min(F.struct("n_bytes", "header", "digests")).alias("r")).select("root", "r.*")
-    parts = distinct.select("root", "header", F.posexplode("digests").alias("seq", "digest"))
+    parts = distinct.select("root", "header", "n_bytes", F.posexplode("digests").alias("seq", "digest"))
+    parts = parts.withColumns({c: F.when(F.col("seq") == 0, F.col(c)) for c in ("header", "n_bytes")})  # once for each file
     found = parts.join(spark.table(chunk_table), "digest", "left")
-    ordered = found.select("root", F.when(F.col("seq") == 0, F.col("header")).alias("header"), "seq", "digest", "data").repartition("root").sortWithinPartitions("root", "seq")
+    ordered = found.select("root", "header", "n_bytes", "seq", "digest", "data").repartition("root").sortWithinPartitions("root", "seq")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(shared.value))
-        root, header, parts = None, b"", []
+        root, header, n_bytes, names, parts = None, b"", 0, [], []
 
         def finish():
+            if _root(header, n_bytes, names) != root:
+                raise ValueError(f"media store: what was read is not the file of {root.hex()}")
             payload = b"".join(parts)
             if header != wav_header(len(payload)):
                 raise ValueError(f"media store: the file of {root.hex()} has a wrong length")
@@ -189,16 +202,17 @@ def read_media(recipes: DataFrame, chunk_table: str, keep_media: bool = True) ->
 
         for b in batches:
             out = []
-            for r, h, d, data in zip(*(b.column(c).to_pylist() for c in ("root", "header", "digest", "data")), strict=True):
+            for r, h, n, d, data in zip(*(b.column(c).to_pylist() for c in ("root", "header", "n_bytes", "digest", "data")), strict=True):
                 if r != root:
                     if root is not None:
                         out.append(finish())
-                    root, header, parts = r, h, []
+                    root, header, n_bytes, names, parts = r, h, n, [], []
                 if data is None:
                     raise ValueError(f"media store: no chunk {d.hex()}")
                 raw = unpack.decompress(data)
                 if _digest(raw) != d:
                     raise ValueError(f"media store: chunk {d.hex()} is damaged")
+                names.append(d)
                 parts.append(raw)
             if out:
                 yield batch(out)
@@ -208,8 +222,18 @@ def read_media(recipes: DataFrame, chunk_table: str, keep_media: bool = True) ->
     return ordered.mapInArrow(run, "root binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
 
 
+def drop_media(recipes: DataFrame, chunk_table: str) -> None:
+    """Delete a store whose files nothing will read again."""
+    for name in (chunk_table, f"{chunk_table}_dictionary"):
+        recipes.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    forget(recipes)
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"turnweave_chunks_{uuid.uuid4().hex}"
     recipes = write_media(table(spark, sf_dir, "documents"), name)
     back = read_media(recipes, name, keep_media=False)
-    return recipes.select("doc_id", "n_bytes", "root").join(back, "root").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = materialize(recipes.select("doc_id", "n_bytes", "root").join(back, "root").select(*columns))
+    drop_media(recipes, name)
+    return out
