@@ -2,14 +2,20 @@
 
 Every text becomes a set of hashed word shingles.  Texts with equal sets are one node from the start.  HASHES
 minima of universal hash functions form a signature; BANDS bands of ROWS minima put nodes into buckets, and
-a pair with the asked similarity shares no bucket with chance under (1 - 0.8**5)**40 = 1.3e-7.  Pairs pass a test of
-four bits of each of HASHES minima (a true link fails it with a chance of about 3e-6) and are then confirmed on the full
-sets of both texts.
+a pair with similarity 0.8 shares no bucket with chance (1 - 0.8**5)**40 = 1.3e-7.  Pairs pass two tests of
+four bits of each minimum, over FIRST_LONGS longs and over all; a true link fails one of them with a chance of at most
+2 * TAIL = 2e-6 (exact binomial tails).  They are then confirmed on the full sets of both texts.
 
-No bucket is expanded into all pairs.  First each member of a bucket is tested against the bucket's center, the node that
-meets most others over all its buckets (of a text and its copies, the text), and components are formed.  Then members whose component is not that of the most of their bucket are tested
-against the bucket's nodes in other components, so that no link between two components is lost.  Components
-come from alternating large-star and small-star until nothing changes; each step is written to the shared folder.
+First each member of a bucket is tested against the bucket's center, the node that meets most others over all its buckets
+(of a text and its copies, the text), and components are formed.  That is one pair for each member, and it settles
+copies of any number.  Then members whose component is not that of the most of their bucket are tested against the bucket's
+nodes in other components, so that no link between two components is lost.  These tests are signature comparisons inside
+a join that is salted, so that no task holds a bucket; only pairs that pass leave it, never all pairs.  In a bucket whose
+members are all unlike one another their number still grows with the square of the bucket, as every exact
+answer near the threshold must; only the rows do not.
+
+Components come from alternating large-star and small-star until nothing changes; each half step is written to the
+shared folder.  What is joined on a key with many rows is written first, so that Spark can split the join's large tasks.
 
 Defined results: texts without words (null and empty ones too) have an empty set and link with nothing; a text with
 fewer words than a shingle is one shingle; equal texts are in one component, which takes the least doc_id; repeated
@@ -20,6 +26,7 @@ component_id.  An empty table gives an empty result.  Extra columns are not read
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,10 @@ BANDS, ROWS = 40, 5
 HASHES, NIBBLES = 480, 4
 PACKED = HASHES * NIBBLES // 64
 FIRST_LONGS = 8
-SIGMAS = 4.5
+#: Chance that a true link fails one test of signatures.
+TAIL = 1e-6
+#: Members of a bucket's small components that meet the whole bucket under one salt.
+SALT_ROWS = 512
 #: Members that one center is tested against in one group of the confirming step.
 CENTER_SHARE = 256
 _CHUNK = 256
@@ -82,9 +92,14 @@ def packed_bits(sig: np.ndarray) -> np.ndarray:
 
 
 def most_different(similarity: float, places: int = HASHES) -> int:
-    """Differing places of two packed signatures that a pair of this similarity exceeds with no real chance."""
+    """Differing places of two packed signatures that a pair of this similarity exceeds with a chance of TAIL at most."""
     p = (1 - similarity) * (1 - 2.0**-NIBBLES)
-    return int(places * p + SIGMAS * (places * p * (1 - p)) ** 0.5)
+    left = 1.0
+    for k in range(places):
+        left -= math.comb(places, k) * p**k * (1 - p) ** (places - k)
+        if left <= TAIL:
+            return k
+    return places
 
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
@@ -138,7 +153,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     The text of b goes to groups of its center a; a center with many members has several groups, each with a copy of
     its text.  A task walks its groups in order and holds one center's set.
     """
-    load = pairs.groupBy("a").agg((F.floor(F.count("*") / CENTER_SHARE) + 1).cast("int").alias("groups"))
+    load = materialize(pairs.groupBy("a").agg((F.floor(F.count("*") / CENTER_SHARE) + 1).cast("int").alias("groups")))
     members = pairs.join(load, "a").select("a", F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(1).alias("role"))
     centers = load.select("a", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("role"))
     wanted = members.unionByName(centers)
@@ -169,65 +184,102 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node is tied to the node's least neighbour
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: the node and its smaller neighbours are tied to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         tied = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(tied.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         stamp = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        forget(now)
+        forget(now, least, large, low)
         now = after
         if stamp == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = stamp
 
 
+def crossing_pairs(placed: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of alike signatures that share a bucket and are in different components of placed (at, band, rep, component).
+
+    Within a bucket the members outside its largest component are dealt to salts, SALT_ROWS for each, and the bucket's rows
+    are copied to each salt that it has.
+    """
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
+    largest = F.max_by("component", F.struct("size", -F.col("component")))
+    main = parts.groupBy("band").agg(largest.alias("main"), F.count("*").alias("n_parts"), (F.sum("size") - F.max("size")).alias("n_few")).where("n_parts > 1")
+    main = materialize(main.select("band", "main", (F.col("n_few") / SALT_ROWS + 1).cast("int").alias("salts")))
+    rows = materialize(placed.join(main, "band").join(bits, "rep").select("at", "band", "main", "salts", "component", "rep", "bits", "bands"))
+    few = rows.where("component <> main").select("at", "band", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("a_bits"), F.col("bands").alias("a_bands"))
+    every = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rep").alias("b"), F.col("component").alias("cb"), "bits", "bands", (F.col("component") == F.col("main")).alias("is_main"))
+    # a pair that shares several bands is taken in the first of them
+    first_meeting = F.array_position(F.zip_with("a_bands", "bands", lambda x, y: x == y), True) == F.col("at") + 1
+    met = few.join(every, ["band", "salt"]).where(F.expr("ca <> cb and (is_main or a < b)") & alike("a_bits", "bits", similarity) & first_meeting)
+    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(main, rows)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch = materialize(sketches(docs, size))
-    alike_enough = alike("bits", "center_bits", percent / 100)
+    similarity = percent / 100
 
-    member = sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    nodes = sketch.join(member.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").where("set_key is not null").select(F.col("doc_id").alias("rep"), "bands", "bits")
+    sets = materialize(sketch.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    nodes = sketch.join(sets.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").where("set_key is not null").select(F.col("doc_id").alias("rep"), "bands", "bits")
     rows = nodes.select("rep", F.posexplode("bands").alias("at", "band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     met = materialize(rows.join(shared.hint("merge"), "band"))
     # the text that the others are copies of meets most of them: it is the center of its buckets
     weight = met.groupBy("rep").agg(F.sum("n").alias("weight"))
-    centers = met.join(weight, "rep").groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("center"))
-    buckets = materialize(met.join(centers, "band").select("at", "band", "center", "rep"))
-    forget(met)
+    centers = materialize(met.join(weight, "rep").groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("center")))
+    buckets = materialize(met.join(centers.hint("merge"), "band").select("at", "band", "center", "rep"))
+    forget(met, shared, centers)
 
     bits = materialize(nodes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "bits", "bands"))
     pairs = buckets.where("rep <> center").select("center", "rep").distinct().join(bits.drop("bands"), "rep")
-    star = pairs.join(bits.select(F.col("rep").alias("center"), F.col("bits").alias("center_bits")), "center").where(alike_enough).select(F.col("center").alias("a"), F.col("rep").alias("b"))
+    star = pairs.join(bits.select(F.col("rep").alias("center"), F.col("bits").alias("center_bits")), "center").where(alike("bits", "center_bits", similarity)).select(F.col("center").alias("a"), F.col("rep").alias("b"))
     edges = materialize(confirm(materialize(star), docs, size, percent))
     comp = components(edges)
 
-    # pairs of a bucket that are in different components yet: the few against all
     placed = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("band").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1").select("band", "main")
-    open_rows = materialize(placed.join(main, "band").join(bits, "rep").select("at", "band", "main", "component", "rep", "bits", "bands"))
-    few = open_rows.where("component <> main").select("at", "band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("center_bits"), F.col("bands").alias("a_bands"))
-    every = open_rows.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), "bits", "bands", (F.col("component") == F.col("main")).alias("is_main"))
-    # a pair that shares several bands is taken in the first of them
-    first_meeting = F.array_position(F.zip_with("a_bands", "bands", lambda x, y: x == y), True) == F.col("at") + 1
-    crossing = few.join(every, "band").where(F.expr("ca <> cb and (is_main or a < b)") & alike_enough & first_meeting).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = materialize(crossing)
+    left = crossing_pairs(placed, bits, similarity)
     if left.limit(1).count():
         more = materialize(confirm(left, docs, size, percent))
         if more.limit(1).count():
             comp = components(edges.unionByName(more))
-    forget(buckets, open_rows, bits)
+    forget(buckets, bits)
 
-    by_set = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # sets of one row that link with nothing are their own component
+    linked = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null").select("set_key", F.coalesce("component", "rep").alias("_component"))
+    narrow = sketch.select("doc_id", "n_shingles", "set_key")
+    found = narrow.where("set_key is not null").join(materialize(linked), "set_key", "left").select("doc_id", "n_shingles", "_component")
+    out = found.unionByName(narrow.where("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("_component")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+#: Links by counting shared shingles of all pairs, then all that can be reached; for small tables only.
+OP8_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM texts WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS low FROM texts UNION SELECT w.b, r.low FROM reached r JOIN ways w ON w.a = r.doc_id),
+least AS (SELECT doc_id, min(low) AS component_id FROM reached GROUP BY doc_id)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, t.doc_id = l.component_id AS kept
+FROM texts t LEFT JOIN sizes s USING (doc_id) JOIN least l USING (doc_id)
+"""

@@ -11,7 +11,7 @@ from .decontaminate import op5_decontaminate
 from .html_text import op1_html
 from .licenses import OP4_SQL, op4_licenses
 from .media import op6_media
-from .near_dup import op8_near_dup
+from .near_dup import OP8_SQL, op8_near_dup
 from .quality import op9_quality
 from .substring import OP2_SQL, op2_substring
 from .token_store import op7_token_store
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring": OP2_SQL, "op4_licenses": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring": OP2_SQL, "op4_licenses": OP4_SQL, "op8_near_dup": OP8_SQL}
