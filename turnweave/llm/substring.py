@@ -9,10 +9,11 @@ windows have equal anchors, and about one word in eighteen is an anchor.
 3. Owners give the words of their confirmed windows, as passages of at most PASSAGE_WORDS words.
 4. Documents are dealt into shards of about SHARD_BYTES bytes.  A shard gets the passages whose anchors occur in it, and
    compiles them into Aho-Corasick automata (over words, AUTOMATON_WORDS words each): the patterns are runs of half a
-   window, of which every window of a passage holds one.  All documents of the shard stream through; each hit is
-   extended word by word, and a common run of WINDOW words or more with a passage of a smaller doc_id is removed.
+   window, of which every window of a passage holds one.  All documents of the shard stream through those automata with
+   whose passages they have an anchor in common (they hold no window of the others); each hit is extended word by word,
+   and a common run of WINDOW words or more with a passage of a smaller doc_id is removed.
 
-Hashes (64 bits) only choose candidates; what is removed has been compared word by word.  No step gathers the documents of
+Hashes only choose candidates and owners (128 bits a window); what is removed has been compared word by word.  No step gathers the documents of
 one anchor: counts are aggregated before the shuffle, and a passage reaches a shard once, however often it occurs there.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose nothing; passages within one
@@ -23,13 +24,16 @@ one document and each get a result; rows with a null doc_id own nothing and lose
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import SHARD_BYTES, forget, gram_hashes, hashed_words, materialize, mix, portions, shard_count, signed, table
 
@@ -57,19 +61,22 @@ class Windows:
         gram = min(GRAM, window)
         self.anchors = sliding_min(gram_hashes(self.words, gram), window - gram + 1) if n > 0 else np.empty(0, np.uint64)
 
-    def hashes(self, seed: int) -> np.ndarray:
-        """Hashes of all windows, put together from the hashes of their halves, quarters and so on."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of all windows, put together from the hashes of runs of GRAM words and of the rest."""
         parts, at, size = [], 0, self.window
         while size:
             g = min(GRAM, size)
             parts.append((at, g))
             at, size = at + g, size - g
         n = len(self.anchors)
-        made = {g: gram_hashes(self.words, g, seed=seed) for _, g in parts}
-        out = np.zeros(n, dtype=np.uint64)
-        for i, (at, g) in enumerate(parts):
-            out += made[g][at : at + n] * (mix(np.array([977 * seed + i + 1], dtype=np.uint64))[0] | np.uint64(1))
-        return mix(out)
+        made = {g: gram_hashes(self.words, g, seed=1) for _, g in parts}
+        out = []
+        for seed in (1, 2):
+            total = np.zeros(n, dtype=np.uint64)
+            for i, (at, g) in enumerate(parts):
+                total += made[g][at : at + n] * (mix(np.array([977 * seed + i + 1], dtype=np.uint64))[0] | np.uint64(1))
+            out.append(mix(total))
+        return out[0], out[1]
 
 
 def shard_of(doc_id: str, shards: int) -> Column:
@@ -110,15 +117,15 @@ def _in_sorted(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-HASHED = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
+HASHED = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64())])
 
 
 def candidate_windows(sharded: DataFrame, routed: DataFrame, window: int) -> DataFrame:
-    """h and doc_id of the windows whose anchor recurs."""
+    """h, g and doc_id of the windows whose anchor recurs."""
 
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         known = np.sort(anchors.column("anchor").to_numpy())
-        out: list[list[np.ndarray]] = [[], []]
+        out: list[list[np.ndarray]] = [[], [], []]
         if len(known):
             for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
                 if d is None:
@@ -126,13 +133,15 @@ def candidate_windows(sharded: DataFrame, routed: DataFrame, window: int) -> Dat
                 w = Windows((t or "").encode(), window)
                 hit = _in_sorted(signed(w.anchors), known)
                 if hit.any():
-                    h = np.unique(signed(w.hashes(1))[hit])
+                    h, g = (signed(x)[hit] for x in w.hashes())
+                    h, first = np.unique(h, return_index=True)
                     out[0].append(h)
-                    out[1].append(np.full(len(h), d, dtype=np.int64))
+                    out[1].append(g[first])
+                    out[2].append(np.full(len(h), d, dtype=np.int64))
         cols = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in out]
         return pa.table([pa.array(c, pa.int64()) for c in cols], schema=HASHED)
 
-    return sharded.groupBy("shard").cogroup(routed.select("shard", "anchor").groupBy("shard")).applyInArrow(run, "h long, doc_id long")
+    return sharded.groupBy("shard").cogroup(routed.select("shard", "anchor").groupBy("shard")).applyInArrow(run, "h long, g long, doc_id long")
 
 
 PASSAGES = pa.schema([("owner", pa.int64()), ("at", pa.int64()), ("passage", pa.string()), ("anchors", pa.list_(pa.int64()))])
@@ -149,7 +158,7 @@ def owned_passages(sharded: DataFrame, confirmed: DataFrame, window: int) -> Dat
                 continue
             data = (t or "").encode()
             w = Windows(data, window)
-            hit = _in_sorted(signed(w.hashes(1)), known[d])
+            hit = _in_sorted(signed(w.hashes()[0]), known[d])
             edge = np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
             words = data.split()
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -253,20 +262,13 @@ class PhraseAutomaton:
                         break
 
 
-def automata(passages: list[tuple[int, str]], window: int):
-    block, size = [], 0
-    for owner, text in passages:
-        p = text.encode()
-        block.append((owner, p))
-        size += p.count(b" ") + 1
-        if size >= AUTOMATON_WORDS:
-            yield PhraseAutomaton(block, window)
-            block, size = [], 0
-    if block:
-        yield PhraseAutomaton(block, window)
+def blocks_of(passages: list[bytes]) -> list[int]:
+    """The automaton, of about AUTOMATON_WORDS words, that each passage goes to."""
+    words = np.cumsum([p.count(b" ") + 1 for p in passages])
+    return ((words - 1) // AUTOMATON_WORDS).tolist()
 
 
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+KEPT = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
 def cached_split(data: bytes) -> Callable[[], list[bytes]]:
@@ -282,36 +284,64 @@ def cached_split(data: bytes) -> Callable[[], list[bytes]]:
 
 
 def stream_shards(sharded: DataFrame, passages: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Result rows of all documents of every shard."""
+    """Result rows of all documents of every shard, with their other columns."""
+    fields = [f for f in sharded.schema.fields if f.name not in ("shard", "text")]
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         ids = docs.column("doc_id").to_pylist()
         datas = [(t or "").encode() for t in docs.column("text").to_pylist()]
-        hashes = [hashed_words(x) for x in datas] if phrases.num_rows else []
-        covered = [bytearray(len(h)) for h in hashes]
-        for a in automata(list(zip(phrases.column("owner").to_pylist(), phrases.column("passage").to_pylist(), strict=True)), window):
-            for d, x, h, c in zip(ids, datas, hashes, covered, strict=True):
-                if d is not None and len(h) >= window:
-                    a.mark(d, h, cached_split(x), c)
+        covered: list[bytearray | bytes] = [b""] * len(ids)
+        if phrases.num_rows:
+            phrases = phrases.sort_by([("owner", "ascending"), ("at", "ascending")])
+            known = list(zip(phrases.column("owner").to_pylist(), [p.encode() for p in phrases.column("passage").to_pylist()], strict=True))
+            block = blocks_of([p for _, p in known])
+            anchors = phrases.column("anchors").combine_chunks()
+            values = anchors.flatten().to_numpy()
+            of_value = np.repeat(block, anchors.value_lengths().to_numpy())
+            order = np.argsort(values, kind="stable")
+            values, of_value = values[order], of_value[order]
+            visits: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for k, (d, x) in enumerate(zip(ids, datas, strict=True)):
+                w = Windows(x, window)
+                if d is None or not len(w.anchors):
+                    continue
+                own = np.unique(signed(w.anchors))
+                low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                met = {int(i) for a, b in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True) for i in of_value[a:b]}
+                for i in met:
+                    visits.setdefault(i, []).append((k, w.words))
+                if met:
+                    covered[k] = bytearray(len(w.words))
+            for i in sorted(visits):
+                a = PhraseAutomaton(known[bisect_left(block, i) : bisect_right(block, i)], window)
+                for k, hashes in visits[i]:
+                    a.mark(ids[k], hashes, cached_split(datas[k]), covered[k])
         rows = []
-        for k, (d, x) in enumerate(zip(ids, datas, strict=True)):
+        for k, x in enumerate(datas):
             w = x.split()
-            c = covered[k] if covered else b""
+            c = covered[k]
             n = sum(c)
             kept = b" ".join(w if not n else [x for x, gone in zip(w, c, strict=True) if not gone])
-            rows.append((d, len(w), n, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
-        cols = zip(*rows, strict=True) if rows else ((),) * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, KEPT.types, strict=True)], schema=KEPT)
+            rows.append((len(w), n, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and n else None))
+        cols = zip(*rows, strict=True) if rows else ((),) * 4
+        found = dict(zip(KEPT.names, (pa.array(c, t) for c, t in zip(cols, KEPT.types, strict=True)), strict=True))
+        if keep_text:
+            found["text"] = pc.if_else(pc.greater(found["n_removed"], 0), found["text"], docs.column("text").combine_chunks())
+        return pa.table({f.name: docs.column(f.name) for f in fields} | found)
+
+    schema = StructType(fields + [StructField(n, LongType() if t == pa.int64() else StringType()) for n, t in zip(KEPT.names, KEPT.types, strict=True)])
+    return sharded.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(run, schema)
 
-    return sharded.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
 
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns carry, n_words, n_removed, kept_sha256 and (keep_text) text of every row of docs (doc_id, text).
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and (keep_text) the kept words of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    A text that loses nothing stays as it is; of others the kept words remain, with one space between them.
+    """
+    other = docs.select(F.col("doc_id").cast("long"), *carry, F.col("text").cast("string"))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shards = shard_count(docs, shard_bytes=shard_bytes)
-    sharded = docs.withColumn("shard", shard_of("doc_id", shards))
+    sharded, carried = (x.withColumn("shard", shard_of("doc_id", shards)) for x in (docs, other))
 
     anchors = materialize(document_anchors(docs, window))
     placed = anchors.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
@@ -319,14 +349,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     routed = materialize(placed.join(recurring, "anchor").groupBy(shard_of("doc_id", shards).alias("shard"), "anchor").agg(F.max("doc_id").alias("most")))
 
     hashed = candidate_windows(sharded, routed, window)
-    counted = hashed.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
+    counted = hashed.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
     confirmed = materialize(counted.select("owner", "h").withColumn("shard", shard_of("owner", shards)))
     passages = materialize(owned_passages(sharded, confirmed, window))
     forget(confirmed, anchors)
 
     goes = passages.select("owner", "at", F.explode("anchors").alias("anchor")).join(routed, "anchor").where("owner < most").select("owner", "at", "shard").distinct()
-    dealt = goes.join(passages.select("owner", "at", "passage"), ["owner", "at"]).select("shard", "owner", "passage")
-    return stream_shards(sharded, dealt, window, keep_text)
+    dealt = goes.join(passages, ["owner", "at"]).select("shard", "owner", "at", "passage", "anchors")
+    return stream_shards(carried, dealt, window, keep_text)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
