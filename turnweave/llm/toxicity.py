@@ -6,13 +6,16 @@ and the exception phrases; a hit inside an exception phrase does not count.  The
 are and divided by the number of words, go through a logistic curve.
 
 Stems and weights are learnt from labelled texts of the training fold: the log odds of a word start in toxic
-against other texts.  A small built-in lexicon serves words that the labels do not show.  The fit reads at most
-FIT_ROWS labelled rows, those with the smallest hash of their doc_id.  Scores are given to every row; labels,
+against other texts.  A built-in lexicon serves words that the labels do not show: where MIN_DOCS texts hold one of its
+stems, the labels decide its weight, and one that is no sign of toxicity there is left out.  The fit reads at most
+FIT_ROWS labelled rows, those with the smallest hash of their doc_id; words are learnt from at most FIT_CHARS characters of
+each, spread over the whole text, and the curve is fitted on whole texts.  Scores are given to every row; labels,
 language, source and doc_id never enter a score.
 
-Defined results: a null or empty text has no hits and the score of a clean text; null labels are not learnt
-from; repeated rows get equal scores; without labels the built-in weights and curve hold.  An empty table gives
-an empty result.  Extra columns are not read.
+Defined results: a null or empty text has no hits and the score of a clean text; null labels, and ids with labels that
+contradict one another, are not learnt from; of a labelled id with several texts the least text is learnt from; repeated
+rows get equal scores; without labels the built-in weights and curve hold.  An empty table gives an empty result.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table
-from .quality import bounded_sample, fit_logistic, fold, score_documents
+from .common import forget, portions, table
+from .quality import excerpts, fit_logistic, fold, labelled_sample, measured, score_documents
 
-FIT_ROWS, THRESHOLD = 6000, 0.7
+FIT_ROWS, FIT_CHARS, THRESHOLD = 6000, 16_384, 0.7
 #: Word starts of MIN_STEM to MAX_STEM letters are candidates; MIN_DOCS toxic texts, as many different words before it
 #: (copies of one text count once) and log odds of MIN_ODDS admit one.
 MIN_STEM, MAX_STEM, MIN_DOCS, MIN_ODDS = 4, 12, 6, 3.0
-BUILT_IN_WEIGHT = 4.0
-
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
 LOOK_ALIKES = str.maketrans(
     "авекмнорстухіјѕԁɡһӏԛԝαβεικνορτυχ" + "013457",
@@ -46,8 +47,17 @@ LOOK_ALIKES = str.maketrans(
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 SIGN = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W\d_])")
 NOT_WORD = re.compile(r"[\W_]+")
-BUILT_IN = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "loser")
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "clown fish", "circus clown", "rodeo clown", "pond scum", "soap scum")
+#: Stems of insults and threats, by how sure a sign they are; the labels, where they show a stem, replace its weight.
+BUILT_IN = dict.fromkeys(
+    "idiot moron imbecile stupid pathetic worthless disgusting scumbag dumbass asshole bastard bitch dickhead douche shithead "
+    "retard motherfuck".split() + ["shut up", "kill yourself", "go to hell", "piece of shit", "fuck you", "drop dead"], 4.0
+) | dict.fromkeys("scum trash vermin filth loser jerk creep coward crap fuck shit cretin dimwit halfwit nitwit lowlife".split(), 3.0
+) | dict.fromkeys("fool clown freak dumb ugly liar hate".split(), 1.5)
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bag", "trash bags", "take out the trash", "clown fish", "clownfish", "circus clown", "rodeo clown",
+    "pond scum", "soap scum", "april fool", "april fools", "fool s gold", "foolproof", "fool proof", "control freak", "freak accident", "freak wave",
+    "dumbbell", "dumbbells", "dumb waiter", "dumbwaiter", "dumbfounded", "ugly duckling", "sore loser", "hate to say", "hate speech", "creeper", "jerky", "trashed",
+)
 
 
 def folded(text: str) -> str:
@@ -92,7 +102,14 @@ class ToxicityModel:
                     best[start] = max(w, best.get(start, 0.0))
                 else:
                     spared.append((start, end))
-        total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+        total, reach, at = 0.0, -1, 0
+        spared.sort()
+        for start in sorted(best):  # both are in order: each exception is looked at once
+            while at < len(spared) and spared[at][0] <= start:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if start >= reach:
+                total += best[start]
         return total, body.count(" ") - 1 if len(body) > 2 else 0
 
     def inputs(self, text: str) -> np.ndarray:
@@ -142,20 +159,39 @@ def learn_weights(rows: list[tuple[str, int]]) -> dict[str, float]:
     return kept
 
 
-def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """Weights from two thirds of the rows, the curve from the rest, so that chance words do not sharpen it."""
-    first = [r for i, r in enumerate(rows) if i % 3]
-    rest = [r for i, r in enumerate(rows) if i % 3 == 0]
-    built_in = {folded(w).strip(): BUILT_IN_WEIGHT for w in BUILT_IN}
-    model = ToxicityModel(built_in | learn_weights(first))
-    if len({y for _, y in rest}) == 2:
-        x = np.array([model.inputs(t) for t, _ in rest])
-        model.curve = fit_logistic(x, np.array([y for _, y in rest], dtype=float), ridge=0.1)
-    return model
+def built_in_weights(rows: list[tuple[str, int]]) -> dict[str, float]:
+    """The built-in stems that rows do not contradict; where MIN_DOCS rows hold one, its weight is their log odds."""
+    n1, n0 = (sum(y == k for _, y in rows) for k in (1, 0))
+    stems = {folded(w).strip(): weight for w, weight in BUILT_IN.items()}
+    seen = {s: [0, 0] for s in stems}
+    search = ahocorasick.Automaton()
+    for s in stems:
+        search.add_word(" " + s, s)
+    search.make_automaton()
+    for text, y in rows:
+        for s in {s for _, s in search.iter(folded(text))}:
+            seen[s][y] += 1
+    out = {}
+    for s, weight in stems.items():
+        c0, c1 = seen[s]
+        if c0 + c1 >= MIN_DOCS:
+            weight = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))
+        if weight > 0:
+            out[s] = weight
+    return out
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
-    return fit(bounded_sample(docs, labels, "toxic", fit_rows))
+    """Weights from two thirds of the rows, the curve from the rest, so that chance words do not sharpen it."""
+    sample = labelled_sample(docs, labels, "toxic", fit_rows)
+    third = F.pmod(F.xxhash64("text"), F.lit(3))
+    known = [(t, y) for _, t, y in excerpts(sample.where(third != 0), FIT_CHARS)]
+    model = ToxicityModel(built_in_weights(known) | learn_weights(known))
+    x, y = measured(sample.where(third == 0), model, 2)
+    if len(set(y.tolist())) == 2:
+        model.curve = fit_logistic(x, y, ridge=0.1)
+    forget(sample)
+    return model
 
 
 def training_fold(labels: DataFrame) -> DataFrame:
