@@ -1,14 +1,16 @@
 """Operator 5: benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as lower-case words (runs of letters, digits and underscores) with single spaces.  An item of
-m characters may occur with up to k = floor(ERROR_RATE * m) edits.  It is split into k + 1 pieces; k edits leave
+Texts are compared as lower-case words (runs of letters, digits and underscores) with single spaces, and with a space
+before the first and after the last word of text and item, so that an item does not occur inside a word for nothing.  An item
+of m characters may occur with up to k = floor(ERROR_RATE * m) edits, of which these spaces may take some.  It is split into k + 1 pieces; k edits leave
 at least one piece untouched, so an Aho-Corasick automaton of all pieces finds every candidate place, and Myers'
 bit-parallel distance decides it exactly.
 
 Defined results: null and empty texts and items match nothing; an item id that repeats counts with each of its
-texts; the row of a pair holds its smallest distance; repeated documents get a row each; an empty table on either
-side gives no rows.  Extra columns are not read.  The benchmark is read in blocks of BLOCK_CHARS characters, so
-its size bounds no automaton; all blocks see all documents.
+texts; there is one row for each doc_id and item_id, with the smallest distance over all rows of either id, whatever the
+size of the benchmark; an empty table on either side gives no rows.  Extra columns are not read.  The benchmark is read in
+blocks of BLOCK_CHARS characters, one after another, and each block is sent to all workers, so no automaton grows with it;
+all blocks see all documents, which are read once for each block.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ WORD = re.compile(r"\w+")
 
 
 def normalized(text: str | None) -> str:
-    return " ".join(WORD.findall((text or "").lower()))
+    """Words with a space before and after each; empty without words."""
+    words = " ".join(WORD.findall((text or "").lower()))
+    return words and f" {words} "
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -71,7 +75,7 @@ class ItemIndex:
             t = normalized(text)
             if not t:
                 continue
-            k, i = int(error_rate * len(t)), len(self.items)
+            k, i = int(error_rate * (len(t) - 2)), len(self.items)
             masks: dict[str, int] = {}
             for j, c in enumerate(t):
                 masks[c] = masks.get(c, 0) | 1 << j
@@ -154,7 +158,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out if len(parts) == 1 else out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+    return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns unchanged, in whose text no item occurs within its budget; no shuffle."""
+    for block in item_blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            index = ItemIndex(shared.value, error_rate)
+            for b in portions(batches):
+                yield b.filter(pa.array([not index.matches(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
