@@ -3,13 +3,16 @@
 A page becomes lines: one for each block of text, with white space turned into single spaces and character
 references decoded, and with a mark that says whether the markup around it is part of the article.  Pages are
 sorted by host and URL path, and each is paired with its nearest neighbour on the same host whose lines are not the
-same as its own, before or after it, the one that shares the longer beginning of the path.  The lines of a pair are aligned by a longest common subsequence, and shared
-lines are deleted as the host's template, unless the page marks them as its article.  (Copies of an article occur
-on one host, so the comparison alone would empty them; it decides on pages that mark no article.)
+same as its own, before or after it, the one that shares the longer beginning of the path.  The lines of a pair are
+aligned by a longest common subsequence, and shared lines are deleted as the host's template, unless the page marks
+them as its article.  Near copies of an article occur on one host, so deleting lines inside `article` or `main` would
+take text that is the page's own.  Where what is marked is less than 1 / TEASER of the lines that the neighbour does not
+share (a teaser beside a body in a plain block), the mark is not believed and the comparison decides alone.
 
 Defined results: null or empty html gives an empty text with n_chars 0; a null or broken URL counts as a host of
-its own kind (the empty one); a page alone on its host, or with nothing but copies of itself, is judged by its markup only; equal lines align in order;
-repeated rows each get a result.  An empty table gives an empty result.  Extra columns are not read.
+its own kind (the empty one); a page alone on its host, or with nothing but copies of itself, is judged by its markup
+only; equal lines align in order; repeated rows each get a result.  An empty table gives an empty result.  Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, small_batches, table
+from .common import forget, materialize, table
 
 #: Elements whose content is never text of the page.
 UNSEEN = frozenset("head script style noscript template iframe object svg canvas math audio video title".split())
@@ -37,23 +40,49 @@ BLOCKS = frozenset(
 ) | FURNITURE
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that name page furniture.
+#: Names in class, id or role that tell page furniture, and names that say nothing beside them: a name counts if its parts
+#: are of these two kinds and one is of the first ("comments-area" does, "has-comments" does not).
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist disqus reply replies respond notice notices alert cookie "
     "cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended widget pagination pager "
     "search complementary contentinfo skip".split()
 )
+NEUTRAL_NAMES = frozenset(
+    "site page main global primary secondary top bottom left right upper lower post entry article user reader box area list item items wrap wrapper "
+    "container section block inner outer unit slot link links bar form content body title row group".split()
+)
+#: Elements that never are furniture by their names: they hold the page or its article.
+HOLDERS = frozenset("html body main article".split())
+#: Open elements that an opening tag closes when their end tag is left out, and the elements that end the search.
+CELLS, ROWS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
+IMPLIED_ENDS = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (CELLS, frozenset(("table", "tr")))),
+    "tr": (frozenset(("tr",)), frozenset(("table",))),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (ROWS, frozenset(("table",)))),
+    **dict.fromkeys(("option", "optgroup"), (frozenset(("option",)), frozenset(("select", "datalist")))),
+}
+OPEN_P = frozenset(("p",))
+P_SCOPE = frozenset("html body table caption td th button object template".split())
+#: What is marked as article must be a TEASERth of the page's own lines.
+TEASER = 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+")
 RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "iframe", "title", "svg", "textarea")}
 
 
+def is_furniture_name(name: str) -> bool:
+    parts = [p for p in SPLIT_NAME.split(name) if p]
+    return any(p in FURNITURE_NAMES for p in parts) and all(p in FURNITURE_NAMES or p in NEUTRAL_NAMES for p in parts)
+
+
 def is_furniture(name: str, attributes: str) -> bool:
     if name in FURNITURE:
         return True
-    return bool(attributes) and any(not FURNITURE_NAMES.isdisjoint(SPLIT_NAME.split((m[0] or m[1] or m[2]).lower())) for m in NAMES.findall(attributes))
+    return bool(attributes) and name not in HOLDERS and any(is_furniture_name(n) for m in NAMES.findall(attributes) for n in (m[0] or m[1] or m[2]).lower().split())
 
 
 def page_lines(page: str | None) -> list[tuple[str, int]]:
@@ -72,6 +101,20 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
                 lines.append((line, 0 if furniture else 2 if articles else 1))
             parts.clear()
 
+    def close(count: int) -> None:
+        nonlocal furniture, articles
+        for _, f, a in stack[len(stack) - count :]:
+            furniture -= f
+            articles -= a
+        del stack[len(stack) - count :]
+
+    def close_implied(names: frozenset, scope: frozenset) -> None:
+        for count, (open_name, _, _) in enumerate(reversed(stack), 1):
+            if open_name in names:
+                return close(count)
+            if open_name in scope:
+                return
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -87,13 +130,8 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         if name in BLOCKS:
             flush()
         if m[1]:
-            if any(s[0] == name for s in stack):
-                while stack:
-                    top, f, a = stack.pop()
-                    furniture -= f
-                    articles -= a
-                    if top == name:
-                        break
+            depth = next((count for count, s in enumerate(reversed(stack), 1) if s[0] == name), 0)
+            close(depth)
             continue
         if name in RAW_END:
             end = RAW_END[name].search(page, at)
@@ -101,6 +139,10 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
+        if name in BLOCKS:
+            close_implied(OPEN_P, P_SCOPE)
+        if name in IMPLIED_ENDS:
+            close_implied(*IMPLIED_ENDS[name])
         if name in ("body", "article", "main") and any(s[0] == "head" for s in stack):
             while stack and stack.pop()[0] != "head":
                 pass
@@ -156,11 +198,15 @@ def shared_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return in_a, in_b
 
 
-def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    """Article lines; on a page that marks no article, the lines outside furniture that the neighbour does not share."""
-    marked = any(m == 2 for _, m in lines)
-    keep = (x for i, (x, m) in enumerate(lines) if (m == 2 if marked else m == 1 and i not in shared))
-    return "\n".join(keep)
+def main_text(lines: list[tuple[str, int]], shared: set[int] | None) -> str:
+    """Article lines; where none or little is marked, the lines outside furniture that the neighbour does not share.
+
+    shared is None for a page without a neighbour.
+    """
+    article = [x for x, m in lines if m == 2]
+    own = [x for i, (x, m) in enumerate(lines) if m and i not in (shared or ())]
+    teaser = shared is not None and TEASER * sum(map(len, article)) < sum(map(len, own))
+    return "\n".join(article if article and not teaser else own)
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared_lines", pa.int32())])
@@ -244,7 +290,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     range, with these copied into it, and each range is walked run by run of equal lines.  A hot host spans many ranges.
     """
     spark = pages.sparkSession
-    small_batches(spark, 500)
     host, path = split_url(F.col("url"))
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("_host"), path.alias("_path"))
     keyed = keyed.withColumn("_h", F.xxhash64("html"))
@@ -288,14 +333,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             for i, u, lines, path, guest, _ in same:
                 if guest:
                     continue
-                shared: set[int] = set()
+                shared: set[int] | None = None
                 if near:
                     k = max(range(len(near)), key=lambda k: common_start(near[k][3], path))
                     if k not in found:
                         found[k] = shared_lines(texts(lines), texts(near[k][2]))[0]
                     shared = found[k]
                 text = main_text(lines, shared)
-                yield i, u, text, len(text), len(shared)
+                yield i, u, text, len(text), len(shared or ())
 
         def texts(lines):
             return [x for x, _ in lines]
