@@ -2,18 +2,21 @@
 
 Words are runs of ASCII letters and digits, A-Z lower-cased; a shingle is five words.  A text is cut into
 overlapping windows of WINDOW shingles, one every STRIDE shingles.  Each of BANDS hash functions takes the
-minimum over a window's shingles; a window is a candidate if one of these minima equals that of some window of
-a template.  Every shingle lies in WINDOW / STRIDE = 2 windows, and is the minimum of one of them with chance
-1 / WINDOW for each function, so a single shared shingle escapes all bands with chance (3/4)**48, one in a million;
-longer common runs practically never do.  The candidates' shingles are then compared with the templates' shingles
-exactly: a document holds a license if at least CONTAINMENT of the template's distinct shingles occur in it.
-
-Only DataFrame operations run here.  Templates are a parameter of a few kilobytes; MAX_TEMPLATE_WORDS bounds
-what is broadcast, and more is refused.
-
-Defined results: null and empty texts, and texts under five words, hold nothing; a document with a repeated
-doc_id counts as one text; licenses that match equally are all reported; an empty table gives no rows.  Extra
-columns are not read.  Very long texts are cut into overlapping segments, so no row grows with the text's square.
+minimum over a window's shingles; a band whose minimum equals that of some window of a template retrieves this template for
+the document.  Every shingle lies in two windows that hold six shingles together, and a band takes it as the minimum of
+one of them with chance 1/4 + 1/4 - 1/6 = 1/3.  A template of two windows or more, of whose shingles the document holds
+CONTAINMENT, has two of them that share no window, and so escapes all bands with a chance of at most (2/3)**48 = 3.5e-9.
+Shorter templates do not depend on chance: each of their shingles retrieves them.
+
+The containment of every template retrieved is then counted exactly, over all shingles of the document: it holds a license
+if at least CONTAINMENT of the template's distinct shingles occur in it.
+
+Only DataFrame operations run here.  Templates are a parameter; blocks of BLOCK_WORDS of their words, a few megabytes as
+band minima, are broadcast one after another, and each block sees all documents.
+
+Defined results: null and empty texts, and texts under five words, hold nothing; rows that repeat a doc_id count as one
+text; licenses that match equally are all reported; an empty table gives no rows.  Extra columns are not read.
+Very long texts are cut into overlapping segments, so no row grows with the text's square.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from .common import table
 
 SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT = 5, 4, 2, 24, 0.8
 SEGMENT_WORDS = 2048
-MAX_TEMPLATE_WORDS = 50_000
+BLOCK_WORDS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Notices by which texts state a license.
+#: Notices by which texts state a license, and texts of licenses.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,6 +48,79 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("GPL-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "MIT-text",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "ISC-text",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    ),
+    (
+        "BSD-2-Clause-text",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+        "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+        OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "Zlib-text",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+        product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "BSL-1.0-text",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+        covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative
+        works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright
+        notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be
+        included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works
+        are solely in the form of machine-executable object code generated by a source language processor.""",
+    ),
+    (
+        "Unlicense-text",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software
+        to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+        intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright
+        law.""",
+    ),
+    (
+        "Apache-2.0-header",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+        obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
+        the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "GPL-header",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.""",
+    ),
 )
 
 
@@ -70,39 +146,64 @@ def windows_of(frame: DataFrame, keys: list[str], stride: int) -> DataFrame:
     return words.select(*keys, *[F.when(F.col(n[-1]).isNotNull(), F.xxhash64(*n)).alias(f"s{j}") for j, n in enumerate(names)])
 
 
-def banded(windows: DataFrame) -> DataFrame:
-    """One row a window and band, with the least hash of the window's shingles under the band's function."""
-    bands = windows.withColumn("_band", F.explode(F.array(*[F.lit(i) for i in range(BANDS)])))
-    least = F.least(*[F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{j}", "_band")) for j in range(WINDOW)])
-    return bands.withColumn("_min", least)
+def band_minimum(band: Column) -> Column:
+    """The least hash of a window's shingles under the band's function."""
+    return F.least(*[F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{j}", band)) for j in range(WINDOW)])
+
 
+def probes(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, band, value: the BANDS minima of each window, and its shingles as band -1."""
+    rows = windows.select("*", F.explode(F.array(*[F.lit(k) for k in range(-WINDOW, BANDS)])).alias("_k"))
+    value = F.when(F.col("_k") >= 0, band_minimum(F.col("_k")))
+    for j in range(WINDOW):
+        value = value.when(F.col("_k") == -1 - j, F.col(f"s{j}"))
+    return rows.select(*keys, F.greatest("_k", F.lit(-1)).alias("band"), value.alias("value"))
 
-def template_frame(spark: SparkSession, templates) -> DataFrame:
+
+def template_blocks(templates, block_words: int) -> list[list[tuple[str, str]]]:
+    """(license, words joined by spaces) in blocks of about block_words words."""
     words = [(name, template_words(text)) for name, text in templates]
     short = [name for name, w in words if len(w) < SHINGLE]
     if short:
         raise ValueError(f"templates under {SHINGLE} words: {short}")
-    if sum(len(w) for _, w in words) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates hold more than {MAX_TEMPLATE_WORDS} words")
-    return spark.createDataFrame([(n, " ".join(w)) for n, w in words], "license string, text string")
-
-
-def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    blocks, size = [], block_words
+    for name, w in words:
+        if size >= block_words:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((name, " ".join(w)))
+        size += len(w)
+    return blocks
+
+
+def scan_block(windows: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, license, n_matched and n_shingles of the templates of one block that windows (doc_id, s0..s3) hold.
+
+    One pass: minima and shingles of all windows meet those of the templates by value, hashes that differ from band to band.
+    """
+    spark = windows.sparkSession
+    hashed = spark.createDataFrame(templates, "license string, text string").select("license", word_hashes(F.col("text")).alias("_h"))
+    known = probes(windows_of(hashed, ["license"], 1), ["license"]).where("value is not null").distinct()
+    totals = known.where("band < 0").groupBy("license").agg(F.count("*").alias("n_shingles"))
+    known = known.join(F.broadcast(totals), "license")
+
+    met = probes(windows, ["doc_id"]).select("doc_id", "value").join(F.broadcast(known), "value").distinct()
+    retrieved = (F.col("band") >= 0) | (F.col("n_shingles") < 2 * WINDOW)
+    counted = met.groupBy("doc_id", "license").agg(F.count_if(F.col("band") < 0).alias("n_matched"), F.first("n_shingles").alias("n_shingles"), F.bool_or(retrieved).alias("_retrieved"))
+    return counted.where(F.col("_retrieved") & (F.col("n_matched") * 10 >= F.col("n_shingles") * int(CONTAINMENT * 10))).drop("_retrieved")
+
+
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, license, n_matched, n_shingles and containment of every license that a document holds."""
-    spark = docs.sparkSession
-    model = template_frame(spark, templates).select("license", word_hashes(F.col("text")).alias("_h"))
-    model_windows = windows_of(model, ["license"], 1)
-    index = banded(model_windows).select("_min").distinct()
-    shingles = model_windows.select("license", F.col("s0").alias("_s")).distinct()
-    totals = shingles.groupBy("license").agg(F.count("*").alias("n_shingles"))
-    known = shingles.join(F.broadcast(totals), "license")
-
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("_h"))
-    candidates = banded(windows_of(hashed, ["doc_id"], STRIDE)).join(F.broadcast(index), "_min", "left_semi")
-    seen = candidates.select("doc_id", F.explode(F.array(*[f"s{j}" for j in range(WINDOW)])).alias("_s")).where("_s is not null")
-    matched = seen.join(F.broadcast(known), "_s").select("doc_id", "license", "n_shingles", "_s").distinct()
-    counted = matched.groupBy("doc_id", "license").agg(F.count("*").alias("n_matched"), F.first("n_shingles").alias("n_shingles"))
-    return counted.withColumn("containment", F.col("n_matched") / F.col("n_shingles")).where(F.col("n_matched") * 10 >= F.col("n_shingles") * int(CONTAINMENT * 10))
+    windows = windows_of(hashed, ["doc_id"], STRIDE)
+    found = [scan_block(windows, block) for block in template_blocks(templates, block_words)]
+    if not found:
+        return docs.sparkSession.createDataFrame([], "doc_id long, license string, n_matched long, n_shingles long, containment double")
+    out = found[0]
+    for block in found[1:]:
+        out = out.unionAll(block)
+    return out.withColumn("containment", F.col("n_matched") / F.col("n_shingles"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
