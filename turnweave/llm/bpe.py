@@ -41,7 +41,7 @@ SYMBOLS = string.punctuation
 #: Bytes of texts that are encoded at a time.
 PORTION_BYTES = 12 << 20
 #: Words remembered by one worker.
-ROOM = 800_000
+ROOM = 500_000
 
 
 def newer_class() -> str:
@@ -161,6 +161,10 @@ class SpacedEncoder:
         stops = np.frombuffer(ids.buffers()[1], dtype=np.int32, count=len(at) + 1)[offsets] // 4 if len(at) else np.zeros(1, dtype=np.int32)
         return np.diff(stops), np.frombuffer(ids.buffers()[2] or b"", dtype="<u4", count=stops[-1])
 
+    def forget(self) -> None:
+        """Called at the end of a task: the worker goes on to other stages, and words are soon learnt again."""
+        self.words, self.others = {}, {}
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         n, ids = self.encode_column(pa.array(texts, pa.string()))
@@ -270,7 +274,7 @@ class PrefixBpe(SpacedEncoder):
                 key = before << 24 | token
                 ok = fits.get(key)
                 if ok is None:
-                    if len(fits) > 500_000:
+                    if len(fits) > 250_000:
                         fits.clear()
                     ok = fits[key] = self._compatible(before, token)
                 if not ok:
@@ -336,11 +340,12 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 
     def run(batches):
         bpe = encoder(path)
-        for b in portions(batches, most=PORTION_BYTES):
+        for b in portions(batches):
             n, ids = bpe.encode_column(b.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
             back = pa.array(bpe.decode_many(ids, n), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), lists, back], schema=TOKENS)
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -357,6 +362,7 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             listed = pc.binary_join(lists, ",").to_pylist()
             shas = [[hashlib.sha256(x).hexdigest() for x in part] for part in (map(str.encode, listed), bpe.decode_many(ids, n))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in shas)], schema=DIGESTS)
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

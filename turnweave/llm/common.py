@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
 import tempfile
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 SHARD_BYTES = 6 << 20
 #: Bytes of texts that a worker turns into Python objects at a time.
 PORTION_BYTES = 4 << 20
-#: Fixed value: Spark's setting for deleting shuffle files at the end of an execution.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings for deleting shuffle files at the end of an execution, and for the bytes of an Arrow batch.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,16 @@ def portions(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
         for start, end in zip(edges, edges[1:], strict=False):
             if end > start:
                 yield b.slice(start, end - start)
+    hand_back()
+
+
+def hand_back() -> None:
+    """Return freed memory to the machine at the end of a task: Spark keeps its Python workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -55,21 +67,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark deletes the shuffle files of a write as soon as the write is done."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Settings of a write, taken back after it: shuffle files go as soon as it is done, Arrow batches are of a few megabytes."""
+    before = {key: spark.conf.get(key) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    with shuffles_dropped(spark):
+    with writing(spark):
         df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

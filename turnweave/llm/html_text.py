@@ -318,7 +318,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(to, pa.int32()), pa.array(guest, pa.bool_())], names=[*b.schema.names, "_range", "_guest"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
-    dealt = keyed.mapInArrow(deal, f"{kinds}, _range int, _guest boolean").repartition("_range").sortWithinPartitions("_range", *ORDER)
+    dealt = keyed.mapInArrow(deal, f"{kinds}, _range int, _guest boolean").repartition(parts, "_range").sortWithinPartitions("_range", *ORDER)
 
     def run(batches):
         def rows():

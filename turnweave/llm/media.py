@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, least_hashes, materialize, mix, portions, shard_count, shuffles_dropped, table
+from .common import forget, least_hashes, materialize, mix, portions, shard_count, table, writing
 
 #: A cut where the upper CUT_BITS of the gear hash are zero; chunks hold MIN_CHUNK to MAX_CHUNK bytes.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 11, 512, 65536
@@ -162,7 +162,7 @@ def write_media(docs: DataFrame, chunk_table: str) -> DataFrame:
     spark = docs.sparkSession
     spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.format("parquet").saveAsTable(f"{chunk_table}_dictionary")
     unique = chunks_of(docs, dictionary).repartition(buckets, "digest").dropDuplicates(["digest"])
-    with shuffles_dropped(spark):
+    with writing(spark):
         unique.write.option("compression", "none").bucketBy(buckets, "digest").format("parquet").saveAsTable(chunk_table)
     return recipes
 

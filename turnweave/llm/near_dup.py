@@ -107,20 +107,26 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_ke
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
-        known: dict[bytes, tuple] = {}
+        known: dict[bytes, np.ndarray] = {}
         for b in portions(batches):
-            cols: list[list] = [[], [], [], []]
             if len(known) > 20_000:
                 known.clear()
+            counts, keys, rows = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, size)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 if key and key not in known:
                     sig = signature(s)
-                    known[key] = (band_keys(sig).tolist(), packed_bits(sig).tolist())
-                for c, v in zip(cols, (len(s), key, *(known[key] if key else (None, None))), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, SKETCH.types[1:], strict=True))], schema=SKETCH)
+                    known[key] = np.concatenate((band_keys(sig), packed_bits(sig)))
+                counts.append(len(s))
+                keys.append(key)
+                if key:
+                    rows.append(known[key])
+            found = np.array(rows, dtype=np.int64).reshape(len(rows), BANDS + PACKED)
+            stops = np.concatenate(([0], np.cumsum([k is not None for k in keys])))
+            missing = pa.array([k is None for k in keys], pa.bool_())
+            lists = [pa.ListArray.from_arrays(pa.array(stops * part.shape[1], pa.int32()), pa.array(part.ravel()), mask=missing) for part in (found[:, :BANDS], found[:, BANDS:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=SKETCH)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
