@@ -1,0 +1,120 @@
+"""The queries themselves over small tables, against brute force and their SQL."""
+
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from tests.llm import brute
+from turnweave.llm import bpe, decontaminate, html_text, licenses, media
+from turnweave.llm.queries import ORACLE_SQL, QUERIES
+
+
+def sample():
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Été", "naïve"]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 160))] for _ in range(14)]
+    rows = []
+    for i in range(70):
+        w = list(rng.choice(base))
+        kind = rng.random()
+        if kind < 0.5:
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary).upper()
+        elif kind < 0.8:
+            o = rng.choice(base)
+            w[rng.randrange(len(w)) : 0] = o[: rng.randrange(len(o) + 1)]
+        rows.append((1000 - 3 * i, rng.choice([" ", "\n", " \t"]).join(w)))
+    rows += [(1, None), (2, ""), (3, " \n "), (4, "one"), (5, "ONE"), (6, "<|endoftext|>a"), (7, licenses.TEMPLATES[1][1] + " end"), (8, "  two  spaces ")]
+    return rows + [(9, licenses.TEMPLATES[13][1] * 3), (12, "lone word " * 5000)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    rows = sample()
+    spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _h string").write.parquet(f"{folder}/documents.parquet")
+    items = [(1, rows[4][1][:200]), (2, "not in any text of these"), (3, None), (4, "one")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    pages = [(k, f"http://h.org/{k % 3}/{k}", f'<body><nav>Menu</nav><article><h1>T{k}</h1><p class="has-ads">Body &amp; {k}</p></article></body>') for k in range(9)]
+    spark.createDataFrame([*pages, (99, None, None)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder, rows, items
+
+
+def run(spark, tables, name):
+    return QUERIES[name](spark, tables[0]).collect()
+
+
+def test_op1(spark, tables):
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in run(spark, tables, "op1_html")}
+    assert got == {99: (None, "", 0)} | {k: (f"http://h.org/{k % 3}/{k}", f"T{k}\nBody & {k}", 11) for k in range(9)}
+    assert html_text.page_lines(None) == []
+
+
+def test_op2(spark, tables):
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in run(spark, tables, "op2_substring"))
+    assert got == sorted((d, len(k) + n, n, brute.sha(b" ".join(k))) for d, k, n in brute.without_repeats(tables[1], 50)) and any(r[2] for r in got)
+
+
+def test_op3_and_op7(spark, tables):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    ids = {d: library.encode(t or "", add_special_tokens=False).ids for d, t in tables[1]}
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in run(spark, tables, "op3_bpe"))
+    assert got == sorted((d, len(x), brute.sha(",".join(map(str, x))), brute.sha(library.decode(x, skip_special_tokens=False))) for d, x in ids.items())
+    start, want = 0, []
+    for d in sorted(ids):
+        x = np.array([*ids[d], 2], dtype="<u4")
+        want.append((d, start, len(x), zlib.crc32(x.tobytes())))
+        start += len(x)
+    assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in run(spark, tables, "op7_token_store")) == want
+
+
+def test_op4(spark, tables):
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [licenses.template_words(t or "")] for i in range(len(w) - 4)}
+    model = {n: grams(t) for n, t in licenses.TEMPLATES}
+    want = {(d, n, len(grams(t) & g), len(g)) for d, t in tables[1] for n, g in model.items() if 10 * len(grams(t) & g) >= 8 * len(g)}
+    assert {tuple(r[c] for c in ("doc_id", "license", "n_matched", "n_shingles")) for r in run(spark, tables, "op4_licenses")} == want
+    assert {(7, "Apache-2.0"), (9, "MIT-text")} <= {w[:2] for w in want}
+
+
+def test_op5(spark, tables):
+    want = set()
+    for d, t in tables[1]:
+        for i, x in tables[2]:
+            n = decontaminate.normalized(x)
+            if n and (best := brute.sub_distance(n, decontaminate.normalized(t))) <= int(0.08 * (len(n) - 2)):
+                want.add((d, i, best))
+    assert {tuple(r) for r in run(spark, tables, "op5_decontaminate")} == want and {(4, 4, 0), (5, 4, 0)} <= want
+
+
+def test_op6(spark, tables):
+    got = {r["doc_id"]: r for r in run(spark, tables, "op6_media")}
+    assert set(got) == {d for d, _ in tables[1]}
+    for d, t in tables[1]:
+        raw = (t or "").encode()
+        p = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        x = [b - 128 for b in p]
+        feature = f"mean={sum(x) * 1000 // len(x)};power={sum(v * v for v in x) * 1000 // len(x)};crossings={sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))};peak={max(map(abs, x))}"
+        stored = media.wav_header(len(p)) + p
+        want = (len(raw), len(p), brute.sha(p), zlib.crc32(p[-32:]), len(stored), brute.sha(stored), feature)
+        assert tuple(got[d][c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("turnweave_chunks")]
+
+
+def test_op8(spark, tables):
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in run(spark, tables, "op8_near_dup"))
+    top = brute.components(tables[1], 4, 80)
+    assert got == sorted((d, len(brute.shingles(t, 4)), top[d], top[d] == d) for d, t in tables[1]) and any(not r[3] for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, tables, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tables[0]}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in run(spark, tables, name)) == sorted(want.fetchall())

@@ -138,3 +138,19 @@ def test_a_missing_chunk_is_found(spark):
     media.write_media(docs(spark, [(1, "other")]), b)
     with pytest.raises(Exception, match="no chunk"):
         media.read_media(recipes, b).collect()
+
+
+def test_chunks_in_another_order_are_found(spark):
+    name = f"chunks_{uuid.uuid4().hex}"
+    rng = random.Random(9)
+    recipes = media.write_media(docs(spark, [(1, "".join(rng.choice("abcdefgh ") for _ in range(40_000)))]), name)
+    assert len(recipes.first()["digests"]) > 8
+    swapped = recipes.withColumn("digests", F.reverse("digests"))
+    with pytest.raises(Exception, match="is not the file of"):
+        media.read_media(swapped, name).collect()
+
+
+def test_small_texts_are_cut_too():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("etaoin shrdlu") for _ in range(3000)) for _ in range(50)]
+    assert sum(len(media.cut_points(t.encode())) for t in texts) > 90
