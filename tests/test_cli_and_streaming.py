@@ -1,8 +1,12 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.helpers import turns
 from turnweave import cli
 from turnweave.operators.turns import relabel_speakers
+from turnweave.sources import markdown, media, speech
 from turnweave.streaming import each_batch
 
 
@@ -15,9 +19,70 @@ def test_transcripts_from_stored_results(spark, tmp_path, capsys):
     assert cli.main(["--asr", str(tmp_path / "asr"), "--diarization", str(tmp_path / "dia"), "--output-dir", str(tmp_path / "out")]) == 0
     assert (tmp_path / "out/meeting.md").read_text() == "## Person 1 — 00:00\n\nhi\n\n## Person 2 — 00:01\n\nyou\n"
     assert cli.main([str(tmp_path)]) == 1 and "no recogniser" in capsys.readouterr().err
+    (tmp_path / "asr/silent.json").write_text(json.dumps({"segments": []}))
+    (tmp_path / "dia/silent.json").write_text(json.dumps({"tracks": [], "labels": [], "embeddings": []}))
+    assert cli.main(["--asr", str(tmp_path / "asr"), "--diarization", str(tmp_path / "dia"), "--output-dir", str(tmp_path / "out")]) == 1
+    assert "silent: no speech found" in capsys.readouterr().err and not (tmp_path / "out/silent.md").exists()
     assert cli.main(["--fuse", str(tmp_path / "none"), "--sounds", "x"]) == 1
 
 
+def test_options_of_models_need_models(tmp_path, capsys):
+    for option in (["--model", "x"], ["--language", "de"], ["--prompt", "p"], ["--verbose"]):
+        assert cli.main([*option, "--asr", str(tmp_path), "--diarization", str(tmp_path)]) == 1
+        assert "only a recogniser uses this" in capsys.readouterr().err
+    assert cli.main(["--recogniser", "a:b"]) == 1 and "go together" in capsys.readouterr().err
+
+
+def test_media_through_adapters(spark, tmp_path, capsys, monkeypatch):
+    """Every recording that fails is named, the others are written."""
+    monkeypatch.setattr(media, "extract_audio", lambda files, folder, filters=None: files.select("path", F.col("path").alias("cleaned"), F.lit(None).cast("string").alias("error")))
+    (tmp_path / "in").mkdir()
+    for name in ("fine.mp3", "broken.wav", "quiet.m4a", "alone.mp4", "notes.txt"):
+        (tmp_path / "in" / name).write_bytes(b"x")
+    options = ["--recogniser", "tests.adapters:recogniser", "--diarizer", "tests.adapters:diarizer", "--model", "some/model", "--language", "fr", "--prompt", "names", "--verbose", "--num-speakers", "3", "--output-dir", str(tmp_path / "out")]
+    assert cli.main([str(tmp_path / "in"), *options]) == 1
+    out, err = capsys.readouterr()
+    assert (tmp_path / "out" / "fine.md").read_text(encoding="utf-8") == "## Person 1 — 00:00\n\nhello\n\n## Person 2 — 00:02\n\nyou\n"
+    assert sorted(f.name for f in (tmp_path / "out").iterdir() if f.suffix == ".md") == ["fine.md"]
+    assert "broken: OSError: unreadable" in err and "quiet: no speech found" in err and "alone: no speaker turns" in err
+    assert "fine: asked for 3 speakers, found 2" in err and "Done. 1/4" in out
+    assert cli.main([str(tmp_path / "in" / "none.mp3"), *options]) == 1 and "no such file" in capsys.readouterr().err
+    (tmp_path / "empty").mkdir()
+    assert cli.main([str(tmp_path / "empty"), *options]) == 1 and "no media files" in capsys.readouterr().err
+
+
+def test_extraction_failures_are_rows(spark, tmp_path):
+    (tmp_path / "a.mp3").write_bytes(b"no sound")
+    files = spark.createDataFrame([(str(tmp_path / "a.mp3"),), (str(tmp_path / "gone.mp3"),)], "path string")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in media.extract_audio(files, str(tmp_path / "clean")).collect()}
+    assert rows["a.mp3"]["error"] and rows["a.mp3"]["cleaned"] is None and "no such file" in rows["gone.mp3"]["error"]
+
+
+def test_diarizer_loading(capsys):
+    with pytest.raises(RuntimeError, match="no credential.*looked in here"):
+        speech.load_diarizer(lambda token: None, None, ("here",))
+
+    def fails(_):
+        raise OSError("disk full")
+
+    with pytest.raises(RuntimeError, match=r"Underlying error \(OSError\): disk full"):
+        speech.load_diarizer(fails, "t")
+    model = speech.load_diarizer(lambda token: ("model", token), "t", move=fails)
+    assert model == ("model", "t") and "stays on the CPU" in capsys.readouterr().err
+
+
+def test_writing_transcripts(spark, tmp_path):
+    rows = spark.createDataFrame([("a b%2F=c", "text é\n\nmore\n"), ("empty", "\n")], "recording string, markdown string")
+    expected = spark.createDataFrame([("a b%2F=c",), ("empty",), ("unheard",)], "recording string")
+    for _ in range(2):  # writing again overwrites
+        assert markdown.write_transcripts(rows, str(tmp_path / "o"), expected=expected) == ["empty", "unheard"]
+    assert [f.name for f in (tmp_path / "o").iterdir() if f.suffix == ".md"] == ["a b%2F=c.md"]
+    assert (tmp_path / "o" / "a b%2F=c.md").read_text(encoding="utf-8") == "text é\n\nmore\n"
+    assert markdown.write_transcripts(rows, str(tmp_path / "p"), allow_empty=True) == [] and (tmp_path / "p" / "empty.md").read_text() == "\n"
+    with pytest.raises(Exception, match="not a file name"):
+        markdown.write_transcripts(rows.withColumn("recording", F.lit("../x")), str(tmp_path / "q"))
+
+
 def test_filter_choice():
     pick = lambda *a: cli.chosen_filter(cli.parser().parse_args(list(a)))
     assert pick() is None and "afftdn" in pick("--denoise") and "afftdn" not in pick("--preprocess") and pick("--audio-filter", "x") == "x"

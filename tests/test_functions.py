@@ -44,7 +44,7 @@ def test_spans(spark):
     assert [tuple(r) for r in row] == [(1.0, 0.0), (0.0, 2.0)]
 
 
-def test_media_names(spark, tmp_path):
+def test_media_names(spark, tmp_path, monkeypatch):
     assert values(spark, ["/x/a.M4A", "/x/b.txt", "/x.mp3/c"], media.is_media) == [True, False, False]
     assert values(spark, ["/x/a.b.mp3", "plain", "/x/.env"], t.stem) == ["a.b", "plain", ".env"]
     (tmp_path / "sub").mkdir()
@@ -53,6 +53,11 @@ def test_media_names(spark, tmp_path):
     found = [r["path"].rsplit("/", 1)[1] for r in media.scan_media(spark, str(tmp_path)).collect()]
     assert found == ["a.WAV", "b.mp3"]
     assert media.scan_media(spark, "/nowhere/x.mp3").collect()[0]["path"] == "/nowhere/x.mp3"
+    monkeypatch.chdir(tmp_path)
+    assert media.scan_media(spark).count() == 0
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "e.flac").write_bytes(b"x")
+    assert [r["path"].rsplit("/", 1)[1] for r in media.scan_media(spark).collect()] == ["e.flac"]
 
 
 def test_commands_and_names(monkeypatch, tmp_path):

@@ -8,7 +8,7 @@ from tests.helpers import listed, many, turns
 from turnweave import schemas
 from turnweave.operators import match, merge, offset, reports
 from turnweave.plans import pipelines
-from turnweave.sources import capture, markdown, wav
+from turnweave.sources import capture, markdown, synthetic, wav
 
 
 def voices(spark, angles, name):
@@ -69,29 +69,29 @@ def test_merge_once_ties_and_order(spark):
     assert [r[3] for r in fused(spark, [("S", 100, 101, "late"), ("S", 7, 8, "a7")], [("T", 10, 11, "b10"), ("T", 7, 8, "b7")])] == ["a7", "b7", "b10", "late"]
 
 
-LONG = "we should carry on along the same lines today"
+LONG = "put the kettle on before the guests get here tonight"
 
 
 @pytest.mark.parametrize(
     ("sibling", "dropped"),
     [
-        (("S", 2.2, 3, "along the same lines"), True),
-        (("T", 2.2, 3, "along the same lines"), False),
-        (("S", 2.2, 3, "the same"), False),
-        (("S", 2.2, 3, "along the same line of"), False),
-        (("S", 30, 31, "along the same lines"), False),
+        (("S", 2.2, 3, "before the guests get"), True),
+        (("T", 2.2, 3, "before the guests get"), False),
+        (("S", 2.2, 3, "the kettle on"), False),
+        (("S", 2.2, 3, "before the guest gets it"), False),
+        (("S", 30, 31, "before the guests get"), False),
     ],
 )
 def test_containment(spark, sibling, dropped):
-    a = [("S", 0, 2, "we should", 0.2), (*sibling, 0.95)]
+    a = [("S", 0, 2, "put the", 0.2), (*sibling, 0.95)]
     texts = [r[3] for r in fused(spark, a, [("S", 0, 60 if sibling[1] == 30 else 4, LONG, 0.9)])]
     assert (sibling[3] not in texts) == dropped and LONG in texts
 
 
 def test_containment_radius_gap_and_direction(spark):
-    far = [("S", 0, 2, "we should", 0.2), *[("T", 2, 3, "no")] * 2, ("S", 2.2, 3, "along the same lines", 0.95)]
-    assert "along the same lines" in [r[3] for r in fused(spark, far, [("S", 0, 4, LONG, 0.9)])]
-    assert "along the same lines" not in [r[3] for r in fused(spark, far, [("S", 0, 4, LONG, 0.9)], containment_radius=3)]
+    far = [("S", 0, 2, "put the", 0.2), *[("T", 2, 3, "no")] * 2, ("S", 2.2, 3, "before the guests get", 0.95)]
+    assert "before the guests get" in [r[3] for r in fused(spark, far, [("S", 0, 4, LONG, 0.9)])]
+    assert "before the guests get" not in [r[3] for r in fused(spark, far, [("S", 0, 4, LONG, 0.9)], containment_radius=3)]
     inside = [("S", 0, 2, "x", 0.2), ("S", 2.2, 3, LONG + " and more", 0.95)]
     assert LONG + " and more" in [r[3] for r in fused(spark, inside, [("S", 0, 4, LONG, 0.9)])]
 
@@ -183,50 +183,171 @@ def test_wav_and_envelope(spark, tmp_path):
     assert offset.rms_envelope_chunked(chunk).count() == 20
 
 
+def test_wav_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wav, "CHUNK_WINDOWS", 7)
+    wav.write_wav(str(tmp_path / "y.wav"), np.sin(np.arange(2050) / 9.0), rate=1000)
+    rows = list(wav.WavReader(str(tmp_path)).read(wav.WavPartition(str(tmp_path / "y.wav"))))
+    assert [(r[2], len(r[3])) for r in rows] == [(0, 700), (700, 700), (1400, 650)]
+    chunks = spark.createDataFrame([tuple(map(lambda v: v if not isinstance(v, list) else list(v), r)) for r in rows], "recording string, rate int, start long, samples array<int>")
+    whole = spark.createDataFrame([("y", 1000, [v for r in rows for v in r[3]])], "recording string, rate int, samples array<int>")
+    a, b = (sorted(tuple(r) for r in offset.rms_envelope_chunked(x).collect()) for x in (chunks, whole))
+    assert a == b and len(a) == 20
+    with pytest.raises(Exception, match="inside a window"):
+        offset.rms_envelope_chunked(chunks.withColumn("start", chunks.start + 1)).collect()
+
+
 def test_controls_and_metrics(spark):
-    e = envelopes(spark, speechlike(300, 1), speechlike(300, 1))
-    both = offset.peak_metrics(offset.cross_correlation(offset.add_null_controls(e), center=False)).collect()
-    assert {r["pair_id"] for r in both} == {"p", "p/reversed", "p/shuffled", "p/noise"}
+    a, b = speechlike(300, 1), speechlike(260, 1)
+    e = envelopes(spark, a, b)
+    got = {r["pair_id"].partition("/")[2]: r for r in offset.control_report(e).collect()}
+    assert set(got) == {"", "first half, second half", "second half, first half", "shuffled", "reversed", "noise"}
+
+    def plain(x, y):
+        corr = np.correlate(x, y, "full")
+        at = int(np.argmax(corr))
+        far = np.delete(corr, np.arange(max(0, at - 50), min(len(corr), at + 51)))
+        return (at - len(y) + 1) * 0.1, corr.max() / far.max(), corr.max() / np.median(corr), corr.min(), corr.max(), np.median(corr), corr.std()
+
+    for kind, x, y in (("", a, b), ("first half, second half", a[:150], b[130:]), ("second half, first half", a[150:], b[:130]), ("reversed", a, b[::-1])):
+        assert np.allclose([got[kind][c] for c in ("offset_s", "peak_over_rival", "peak_over_median", "least", "most", "median", "deviation")], plain(x, y)), kind
+    controls = offset.add_null_controls(e).where("side = 'b'").orderBy("win_idx").toPandas()
+    mixed, noise = (controls[controls.pair_id == f"p/{k}"].rms.to_numpy() for k in ("shuffled", "noise"))
+    assert sorted(mixed) == sorted(b) and list(mixed) != list(b)
+    assert len(noise) == 260 and 0.5 < np.sqrt((noise**2).mean()) / b.std() < 1.5
+    apart = offset.separation(offset.control_report(e)).collect()[0]
+    nulls = [got[k]["peak_over_rival"] for k in got if k]
+    assert np.allclose([apart[c] for c in ("true", "null_min", "null_median", "null_max")], [got[""]["peak_over_rival"], min(nulls), np.median(nulls), max(nulls)])
+    assert np.isclose(apart["separation"], apart["true"] / max(nulls)) and np.isclose(apart["midpoint"], (apart["true"] + max(nulls)) / 2)
+
+
+def test_offset_trials(spark):
+    got = synthetic.offset_trials(spark, trials=4, seconds=120.0, offset_seconds=40.0, clip_seconds=30.0, rate=4000).collect()
+    assert len(got) == 4 and all(r["engine_right"] and r["mean_removed_right"] for r in got)
+    sound = synthetic.speechlike(20, 1000, np.random.default_rng(1))
+    assert len(sound) == 20_000 and 0.05 < (sound == 0).mean() < 0.6
+
+
+def test_a_short_pair_stops_no_other(spark):
+    e = envelopes(spark, speechlike(600, 1), speechlike(600, 1)[100:400]).unionByName(envelopes(spark, speechlike(60, 1), [], "short"))
+    got = {r["pair_id"]: r for r in offset.offsets(offset.cross_correlation(e)).collect()}
+    assert abs(got["p"]["offset_s"] - 10) < 0.2 and got["p"]["error"] is None
+    assert got["short"]["offset_s"] is None and "too short" in got["short"]["error"]
+    with pytest.raises(Exception, match="too short"):
+        offset.find_offset(e).collect()
+
+
+def test_a_recording_without_an_offset_fails(spark):
+    b, none = turns(spark, [("x", 0, 1, "t")]), spark.createDataFrame([], "recording string, offset_s double")
+    with pytest.raises(Exception, match="no offset for r"):
+        merge.shift_and_remap(b, none, spark.createDataFrame([("r", "x", "y")], "recording string, speaker string, to_speaker string")).collect()
 
 
 def test_reports(spark):
-    a = [("S", 0, 2, "we should", 0.2), ("S", 2.2, 3, "along the same lines", 0.95)]
+    a = [("S", 0, 2, "put the", 0.2), ("S", 2.2, 3, "before the guests get", 0.95), ("T", 2.2, 3, "kettle", 0.95), ("S", 3, 3.5, "...", 0.95)]
     b = [("S", 0, 4, LONG, 0.9)]
-    sweep = reports.guard_sweep(turns(spark, a), turns(spark, b))
-    assert {(r["radius"], r["min_chars"]): r["fires"] for r in sweep.collect()}[(2, 20)] == 1
-    assert {(r["radius"], r["min_chars"]): r["fires"] for r in sweep.collect()}[(2, 40)] == 0
+    sweep = {(r["radius"], r["min_chars"]): (r["same_fires"], r["cross_fires"], r["chars"]) for r in reports.guard_sweep(turns(spark, a), turns(spark, b)).collect()}
+    assert len(sweep) == 16 and sweep[2, 20] == (1, 0, 21) and sweep[2, 40] == (0, 0, 0) and sweep[1, 0] == (1, 0, 21) and sweep[2, 0] == (1, 1, 21)
     lost = reports.guard_losses(turns(spark, a), turns(spark, b)).collect()
-    assert {r["word"] for r in lost} == {"along", "the", "same", "lines"} and not any(r["lost"] for r in lost)
+    assert {r["word"] for r in lost} == {"before", "the", "guests", "get"} and not any(r["lost"] for r in lost)
+
+
+def test_instruments_agree_with_production(spark):
+    a = turns(spark, [("S", 0, 2, "put the", 0.2), ("T", 3, 4, "hello", 0.9)])
+    b = turns(spark, [("S", 0, 4, LONG, 0.9)])
+    merged = merge.merge_turns(a, b)
+    reports.assert_same_turns(merged, merge.merge_turns(a, b).drop("_origin", "_a_idx", "_b_idx"))
+    with pytest.raises(AssertionError, match="disagrees"):
+        reports.assert_same_turns(merged.unionByName(merged.limit(1)), merged)
+
+
+def test_origins_and_timing_of_pairs(spark):
+    a = [("S", 0, 4, LONG, 0.5), ("T", 10, 14, "nothing like that", 0.5)]
+    b = [("T", 3, 6, LONG, 0.4), ("S", 20, 24, LONG + " again", 0.4), ("U", 30, 33, LONG, 0.4)]
+    merged = merge.merge_turns(turns(spark, a), turns(spark, b))
+    assert {r["origins"]: r["n"] for r in reports.cross_speaker_origins(merged).collect()} == {"a_kept + b_gapfill": 2, "b_gapfill + b_gapfill": 3}
+    assert [tuple(r) for r in reports.cross_speaker_timing(merged).collect()] == [(1, 4)]
+
+
+def test_vocabulary_reports(spark):
+    rows = [("S", k, k + 1, t) for k, t in enumerate(["zonk zonk the yeah"] * 30 + ["...", "mm-hmm", "mm-hmm!", "no", "Zonk", "b a", "a b"])]
+    t = turns(spark, rows)
+    top = [tuple(r) for r in reports.dominant_tokens(t, 4).collect()]
+    total = 30 * 4 + 1 + 1 + 1 + 1 + 1 + 4
+    assert [(w, n) for w, n, _ in top] == [("zonk", 61), ("the", 30), ("yeah", 30), ("mm-hmm", 2)] and np.isclose(top[0][2], 61 / total)
+    assert [tuple(r) for r in reports.suspicious_tokens(t, over=20).collect()] == [("zonk", 61)] and len(reports.COMMON) == len(set(reports.COMMON))
+    short = {(r["backchannel"], r["place"]): (r["token"], r["n"]) for r in reports.top_short_texts(t).collect()}
+    assert short == {(True, 1): ("mm-hmm", 2), (True, 2): ("no", 1), (False, 1): ("", 1), (False, 2): ("zonk", 1), (False, 3): ("ba", 1), (False, 4): ("ab", 1)}
+    runs = turns(spark, [("S", 0, 1, "a. a, a a b"), ("S", 1, 2, "a a a b a"), ("S", 2, 3, "- - . . ! !"), ("S", 3, 4, "aa a a a"), ("S", 4, 5, "")])
+    assert [r["turn_idx"] for r in reports.degeneration_within(runs).collect()] == [0]
+
+
+def fusion_tables(spark):
+    """Two meetings; the second recording of each hears its middle, quieter and with a hum."""
+    rng = np.random.default_rng(15)
+    sounds, t = [], {k: [] for k in ("words_a", "words_b", "diarization_a", "diarization_b", "embeddings_a", "embeddings_b")}
+    for m, first in (("kitchen", 12), ("garden", 31)):
+        sound = np.repeat(rng.random(140) > 0.4, 500) * rng.normal(size=70_000)
+        sounds += [(m, "a", 1000, sound.tolist()), (m, "b", 1000, (sound[first * 1000 : (first + 12) * 1000] * 0.4 + 0.3).tolist())]
+        said = [("one", 0, "low"), ("two", 1, "low"), ("three", 5, "high"), ("four", 6, "high")]
+        t["words_a"] += [(m, i, f" {w}?", first + s + 0.0, first + s + 0.5, 0.2) for i, (w, s, _) in enumerate(said)]
+        t["words_b"] += [(m, i, f" {w}", s + 0.0, s + 0.5, 0.9) for i, (w, s, _) in enumerate(said)]
+        t["diarization_a"] += [(m, 0, first + 0.0, first + 2.0, "v1"), (m, 1, first + 5.0, first + 7.0, "v2")]
+        t["diarization_b"] += [(m, 0, 0.0, 2.0, "q9"), (m, 1, 5.0, 7.0, "q3")]
+        t["embeddings_a"] += [(m, 0, "v1", [0.8, 0.6]), (m, 1, "v2", [-0.6, 0.8])]
+        t["embeddings_b"] += [(m, 0, "q3", [-0.55, 0.83]), (m, 1, "q9", [0.83, 0.55])]
+    kinds = {"words": schemas.WORDS, "diarization": schemas.DIARIZATION, "embeddings": schemas.EMBEDDINGS}
+    tables = {k: spark.createDataFrame(v, kinds[k.split("_")[0]]) for k, v in t.items()}
+    return tables, spark.createDataFrame(sounds, "recording string, side string, rate int, samples array<double>")
 
 
 def test_fusion_end_to_end(spark, tmp_path):
-    """The second recording is eight seconds of the first, twenty seconds in, quieter and with a hum."""
-    rng = np.random.default_rng(5)
-    sound = np.repeat(rng.random(120) > 0.4, 500) * rng.normal(size=60_000)
-    part = sound[20_000:28_000] * 0.3 + 0.5
-    words = lambda ws, ts, p: [("m", i, " " + w, float(t), t + 0.4, p) for i, (w, t) in enumerate(zip(ws, ts, strict=True))]
-    t = {
-        "words_a": spark.createDataFrame(words(["alpha", "mumble", "bravo", "garble"], [20, 21, 23, 24], 0.30), schemas.WORDS),
-        "words_b": spark.createDataFrame(words(["alpha", "clear", "bravo", "crisp"], [0, 1, 3, 4], 0.95), schemas.WORDS),
-        "diarization_a": spark.createDataFrame([("m", 0, 20.0, 22.0, "SPEAKER_00"), ("m", 1, 23.0, 25.0, "SPEAKER_01")], schemas.DIARIZATION),
-        "diarization_b": spark.createDataFrame([("m", 0, 0.0, 2.0, "SPK_X"), ("m", 1, 3.0, 5.0, "SPK_Y")], schemas.DIARIZATION),
-        "embeddings_a": spark.createDataFrame([("m", 0, "SPEAKER_00", [1.0, 0.0]), ("m", 1, "SPEAKER_01", [0.0, 1.0])], schemas.EMBEDDINGS),
-        "embeddings_b": spark.createDataFrame([("m", 0, "SPK_X", [0.999, 0.035]), ("m", 1, "SPK_Y", [-0.035, 0.999])], schemas.EMBEDDINGS),
-    }
-    sounds = spark.createDataFrame([("m", "a", 1000, sound.tolist()), ("m", "b", 1000, part.tolist())], "recording string, side string, rate int, samples array<double>")
-    capture.write_capture(str(tmp_path / "capture"), t)
-    back = capture.read_capture(spark, str(tmp_path / "capture"))
-    fused = pipelines.fuse(back, pipelines.envelopes(sounds))
-    assert abs(fused.offsets.collect()[0]["offset_s"] - 20) < 0.15
-    text = fused.markdown.collect()[0]["markdown"]
-    assert "Person 1 — 00:20" in text and "Person 2 — 00:23" in text and "clear" in text and "crisp" in text
-    assert not any(w in text for w in ("mumble", "garble", "SPK", "SPEAKER"))
-    markdown.write_transcripts(fused.markdown, str(tmp_path / "out"), suffix=".fused.md", allow_empty=True)
-    assert (tmp_path / "out" / "m.fused.md").read_text() == text
-    assert [r["speaker"] for r in markdown.read_transcripts(spark, str(tmp_path / "out")).orderBy("block_idx").collect()] == ["Person 1", "Person 2"]
-    assert fused.diagnostics.where("kind = 'offset'").count() == 1
-    single = pipelines.transcribe_recordings(t["words_a"], t["diarization_a"])
-    assert "mumble" in single.markdown.collect()[0]["markdown"]
+    tables, sounds = fusion_tables(spark)
+    mute = spark.createDataFrame([("cellar", 0, "word", 0.0, 1.0, 0.5)], schemas.WORDS)
+    tables["words_a"] = tables["words_a"].unionByName(mute)
+    short = spark.createDataFrame([("attic", "a", 1000, [0.1] * 5000), ("attic", "b", 1000, [0.1] * 50)], sounds.schema)
+    capture.write_capture(str(tmp_path / "capture"), tables)
+    envelopes_of = pipelines.envelopes(sounds.unionByName(short))
+    assert envelopes_of.where("pair_id = 'attic' and side = 'b'").count() == 0
+    fused = pipelines.fuse(capture.read_capture(spark, str(tmp_path / "capture")), envelopes_of)
+    offsets = {r["pair_id"]: r["offset_s"] for r in fused.offsets.collect()}
+    assert abs(offsets["kitchen"] - 12) < 0.15 and abs(offsets["garden"] - 31) < 0.15 and offsets["attic"] is offsets["cellar"] is None
+    texts = {r["recording"]: r["markdown"] for r in fused.markdown.collect()}
+    assert texts["kitchen"] == "## Person 1 — 00:12\n\none two\n\n## Person 2 — 00:17\n\nthree four\n"
+    assert texts["garden"] == texts["kitchen"].replace("00:12", "00:31").replace("00:17", "00:36") and set(texts) == {"kitchen", "garden"}
+    assert [(r["recording"], r["severity"]) for r in fused.diagnostics.where("kind = 'offset' and severity = 'error'").orderBy("recording").collect()] == [("attic", "error"), ("cellar", "error")]
+    assert any("too short" in line for line in pipelines.shown(fused.diagnostics))
+    assert markdown.write_transcripts(fused.markdown, str(tmp_path / "out"), suffix=".fused.md", allow_empty=True) == []
+    assert (tmp_path / "out" / "garden.fused.md").read_text(encoding="utf-8") == texts["garden"]
+    assert sorted(f.name for f in (tmp_path / "out").iterdir() if f.suffix == ".md") == ["garden.fused.md", "kitchen.fused.md"]
+    assert markdown.read_transcripts(spark, str(tmp_path / "out")).count() == 4
+    single = pipelines.transcribe_recordings(tables["words_a"].where("recording = 'kitchen'"), tables["diarization_a"])
+    assert "one? two?" in {r["recording"]: r["markdown"] for r in single.markdown.collect()}["kitchen"]
+
+
+def test_captures_are_rendered_with_and_without_the_guard(spark):
+    a = [("v1", 0, 2, "put the", 0.2), ("v1", 2.2, 3, "before the guests get", 0.95)]
+    t = {"turns_a": turns(spark, a, "m"), "turns_b": turns(spark, [("q", 5, 9, LONG, 0.9)], "m"), "offsets": spark.createDataFrame([("m", -5.0)], "recording string, offset_s double")}
+    t |= {f"embeddings_{s}": spark.createDataFrame([("m", 0, n, [1.0, 0.1])], schemas.EMBEDDINGS) for s, n in (("a", "v1"), ("b", "q"))}
+    with_guard, without = (pipelines.render_capture(t, guard).collect()[0]["markdown"] for guard in (True, False))
+    assert with_guard.count("## Person 1") == 1 and without.count("## Person 1") == 2 and "before the guests get\n" in without
+    with pytest.raises(ValueError, match="lacks"):
+        pipelines.render_capture({"turns_a": t["turns_a"]})
+
+
+def test_long_lists_of_warnings_say_how_many_more(spark):
+    rows = [("r", "loop", "warning", f"m{k:02}", float(k)) for k in range(13)] + [("r", "offset", "info", "fine", None)]
+    lines = pipelines.shown(spark.createDataFrame(rows, "recording string, kind string, severity string, message string, start double"))
+    assert lines[:10] == [f"warning: r: m{k:02}" for k in range(10)] and lines[10:] == ["  ... and 3 more", "info: r: fine"]
+
+
+def test_plans_do_not_pair_all_turns(spark):
+    """Turns of one speaker that are far apart never meet."""
+    many_turns = [("S", 100 * k, 100 * k + 3, f"t{k}", 0.5) for k in range(300)]
+    a, b = turns(spark, many_turns), turns(spark, [(s, x + 1, y + 1, t, 0.6) for s, x, y, t, _ in many_turns])
+    met = merge.same_speaker_overlaps(a, b)
+    assert met.count() == 300
+    join = [line for line in met._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert join and all("_cell" in line for line in join)
 
 
 def test_capture_needs_a_folder(monkeypatch):

@@ -1,40 +1,51 @@
-"""Command line: transcripts from stored recogniser and diarizer results, single or fused.
+"""Command line: speaker-attributed transcripts of media files, of stored results, or of two recordings fused.
 
-Recognition and diarization models are adapters (turnweave.sources.speech); this front end reads their stored results:
-a folder with <recording>.json for each recording, and a capture folder for fusion.
+Recognition and diarization models are adapters: --recogniser and --diarizer name them as module:function, where the
+function, called without arguments on an executor, returns the model (turnweave.sources.speech says what models take and
+return).  Instead of running models, stored results can be read: a folder with <recording>.json for each recording, or a
+capture folder.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import stem
 from .plans import pipelines
 from .sources import capture, markdown, media, speech
 
 DIARIZED = "tracks array<struct<start: double, end: double, label: string>>, labels array<string>, embeddings array<array<double>>"
+#: Options that only models use.
+OF_MODELS = ("model", "language", "prompt", "verbose")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="turnweave", description="speaker-attributed transcripts as Markdown")
     p.add_argument("media", nargs="?", help="a folder of media files or one file; default ./data")
-    p.add_argument("--model", default="turbo")
-    p.add_argument("--language", default="en", help="a language code, or auto")
-    p.add_argument("--prompt")
+    p.add_argument("--recogniser", metavar="MODULE:FUNCTION", help="makes the speech recogniser")
+    p.add_argument("--diarizer", metavar="MODULE:FUNCTION", help="makes the diarizer")
+    p.add_argument("--model", help="the recogniser's model, by default turbo; in TURNWEAVE_MODEL for the function")
+    p.add_argument("--language", help="a language code, by default en, or auto")
+    p.add_argument("--prompt", help="text that the recogniser starts from")
+    p.add_argument("--verbose", action="store_true", default=None)
+    p.add_argument("--num-speakers", type=int)
     p.add_argument("--output-dir")
     p.add_argument("--preprocess", action="store_true", help="clean the audio first")
     p.add_argument("--denoise", action="store_true", help="as --preprocess, with noise reduction")
     p.add_argument("--audio-filter", help="this filter chain instead")
-    p.add_argument("--verbose", action="store_true")
-    p.add_argument("--num-speakers", type=int)
     p.add_argument("--asr", help="folder of recogniser results, one JSON file a recording")
     p.add_argument("--diarization", help="folder of diarizer results, one JSON file a recording")
     p.add_argument("--fuse", metavar="CAPTURE", help="fuse the two sides of a capture folder")
     p.add_argument("--sounds", help="Parquet of (recording, side, rate, samples) for the clock offset of --fuse")
-    p.add_argument("--smooth", action="store_true")
+    p.add_argument("--render-capture", metavar="CAPTURE", help="render a captured fusion again")
+    p.add_argument("--no-guard", action="store_true", help="with --render-capture: keep turns that a neighbour's new text holds")
+    p.add_argument("--smooth", action="store_true", help="join stray words without duration to the turns around them")
     return p
 
 
@@ -44,35 +55,119 @@ def chosen_filter(args: argparse.Namespace) -> str | None:
     return media.audio_filter(args.denoise) if args.preprocess or args.denoise else None
 
 
+def named(spec: str, model: str | None = None):
+    """A function that imports module:function where it is called, with the model's name in the environment."""
+
+    def make():
+        module, _, function = spec.partition(":")
+        if model:
+            os.environ["TURNWEAVE_MODEL"] = model
+        return getattr(importlib.import_module(module), function)()
+
+    return make
+
+
+def keeper(kept: list[DataFrame]):
+    """Persists a frame and notes it, so that it can be let go."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return df
+
+    return keep
+
+
+def from_media(spark: SparkSession, args: argparse.Namespace, folder: str, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(recording, segments), (recording, tracks ...), and (recording, error) of the media files."""
+    keep = keeper(kept)
+    files = keep(media.scan_media(spark, args.media).withColumn("recording", stem(F.col("path"))))
+    n, names = files.count(), files.select("recording").distinct().count()
+    if not n:
+        raise ValueError(f"no media files found in {args.media or media.default_input_dir()}")
+    if names < n:
+        raise ValueError("two media files have the same name but for their endings; transcribe them apart")
+    if args.media is not None and n == 1 and not os.path.exists(files.first()["path"].removeprefix("file:")):
+        raise FileNotFoundError(f"no such file: {args.media}")
+    clean = keep(media.extract_audio(files, os.path.join(folder, ".clean"), chosen_filter(args)).join(files, "path"))
+    ready = clean.where("error is null").select("recording", F.col("cleaned").alias("path"))
+    language = None if args.language == "auto" else args.language or "en"
+    make = named(args.recogniser, media.resolve_model(args.model or "turbo"))
+    heard = keep(speech.transcribe(ready, make, language, args.prompt, args.verbose))
+    found = keep(speech.diarize(ready, named(args.diarizer), args.num_speakers))
+    failed = clean.select("recording", "error").unionByName(heard.select("recording", "error")).unionByName(found.select("recording", "error"))
+    failed = keep(failed.where("error is not null").groupBy("recording").agg(F.min("error").alias("error")))
+    good = lambda df: df.join(failed, "recording", "left_anti")
+    return good(heard.drop("error")), good(found.drop("error")), failed
+
+
+def stored(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found = spark.read.schema(DIARIZED).option("multiLine", True).json(args.diarization)
+    found = found.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("recording"), "*")
+    return speech.read_asr(spark, args.asr), found, spark.createDataFrame([], "recording string, error string")
+
+
+def transcripts(spark: SparkSession, args: argparse.Namespace, folder: str) -> int:
+    """Writes single transcripts; 1 if a recording failed."""
+    kept: list[DataFrame] = []
+    try:
+        return write_all(*(from_media(spark, args, folder, kept) if args.recogniser else stored(spark, args)), args, folder, kept)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def write_all(heard: DataFrame, found: DataFrame, failed: DataFrame, args: argparse.Namespace, folder: str, kept: list[DataFrame]) -> int:
+    keep = keeper(kept)
+    errors = [f"{r['recording']}: {r['error']}" for r in failed.orderBy("recording").collect()]
+    words, turns = speech.flatten_words(heard), speech.diarization_turns(found)
+    # a recording with words and no turns cannot be aligned; that is its own failure
+    lost = keep(words.select("recording").distinct().join(turns.select("recording").distinct(), "recording", "left_anti"))
+    errors += [f"{r['recording']}: no speaker turns to align with" for r in lost.orderBy("recording").collect()]
+    out = pipelines.transcribe_recordings(words.join(lost, "recording", "left_anti"), turns, smooth=args.smooth)
+    asked = keep(heard.select("recording").distinct().join(lost, "recording", "left_anti"))
+    silent = markdown.write_transcripts(out.markdown, folder, ".md", expected=asked)
+    errors += [f"{name}: no speech found" for name in silent]
+    notes = pipelines.shown(out.diagnostics)
+    if args.num_speakers is not None:
+        notes += [f"warning: {r['recording']}: {r['message']}" for r in speech.speaker_count_warnings(found, args.num_speakers).orderBy("recording").collect()]
+    for line in (*notes, *(f"error: {e}" for e in errors)):
+        print(line, file=sys.stderr)
+    out.close()
+    total = asked.count() + lost.count() + failed.count()
+    print(f"Done. {total - len(errors)}/{total} recording(s) transcribed, in {folder}.")
+    return 1 if errors else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
+        unused = [f"--{o}" for o in OF_MODELS if getattr(args, o) is not None]
+        if unused and not args.recogniser:
+            raise ValueError(f"{', '.join(unused)}: only a recogniser uses this, and no recogniser is run on stored results; give --recogniser")
+        if bool(args.recogniser) != bool(args.diarizer):
+            raise ValueError("--recogniser and --diarizer go together")
         spark = SparkSession.builder.appName("turnweave").getOrCreate()
-        if args.fuse:
-            if not args.sounds:
+        if args.fuse or args.render_capture:
+            tables = capture.read_capture(spark, args.fuse or args.render_capture)
+            folder = media.resolve_output_dir(args.output_dir)
+            if args.render_capture:
+                rendered, notes = pipelines.render_capture(tables, guard=not args.no_guard), []
+            elif not args.sounds:
                 raise ValueError("--fuse needs --sounds for the clock offset")
-            tables = capture.read_capture(spark, args.fuse)
-            out = pipelines.fuse(tables, pipelines.envelopes(spark.read.parquet(args.sounds)), smooth=args.smooth)
-            suffix, empty = ".fused.md", True
-        elif args.asr and args.diarization:
-            words = speech.flatten_words(speech.read_asr(spark, args.asr))
-            found = spark.read.schema(DIARIZED).option("multiLine", True).json(args.diarization)
-            found = found.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("recording"), "*")
-            out = pipelines.transcribe_recordings(words, speech.diarization_turns(found), smooth=args.smooth)
-            suffix, empty = ".md", False
-        else:
-            for r in media.scan_media(spark, args.media).collect():
-                print(" ".join(media.extraction_command(r["path"], r["path"] + ".clean.wav", chosen_filter(args))))
-            raise ValueError("no recogniser is built in: give --asr and --diarization, or --fuse, with stored results")
-        folder = media.resolve_output_dir(args.output_dir)
-        markdown.write_transcripts(out.markdown, folder, suffix, empty)
-        for r in pipelines.shown(out.diagnostics).collect():
-            print(f"{r['severity']}: {r['recording']}: {r['message']}", file=sys.stderr)
+            else:
+                out = pipelines.fuse(tables, pipelines.envelopes(spark.read.parquet(args.sounds)), smooth=args.smooth)
+                rendered, notes = out.markdown, pipelines.shown(out.diagnostics)
+            markdown.write_transcripts(rendered, folder, ".fused.md", allow_empty=True)
+            for line in notes:
+                print(line, file=sys.stderr)
+            print(f"written to {folder}")
+            return 1 if any(line.startswith("error") for line in notes) else 0
+        if args.recogniser or (args.asr and args.diarization):
+            return transcripts(spark, args, media.resolve_output_dir(args.output_dir))
+        raise ValueError("no recogniser is built in: give --recogniser and --diarizer, or --asr and --diarization, or --fuse")
     except Exception as problem:  # noqa: BLE001  the exit code tells the caller
         print(f"turnweave: {problem}", file=sys.stderr)
         return 1
-    print(f"written to {folder}")
-    return 0
 
 
 if __name__ == "__main__":

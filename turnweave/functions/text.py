@@ -70,9 +70,14 @@ def is_backchannel(text: Column) -> Column:
     return (F.size(cleaned) > 0) & F.forall(cleaned, lambda w: w.isin(*BACKCHANNELS))
 
 
+def squashed(text: Column) -> Column:
+    """Lower-case letters and hyphens only."""
+    return F.regexp_replace(F.lower(text), "[^a-z-]", "")
+
+
 def is_backchannel_squashed(text: Column) -> Column:
     """The reports' rule: the whole text, squashed, is one acknowledgement."""
-    return F.regexp_replace(F.lower(text), "[^a-z-]", "").isin(*BACKCHANNELS)
+    return squashed(text).isin(*BACKCHANNELS)
 
 
 def stem(path: Column) -> Column:

@@ -33,26 +33,25 @@ def align_overlap(words: DataFrame, turns: DataFrame) -> DataFrame:
 def align_nearest(words: DataFrame, turns: DataFrame) -> DataFrame:
     """recording, word_idx, speaker by the nearest edge: turn ends against the word's start, turn starts against its end.
 
-    Four as-of lookups in one sorted pass for each recording, instead of all turns for each word.
+    The edges of turns and the two edges of each word are sorted together once; one window pass looks up the nearest turn
+    edge before and after each of the two.
     """
-    sides = []
-    for word_at, turn_at in (("start", "end"), ("end", "start")):
-        edges = turns.groupBy(KEY, F.col(turn_at).alias("t")).agg(F.min(F.struct("dturn_idx", "speaker")).alias("turn"))
-        edges = edges.select(KEY, "t", F.struct(F.col("t").alias("at"), "turn.dturn_idx", "turn.speaker").alias("edge"), F.lit(None).cast("long").alias("word_idx"))
-        asked = words.select(KEY, F.col(word_at).alias("t"), F.lit(None).cast(edges.schema["edge"].dataType).alias("edge"), "word_idx")
-        w = Window.partitionBy(KEY).orderBy("t")
-        both = edges.unionByName(asked)
-        near = both.select(
-            KEY, "t", "word_idx",
-            F.last("edge", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("before"),
-            F.first("edge", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("after"),
-        ).where("word_idx is not null")
-        for side in ("before", "after"):
-            sides.append(near.where(F.col(side).isNotNull()).select(KEY, "word_idx", F.abs(F.col("t") - F.col(f"{side}.at")).alias("distance"), F.col(f"{side}.dturn_idx").alias("dturn_idx"), F.col(f"{side}.speaker").alias("speaker")))
-    rows = sides[0]
-    for s in sides[1:]:
-        rows = rows.unionByName(s)
-    return rows.groupBy(KEY, "word_idx").agg(F.min_by("speaker", F.struct("distance", "dturn_idx")).alias("speaker"))
+    kind = "struct<at: double, dturn_idx: bigint, speaker: string>"
+    none = F.lit(None).cast(kind)
+    edge = lambda c, e: turns.groupBy(KEY, F.col(c).alias("t")).agg(F.min(F.struct("dturn_idx", "speaker")).alias("x")).select(KEY, "t", F.struct(F.col("t").alias("at"), "x.dturn_idx", "x.speaker").cast(kind).alias(e))
+    ends = edge("end", "end_edge").select("*", none.alias("start_edge"), F.lit(None).cast("long").alias("word_idx"), F.lit(None).cast("boolean").alias("at_start"))
+    starts = edge("start", "start_edge").select(KEY, "t", none.alias("end_edge"), "start_edge", F.lit(None).cast("long").alias("word_idx"), F.lit(None).cast("boolean").alias("at_start"))
+    sides = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(True).alias("at_start")), F.struct(F.col("end").alias("t"), F.lit(False).alias("at_start"))))
+    asked = words.select(KEY, "word_idx", sides.alias("s")).select(KEY, "s.t", none.alias("end_edge"), none.alias("start_edge"), "word_idx", "s.at_start")
+    w = Window.partitionBy(KEY).orderBy("t")
+    upto, onward = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    near = ends.unionByName(starts).unionByName(asked).select(
+        KEY, "t", "word_idx",
+        *[F.when(F.col("at_start") == at_start, f(e, ignorenulls=True).over(frame)).alias(f"{e}_{name}") for e, at_start in (("end_edge", True), ("start_edge", False)) for name, f, frame in (("before", F.last, upto), ("after", F.first, onward))],
+    ).where("word_idx is not null")
+    found = F.array_compact(F.array(*[F.col(f"{e}_{n}") for e in ("end_edge", "start_edge") for n in ("before", "after")]))
+    ranked = F.array_min(F.transform(found, lambda x: F.struct(F.abs(F.col("t") - x["at"]).alias("distance"), x["dturn_idx"].alias("dturn_idx"), x["speaker"].alias("speaker"))))
+    return near.groupBy(KEY, "word_idx").agg(F.min(ranked).alias("best")).where("best is not null").select(KEY, "word_idx", "best.speaker")
 
 
 def align_words(words: DataFrame, turns: DataFrame) -> DataFrame:

@@ -128,5 +128,5 @@ def cross_speaker_duplicates(turns: DataFrame, loop_threshold: int = 10) -> Data
 
 
 def top_duplicates(pairs: DataFrame, k: int = 10) -> DataFrame:
-    """The first k pairs by start, for the warning."""
-    return pairs.orderBy("start", KEY, "distance", "i").limit(k)
+    """The first k pairs by start, for the warning, with n_more: how many pairs there are besides."""
+    return pairs.orderBy("start", KEY, "distance", "i").limit(k).withColumn("n_more", F.lit(max(0, pairs.count() - k)).cast("long"))

@@ -6,6 +6,7 @@ already on a's clock and labels.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,46 +20,60 @@ def shift_and_remap(turns: DataFrame, offsets: DataFrame, mapping: DataFrame) ->
     """b's turns on a's clock and under a's labels.
 
     offsets (recording, offset_s), mapping (recording, speaker, to_speaker), both a few rows a meeting.  What ends at
-    or before zero goes; what straddles zero starts at zero with its whole text.  A speaker that the map lacks fails.
+    or before zero goes; what straddles zero starts at zero with its whole text.  A recording without an offset fails, as
+    does a speaker that the map lacks.
     """
-    t = turns.join(offsets, KEY).join(mapping, [KEY, "speaker"], "left")
+    t = turns.join(offsets.select(KEY, "offset_s"), KEY, "left").join(mapping, [KEY, "speaker"], "left")
+    t = t.withColumn("offset_s", F.when(F.col("offset_s").isNull(), F.raise_error(F.concat(F.lit("no offset for "), F.col(KEY).cast("string"))).cast("double")).otherwise(F.col("offset_s")))
     moved = t.withColumn("start", F.col("start") + F.col("offset_s")).withColumn("end", F.col("end") + F.col("offset_s")).where("end > 0")
     label = F.when(F.col("to_speaker").isNull(), F.raise_error(F.concat(F.lit("no match for speaker "), F.col("speaker")))).otherwise(F.col("to_speaker"))
     return moved.withColumn("start", F.greatest("start", F.lit(0.0))).withColumn("speaker", label).select(*turns.columns)
 
 
-def same_speaker_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """recording, a_idx, b_idx, overlap and the columns both sides are compared by; an equi-join on (recording, speaker)."""
-    x = a.select(KEY, "speaker", F.col("turn_idx").alias("a_idx"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("confidence").alias("a_conf"))
-    y = b.select(KEY, "speaker", F.col("turn_idx").alias("b_idx"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("confidence").alias("b_conf"))
+def same_speaker_overlaps(a: DataFrame, b: DataFrame, cell_seconds: float = 60.0) -> DataFrame:
+    """recording, a_idx, b_idx, overlap and the columns both sides are compared by.
+
+    An equi-join on (recording, speaker, time cell): a pair counts only in the cell where its common part begins, so turns
+    that are far apart never meet and no pair is met twice.
+    """
+    cells = lambda: F.explode(F.sequence(F.floor(F.col("start") / cell_seconds), F.floor(F.col("end") / cell_seconds))).alias("_cell")
+    side = lambda t, k: t.where("end > start").select(KEY, "speaker", F.col("turn_idx").alias(f"{k}_idx"), F.col("start").alias(f"{k}_start"), F.col("end").alias(f"{k}_end"), F.col("confidence").alias(f"{k}_conf"), cells())
     part = overlap_seconds(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    return x.join(y, [KEY, "speaker"]).withColumn("overlap", part).where("overlap > 0")
+    met = side(a, "a").join(side(b, "b"), [KEY, "speaker", "_cell"]).withColumn("overlap", part)
+    return met.where((F.col("overlap") > 0) & (F.col("_cell") == F.floor(F.greatest("a_start", "b_start") / cell_seconds))).drop("_cell")
 
 
 def replacements(a: DataFrame, b: DataFrame) -> DataFrame:
     """recording, a_idx, b_idx: a's turns in order each take the surest free b turn that overlaps and is surer than they are.
 
     A b turn that is not surer than a can never replace it, so only surer ones are listed; the fold then takes the
-    first free one, for each (recording, speaker) by itself.
+    first free one, for each (recording, speaker) by itself, and remembers those taken as a set.
     """
     edges = same_speaker_overlaps(a, b).where("b_conf > a_conf")
     ranked = edges.groupBy(KEY, "speaker", "a_idx").agg(F.array_sort(F.collect_list(F.struct((-F.col("b_conf")).alias("order"), F.col("b_idx")))).alias("c"))
     lists = ranked.groupBy(KEY, "speaker").agg(F.array_sort(F.collect_list(F.struct("a_idx", F.transform("c", lambda x: x["b_idx"]).alias("b")))).alias("rows"))
-    none = F.array().cast("array<struct<a_idx:bigint,b_idx:bigint>>")
-
-    def step(done, row):
-        free = F.filter(row["b"], lambda i: ~F.exists(done, lambda d: d["b_idx"] == i))
-        pick = F.array(F.struct(row["a_idx"].alias("a_idx"), F.get(free, 0).alias("b_idx")))
-        return F.when(F.size(free) > 0, F.concat(done, pick)).otherwise(done)
-
-    return lists.select(KEY, F.inline(F.aggregate("rows", none, step)))
-
-
-def consumed_siblings(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int = RADIUS, min_chars: int = MIN_CHARS, max_gap: float | None = MAX_GAP) -> DataFrame:
-    """recording, turn_idx of a's turns whose words a replacing b turn already holds.
 
-    A sibling lies at most radius places from the replaced turn, is not replaced itself, has its speaker, overlaps the b
-    turn, is at most max_gap seconds away, and its normalised text, of min_chars or more, is part of b's.
+    def fold(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for recording, rows in zip(batch.column(KEY).to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                taken: set[int] = set()
+                for row in rows:
+                    pick = next((i for i in row["b"] if i not in taken), None)
+                    if pick is not None:
+                        taken.add(pick)
+                        out.append((recording, row["a_idx"], pick))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            kinds = (batch.schema.field(KEY).type, pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[KEY, "a_idx", "b_idx"])
+
+    return lists.select(KEY, "rows").mapInArrow(fold, f"{KEY} {dict(a.dtypes)[KEY]}, a_idx long, b_idx long")
+
+
+def contained_neighbours(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int = RADIUS, max_gap: float | None = MAX_GAP) -> DataFrame:
+    """Turns of a near a replaced turn, not replaced themselves, that overlap the b turn that replaced it, are at most max_gap
+    seconds away from the replaced one, and whose normalised text is part of b's: turn_idx, speaker and a_norm, with a_idx,
+    step and sp (the speaker) of the replaced turn.
     """
     replaced = a.join(picks.withColumnRenamed("a_idx", "turn_idx"), [KEY, "turn_idx"]).select(KEY, F.col("turn_idx").alias("a_idx"), "b_idx", F.col("speaker").alias("sp"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
     winners = b.select(KEY, F.col("turn_idx").alias("b_idx"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), containment_text(F.col("text")).alias("b_norm"))
@@ -66,15 +81,17 @@ def consumed_siblings(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int
     near = near.withColumn("turn_idx", F.col("a_idx") + F.col("step"))
     siblings = a.select(KEY, "turn_idx", "speaker", "start", "end", containment_text(F.col("text")).alias("a_norm"))
     siblings = siblings.join(picks.select(KEY, F.col("a_idx").alias("turn_idx")), [KEY, "turn_idx"], "left_anti")
-    met = near.join(siblings, [KEY, "turn_idx"]).where(
-        (F.col("speaker") == F.col("sp"))
-        & (overlap_seconds(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end")) > 0)
-        & (F.length("a_norm") >= min_chars)
-        & F.contains(F.col("b_norm"), F.col("a_norm"))
-    )
-    if max_gap is not None:
-        met = met.where(gap_seconds(F.col("i_start"), F.col("i_end"), F.col("start"), F.col("end")) <= max_gap)
-    return met.select(KEY, "turn_idx").distinct()
+    met = near.join(siblings, [KEY, "turn_idx"]).where((overlap_seconds(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end")) > 0) & F.contains(F.col("b_norm"), F.col("a_norm")))
+    return met if max_gap is None else met.where(gap_seconds(F.col("i_start"), F.col("i_end"), F.col("start"), F.col("end")) <= max_gap)
+
+
+def consumed_siblings(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int = RADIUS, min_chars: int = MIN_CHARS, max_gap: float | None = MAX_GAP) -> DataFrame:
+    """recording, turn_idx of a's turns whose words a replacing b turn already holds.
+
+    A sibling is a contained neighbour of the replaced turn's speaker with at least min_chars characters.
+    """
+    near = contained_neighbours(a, b, picks, radius, max_gap)
+    return near.where((F.col("speaker") == F.col("sp")) & (F.length("a_norm") >= min_chars)).select(KEY, "turn_idx").distinct()
 
 
 def gap_filling(a: DataFrame, b: DataFrame, covered: float = COVERED) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "recording"
@@ -19,25 +21,30 @@ def rms_envelope(samples: DataFrame, window: int) -> DataFrame:
 
 
 def rms_envelope_chunked(chunks: DataFrame, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """As rms_envelope, for rows (recording, rate, samples array); one row holds a whole recording or whole windows."""
+    """As rms_envelope, for rows (recording, rate, samples array) that hold a whole recording each, or, with the column start
+    (the index of a row's first sample), whole windows of it; a start inside a window is an error.
+    """
     window = F.greatest(F.lit(1), F.floor(F.col("rate") * window_seconds)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size("samples") / window) - 1), lambda i: F.slice("samples", (i * window + 1).cast("int"), window))
+    count = F.floor(F.size("samples") / window).cast("int")
+    cut = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)), lambda i: F.slice("samples", (i * window + 1).cast("int"), window))
     square = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) / F.size(w))
-    usable = chunks.where(F.size("samples") >= window)
-    return usable.select(KEY, F.posexplode(F.transform(cut, square)).alias("win_idx", "rms")).withColumn("win_idx", F.col("win_idx").cast("long"))
+    start = F.col("start") if "start" in chunks.columns else F.lit(0).cast("long")
+    first = F.when(start % window == 0, F.floor(start / window)).otherwise(F.raise_error(F.lit("a chunk starts inside a window")).cast("long"))
+    usable = chunks.where(F.size("samples") >= window).select(KEY, first.alias("_first"), F.transform(cut, square).alias("_rms"))
+    return usable.select(KEY, "_first", F.posexplode("_rms").alias("_at", "rms")).select(KEY, (F.col("_first") + F.col("_at")).alias("win_idx"), "rms")
 
 
 def cross_correlation(pairs: DataFrame, center: bool = True) -> DataFrame:
     """pair_id, lag, corr, overlap for every lag of envelopes (pair_id, side 'a' or 'b', win_idx, rms).
 
     lag is the place of b's first window in a.  Each pair is one envelope pair of a meeting, a few hundred kilobytes;
-    the transform costs n log n.
+    the transform costs n log n.  A pair of which a side has no window gets one row without a lag.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.side == s].sort_values("win_idx").rms.to_numpy(float) for s in "ab")
         if not len(a) or not len(b):
-            raise ValueError("an envelope is too short to correlate")
+            return pd.DataFrame({"pair_id": [pdf.pair_id.iloc[0]], "lag": pd.array([None], "Int64"), "corr": [None], "overlap": [0], "n_min": [0]})
         if center:
             a, b = a - a.mean(), b - b.mean()
         n = len(a) + len(b) - 1
@@ -51,42 +58,83 @@ def cross_correlation(pairs: DataFrame, center: bool = True) -> DataFrame:
 
 
 def offsets(correlation: DataFrame, window_seconds: float = WINDOW_SECONDS, rival_seconds: float = RIVAL_SECONDS, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """pair_id, offset_s, confidence, weak.
+    """pair_id, offset_s, confidence, weak, error.
 
     The peak is the first greatest correlation among lags with enough overlap; confidence is the peak over the best
-    usable lag further than rival_seconds from it, and 0 where there is no positive rival.
+    usable lag further than rival_seconds from it, and 0 where there is no positive rival.  A pair that is too short to
+    correlate has no offset, and says so in error, so it does not stop the others.
     """
-    usable = correlation.where(F.col("overlap") >= min_overlap * F.col("n_min"))
+    usable = correlation.where("lag is not null").where(F.col("overlap") >= min_overlap * F.col("n_min"))
     peak = usable.groupBy("pair_id").agg(F.min_by(F.struct("lag", "corr"), F.struct(-F.col("corr"), F.col("lag"))).alias("peak"))
     rivals = usable.join(peak, "pair_id").where(F.abs(F.col("lag") - F.col("peak.lag")) > int(rival_seconds / window_seconds))
     rival = rivals.groupBy("pair_id").agg(F.max("corr").alias("rival"))
     confidence = F.when(F.col("rival") > 0, F.col("peak.corr") / F.col("rival")).otherwise(F.lit(0.0))
     out = peak.join(rival, "pair_id", "left").select("pair_id", (F.col("peak.lag") * window_seconds).alias("offset_s"), confidence.alias("confidence"))
-    return out.withColumn("weak", F.col("confidence") < WEAK)
+    out = out.select("*", (F.col("confidence") < WEAK).alias("weak"), F.lit(None).cast("string").alias("error"))
+    none = lambda kind: F.lit(None).cast(kind)
+    short = correlation.where("lag is null").select("pair_id", none("double").alias("offset_s"), none("double").alias("confidence"), none("boolean").alias("weak"), F.lit("an envelope is too short to correlate").alias("error"))
+    return out.unionByName(short)
 
 
 def find_offset(envelopes: DataFrame, **options) -> DataFrame:
-    return offsets(cross_correlation(envelopes), **options).select("pair_id", "offset_s")
+    """pair_id and offset_s; a pair that is too short to correlate is an error."""
+    found = offsets(cross_correlation(envelopes), **options)
+    return found.select("pair_id", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "pair_id", "error")).cast("double")).otherwise(F.col("offset_s")).alias("offset_s"))
 
 
 def peak_metrics(correlation: DataFrame, window_seconds: float = WINDOW_SECONDS, rival_seconds: float = RIVAL_SECONDS) -> DataFrame:
-    """pair_id, peak_over_rival and peak_over_median, over all lags; for the report on how far confidence can be trusted."""
-    peak = correlation.groupBy("pair_id").agg(F.min_by("lag", F.struct(-F.col("corr"), F.col("lag"))).alias("lag0"), F.max("corr").alias("peak"), F.percentile("corr", F.lit(0.5)).alias("median"))
+    """pair_id, offset_s, peak_over_rival, peak_over_median, and least, greatest, median and deviation of the correlation.
+
+    Over all lags, whatever their overlap; for the report on how far confidence can be trusted.
+    """
+    peak = correlation.groupBy("pair_id").agg(F.min_by("lag", F.struct(-F.col("corr"), F.col("lag"))).alias("lag0"), F.max("corr").alias("most"), F.min("corr").alias("least"), F.percentile("corr", F.lit(0.5)).alias("median"), F.stddev_pop("corr").alias("deviation"))
     far = correlation.join(peak, "pair_id").where(F.abs(F.col("lag") - F.col("lag0")) > int(rival_seconds / window_seconds)).groupBy("pair_id").agg(F.max("corr").alias("rival"))
-    return peak.join(far, "pair_id", "left").select("pair_id", F.try_divide("peak", "rival").alias("peak_over_rival"), F.try_divide("peak", F.col("median")).alias("peak_over_median"))
+    ratios = F.try_divide("most", "rival").alias("peak_over_rival"), F.try_divide("most", F.col("median")).alias("peak_over_median")
+    return peak.join(far, "pair_id", "left").select("pair_id", (F.col("lag0") * window_seconds).alias("offset_s"), *ratios, "least", "most", "median", "deviation")
+
+
+def unit_noise(k: Column, salt: int) -> Column:
+    """A number between 0 and 1 that looks random, from a whole number under 2**30; plain arithmetic, so any engine can repeat it."""
+    m = F.lit(1 << 32)
+    x = (k.cast("long") * F.lit(2654435769) + F.lit(salt)) % m
+    for shift in (15, 13):
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(1103515245) + F.lit(12345)) % m
+    return (x.bitwiseXOR(F.shiftright(x, 16)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
 def add_null_controls(envelopes: DataFrame, seed: int = 7) -> DataFrame:
-    """envelopes and, for each pair, controls that hold no alignment: b reversed, b shuffled, and noise."""
-    b, a = envelopes.where("side = 'b'"), envelopes.where("side = 'a'")
-    last = Window.partitionBy("pair_id")
-    as_kind = lambda df, kind: df.withColumn("pair_id", F.concat("pair_id", F.lit("/" + kind)))
+    """envelopes and, for each pair, controls that hold no alignment: unlike halves, b shuffled, b reversed, gaussian noise."""
+    e = envelopes.withColumn("_n", F.count("*").over(Window.partitionBy("pair_id", "side")))
+    half = F.floor(F.col("_n") / 2)
+    k = F.col("win_idx")
+    b, a = e.where("side = 'b'"), e.where("side = 'a'")
+    shuffled = F.row_number().over(Window.partitionBy("pair_id").orderBy(unit_noise(k, seed), k)).cast("long") - 1
+    gauss = F.sqrt(-2 * F.log(unit_noise(k, seed + 1))) * F.cos(2 * math.pi * unit_noise(k, seed + 2))
+    noise = F.abs(gauss * F.stddev_pop("rms").over(Window.partitionBy("pair_id")))
+    late = lambda side: side.where(k >= half).withColumn("win_idx", k - half)
     kinds = {
-        "reversed": b.withColumn("win_idx", F.max("win_idx").over(last) - F.col("win_idx")),
-        "shuffled": b.withColumn("win_idx", F.row_number().over(last.orderBy(F.xxhash64("win_idx", F.lit(seed)))).cast("long") - 1),
-        "noise": b.withColumn("rms", F.abs(F.pmod(F.xxhash64("win_idx", F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0)),
+        "first half, second half": (a.where(k < half), late(b)),
+        "second half, first half": (late(a), b.where(k < half)),
+        "shuffled": (a, b.withColumn("win_idx", shuffled)),
+        "reversed": (a, b.withColumn("win_idx", F.col("_n") - 1 - k)),
+        "noise": (a, b.withColumn("rms", noise)),
     }
     out = envelopes
-    for kind, control in kinds.items():
-        out = out.unionByName(as_kind(a, kind)).unionByName(as_kind(control.select(envelopes.columns), kind))
+    for kind, sides in kinds.items():
+        for side in sides:
+            out = out.unionByName(side.withColumn("pair_id", F.concat("pair_id", F.lit("/" + kind))).select(envelopes.columns))
     return out
+
+
+def control_report(envelopes: DataFrame) -> DataFrame:
+    """peak_metrics() of each pair and of its controls, from means left in."""
+    return peak_metrics(cross_correlation(add_null_controls(envelopes), center=False))
+
+
+def separation(metrics: DataFrame) -> DataFrame:
+    """Per pair: its own ratio, the least, median and greatest of its controls, how far they lie apart, and the middle."""
+    parts = F.split("pair_id", "/", 2)
+    m = metrics.select(parts[0].alias("pair_id"), (F.size(parts) > 1).alias("control"), F.col("peak_over_rival").alias("r"))
+    of = lambda f: f(F.when(F.col("control"), F.col("r")))
+    g = m.groupBy("pair_id").agg(F.max(F.when(~F.col("control"), F.col("r"))).alias("true"), of(F.min).alias("null_min"), F.percentile(F.when(F.col("control"), F.col("r")), F.lit(0.5)).alias("null_median"), of(F.max).alias("null_max"))
+    return g.select("*", F.try_divide("true", F.col("null_max")).alias("separation"), ((F.col("true") + F.col("null_max")) / 2).alias("midpoint"))

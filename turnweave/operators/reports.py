@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bag_words, is_backchannel, is_backchannel_squashed, loop_token, words
+from ..functions.text import bag_words, gap_seconds, is_backchannel, is_backchannel_squashed, loop_token, squashed, words
 from .duplicates import near_duplicates
 from .loops import repetition_loops, token_runs, turns_in_loops
-from .merge import consumed_siblings, merge_turns, replacements
+from .merge import MAX_GAP, contained_neighbours, merge_turns, replacements
 from .turns import smooth_micro_turns, smoothing_marks
 
 KEY = "recording"
 #: Words too common to be a sign of degeneration.
-COMMON = tuple("the a an and or but to of in on at for with is are was were be it i you he she we they that this so yeah".split())
+COMMON = tuple(
+    "the and a to of i it that you in is so we yeah on for this but have with be not they just can do at if or as what was are there then all "
+    "like up out one get go know think well right okay no he she will would from your my me us them how when which who about some more our their "
+    "an by has had were been its".split()
+)
 
 
 def redundancy(turns: DataFrame) -> DataFrame:
@@ -41,21 +45,19 @@ def backchannel_split(turns: DataFrame, max_words: int = 2) -> DataFrame:
 
 
 def top_short_texts(turns: DataFrame, k: int = 8, max_words: int = 2) -> DataFrame:
-    """The k most frequent short texts of acknowledgements and of the rest; equal counts by first occurrence."""
-    short = turns.where(F.size(words(F.col("text"))) <= max_words).withColumn("backchannel", is_backchannel_squashed(F.col("text")))
-    counted = short.groupBy("backchannel", F.lower("text").alias("token")).agg(F.count("*").alias("n"), F.min(F.struct(KEY, "turn_idx")).alias("first"))
+    """The k most frequent squashed texts of short acknowledgements and of other short blocks; equal counts by first occurrence."""
+    short = turns.where(F.size(words(F.col("text"))) <= max_words).select(KEY, "turn_idx", squashed(F.col("text")).alias("token"), is_backchannel_squashed(F.col("text")).alias("backchannel"))
+    counted = short.groupBy("backchannel", "token").agg(F.count("*").alias("n"), F.min(F.struct(KEY, "turn_idx")).alias("first"))
     place = F.row_number().over(Window.partitionBy("backchannel").orderBy(F.desc("n"), "first"))
     return counted.withColumn("place", place).where(F.col("place") <= k).select("backchannel", "place", "token", "n")
 
 
 def degeneration_within(turns: DataFrame, run: int = 4) -> DataFrame:
-    """recording, turn_idx of blocks with run equal tokens one after another."""
-    t = turns.select(KEY, "turn_idx", F.posexplode(words(F.col("text"))).alias("pos", "w")).withColumn("token", F.btrim(F.lower("w"), F.lit(".,?!")))
-    order = Window.partitionBy(KEY, "turn_idx").orderBy("pos")
-    same = F.lit(True)
-    for i in range(1, run):
-        same = same & (F.col("token") == F.lag("token", i).over(order))
-    return t.withColumn("_hit", same).where("_hit").select(KEY, "turn_idx").distinct()
+    """recording, turn_idx of blocks with run equal tokens, none of them empty, one after another; no shuffle."""
+    # tokens, each with a mark before and after it, and one token that stands run times in a row
+    token = F.transform(words(F.col("text")), lambda w: F.btrim(F.lower(w), F.lit(".,?!")))
+    marked = F.concat(F.lit("\u0001"), F.array_join(token, "\u0001"), F.lit("\u0001"))
+    return turns.where(marked.rlike(f"\u0001([^\u0001]+)(?:\u0001\\1){{{run - 1}}}\u0001")).select(KEY, "turn_idx")
 
 
 def degeneration_docwide(turns: DataFrame, run: int = 4, k: int = 6) -> DataFrame:
@@ -64,35 +66,57 @@ def degeneration_docwide(turns: DataFrame, run: int = 4, k: int = 6) -> DataFram
 
 
 def dominant_tokens(turns: DataFrame, k: int = 40) -> DataFrame:
-    """token, n of the k most frequent tokens; equal counts by the token."""
-    t = turns.select(F.explode(words(F.col("text"))).alias("w")).select(loop_token(F.col("w")).alias("token")).where("token <> ''")
-    return t.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
+    """token, n, share of all tokens, for the k most frequent tokens (the empty one of bare punctuation too); equal counts by
+    first occurrence."""
+    t = turns.select(KEY, "turn_idx", F.posexplode(words(F.col("text"))).alias("pos", "w")).withColumn("token", loop_token(F.col("w")))
+    counted = t.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(KEY, "turn_idx", "pos")).alias("first"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.orderBy(F.desc("n"), "first").limit(k).select("token", "n", (F.col("n") / F.lit(max(1, total))).alias("share"))
 
 
 def suspicious_tokens(turns: DataFrame, k: int = 40, over: int = 50) -> DataFrame:
-    return dominant_tokens(turns, k).where((F.col("n") > over) & ~F.col("token").isin(*COMMON))
+    """Of the k most frequent tokens those that occur more than over times and are no common words."""
+    return dominant_tokens(turns, k).where((F.col("n") > over) & ~F.col("token").isin(*COMMON)).select("token", "n")
 
 
 def origin_mix(merged: DataFrame) -> DataFrame:
     return merged.groupBy("_origin").agg(F.count("*").alias("n")).withColumnRenamed("_origin", "origin")
 
 
+def cross_speaker_pairs(merged: DataFrame) -> DataFrame:
+    """near_duplicates() of two speakers in a merge, with both origins and the seconds between the two spans."""
+    side = lambda k: merged.select(KEY, F.col("turn_idx").alias(k), F.col("_origin").alias(f"origin_{k}"), F.col("start").alias(f"s_{k}"), F.col("end").alias(f"e_{k}"))
+    pairs = near_duplicates(merged).join(side("i"), [KEY, "i"]).join(side("j"), [KEY, "j"])
+    return pairs.withColumn("gap", gap_seconds(F.col("s_i"), F.col("e_i"), F.col("s_j"), F.col("e_j"))).drop("s_i", "e_i", "s_j", "e_j")
+
+
 def cross_speaker_origins(merged: DataFrame) -> DataFrame:
-    """first_origin, second_origin, n of near-duplicate pairs of two speakers in a merge."""
-    pairs = near_duplicates(merged)
-    side = lambda k, n: merged.select(KEY, F.col("turn_idx").alias(k), F.col("_origin").alias(n))
-    return pairs.join(side("i", "first_origin"), [KEY, "i"]).join(side("j", "second_origin"), [KEY, "j"]).groupBy("first_origin", "second_origin").agg(F.count("*").alias("n"))
+    """origins (both, in order of their names) and n of near-duplicate pairs of two speakers in a merge."""
+    both = F.concat_ws(" + ", F.array_sort(F.array("origin_i", "origin_j")))
+    return cross_speaker_pairs(merged).groupBy(both.alias("origins")).agg(F.count("*").alias("n"))
+
+
+def cross_speaker_timing(merged: DataFrame) -> DataFrame:
+    """same_time and different_time: near-duplicate pairs of two speakers whose spans touch or overlap, and others."""
+    return cross_speaker_pairs(merged).agg(F.count_if(F.col("gap") == 0).alias("same_time"), F.count_if(F.col("gap") > 0).alias("different_time"))
+
+
+def guard_fires(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int = 4, max_gap: float = MAX_GAP) -> DataFrame:
+    """recording, a_idx, turn_idx, step, same_speaker, chars: unreplaced turns near a replaced one whose words its new text holds."""
+    near = contained_neighbours(a, b, picks, radius, max_gap)
+    return near.where("length(a_norm) > 0").select(KEY, "a_idx", "turn_idx", F.abs("step").alias("step"), (F.col("speaker") == F.col("sp")).alias("same_speaker"), F.length("a_norm").alias("chars"))
 
 
 def guard_sweep(a: DataFrame, b: DataFrame, radii=(1, 2, 3, 4), floors=(0, 8, 20, 40)) -> DataFrame:
-    """radius, min_chars, fires: a turns that the containment guard would drop at each setting."""
-    picks = replacements(a, b)
-    rows = None
-    for r in radii:
-        for f in floors:
-            one = consumed_siblings(a, b, picks, radius=r, min_chars=f).agg(F.count("*").alias("fires")).select(F.lit(r).alias("radius"), F.lit(f).alias("min_chars"), "fires")
-            rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """radius, min_chars, same_fires, cross_fires, chars: what the containment guard would drop at each setting.
+
+    The turns are joined once, at the largest radius and without a floor; the settings are counts over that.
+    """
+    fires = guard_fires(a, b, replacements(a, b), max(radii))
+    settings = [(r, f) for r in radii for f in floors]
+    hit = lambda r, f: (F.col("step") <= r) & (F.col("chars") >= f)
+    counts = [F.struct(F.lit(r).alias("radius"), F.lit(f).alias("min_chars"), F.count_if(hit(r, f) & F.col("same_speaker")).alias("same_fires"), F.count_if(hit(r, f) & ~F.col("same_speaker")).alias("cross_fires"), F.coalesce(F.sum(F.when(hit(r, f) & F.col("same_speaker"), F.col("chars"))), F.lit(0)).cast("long").alias("chars")) for r, f in settings]
+    return fires.agg(F.array(*counts).alias("s")).select(F.inline("s"))
 
 
 def smoothing_report(turns: DataFrame, threshold: int = 10) -> DataFrame:
@@ -117,3 +141,12 @@ def guard_losses(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def smoothing_losses(turns: DataFrame) -> DataFrame:
     return word_difference(turns, smooth_micro_turns(turns))
+
+
+def assert_same_turns(instrument: DataFrame, production: DataFrame) -> None:
+    """Fails unless both hold the same rows, equal rows as often; columns whose names begin with _ do not count."""
+    columns = [c for c in production.columns if not c.startswith("_")]
+    x, y = instrument.select(columns), production.select(columns)
+    more, less = x.exceptAll(y).count(), y.exceptAll(x).count()
+    if more or less:
+        raise AssertionError(f"the instrument disagrees with production: {more} rows more, {less} rows less; its numbers are invalid")

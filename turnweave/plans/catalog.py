@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stamp, stamp_seconds
 from ..operators import align, duplicates, loops, match, merge, offset, render, reports, turns
-from ..sources import media
+from ..sources import media, speech, synthetic
 from ..sources import projections as p
 from .sql import ORACLE
 
@@ -26,7 +26,7 @@ def media_filter(spark, d):
 
 
 def word_flatten(spark, d):
-    return p.spoken_words(spark, d).select(KEY, "word_idx", "word", "start", "end")
+    return speech.flatten_words(p.recogniser_results(spark, d)).select(KEY, "word_idx", "word", "start", "end")
 
 
 def group_consecutive(spark, d):
@@ -92,7 +92,7 @@ def redundancy_by_distance(spark, d):
 
 
 def top_duplicates(spark, d):
-    return duplicates.top_duplicates(cross_speaker_duplicates(spark, d)).select(KEY, "i", "j", "distance", "start", "shared_chars")
+    return duplicates.top_duplicates(cross_speaker_duplicates(spark, d)).select(KEY, "i", "j", "distance", "start", "shared_chars", "n_more")
 
 
 def fragmentation(spark, d):
@@ -109,7 +109,15 @@ def degeneration_docwide(spark, d):
 
 
 def dominant_tokens(spark, d):
-    return reports.dominant_tokens(p.turns_a(spark, d))
+    return reports.dominant_tokens(p.turns_a(spark, d)).withColumn("share", F.round("share", 9))
+
+
+def suspicious_tokens(spark, d):
+    return reports.suspicious_tokens(p.turns_a(spark, d))
+
+
+def top_short_texts(spark, d):
+    return reports.top_short_texts(p.word_blocks(spark, d))
 
 
 def rms_envelope(spark, d):
@@ -125,6 +133,23 @@ def offset_confidence(spark, d):
     return found.select(F.round("offset_s", 6).alias("offset_s"), F.round("confidence", 6).alias("confidence"), "weak")
 
 
+def _controls(spark, d):
+    return offset.control_report(p.envelope_pair(spark, d))
+
+
+def offset_controls(spark, d):
+    ratios = [F.round(c, 4).alias(c) for c in ("peak_over_rival", "peak_over_median")]
+    return _controls(spark, d).select("pair_id", F.round("offset_s", 6).alias("offset_s"), *ratios, *[F.round(c, 0).alias(c) for c in ("least", "most", "median", "deviation")])
+
+
+def offset_separation(spark, d):
+    return offset.separation(_controls(spark, d)).select("pair_id", *[F.round(c, 4).alias(c) for c in ("true", "null_min", "null_median", "null_max", "separation", "midpoint")])
+
+
+def offset_trials(spark, d):
+    return synthetic.offset_trials(spark)
+
+
 def cosine_matrix(spark, d):
     return match.cosine_matrix(*p.voices(spark, d)).select("speaker_a", "speaker_b", F.round("similarity", 6).alias("similarity"))
 
@@ -162,6 +187,14 @@ def merge_origin_mix(spark, d):
     return reports.origin_mix(merge.merge_turns(*_fusion(spark, d)))
 
 
+def cross_speaker_origins(spark, d):
+    return reports.cross_speaker_origins(merge.merge_turns(*_fusion(spark, d)))
+
+
+def cross_speaker_timing(spark, d):
+    return reports.cross_speaker_timing(merge.merge_turns(*_fusion(spark, d)))
+
+
 def guard_sweep(spark, d):
     return reports.guard_sweep(*_fusion(spark, d))
 
@@ -180,9 +213,11 @@ QUERIES = {
         media_filter, word_flatten, group_consecutive, relabel_speakers, format_timestamp, render_markdown, parse_blocks,
         align_overlap, align_nearest, align_words, repetition_loops, in_loop_blocks, backchannel_split, smooth_micro_turns,
         smoothing_report, cross_speaker_duplicates, redundancy_by_distance, top_duplicates, fragmentation, degeneration_within,
-        degeneration_docwide, dominant_tokens, rms_envelope, cross_correlation, offset_confidence, cosine_matrix, match_speakers,
-        shift_and_remap, merge_replacement, containment_consumed, gapfill_coverage, merge_turns, merge_origin_mix, guard_sweep,
+        degeneration_docwide, dominant_tokens, suspicious_tokens, top_short_texts, rms_envelope, cross_correlation, offset_confidence,
+        offset_controls, offset_separation, offset_trials, cosine_matrix, match_speakers, shift_and_remap, merge_replacement,
+        containment_consumed, gapfill_coverage, merge_turns, merge_origin_mix, cross_speaker_origins, cross_speaker_timing, guard_sweep,
         lossless_diff, smoothing_lossless,
     )
 }
-ORACLE_SQL = {name: ORACLE[name] for name in QUERIES}
+#: Assignments and synthetic trials have no SQL; tests hold them against brute force.
+ORACLE_SQL = {name: ORACLE[name] for name in QUERIES if name in ORACLE}

@@ -1,13 +1,14 @@
 """From words and diarization to transcripts: one recording at a time, or two of one meeting fused.
 
-Every function builds one lazy plan over all recordings of its tables; recordings are the partitions' key.
+Every function works on all recordings of its tables at once; recordings are the partitions' key.  What several later steps
+read is written to the shared folder first, so alignment and merge run once; close() of the result deletes these tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.align import align_words
@@ -18,8 +19,11 @@ from ..operators.merge import merge_turns, shift_and_remap
 from ..operators.offset import cross_correlation, offsets, rms_envelope_chunked
 from ..operators.render import render_markdown
 from ..operators.turns import group_consecutive, group_into_turns, relabel_speakers, smooth_micro_turns
+from ..sources.scratch import Scratch
 
 KEY = "recording"
+#: A floor of characters that no text reaches.
+NO_GUARD = 1_000_000_000
 
 
 @dataclass
@@ -28,6 +32,12 @@ class Transcript:
     markdown: DataFrame
     diagnostics: DataFrame
     offsets: DataFrame | None = None
+    scratch: Scratch | None = None
+
+    def close(self) -> None:
+        """Delete the intermediate tables; the frames cannot be read after that."""
+        if self.scratch is not None:
+            self.scratch.close()
 
 
 def loop_warnings(turns: DataFrame) -> DataFrame:
@@ -43,20 +53,30 @@ def duplicate_warnings(turns: DataFrame) -> DataFrame:
 
 
 def offset_notes(found: DataFrame) -> DataFrame:
-    severity = F.when(F.col("weak"), F.lit("warning")).otherwise(F.lit("info"))
-    said = F.format_string("offset %+.1f s, confidence %.2f", "offset_s", "confidence")
+    bad = F.col("error").isNotNull()
+    severity = F.when(bad, F.lit("error")).when(F.col("weak"), F.lit("warning")).otherwise(F.lit("info"))
+    said = F.when(bad, F.col("error")).otherwise(F.format_string("offset %+.1f s, confidence %.2f", "offset_s", "confidence"))
     return found.select(F.col("pair_id").alias(KEY), F.lit("offset").alias("kind"), severity.alias("severity"), said.alias("message"), F.lit(None).cast("double").alias("start"))
 
 
-def shown(diagnostics: DataFrame, k: int = 10) -> DataFrame:
-    """The first k messages by start, for a console; warnings never stop a run."""
-    return diagnostics.orderBy("start", KEY, "kind").limit(k)
+def shown(diagnostics: DataFrame, k: int = 10) -> list[str]:
+    """Lines for a console: of every kind the first k messages by start, and how many more there are; warnings never stop a run."""
+    order = Window.partitionBy("kind").orderBy("start", KEY, "message")
+    counts = {r["kind"]: r["n"] for r in diagnostics.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    rows = diagnostics.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).orderBy("kind", "_place").collect()
+    lines = []
+    for kind in dict.fromkeys(r["kind"] for r in rows):
+        lines += [f"{r['severity']}: {r[KEY]}: {r['message']}" for r in rows if r["kind"] == kind]
+        if counts[kind] > k:
+            lines.append(f"  ... and {counts[kind] - k} more")
+    return lines
 
 
 def transcribe_recordings(words: DataFrame, diarization: DataFrame, smooth: bool = False) -> Transcript:
     """align, group, smooth if asked, relabel, render."""
-    turns = group_into_turns(align_words(words, diarization), smooth)
-    return Transcript(turns, render_markdown(turns), loop_warnings(turns))
+    scratch = Scratch(words.sparkSession)
+    turns = scratch.settle(group_into_turns(align_words(words, diarization), smooth))
+    return Transcript(turns, render_markdown(turns), loop_warnings(turns), None, scratch)
 
 
 def envelopes(sounds: DataFrame, window_seconds: float = 0.1) -> DataFrame:
@@ -75,13 +95,31 @@ def fuse(tables: dict[str, DataFrame], envelope_rows: DataFrame, smooth: bool =
     Each side is aligned and grouped, b goes onto a's clock and labels, then merge, smooth if asked, relabel, and the
     warnings look at the relabelled turns.
     """
-    side = {s: group_consecutive(align_words(tables[f"words_{s}"], tables[f"diarization_{s}"])) for s in "ab"}
-    found = offsets(cross_correlation(envelope_rows))
-    names = inverted(match_speakers(tables["embeddings_a"], tables["embeddings_b"], KEY))
-    moved = shift_and_remap(side["b"], found.select(F.col("pair_id").alias(KEY), "offset_s"), names)
-    merged = merge_turns(side["a"], moved, **merge_options)
+    scratch = Scratch(envelope_rows.sparkSession)
+    found = offsets(scratch.settle(cross_correlation(envelope_rows)))
+    silent = tables["words_a"].select(F.col(KEY).alias("pair_id")).distinct().join(found, "pair_id", "left_anti")
+    none = [F.lit(None).cast(t).alias(c) for c, t in found.dtypes if c not in ("pair_id", "error")]
+    found = scratch.settle(found.unionByName(silent.select("pair_id", *none, F.lit("no sound to find the offset from").alias("error"))))
+    usable = found.where("error is null").select(F.col("pair_id").alias(KEY), "offset_s")
+    # a meeting without an offset is reported and left out, and does not stop the others
+    t = {name: df.join(usable.select(KEY), KEY, "left_semi") for name, df in tables.items() if KEY in df.columns}
+    side = {s: scratch.settle(group_consecutive(align_words(t[f"words_{s}"], t[f"diarization_{s}"]))) for s in "ab"}
+    names = inverted(match_speakers(t["embeddings_a"], t["embeddings_b"], KEY))
+    merged = merge_turns(side["a"], scratch.settle(shift_and_remap(side["b"], usable, names)), **merge_options)
     if smooth:
         merged = smooth_micro_turns(merged).drop("n_merged")
-    turns = relabel_speakers(merged)
+    turns = scratch.settle(relabel_speakers(merged))  # read by the rendering and by each kind of warning
     notes = offset_notes(found).unionByName(loop_warnings(turns)).unionByName(duplicate_warnings(turns))
-    return Transcript(turns, render_markdown(turns), notes, found)
+    return Transcript(turns, render_markdown(turns), notes, found, scratch)
+
+
+def render_capture(tables: dict[str, DataFrame], guard: bool = True) -> DataFrame:
+    """recording, markdown of a captured fusion (turns_a, turns_b, embeddings_a, embeddings_b, offsets), with or without the
+    containment guard."""
+    missing = {"turns_a", "turns_b", "embeddings_a", "embeddings_b", "offsets"} - set(tables)
+    if missing:
+        raise ValueError(f"the capture lacks {sorted(missing)}")
+    names = inverted(match_speakers(tables["embeddings_a"], tables["embeddings_b"], KEY))
+    moved = shift_and_remap(tables["turns_b"], tables["offsets"], names)
+    merged = merge_turns(tables["turns_a"], moved, **({} if guard else {"containment_min_chars": NO_GUARD}))
+    return render_markdown(relabel_speakers(merged))

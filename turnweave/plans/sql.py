@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions.text import BACKCHANNELS
-from ..sources.media import AUDIO, VIDEO
+from ..operators.reports import COMMON
+from ..sources.media import MEDIA
 
 _IN = lambda xs: "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
 
@@ -43,15 +44,15 @@ MERGE = TURNS_B + """, edges AS (
         FROM steps s JOIN lists l ON l.recording = s.recording AND l.speaker = s.speaker AND l.rn = s.rn + 1)
 ), picks AS (SELECT recording, a_idx, b_idx FROM steps WHERE b_idx IS NOT NULL),
 fires AS (
-  SELECT p.recording, s.turn_idx, abs(s.turn_idx - p.a_idx) AS step, length(""" + NORM.format("s.text") + """) AS n
+  SELECT p.recording, s.turn_idx, abs(s.turn_idx - p.a_idx) AS step, s.speaker = i.speaker AS same, length(""" + NORM.format("s.text") + """) AS n
   FROM picks p JOIN turns_a i ON i.recording = p.recording AND i.turn_idx = p.a_idx
   JOIN turns_b b ON b.recording = p.recording AND b.turn_idx = p.b_idx
-  JOIN turns_a s ON s.recording = p.recording AND s.turn_idx <> p.a_idx AND abs(s.turn_idx - p.a_idx) <= 4 AND s.speaker = i.speaker
+  JOIN turns_a s ON s.recording = p.recording AND s.turn_idx <> p.a_idx AND abs(s.turn_idx - p.a_idx) <= 4
   WHERE NOT EXISTS (SELECT 1 FROM picks q WHERE q.recording = s.recording AND q.a_idx = s.turn_idx)
     AND least(s."end", b."end") - greatest(s.start, b.start) > 0
     AND greatest(s.start - i."end", i.start - s."end", 0) <= 15
     AND contains(""" + NORM.format("b.text") + ", " + NORM.format("s.text") + """)
-), consumed AS (SELECT DISTINCT recording, turn_idx FROM fires WHERE step <= 2 AND n >= 20),
+), consumed AS (SELECT DISTINCT recording, turn_idx FROM fires WHERE same AND step <= 2 AND n >= 20),
 coverage AS (SELECT recording, b_idx, sum(overlap ORDER BY a_idx) AS total FROM edges GROUP BY recording, b_idx),
 fill AS (
   SELECT b.* FROM turns_b b LEFT JOIN coverage c ON c.recording = b.recording AND c.b_idx = b.turn_idx
@@ -107,32 +108,75 @@ m3 AS (SELECT *, sum(fresh) OVER (PARTITION BY recording ORDER BY turn_idx) AS r
 m4 AS (SELECT *, eligible AND row_number() OVER (PARTITION BY recording, run ORDER BY turn_idx) % 2 = 1 AS absorbed FROM m3),
 m5 AS (SELECT *, CASE WHEN absorbed OR coalesce(lag(absorbed) OVER (PARTITION BY recording ORDER BY turn_idx), false) THEN 0 ELSE 1 END AS opens FROM m4),
 m6 AS (SELECT *, sum(opens) OVER (PARTITION BY recording ORDER BY turn_idx) - 1 AS block FROM m5)"""
-BLOCKS = """b0 AS (SELECT doc_id, source AS speaker, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS norm FROM documents),
-blocks AS (
-  SELECT substr(norm, 1, 2) AS recording, row_number() OVER (PARTITION BY substr(norm, 1, 2) ORDER BY substr(norm, 1, 80), doc_id) - 1 AS turn_idx, speaker, substr(norm, 1, 600) AS norm FROM b0
-), pair AS (
-  SELECT x.recording, x.turn_idx AS i, y.turn_idx AS j, x.speaker AS si, y.speaker AS sj, x.norm AS a, y.norm AS b
-  FROM blocks x JOIN blocks y ON x.recording = y.recording AND y.turn_idx - x.turn_idx BETWEEN 1 AND 5
-), grams_a AS (SELECT recording, i, j, p, substr(a, p, 41) AS g FROM (SELECT *, unnest(range(1, length(a) - 39)) AS p FROM pair WHERE length(a) >= 41)),
-grams_b AS (SELECT recording, i, j, p, substr(b, p, 41) AS g FROM (SELECT *, unnest(range(1, length(b) - 39)) AS p FROM pair WHERE length(b) >= 41)),
-met AS (SELECT x.recording, x.i, x.j, x.p AS pa, x.p - y.p AS d FROM grams_a x JOIN grams_b y ON x.recording = y.recording AND x.i = y.i AND x.j = y.j AND x.g = y.g),
-isl AS (SELECT *, pa - row_number() OVER (PARTITION BY recording, i, j, d ORDER BY pa) AS island FROM met),
+SQUASH = "regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g')"
+#: Near-duplicate pairs of blocks (recording, turn_idx, speaker, start, norm): runs of equal 41-character windows on one diagonal.
+DUPLICATES = """pair AS (
+  SELECT x.recording, x.turn_idx AS i, y.turn_idx AS j, x.speaker AS si, y.speaker AS sj, x.start AS start, length(x.norm) AS la, length(y.norm) AS lb
+  FROM blocks x JOIN blocks y ON x.recording = y.recording AND y.turn_idx - x.turn_idx BETWEEN 1 AND 5 WHERE length(x.norm) >= 41 AND length(y.norm) >= 41
+), grams AS (SELECT recording, turn_idx, p, hash(substr(norm, p, 41)) AS g FROM (SELECT recording, turn_idx, norm, unnest(range(1, length(norm) - 39)) AS p FROM blocks WHERE length(norm) >= 41)),
+met AS (
+  SELECT q.recording, q.i, q.j, x.p AS pa, x.p - y.p AS d FROM pair q JOIN grams x ON x.recording = q.recording AND x.turn_idx = q.i
+  JOIN grams y ON y.recording = q.recording AND y.turn_idx = q.j AND y.g = x.g
+), isl AS (SELECT *, pa - row_number() OVER (PARTITION BY recording, i, j, d ORDER BY pa) AS island FROM met),
 longest AS (SELECT recording, i, j, max(n) + 40 AS shared_chars FROM (SELECT recording, i, j, d, island, count(*) AS n FROM isl GROUP BY ALL) GROUP BY ALL),
 dups AS (
-  SELECT recording, i, j, j - i AS distance, si AS first_speaker, sj AS second_speaker, si = sj AS same_speaker, CAST(i AS DOUBLE) AS start, CAST(shared_chars AS BIGINT) AS shared_chars
-  FROM longest JOIN pair USING (recording, i, j) WHERE shared_chars > 0.5 * least(length(a), length(b))
+  SELECT recording, i, j, j - i AS distance, si AS first_speaker, sj AS second_speaker, si = sj AS same_speaker, start, CAST(shared_chars AS BIGINT) AS shared_chars
+  FROM longest JOIN pair USING (recording, i, j) WHERE shared_chars > 0.5 * least(la, lb)
+)"""
+BLOCKS = f"""b0 AS (SELECT doc_id, source AS speaker, text, {SQUASH.format('text')} AS norm FROM documents),
+blocks AS (
+  SELECT *, CAST(turn_idx AS DOUBLE) AS start FROM (
+    SELECT substr(norm, 1, 2) AS recording, row_number() OVER (PARTITION BY substr(norm, 1, 2) ORDER BY substr(norm, 1, 80), doc_id) - 1 AS turn_idx, speaker, text, norm FROM b0
+  )
+), {DUPLICATES}"""
+#: Cross-speaker pairs without blocks that start inside a run of ten equal tokens or more.
+CROSS = BLOCKS + """, toks AS (
+  SELECT recording, turn_idx, start, pos, trim(lower(w), '.,?!"''') AS token FROM (
+    SELECT recording, turn_idx, start, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos FROM (
+      SELECT recording, turn_idx, start, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM blocks))
+), t1 AS (SELECT *, CASE WHEN token = lag(token) OVER (PARTITION BY recording ORDER BY turn_idx, pos) THEN 0 ELSE 1 END AS fresh FROM toks),
+t2 AS (SELECT *, sum(fresh) OVER (PARTITION BY recording ORDER BY turn_idx, pos) AS run FROM t1),
+loops AS (SELECT recording, min(start) AS s, max(start) AS e FROM t2 WHERE token <> '' GROUP BY recording, run HAVING count(*) >= 10),
+looped AS (SELECT DISTINCT b.recording, b.turn_idx FROM blocks b JOIN loops l ON l.recording = b.recording AND b.start BETWEEN l.s AND l.e),
+crossed AS (
+  SELECT * FROM dups d WHERE NOT same_speaker AND NOT EXISTS (SELECT 1 FROM looped l WHERE l.recording = d.recording AND l.turn_idx IN (d.i, d.j))
 )"""
 ENVELOPE = """samples AS (
   SELECT 'a' AS side, event_id AS k, value FROM events
-  UNION ALL SELECT 'b', event_id - 2000, value * CAST(0.3 AS DOUBLE) + CAST(0.5 AS DOUBLE) FROM events WHERE event_id BETWEEN 2000 AND 5999
+  UNION ALL SELECT 'b', event_id + 2000, value * CAST(0.3 AS DOUBLE) + CAST(0.5 AS DOUBLE) FROM events
+  UNION ALL SELECT 'b', r, CAST(0.5 AS DOUBLE) FROM (SELECT unnest(range(0, 2000)) AS r)
 ), env AS (SELECT side, k // 10 AS win_idx, sqrt(avg(value * value)) AS rms FROM samples GROUP BY side, k // 10 HAVING count(*) = 10)"""
 CORRELATION = ENVELOPE + """, centred AS (SELECT side, win_idx, rms - avg(rms) OVER (PARTITION BY side) AS x, count(*) OVER (PARTITION BY side) AS n FROM env),
 corr AS (
   SELECT a.win_idx - b.win_idx AS lag, sum(a.x * b.x) AS corr, count(*) AS overlap, least(any_value(a.n), any_value(b.n)) AS n_min
   FROM centred a JOIN centred b ON a.side = 'a' AND b.side = 'b' GROUP BY a.win_idx - b.win_idx
 )"""
+
+
+def _noise(k: str, salt: int) -> str:
+    x = f"(({k} * 2654435769 + {salt}) % 4294967296)"
+    for shift in (15, 13):
+        x = f"((xor({x}, {x} >> {shift}) * 1103515245 + 12345) % 4294967296)"
+    return f"((CAST(xor({x}, {x} >> 16) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE))"
+
+
+CONTROLS = ENVELOPE + f""", e AS (SELECT side, win_idx AS k, rms, count(*) OVER (PARTITION BY side) AS n, stddev_pop(rms) OVER (PARTITION BY side) AS dev FROM env),
+cases AS (
+  SELECT 'pair' AS pair_id, side, k, rms FROM e
+  UNION ALL SELECT 'pair/first half, second half', side, CASE side WHEN 'a' THEN k ELSE k - n // 2 END, rms FROM e WHERE CASE side WHEN 'a' THEN k < n // 2 ELSE k >= n // 2 END
+  UNION ALL SELECT 'pair/second half, first half', side, CASE side WHEN 'b' THEN k ELSE k - n // 2 END, rms FROM e WHERE CASE side WHEN 'b' THEN k < n // 2 ELSE k >= n // 2 END
+  UNION ALL SELECT 'pair/' || c, 'a', k, rms FROM e, (SELECT unnest(['shuffled', 'reversed', 'noise']) AS c) WHERE side = 'a'
+  UNION ALL SELECT 'pair/shuffled', 'b', row_number() OVER (ORDER BY {_noise('k', 7)}, k) - 1, rms FROM e WHERE side = 'b'
+  UNION ALL SELECT 'pair/reversed', 'b', n - 1 - k, rms FROM e WHERE side = 'b'
+  UNION ALL SELECT 'pair/noise', 'b', k, abs(sqrt(-2 * ln({_noise('k', 8)})) * cos(2 * pi() * {_noise('k', 9)}) * dev) FROM e WHERE side = 'b'
+), products AS (
+  SELECT a.pair_id, a.k - b.k AS lag, sum(a.rms * b.rms) AS corr FROM cases a JOIN cases b ON a.pair_id = b.pair_id AND a.side = 'a' AND b.side = 'b' GROUP BY a.pair_id, a.k - b.k
+), peaks AS (
+  SELECT pair_id, arg_max(lag, struct_pack(c := corr, l := -lag)) AS lag0, max(corr) AS most, min(corr) AS least, quantile_cont(corr, 0.5) AS median, stddev_pop(corr) AS deviation FROM products GROUP BY pair_id
+), rivals AS (SELECT pair_id, max(corr) AS rival FROM products JOIN peaks USING (pair_id) WHERE abs(lag - lag0) > 50 GROUP BY pair_id),
+metrics AS (SELECT pair_id, lag0 * CAST(0.1 AS DOUBLE) AS offset_s, most / rival AS peak_over_rival, most / median AS peak_over_median, least, most, median, deviation FROM peaks LEFT JOIN rivals USING (pair_id))"""
 VOICES = """parts AS (
-  SELECT CAST(label AS BIGINT) AS label, vec_id % 2 AS side, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings WHERE label < 6
+  SELECT CAST(label AS BIGINT) AS label, vec_id % 2 AS side, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings WHERE label IS NOT NULL
 ), means AS (SELECT side, label, k, avg(CAST(x AS DOUBLE)) AS x FROM parts GROUP BY side, label, k),
 norms AS (SELECT side, label, sqrt(sum(x * x)) AS n FROM means GROUP BY side, label),
 sim AS (
@@ -142,12 +186,15 @@ sim AS (
 )"""
 _TURN_ROWS = 'recording, turn_idx, speaker, round(start, 6) AS start, round("end", 6) AS "end", text, round(confidence, 6) AS confidence'
 _BAG = "unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> ''))"
-_TOKENS = "documents_words AS (SELECT trim(lower(w), '.,?!\"''') AS token FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM conversations)), tokens AS (SELECT token FROM documents_words WHERE token <> '')"
-_PERM = " JOIN ".join(f"sim s{k}" + (f" ON s{k}.i = {k} AND " + " AND ".join(f"s{k}.j <> s{m}.j" for m in range(k)) if k else "") for k in range(6))
+_TOKENS = """raw AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations),
+spoken AS (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos FROM raw),
+tokens AS (SELECT conv_id, turn, pos, trim(lower(w), '.,?!"''') AS token FROM spoken),
+counted AS (SELECT token, count(*) AS n, min(struct_pack(a := conv_id, b := turn, c := pos)) AS f FROM tokens GROUP BY token),
+top AS (SELECT token, n, n / (SELECT count(*) FROM tokens) AS share FROM counted ORDER BY n DESC, f LIMIT 40)"""
 
 ORACLE: dict[str, str] = {
     "media_filter": f"""SELECT page_id, path FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '/a.MP3' WHEN 1 THEN '/b.mov' WHEN 2 THEN '/c.txt' ELSE '' END AS path FROM pages)
-      WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN {_IN(AUDIO + VIDEO)}""",
+      WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN {_IN(MEDIA)}""",
     "word_flatten": f'WITH {WORDS} SELECT recording, word_idx, word, start, "end" FROM words',
     "group_consecutive": f"""WITH {RUNS} SELECT recording, CAST(run - 1 AS BIGINT) AS turn_idx, min(speaker) AS speaker, min(start) AS start, max(start) + 1 AS "end",
       string_agg(speaker, ' ' ORDER BY turn_idx) AS text, round(avg(confidence), 6) AS confidence FROM r1 GROUP BY recording, run""",
@@ -161,8 +208,7 @@ ORACLE: dict[str, str] = {
     "align_words": f"WITH {ALIGN} SELECT recording, word_idx, speaker FROM best WHERE (most > 0 AND by_overlap = 1) OR (most <= 0 AND by_distance = 1)",
     "repetition_loops": f'WITH {RUNS} SELECT recording, token, n AS "count", start, "end" FROM runs WHERE n >= 4',
     "in_loop_blocks": f'WITH {RUNS} SELECT recording, turn_idx FROM et t WHERE EXISTS (SELECT 1 FROM runs r WHERE r.n >= 4 AND r.recording = t.recording AND t.start BETWEEN r.start AND r."end")',
-    "backchannel_split": f"""WITH short AS (SELECT lang, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:2] AS ws, doc_id FROM documents),
-      t AS (SELECT lang, CASE doc_id % 4 WHEN 0 THEN 'Yeah, yeah' WHEN 1 THEN 'mm-hmm' WHEN 2 THEN 'No.' ELSE array_to_string(ws, ' ') END AS text FROM short)
+    "backchannel_split": f"""WITH t AS (SELECT lang, text FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 2)
       SELECT lang AS recording, count(*) AS short, count(*) FILTER (WHERE regexp_replace(lower(text), '[^a-z-]', '', 'g') IN {_IN(BACKCHANNELS)}) AS squashed,
         count(*) FILTER (WHERE len(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z-]', '', 'g')), lambda x: x <> '')) > 0
           AND len(list_filter(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z-]', '', 'g')), lambda x: x <> ''), lambda x: x NOT IN {_IN(BACKCHANNELS)})) = 0) AS by_word
@@ -173,35 +219,48 @@ ORACLE: dict[str, str] = {
       g1 AS (SELECT *, sum(nw) OVER (PARTITION BY recording ORDER BY turn_idx) AS g FROM g0), g2 AS (SELECT recording, min(start) AS s, max(start) AS e FROM g1 GROUP BY recording, g HAVING count(*) >= 4)
       SELECT recording, count(*) AS turns, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE absorbed) AS absorbed,
         count(*) FILTER (WHERE eligible AND EXISTS (SELECT 1 FROM g2 WHERE g2.recording = g1.recording AND g1.start BETWEEN g2.s AND g2.e)) AS eligible_in_loops FROM g1 GROUP BY recording""",
-    "cross_speaker_duplicates": f"WITH {BLOCKS} SELECT recording, i, j, distance, first_speaker, second_speaker, start, shared_chars FROM dups WHERE NOT same_speaker",
+    "cross_speaker_duplicates": f"WITH {CROSS} SELECT recording, i, j, distance, first_speaker, second_speaker, start, shared_chars FROM crossed",
     "redundancy_by_distance": f"WITH {BLOCKS} SELECT distance, same_speaker, count(*) AS n FROM dups GROUP BY ALL",
-    "top_duplicates": f"WITH {BLOCKS} SELECT recording, i, j, distance, start, shared_chars FROM dups WHERE NOT same_speaker ORDER BY start, recording, distance, i LIMIT 10",
+    "top_duplicates": f"WITH {CROSS} SELECT recording, i, j, distance, start, shared_chars, greatest(0, (SELECT count(*) FROM crossed) - 10) AS n_more FROM crossed ORDER BY start, recording, distance, i LIMIT 10",
     "fragmentation": f"""WITH {TURNS_A}, t AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n, lag(speaker) OVER w AS before, lead(speaker) OVER w AS after FROM turns_a WINDOW w AS (PARTITION BY recording ORDER BY turn_idx))
       SELECT recording, count(*) AS blocks, count(*) FILTER (WHERE n <= 1) AS le_1, count(*) FILTER (WHERE n <= 2) AS le_2, count(*) FILTER (WHERE n <= 3) AS le_3, count(*) FILTER (WHERE n <= 5) AS le_5,
         CAST(sum(n) AS BIGINT) AS words, CAST(sum(CASE WHEN n <= 2 THEN n ELSE 0 END) AS BIGINT) AS words_in_le_2, count(*) FILTER (WHERE n <= 2 AND before = after) AS sandwiched, count(*) FILTER (WHERE before = speaker) AS same_as_before FROM t GROUP BY recording""",
     "degeneration_within": f"""WITH d AS (SELECT lang AS recording, doc_id AS turn_idx, regexp_split_to_array(text, '\\s+') AS ws FROM documents),
       w AS (SELECT recording, turn_idx, trim(lower(unnest(ws)), '.,?!') AS t, unnest(range(0, len(ws))) AS pos FROM d),
       l AS (SELECT *, lag(t, 1) OVER o AS a, lag(t, 2) OVER o AS b, lag(t, 3) OVER o AS c FROM w WINDOW o AS (PARTITION BY recording, turn_idx ORDER BY pos))
-      SELECT DISTINCT recording, turn_idx FROM l WHERE t = a AND t = b AND t = c""",
+      SELECT DISTINCT recording, turn_idx FROM l WHERE t = a AND t = b AND t = c AND t <> ''""",
     "degeneration_docwide": f'WITH {RUNS} SELECT recording, token, n AS "count", start, "end" FROM runs WHERE n >= 4 ORDER BY n DESC, recording, first_turn, token LIMIT 6',
-    "dominant_tokens": f"WITH {_TOKENS} SELECT token, count(*) AS n FROM tokens GROUP BY token ORDER BY n DESC, token LIMIT 40",
+    "dominant_tokens": f"WITH {_TOKENS} SELECT token, n, round(share, 9) AS share FROM top",
+    "suspicious_tokens": f"WITH {_TOKENS} SELECT token, n FROM top WHERE n > 50 AND token NOT IN {_IN(COMMON)}",
+    "top_short_texts": f"""WITH {WORDS}, k AS (SELECT recording, word_idx, regexp_replace(lower(word), '[^a-z-]', '', 'g') AS token FROM words),
+      g AS (SELECT token IN {_IN(BACKCHANNELS)} AS backchannel, token, count(*) AS n, min(struct_pack(a := recording, b := word_idx)) AS f FROM k GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY backchannel ORDER BY n DESC, f) AS place FROM g)
+      SELECT backchannel, CAST(place AS INTEGER) AS place, token, n FROM r WHERE place <= 8""",
     "rms_envelope": f"WITH {ENVELOPE} SELECT side, win_idx, round(rms, 6) AS rms FROM env",
     "cross_correlation": f"WITH {CORRELATION} SELECT lag, round(corr, 2) AS corr, overlap FROM corr",
     "offset_confidence": f"""WITH {CORRELATION}, usable AS (SELECT * FROM corr WHERE overlap >= 0.5 * n_min), peak AS (SELECT lag AS p, corr AS c FROM usable ORDER BY corr DESC, lag LIMIT 1),
       rival AS (SELECT max(corr) AS r FROM usable, peak WHERE abs(lag - p) > 50)
       SELECT round(p * CAST(0.1 AS DOUBLE), 6) AS offset_s, round(CASE WHEN r > 0 THEN c / r ELSE 0 END, 6) AS confidence, CASE WHEN r > 0 THEN c / r ELSE 0 END < 1.2 AS weak FROM peak, rival""",
     "cosine_matrix": f"WITH {VOICES} SELECT 'S' || i AS speaker_a, 'S' || j AS speaker_b, round(similarity, 6) AS similarity FROM sim",
-    "match_speakers": f"""WITH {VOICES}, best AS (SELECT [s0.j, s1.j, s2.j, s3.j, s4.j, s5.j] AS js FROM {_PERM} WHERE s0.i = 0
-      ORDER BY s0.similarity + s1.similarity + s2.similarity + s3.similarity + s4.similarity + s5.similarity DESC LIMIT 1)
-      SELECT 'S' || unnest(range(0, 6)) AS speaker_a, 'S' || unnest(js) AS speaker_b FROM best""",
+    "offset_controls": f"WITH {CONTROLS} SELECT pair_id, round(offset_s, 6) AS offset_s, round(peak_over_rival, 4) AS peak_over_rival, round(peak_over_median, 4) AS peak_over_median, round(least, 0) AS least, round(most, 0) AS most, round(median, 0) AS median, round(deviation, 0) AS deviation FROM metrics",
+    "offset_separation": f"""WITH {CONTROLS}, g AS (SELECT 'pair' AS pair_id, max(peak_over_rival) FILTER (WHERE pair_id = 'pair') AS t, min(peak_over_rival) FILTER (WHERE pair_id <> 'pair') AS lo,
+        quantile_cont(peak_over_rival, 0.5) FILTER (WHERE pair_id <> 'pair') AS mid, max(peak_over_rival) FILTER (WHERE pair_id <> 'pair') AS hi FROM metrics)
+      SELECT pair_id, round(t, 4) AS "true", round(lo, 4) AS null_min, round(mid, 4) AS null_median, round(hi, 4) AS null_max, round(t / hi, 4) AS separation, round((t + hi) / 2, 4) AS midpoint FROM g""",
     "shift_and_remap": f"WITH {TURNS_B} SELECT {_TURN_ROWS} FROM turns_b",
     "merge_replacement": f"WITH RECURSIVE {MERGE} SELECT recording, a_idx, b_idx FROM picks",
     "containment_consumed": f"WITH RECURSIVE {MERGE} SELECT recording, turn_idx FROM consumed",
     "gapfill_coverage": f"WITH RECURSIVE {MERGE} SELECT {_TURN_ROWS} FROM fill",
     "merge_turns": f"WITH RECURSIVE {MERGE} SELECT {_TURN_ROWS}, origin FROM merged",
     "merge_origin_mix": f"WITH RECURSIVE {MERGE} SELECT origin, count(*) AS n FROM merged GROUP BY origin",
-    "guard_sweep": f"""WITH RECURSIVE {MERGE} SELECT r AS radius, f AS min_chars, (SELECT count(*) FROM (SELECT DISTINCT recording, turn_idx FROM fires WHERE step <= r AND n >= f)) AS fires
-      FROM (SELECT unnest([1, 2, 3, 4]) AS r), (SELECT unnest([0, 8, 20, 40]) AS f)""",
+    "cross_speaker_origins": f"""WITH RECURSIVE {MERGE}, blocks AS (SELECT *, {SQUASH.format('text')} AS norm FROM merged), {DUPLICATES}
+      SELECT least(x.origin, y.origin) || ' + ' || greatest(x.origin, y.origin) AS origins, count(*) AS n FROM dups d JOIN merged x ON x.recording = d.recording AND x.turn_idx = d.i
+      JOIN merged y ON y.recording = d.recording AND y.turn_idx = d.j WHERE NOT same_speaker GROUP BY ALL""",
+    "cross_speaker_timing": f"""WITH RECURSIVE {MERGE}, blocks AS (SELECT *, {SQUASH.format('text')} AS norm FROM merged), {DUPLICATES},
+      gaps AS (SELECT greatest(0, greatest(x.start, y.start) - least(x."end", y."end")) AS gap FROM dups d JOIN merged x ON x.recording = d.recording AND x.turn_idx = d.i
+        JOIN merged y ON y.recording = d.recording AND y.turn_idx = d.j WHERE NOT same_speaker)
+      SELECT count(*) FILTER (WHERE gap = 0) AS same_time, count(*) FILTER (WHERE gap > 0) AS different_time FROM gaps""",
+    "guard_sweep": f"""WITH RECURSIVE {MERGE} SELECT r AS radius, f AS min_chars, count(n) FILTER (WHERE same) AS same_fires, count(n) FILTER (WHERE NOT same) AS cross_fires, CAST(coalesce(sum(n) FILTER (WHERE same), 0) AS BIGINT) AS chars
+      FROM (SELECT unnest([1, 2, 3, 4]) AS r) CROSS JOIN (SELECT unnest([0, 8, 20, 40]) AS f) LEFT JOIN fires ON step <= r AND n >= f AND n > 0 GROUP BY r, f""",
     "lossless_diff": f"""WITH RECURSIVE {MERGE}, gone AS (SELECT text FROM turns_a JOIN consumed USING (recording, turn_idx)), ga AS (SELECT word, count(*) AS n FROM (SELECT {_BAG} AS word FROM gone) GROUP BY word),
       left_over AS (SELECT DISTINCT word FROM (SELECT {_BAG} AS word FROM merged)) SELECT word, n AS removed, CAST(0 AS BIGINT) AS added, word NOT IN (SELECT word FROM left_over) AS lost FROM ga""",
     "smoothing_lossless": f"""WITH {SMOOTH}, after AS (SELECT string_agg(text, ' ' ORDER BY turn_idx) AS text FROM m6 GROUP BY recording, block),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +17,36 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return parse_blocks(files.select(stem(F.input_file_name()).alias("recording"), F.col("value").alias("markdown")))
 
 
-def write_transcripts(rendered: DataFrame, folder: str, suffix: str = ".md", allow_empty: bool = False) -> None:
-    """<recording><suffix> below a shared folder for each row (recording, markdown), written by the tasks.
+def write_transcripts(rendered: DataFrame, folder: str, suffix: str = ".md", allow_empty: bool = False, expected: DataFrame | None = None) -> list[str]:
+    """<recording><suffix> below folder, which may lie in any of Hadoop's file systems; returns recordings without speech.
 
-    A recording without turns has no rows; a row of nothing but a line end is an error unless allow_empty.
+    Rows are (recording, markdown).  Tasks write one file for each recording, and the driver only renames them.  A recording
+    of nothing but a line end, or one that is only in expected (recording), has no speech and gets no file, unless
+    allow_empty.  Names that are no file names fail.
     """
-    os.makedirs(folder, exist_ok=True)
-
-    def write(rows):
-        for r in rows:
-            if not allow_empty and not r["markdown"].strip():
-                raise ValueError(f"no speech found in {r['recording']}")
-            with open(os.path.join(folder, f"{r['recording']}{suffix}"), "w", encoding="utf-8") as f:
-                f.write(r["markdown"])
-
-    rendered.select("recording", "markdown").foreachPartition(write)
+    spark = rendered.sparkSession
+    rows = rendered.select("recording", "markdown")
+    if expected is not None:
+        rows = expected.select("recording").distinct().join(rows, "recording", "left")
+    text = F.coalesce(F.regexp_replace("markdown", r"\n$", ""), F.lit(""))
+    rows = rows.select("recording", F.when(F.col("recording").rlike(r"^[^/\x00]+$"), text).otherwise(F.raise_error(F.concat(F.lit("not a file name: "), F.coalesce("recording", F.lit("null")))).cast("string")).alias("value")).persist()
+    silent = [] if allow_empty else sorted(r["recording"] for r in rows.where(F.trim("value") == "").select("recording").collect())
+    written = rows if allow_empty else rows.where(F.trim("value") != "")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(root)
+    parts = path(root, f"_writing-{uuid.uuid4().hex}")
+    try:
+        written.write.partitionBy("recording").text(parts.toString(), lineSep="\n")
+        for own in files.listStatus(parts):
+            name = own.getPath().getName()
+            if name.startswith("recording="):
+                place = path(root, unquote(name.removeprefix("recording=")) + suffix)
+                files.delete(place, False)
+                for file in files.listStatus(own.getPath()):
+                    files.rename(file.getPath(), place)
+    finally:
+        files.delete(parts, True)
+        rows.unpersist()
+    return silent

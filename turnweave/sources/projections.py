@@ -61,6 +61,25 @@ def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(KEY, "word_idx", "word", seconds(F.col("s")).alias("start"), seconds(end).alias("end"), F.lit(0.5).alias("probability"))
 
 
+def recogniser_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spoken words as a recogniser returns them: recording, segments with their words; a turn is a segment."""
+    t = conversation_cents(spark, sf_dir).select(KEY, "turn_idx", "text", "s", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    before = F.sum(F.length("word") + 1).over(Window.partitionBy(KEY, "turn_idx").orderBy("pos")) - F.length("word") - 1
+    index = F.row_number().over(Window.partitionBy(KEY).orderBy("turn_idx", "pos")) - 1
+    start = F.col("s") + 6 * before
+    w = t.withColumns({"s": start, "e": F.when(index % 13 == 0, start).otherwise(start + 6 * F.length("word"))})
+    word = F.struct("word", seconds(F.col("s")).alias("start"), seconds(F.col("e")).alias("end"), F.lit(0.5).alias("probability"))
+    in_order = lambda c, key: F.transform(F.array_sort(F.collect_list(F.struct(key, c))), lambda x: x["_x"])
+    segments = w.withColumn("_x", word).groupBy(KEY, "turn_idx").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("text").alias("text"), in_order("_x", "pos").alias("words"))
+    segment = F.struct(seconds(F.col("s")).alias("start"), seconds(F.col("e")).alias("end"), "text", "words")
+    return segments.withColumn("_x", segment).groupBy(KEY).agg(in_order("_x", "turn_idx").alias("segments"))
+
+
+def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spoken word as a block of its own."""
+    return spoken_words(spark, sf_dir).select(KEY, F.col("word_idx").alias("turn_idx"), F.col("word").alias("text"))
+
+
 def diarized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the diarizer: a third of a second late, and some missing."""
     c = conversation_cents(spark, sf_dir).where(F.col("turn_idx") % 5 != 4)

@@ -7,6 +7,7 @@ stored JSON, so everything after this module is the same for live and for stored
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable
 from typing import Protocol
 
@@ -24,7 +25,9 @@ class DiarizationError(RuntimeError):
 
 
 class Transcriber(Protocol):
-    def __call__(self, path: str) -> dict: ...
+    """Options: initial_prompt, verbose, word_timestamps, and language only if one was asked for."""
+
+    def __call__(self, path: str, **options) -> dict: ...
 
 
 class Diarizer(Protocol):
@@ -45,8 +48,26 @@ def flatten_words(results: DataFrame) -> DataFrame:
     return w.select(KEY, index.alias("word_idx"), "word.word", "word.start", "word.end", "word.probability")
 
 
-def transcribe(files: DataFrame, make: Callable[[], Transcriber]) -> DataFrame:
+def load_diarizer(load: Callable[[str], Diarizer], token: str | None, looked_in: tuple[str, ...] = (), move: Callable[[Diarizer], None] | None = None) -> Diarizer:
+    """load(token), with errors that say what to do; move, to a faster device, may fail and then only warns."""
+    if not token:
+        raise RuntimeError(f"no credential for the diarization model; looked in {', '.join(looked_in) or 'the environment'}. The model's terms must be accepted too")
+    try:
+        model = load(token)
+    except Exception as problem:
+        causes = "the credential is invalid or expired; the model's terms are not accepted; there is no network for the first download; the download is damaged"
+        raise RuntimeError(f"the diarization model cannot be loaded. Common causes: {causes}. Underlying error ({type(problem).__name__}): {problem}") from problem
+    if move is not None:
+        try:
+            move(model)
+        except Exception as problem:  # noqa: BLE001  the model works where it is
+            print(f"warning: the diarization model stays on the CPU: {problem}", file=sys.stderr)
+    return model
+
+
+def transcribe(files: DataFrame, make: Callable[[], Transcriber], language: str | None = "en", initial_prompt: str | None = None, verbose: bool | None = None, word_timestamps: bool = True) -> DataFrame:
     """recording, segments, error; make() runs once for each Python worker's batch stream, on the executor."""
+    options = {"initial_prompt": initial_prompt, "verbose": verbose, "word_timestamps": word_timestamps} | ({} if language is None else {"language": language})
 
     def run(batches):
         model = make()
@@ -54,7 +75,7 @@ def transcribe(files: DataFrame, make: Callable[[], Transcriber]) -> DataFrame:
             rows = []
             for recording, path in zip(pdf[KEY], pdf.path, strict=True):
                 try:
-                    rows.append((recording, json.dumps({"segments": model(path)["segments"]}), None))
+                    rows.append((recording, json.dumps({"segments": model(path, **options)["segments"]}), None))
                 except Exception as problem:  # noqa: BLE001  one recording's failure is a row, not the batch's end
                     rows.append((recording, None, f"{type(problem).__name__}: {problem}"))
             yield pd.DataFrame(rows, columns=[KEY, "json", "error"])

@@ -1,4 +1,8 @@
-"""WAV files as a Spark data source: spark.read.format("wav").load(path) after register()."""
+"""WAV files as a Spark data source: spark.read.format("wav").load(path) after register().
+
+A row holds CHUNK_WINDOWS windows of samples of the first channel, with the index of its first sample, so a row's size
+does not grow with the recording.  Files are opened by the tasks: the folder must be mounted on all machines.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,10 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.offset import WINDOW_SECONDS
+
+CHUNK_WINDOWS = 300
+
 
 class WavPartition(InputPartition):
     def __init__(self, path: str):
@@ -28,8 +36,12 @@ class WavReader(DataSourceReader):
         with wave.open(partition.path, "rb") as f:
             if f.getsampwidth() != 2:
                 raise ValueError(f"{partition.path}: only 16-bit samples are read")
-            samples = np.frombuffer(f.readframes(f.getnframes()), dtype="<i2").reshape(-1, f.getnchannels())[:, 0]
-            yield os.path.splitext(os.path.basename(partition.path))[0], f.getframerate(), samples.tolist()
+            rate, name, start = f.getframerate(), os.path.splitext(os.path.basename(partition.path))[0], 0
+            chunk = CHUNK_WINDOWS * max(1, int(rate * WINDOW_SECONDS))
+            while frames := f.readframes(chunk):
+                samples = np.frombuffer(frames, dtype="<i2").reshape(-1, f.getnchannels())[:, 0]
+                yield name, rate, start, samples.tolist()
+                start += len(samples)
 
 
 class WavDataSource(DataSource):
@@ -38,7 +50,7 @@ class WavDataSource(DataSource):
         return "wav"
 
     def schema(self) -> str:
-        return "recording string, rate int, samples array<int>"
+        return "recording string, rate int, start long, samples array<int>"
 
     def reader(self, schema) -> WavReader:
         return WavReader(self.options["path"])
