@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.llm.bpe import encode_documents
-from turnweave.llm.common import materialize, table
-from turnweave.llm.decontaminate import find_items
+from turnweave.llm.common import forget, materialize, table
+from turnweave.llm.decontaminate import drop_leaks
 from turnweave.llm.near_dup import near_duplicates
 from turnweave.llm.substring import remove_repeats
 from turnweave.llm.toxicity import THRESHOLD, keep_below, train_toxicity, training_fold
@@ -30,17 +30,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; passages of 50 words or more that occur in an earlier document are cut out."""
-    cut = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_cut"))
-    text = F.coalesce("_cut", "text")
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
-    return joined.withColumns({"text": text, "n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast("long")}).select(*docs.columns)
+    """All rows; passages of 50 words or more that occur in an earlier document are cut out."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = remove_repeats(docs, carry=others)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs within its budget of edits."""
-    leaked = find_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+    """Rows in whose text no benchmark item occurs within its budget of edits; null texts stay."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's table is deleted when the next is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        after = materialize(stage(spark, docs, sf_dir))
+        if k:
+            forget(docs)
+        docs = after
     return docs
