@@ -294,3 +294,28 @@ def test_html_copies_of_unmarked_pages_keep_their_text(spark):
     rows = [(1, "http://u.org/a?q=1", page.format("same")), (2, "http://u.org/a?q=2", page.format("same")), (3, "http://u.org/b", page.format("other"))]
     got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages(spark, rows)).collect()}
     assert got == {1: "same", 2: "same", 3: "other"}
+
+
+def test_links_in_a_crowd_of_unlike_members(spark, monkeypatch):
+    """All members share a template (similarity 0.69): every link is found, and most unlike pairs stop at their signatures."""
+    rng = random.Random(31)
+    template = [f"t{i}" for i in range(82)]
+    rows, linked = [], {}
+    for k in range(1000):
+        own = [f"o{k}-{i}" for i in range(18)]
+        rows.append((k, " ".join(template + own)))
+        if k % 20 == 0:
+            rows.append((5000 + k, " ".join(template + own[:-2] + [f"p{k}", f"q{k}"])))
+            linked[5000 + k] = k
+    rng.shuffle(rows)
+    one, other = (brute.shingles(t, 4) for d, t in rows if d in (1, 2))
+    assert 0.68 < len(one & other) / len(one | other) < 0.7
+    tested = []
+    crossing = near_dup.crossing_pairs
+    monkeypatch.setattr(near_dup, "crossing_pairs", lambda *args: tested.append(crossing(*args)) or tested[-1])
+    counted = []
+    confirm = near_dup.confirm
+    monkeypatch.setattr(near_dup, "confirm", lambda pairs, *args: counted.append(pairs.count()) or confirm(pairs, *args))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows), size=4).collect()}
+    assert got == {d: linked.get(d, d) for d, _ in rows}
+    assert len(tested) == 1 and sum(counted) < len(rows) ** 2 / 2 / 4

@@ -10,9 +10,9 @@ First each member of a bucket is tested against the bucket's center, the node th
 (of a text and its copies, the text), and components are formed.  That is one pair for each member, and it settles
 copies of any number.  Then members whose component is not that of the most of their bucket are tested against the bucket's
 nodes in other components, so that no link between two components is lost.  These tests are signature comparisons inside
-a join that is salted, so that no task holds a bucket; only pairs that pass leave it, never all pairs.  In a bucket whose
-members are all unlike one another their number still grows with the square of the bucket, as every exact
-answer near the threshold must; only the rows do not.
+a join that is salted, so that no task holds a bucket, and only pairs that pass leave it.  In a bucket whose members are
+all unlike one another the number of tests grows with the square of the bucket, and so does that of the pairs that pass if
+the members are just under the threshold: one pair in four at similarity 0.69, one in 100 at 0.65, one in 260,000 at 0.6.
 
 Components come from alternating large-star and small-star until nothing changes; each half step is written to the
 shared folder.  What is joined on a key with many rows is written first, so that Spark can split the join's large tasks.

@@ -38,6 +38,8 @@ END_ID = 2
 #: MAX_IDS ids.
 WINDOW, MASK_BITS, MIN_IDS, MAX_IDS = 8, 10, 256, 8192
 _BASE = 0x9E3779B97F4A7C15
+#: Words remembered by one worker.
+WORDS_KEPT = 800_000
 #: Words of one row that the library is asked for.
 ROW_WORDS = 2000
 
@@ -57,7 +59,7 @@ class LibraryEncoder(SpacedEncoder):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        super().__init__(sorted(t.content for t in self.library.get_added_tokens_decoder().values()))
+        super().__init__(sorted(t.content for t in self.library.get_added_tokens_decoder().values()), WORDS_KEPT)
         self.cuttable = cuts_at_spaces(json.loads(self.library.to_str()))
         if self.cuttable:
             alphabet = byte_alphabet()
