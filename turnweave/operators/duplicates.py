@@ -78,8 +78,12 @@ def longest_shared(a: Windows, b: Windows, least: int) -> int:
     return low
 
 
+PAIR = "i {turn}, j {turn}, shared_chars long, first_speaker string, second_speaker string, start double, start_j double, length_i long, length_j long"
+
+
 def shared_substrings(blocks: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, cross_speaker: bool = True) -> DataFrame:
-    """recording, i, j, shared_chars (over min_chars) of pairs of blocks (turn_idx, speaker, norm) up to max_distance apart.
+    """Pairs (recording, i, j) of blocks (turn_idx, speaker, start, norm) up to max_distance apart whose longest common substring
+    is over min_chars, with its length, both speakers, starts and lengths.
 
     A task sees cells of max_distance + 1 neighbouring blocks and the max_distance blocks after them, so each block is
     sent twice at most and frequent passages stay linear.  The longest common substring is searched for by halving.
@@ -87,13 +91,15 @@ def shared_substrings(blocks: DataFrame, max_distance: int = MAX_DISTANCE, min_c
     size, width = min_chars + 1, max_distance + 1
     cells = F.array_distinct(F.array(F.floor((F.col("turn_idx") - max_distance) / width), F.floor(F.col("turn_idx") / width)))
     long = blocks.where((F.length("norm") >= size) & F.col(KEY).isNotNull())
-    near = long.select(KEY, "turn_idx", "speaker", "norm", F.explode(cells).alias("_cell"))
+    near = long.select(KEY, "turn_idx", "speaker", F.col("start").cast("double").alias("start"), "norm", F.explode(cells).alias("_cell"))
     kinds = dict(near.dtypes)
+    columns = [c.split()[0] for c in PAIR.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         windows: dict[int, Windows] = {}
         at = lambda k: windows.get(k) or windows.setdefault(k, Windows(pdf["norm"].iat[k], size))
         turn, speaker, own = pdf["turn_idx"].to_numpy(), pdf["speaker"].tolist(), pdf["turn_idx"].to_numpy() // width == pdf["_cell"].to_numpy()
+        start, length = pdf["start"].to_numpy(), pdf["norm"].str.len().to_numpy()
         out = []
         for x in np.flatnonzero(own):
             for y in np.flatnonzero((turn > turn[x]) & (turn <= turn[x] + max_distance)):
@@ -101,30 +107,24 @@ def shared_substrings(blocks: DataFrame, max_distance: int = MAX_DISTANCE, min_c
                     continue
                 n = longest_shared(at(x), at(y), size)
                 if n:
-                    out.append((pdf[KEY].iat[x], turn[x], turn[y], n))
-        return pd.DataFrame(out, columns=[KEY, "i", "j", "shared_chars"])
+                    out.append((pdf[KEY].iat[x], turn[x], turn[y], n, speaker[x], speaker[y], start[x], start[y], length[x], length[y]))
+        return pd.DataFrame(out, columns=[KEY, *columns])
 
-    pairs = near.groupBy(KEY, "_cell").applyInPandas(run, f"{KEY} {kinds[KEY]}, i {kinds['turn_idx']}, j {kinds['turn_idx']}, shared_chars long")
-    return pairs.groupBy(KEY, "i", "j").agg(F.max("shared_chars").alias("shared_chars"))
+    return near.groupBy(KEY, "_cell").applyInPandas(run, f"{KEY} {kinds[KEY]}, {PAIR.format(turn=kinds['turn_idx'])}")
 
 
 def near_duplicates(turns: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, min_share: float = MIN_SHARE, cross_speaker: bool = True) -> DataFrame:
     """Pairs whose shared run is over min_chars and over min_share of the shorter text, with both blocks' columns."""
     blocks = turns.select(KEY, "turn_idx", "speaker", "start", duplicate_text(F.col("text")).alias("norm"))
-    found = shared_substrings(blocks, max_distance, min_chars, cross_speaker)
-    side = lambda k: blocks.select(KEY, F.col("turn_idx").alias(k), F.col("speaker").alias(f"speaker_{k}"), F.col("start").alias(f"start_{k}"), F.length("norm").alias(f"length_{k}"))
-    pairs = found.join(side("i"), [KEY, "i"]).join(side("j"), [KEY, "j"])
+    pairs = shared_substrings(blocks, max_distance, min_chars, cross_speaker)
     kept = pairs.where(F.col("shared_chars") > min_share * F.least("length_i", "length_j"))
-    return kept.select(KEY, "i", "j", (F.col("j") - F.col("i")).alias("distance"), F.col("speaker_i").alias("first_speaker"), F.col("speaker_j").alias("second_speaker"), (F.col("speaker_i") == F.col("speaker_j")).alias("same_speaker"), F.col("start_i").alias("start"), (F.col("start_j") - F.col("start_i")).alias("delta_seconds"), "shared_chars")
+    return kept.select(KEY, "i", "j", (F.col("j") - F.col("i")).alias("distance"), "first_speaker", "second_speaker", (F.col("first_speaker") == F.col("second_speaker")).alias("same_speaker"), "start", (F.col("start_j") - F.col("start")).alias("delta_seconds"), "shared_chars")
 
 
 def cross_speaker_duplicates(turns: DataFrame, loop_threshold: int = 10) -> DataFrame:
-    """near_duplicates() of two speakers, without blocks inside repetition loops."""
+    """near_duplicates() of two speakers, without blocks inside repetition loops; the others keep their places."""
     looped = turns_in_loops(turns, repetition_loops(turns, loop_threshold))
-    pairs = near_duplicates(turns)
-    for side in ("i", "j"):
-        pairs = pairs.join(looped.withColumnRenamed("turn_idx", side), [KEY, side], "left_anti")
-    return pairs
+    return near_duplicates(turns.join(looped, [KEY, "turn_idx"], "left_anti"))
 
 
 def top_duplicates(pairs: DataFrame, k: int = 10) -> DataFrame:
