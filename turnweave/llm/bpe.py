@@ -39,7 +39,7 @@ NEWER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2
 #: Symbols that may end a word; a run of them behind letters is a pre-token of its own.
 SYMBOLS = string.punctuation
 #: Bytes of texts that are encoded at a time.
-PORTION_BYTES = 12 << 20
+PORTION_BYTES = 16 << 20
 #: Words remembered by one worker.
 ROOM = 500_000
 

@@ -22,7 +22,7 @@ SHARD_BYTES = 6 << 20
 #: Bytes of texts that a worker turns into Python objects at a time.
 PORTION_BYTES = 4 << 20
 #: Spark's settings for deleting shuffle files at the end of an execution, and for the bytes of an Arrow batch.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+CLEANUP, BATCH_BYTES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    """Settings of a write, taken back after it: shuffle files go as soon as it is done, Arrow batches are of a few megabytes."""
-    before = {key: spark.conf.get(key) for key in WRITING}
-    for key, value in WRITING.items():
+def writing(spark: SparkSession, batch_bytes: int = 8 << 20) -> Iterator[None]:
+    """Settings of a write, taken back after it: shuffle files go as soon as it is done, Arrow batches are of batch_bytes."""
+    settings = {CLEANUP: "true", BATCH_BYTES: str(batch_bytes)}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -79,11 +80,11 @@ def writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, compression: str = "zstd", batch_bytes: int = 8 << 20) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    with writing(spark):
+    with writing(spark, batch_bytes):
         df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -38,6 +38,8 @@ END_ID = 2
 #: MAX_IDS ids.
 WINDOW, MASK_BITS, MIN_IDS, MAX_IDS = 8, 10, 256, 8192
 _BASE = 0x9E3779B97F4A7C15
+#: mix() of the ids of usual vocabularies.
+_MIXED = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 #: Words remembered by one worker.
 WORDS_KEPT = 800_000
 #: Words of one row that the library is asked for.
@@ -111,7 +113,7 @@ def cut_points(ids: np.ndarray) -> list[int]:
     if n <= MIN_IDS:
         return [n]
     # a polynomial of the last WINDOW ids, put together from halves
-    rolled, have, base = mix(ids.astype(np.uint64) + np.uint64(1)), 1, _BASE
+    rolled, have, base = _MIXED[ids] if ids.max() < len(_MIXED) else mix(ids.astype(np.uint64) + np.uint64(1)), 1, _BASE
     while have < WINDOW:
         rolled = rolled[:-have] * np.uint64(base) + rolled[have:]
         have, base = 2 * have, base * base & 0xFFFFFFFFFFFFFFFF
@@ -202,7 +204,7 @@ def running_start(counts: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Write chunks/ and recipes/ of docs (doc_id, text) below folder."""
-    cut = materialize(cut_documents(docs, vocabulary or default_vocabulary(), end_id))
+    cut = materialize(cut_documents(docs, vocabulary or default_vocabulary(), end_id), compression="none", batch_bytes=PORTION_BYTES)
     met = cut.select(F.explode(F.arrays_zip("chunk_digests", "chunks")).alias("c")).select(F.col("c.chunk_digests").alias("digest"), F.col("c.chunks").alias("data")).where("data is not null")
     met.dropDuplicates(["digest"]).write.option("compression", "none").parquet(f"{folder}/chunks")
     started = running_start(cut.select("doc_id", "n_tokens", "chunk_digests", "merkle_root"))
