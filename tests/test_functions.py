@@ -76,3 +76,8 @@ def test_words_match_python_on_random_text(spark):
     rng = random.Random(4)
     rows = ["".join(rng.choice("ab \t\n  \u001c\u0085.") for _ in range(20)) for _ in range(200)]
     assert values(spark, rows, t.words) == [x.split() for x in rows]
+
+
+def test_speaking_rate(spark):
+    df = spark.createDataFrame([("one two  three", 1.0, 3.0), ("", 0.0, 2.0), ("x", 2.0, 2.0)], "text string, a double, b double")
+    assert [r[0] for r in df.select(t.words_per_second(F.col("text"), F.col("a"), F.col("b"))).collect()] == [1.5, 0.0, None]
