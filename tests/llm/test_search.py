@@ -319,3 +319,47 @@ def test_links_in_a_crowd_of_unlike_members(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows), size=4).collect()}
     assert got == {d: linked.get(d, d) for d, _ in rows}
     assert len(tested) == 1 and sum(counted) < len(rows) ** 2 / 2 / 4
+
+
+def test_a_crowd_just_under_the_threshold_makes_no_table_of_pairs(spark, monkeypatch):
+    """Members at similarity 0.75 pass the signature tests with one another; still no table has more rows than the members' bands."""
+    rng = random.Random(32)
+    template = [f"t{i}" for i in range(87)]
+    rows, linked = [], {}
+    for k in range(600):
+        own = [f"o{k}-{i}" for i in range(14)]
+        rows.append((k, " ".join(template + own)))
+        if k % 20 == 0:
+            rows.append((5000 + k, " ".join(template + own[:-2] + [f"p{k}", f"q{k}"])))
+            linked[5000 + k] = k
+    # a member's second copy is linked with its first alone
+    for d, k in list(linked.items())[:10]:
+        rows.append((d + 4000, dict(rows)[d] + f" z{k}"))
+        linked[d + 4000] = k
+    rng.shuffle(rows)
+    one, other = (brute.shingles(t, 4) for d, t in rows if d in (1, 2))
+    assert 0.74 < len(one & other) / len(one | other) < 0.76
+    written = []
+    materialize = near_dup.materialize
+
+    def counted(*args):
+        table = materialize(*args)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows), size=4).collect()}
+    assert got == {d: linked.get(d, d) for d, _ in rows}
+    assert max(written) <= near_dup.BANDS * len(rows)
+
+
+def test_links_of_a_group_in_one_pass(spark):
+    """Exact at the threshold, one link for two components, none inside a component, texts without words link with nothing."""
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [
+        (1, 0, 0, 10, 10, words(0, 10)), (1, 0, 0, 11, 10, words(0, 10)), (1, 0, 0, 12, 12, ""), (1, 0, 0, 13, 13, words(50, 60)),
+        (1, 0, 1, 20, 20, words(2, 10)), (1, 0, 1, 21, 20, words(0, 10)), (1, 0, 1, 22, 10, words(0, 10)), (1, 0, 1, 23, 23, None), (1, 0, 1, 24, 24, words(3, 10)),
+        (1, 0, 1, 25, 25, words(50, 61)), (2, 0, 0, 30, 30, ""), (2, 0, 1, 31, 31, words(0, 10)), (3, 0, 1, 40, 40, words(0, 10)), (3, 1, 0, 13, 13, words(50, 60)), (3, 1, 1, 26, 25, words(50, 60)),
+    ]
+    groups = spark.createDataFrame(rows, "center long, g int, role int, doc_id long, component long, text string").coalesce(1).sortWithinPartitions("center", "g", "role", "doc_id")
+    assert sorted(map(tuple, near_dup.forest(groups, 1, 80).collect())) == [(10, 20), (13, 25), (13, 26)]
