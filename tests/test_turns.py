@@ -53,10 +53,13 @@ def test_align_without_turns_fails(spark):
 
 
 def test_group_and_relabel(spark):
-    rows = [("r", 0, "Hello", 0.0, 1.0, 0.9, "S5"), ("r", 1, " there", 1.0, 2.0, 0.8, "S5"), ("r", 2, " hi", 3.0, 4.0, 0.5, "S2"), ("r", 3, " so", 5.0, 6.0, 0.5, "S5")]
-    grouped = ops.group_into_turns(spark.createDataFrame(rows, schemas.ALIGNED))
-    assert listed(grouped, "speaker", "text", "start", "end") == [("Person 1", "Hello there", 0, 2), ("Person 2", "hi", 3, 4), ("Person 1", "so", 5, 6)]
-    assert listed(grouped, "confidence")[0][0] == (0.9 + 0.8) / 2
+    said = {"north": [("late", "Rain", 0.25), ("late", " tomorrow,", 0.75), ("late", " he says.", 0.5), ("early", " Snow.", 0.125)], "south": [("early", " ", 1.0), ("late", "No", 0.0)]}
+    rows = [(r, 10 * i, w, 7.0 * i, 7.0 * i + 4, p, s) for r, x in said.items() for i, (s, w, p) in enumerate(x)]
+    grouped = ops.group_into_turns(spark.createDataFrame(rows[::-1], schemas.ALIGNED))
+    assert listed(grouped, "recording", "speaker", "text", "start", "end", "confidence") == [
+        ("north", "Person 1", "Rain tomorrow, he says.", 0, 18, 0.5), ("north", "Person 2", "Snow.", 21, 25, 0.125),
+        ("south", "Person 1", "", 0, 4, 1.0), ("south", "Person 2", "No", 7, 11, 0.0),
+    ]
 
 
 def smoothed(rows):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stamp, stamp_seconds
 from ..operators import align, duplicates, loops, match, merge, offset, render, reports, turns
-from ..sources import media, speech, synthetic
+from ..sources import media, speech
 from ..sources import projections as p
 from .sql import ORACLE
 
@@ -146,10 +146,6 @@ def offset_separation(spark, d):
     return offset.separation(_controls(spark, d)).select("pair_id", *[F.round(c, 4).alias(c) for c in ("true", "null_min", "null_median", "null_max", "separation", "midpoint")])
 
 
-def offset_trials(spark, d):
-    return synthetic.offset_trials(spark)
-
-
 def cosine_matrix(spark, d):
     return match.cosine_matrix(*p.voices(spark, d)).select("speaker_a", "speaker_b", F.round("similarity", 6).alias("similarity"))
 
@@ -214,10 +210,10 @@ QUERIES = {
         align_overlap, align_nearest, align_words, repetition_loops, in_loop_blocks, backchannel_split, smooth_micro_turns,
         smoothing_report, cross_speaker_duplicates, redundancy_by_distance, top_duplicates, fragmentation, degeneration_within,
         degeneration_docwide, dominant_tokens, suspicious_tokens, top_short_texts, rms_envelope, cross_correlation, offset_confidence,
-        offset_controls, offset_separation, offset_trials, cosine_matrix, match_speakers, shift_and_remap, merge_replacement,
+        offset_controls, offset_separation, cosine_matrix, match_speakers, shift_and_remap, merge_replacement,
         containment_consumed, gapfill_coverage, merge_turns, merge_origin_mix, cross_speaker_origins, cross_speaker_timing, guard_sweep,
         lossless_diff, smoothing_lossless,
     )
 }
-#: Assignments and synthetic trials have no SQL; tests hold them against brute force.
+#: Assignments have no SQL; tests hold them against brute force.
 ORACLE_SQL = {name: ORACLE[name] for name in QUERIES if name in ORACLE}
