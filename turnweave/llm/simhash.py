@@ -11,8 +11,8 @@ is verified on all 64 bits.  The search is exact.
 
 Pairs are formed within tasks, by segment value, and a task returns only such links as join components that it has not
 joined yet.  Where many fingerprints crowd round one segment value (HEAVY), those within two bits of each other are first
-tied by their common neighbours at one flipped bit (65 rows each, no pairs); then only members outside the largest component
-of a segment value are held, dealt to salts of SALT_ROWS, and the value's rows pass by each salt.  Rows are thus
+tied by their common neighbours at one flipped bit (65 rows each, no pairs) and named by the least; then only members outside the largest of the groups
+so tied at a segment value are held, dealt to salts of SALT_ROWS, and the value's rows pass by each salt.  Rows are thus
 bounded by 65 for a fingerprint and the copies for salts; comparisons between crowded fingerprints that are not within two bits
 of each other still grow with the square of their number, spread over tasks.
 
@@ -243,8 +243,11 @@ def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, segments: int
     first = materialize(one_flip_links(heavy) if distance > 1 else heavy.select(F.col("comp").alias("a"), F.col("comp").alias("b")).where("a < b"))
     placed = nodes
     if first.limit(1).count():
-        tied = components(first)
-        placed = materialize(nodes.join(tied.select(F.col("node").alias("comp"), F.col("component").alias("c")), "comp", "left").select("fp", F.coalesce("c", "comp").alias("comp")))
+        # each takes the least that it is linked with, and that one's least: what has one name is linked
+        least = materialize(first.groupBy("b").agg(F.min("a").alias("c")))
+        ahead = least.select(F.col("b").alias("c"), F.col("c").alias("further"))
+        named = materialize(least.join(ahead, "c", "left").select(F.col("b").alias("comp"), F.coalesce("further", "c").alias("c")))
+        placed = materialize(nodes.join(named, "comp", "left").select("fp", F.coalesce("c", "comp").alias("comp")))
     rows = _looked_up(placed, places)
     # values that very many look up: members of the largest component meet only those of others
     big = materialize(_looked_up(heavy, places).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS).select("key"))
