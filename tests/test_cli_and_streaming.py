@@ -1,12 +1,13 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import turns
 from turnweave import cli
 from turnweave.operators.turns import relabel_speakers
-from turnweave.sources import markdown, media, speech
+from turnweave.sources import capture, markdown, media, speech, wav
 from turnweave.streaming import each_batch
 
 
@@ -23,7 +24,7 @@ def test_transcripts_from_stored_results(spark, tmp_path, capsys):
     (tmp_path / "dia/silent.json").write_text(json.dumps({"tracks": [], "labels": [], "embeddings": []}))
     assert cli.main(["--asr", str(tmp_path / "asr"), "--diarization", str(tmp_path / "dia"), "--output-dir", str(tmp_path / "out")]) == 1
     assert "silent: no speech found" in capsys.readouterr().err and not (tmp_path / "out/silent.md").exists()
-    assert cli.main(["--fuse", str(tmp_path / "none"), "--sounds", "x"]) == 1
+    assert cli.main(["--fuse-capture", str(tmp_path / "none"), "--sounds", "x"]) == 1
 
 
 def test_options_of_models_need_models(tmp_path, capsys):
@@ -51,6 +52,59 @@ def test_media_through_adapters(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([str(tmp_path / "empty"), *options]) == 1 and "no media files" in capsys.readouterr().err
 
 
+def two_recordings(folder):
+    """A meeting heard by two machines: the second starts nine seconds later, quieter."""
+    rng = np.random.default_rng(8)
+    sound = np.repeat(rng.random(120) > 0.5, 500) * rng.normal(size=60_000)
+    wav.write_wav(str(folder / "desk.wav"), sound, 1000)
+    wav.write_wav(str(folder / "phone.wav"), sound[9_000:45_000] + rng.normal(0, 0.05, 36_000), 1000)
+
+
+def as_it_is(files, folder, filters=None):
+    return files.select("path", F.col("path").alias("cleaned"), F.lit(None).cast("string").alias("error"))
+
+
+def test_two_media_files_are_fused(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(media, "extract_audio", as_it_is)
+    monkeypatch.setenv("HF_TOKEN", "let me in")
+    two_recordings(tmp_path)
+    desk, phone, out, kept = (str(tmp_path / x) for x in ("desk.wav", "phone.wav", "out", "kept"))
+    models = ["--recogniser", "tests.adapters:two_machines", "--diarizer", "tests.adapters:voices_with_token", "--output-dir", out]
+    assert cli.main([desk, "--fuse", phone, "--capture", kept, "--num-speakers", "3", *models]) == 0
+    said, err = capsys.readouterr()
+    text = (tmp_path / "out" / "desk.fused.md").read_text(encoding="utf-8")
+    assert text == "## Person 1 — 00:11\n\nclear speech\n\n## Person 2 — 00:20\n\nonly here\n\n## Person 1 — 00:30\n\nlater\n"
+    assert "desk.fused.md" in said and "offset +9.0 s" in err and "found 2 on side a" in err and "found 2 on side b" in err
+    tables = capture.read_capture(spark, kept)
+    assert set(tables) == set(capture.TABLES) and [r["text"] for r in tables["turns_b"].orderBy("turn_idx").collect()] == ["clear speech", "on", "later"]
+    assert cli.main(["--render-capture", kept, "--output-dir", str(tmp_path / "again")]) == 0
+    assert (tmp_path / "again" / "desk.fused.md").read_text(encoding="utf-8") == text
+    capsys.readouterr()
+    assert cli.main(["--report", f"{out}/desk.fused.md"]) == 0
+    lines = capsys.readouterr().out
+    assert "desk.fused: 3 blocks, 5 words; blocks of at most 1, 2, 3, 5 words: 1, 3, 3, 3; 1 between" in lines and "acknowledgements" in lines
+
+
+def test_what_a_fusion_needs(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(media, "extract_audio", as_it_is)
+    two_recordings(tmp_path)
+    desk, phone = str(tmp_path / "desk.wav"), str(tmp_path / "phone.wav")
+    models = ["--recogniser", "tests.adapters:two_machines", "--diarizer", "tests.adapters:voices_with_token", "--output-dir", str(tmp_path / "out")]
+    failing = [
+        ([str(tmp_path), "--fuse", phone, *models], "single media file"), (["--fuse", phone, *models], "single media file"),
+        ([desk, "--fuse", phone + "x", *models], "no such file"), ([desk + "x", "--fuse", phone, *models], "no such file"),
+        ([desk, "--fuse", phone], "give --recogniser"), ([desk, "--capture", "x", *models], "goes with --fuse"),
+    ]
+    monkeypatch.setattr(media, "resolve_token", lambda *a: None)
+    for options, message in [*failing, ([desk, "--fuse", phone, *models], "no credential")]:
+        assert cli.main(options) == 1 and message in capsys.readouterr().err
+    monkeypatch.setattr(media, "resolve_token", lambda *a: "t")
+    broken = str(tmp_path / "broken.wav")
+    wav.write_wav(broken, [0.0] * 100, 1000)
+    assert cli.main([desk, "--fuse", broken, *models]) == 1 and "recognition of side b: OSError: unreadable" in capsys.readouterr().err
+    assert not (tmp_path / "out" / "desk.fused.md").exists()
+
+
 def test_extraction_failures_are_rows(spark, tmp_path):
     (tmp_path / "a.mp3").write_bytes(b"no sound")
     files = spark.createDataFrame([(str(tmp_path / "a.mp3"),), (str(tmp_path / "gone.mp3"),)], "path string")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import listed, many, turns
 from turnweave import schemas
@@ -196,6 +197,61 @@ def test_wav_chunks(spark, tmp_path, monkeypatch):
         offset.rms_envelope_chunked(chunks.withColumn("start", chunks.start + 1)).collect()
 
 
+def test_wav_ranges(spark, tmp_path, monkeypatch):
+    """One file in many tasks gives what one task gives, by the data source, by a table of files, and by Spark's reader."""
+    monkeypatch.setattr(wav, "CHUNK_WINDOWS", 3)
+    (tmp_path / "in").mkdir()
+    for name, n in (("long", 5230), ("short", 250), ("none", 0)):
+        wav.write_wav(str(tmp_path / "in" / f"{name}.wav"), np.sin(np.arange(n) / 7.0), rate=1000)
+    whole = {}
+    for size in (100_000, 11, 6):
+        monkeypatch.setattr(wav, "RANGE_WINDOWS", size)
+        reader = wav.WavReader(f"file://{tmp_path}/in")
+        parts = reader.partitions()
+        got = {}
+        for p in parts:
+            for name, rate, start, samples in reader.read(p):
+                got.setdefault(name, []).extend(enumerate(samples, start))
+        assert len([p for p in parts if "long" in p.path]) == -(-5230 // (size * 100))
+        assert all([k for k, _ in x] == list(range(len(x))) for x in got.values()) and {k: len(x) for k, x in got.items()} == {"long": 5230, "short": 250}
+        whole = whole or got
+        assert got == whole
+    files = spark.createDataFrame([("m", "a", f"file:{tmp_path}/in/long.wav"), ("m", "b", f"{tmp_path}/in/short.wav"), ("n", "a", None), ("o", "a", f"{tmp_path}/in/long.wav")], "recording string, side string, path string")
+    by_table = offset.rms_envelope_chunked(wav.read_ranges(files).withColumn("recording", F.concat("recording", "side")))
+    rows = {(r["recording"], r["win_idx"]): r["rms"] for r in by_table.collect()}
+    for content in (wav.read_wav(spark, str(tmp_path / "in")), wav.read_wav(spark, f"file:{tmp_path}/i[n]")):
+        direct = {(r["recording"], r["win_idx"]): r["rms"] for r in offset.rms_envelope_chunked(content).collect()}
+        assert rows == {(k, w): v for r, keys in (("long", ("ma", "oa")), ("short", ("mb",))) for k in keys for (x, w), v in direct.items() if x == r} and len(direct) == 54
+
+
+@pytest.mark.parametrize(("segment", "share"), [(7, 1), (16, 2), (4096, 64)])
+def test_correlation_in_segments(spark, monkeypatch, segment, share):
+    monkeypatch.setattr(offset, "SHARE", share)
+    rng = np.random.default_rng(segment)
+    sizes = {"p": (50, 31), "q": (3, 40), "r": (1, 1), "s": (33, 33)}
+    sides = {k: (rng.uniform(0, 9, m), rng.uniform(0, 9, n)) for k, (m, n) in sizes.items()}
+    rows = [(k, s, i, float(v)) for k, x in sides.items() for s, side in zip("ab", x, strict=True) for i, v in enumerate(side)]
+    e = spark.createDataFrame([*rows, ("alone", "a", 0, 1.0)], "pair_id string, side string, win_idx long, rms double")
+    for center in (True, False):
+        got = {}
+        for r in offset.cross_correlation(e, center, segment).collect():
+            got.setdefault(r["pair_id"], {})[r["lag"]] = r
+        assert list(got.pop("alone")) == [None] and set(got) == set(sizes)
+        for k, (a, b) in sides.items():
+            x, y = (v - v.mean() if center else v for v in (a, b))
+            want = dict(zip(range(1 - len(b), len(a)), np.correlate(x, y, "full"), strict=True))
+            assert set(got[k]) == set(want) and all(np.isclose(got[k][lag]["corr"], v, atol=1e-9) for lag, v in want.items())
+            assert all(r["overlap"] == min(len(a), lag + len(b)) - max(0, lag) and r["n_min"] == min(sizes[k]) for lag, r in got[k].items())
+
+
+def test_fingerprints_of_multisets(spark):
+    t = turns(spark, [("S", 0, 1, "a"), ("S", 1, 2, "b"), ("T", 1, 2, "b")])
+    same = reports.multiset_fingerprint(t.unionByName(t.limit(0)).orderBy(F.desc("turn_idx")))
+    assert same == reports.multiset_fingerprint(t) and same[0] == 3
+    others = [t.unionByName(t.limit(1)), t.withColumn("text", F.when(F.col("turn_idx") != 1, F.col("text"))), t.withColumn("text", F.lit("b")), t.limit(0)]
+    assert len({same, *map(reports.multiset_fingerprint, others)}) == 5
+
+
 def test_controls_and_metrics(spark):
     a, b = speechlike(300, 1), speechlike(260, 1)
     e = envelopes(spark, a, b)

@@ -47,6 +47,17 @@ def test_align_random_against_loops(spark):
     assert [r["speaker"] for r in got.collect()] == want
 
 
+def test_nearest_edges_over_empty_cells(spark):
+    """Edges far before, after and apart, with many cells between; no frame of the plan is unbounded."""
+    rng = random.Random(4)
+    ts = sorted((a := rng.choice((-500, 0, 900, 901, 5000)) + rng.randint(0, 40), a + rng.randint(0, 50), f"S{rng.randint(0, 2)}") for _ in range(14))
+    rows = [(" w", t := rng.choice((-3000, -500, 30, 60, 450, 930, 2950, 5050, 9000)) + rng.randint(0, 30) / 2, t + rng.choice((0, 0, 1, 70))) for _ in range(120)]
+    near = lambda a, b: min((min(abs(a - e), abs(s - b)), k) for k, (s, e, _) in enumerate(ts))[1]
+    found = align.align_nearest(words_df(spark, rows), dturns_df(spark, ts))
+    assert {r["word_idx"]: r["speaker"] for r in found.collect()} == {i: ts[near(a, b)][2] for i, (_, a, b) in enumerate(rows)}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_align_without_turns_fails(spark):
     with pytest.raises(Exception, match="no speaker turns"):
         align.align_words(words_df(spark, [(" a", 0, 1)]), dturns_df(spark, [])).collect()

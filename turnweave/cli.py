@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import inspect
 import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import stem
+from .functions.text import stamp_seconds, stem
+from .operators import duplicates, reports
 from .plans import pipelines
 from .sources import capture, markdown, media, speech
+from .sources.scratch import Scratch
 
 DIARIZED = "tracks array<struct<start: double, end: double, label: string>>, labels array<string>, embeddings array<array<double>>"
 #: Options that only models use.
@@ -41,8 +44,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--audio-filter", help="this filter chain instead")
     p.add_argument("--asr", help="folder of recogniser results, one JSON file a recording")
     p.add_argument("--diarization", help="folder of diarizer results, one JSON file a recording")
-    p.add_argument("--fuse", metavar="CAPTURE", help="fuse the two sides of a capture folder")
-    p.add_argument("--sounds", help="Parquet of (recording, side, rate, samples) for the clock offset of --fuse")
+    p.add_argument("--fuse", metavar="MEDIA", help="a second recording of the same meeting; the first must be a single file")
+    p.add_argument("--capture", metavar="FOLDER", help="with --fuse: keep all intermediate tables there")
+    p.add_argument("--fuse-capture", metavar="CAPTURE", help="fuse the two sides of a capture folder")
+    p.add_argument("--sounds", help="Parquet of (recording, side, rate, samples) for the clock offset of --fuse-capture")
+    p.add_argument("--report", metavar="TRANSCRIPTS", help="measure rendered transcripts, a file or a folder")
     p.add_argument("--render-capture", metavar="CAPTURE", help="render a captured fusion again")
     p.add_argument("--no-guard", action="store_true", help="with --render-capture: keep turns that a neighbour's new text holds")
     p.add_argument("--smooth", action="store_true", help="join stray words without duration to the turns around them")
@@ -56,13 +62,21 @@ def chosen_filter(args: argparse.Namespace) -> str | None:
 
 
 def named(spec: str, model: str | None = None):
-    """A function that imports module:function where it is called, with the model's name in the environment."""
+    """A function that imports module:function where it is called, with the model's name in the environment.
+
+    A function with a parameter token gets the user's credential, looked up here, and its failures say what to do.
+    """
+    module, _, function = spec.partition(":")
+    asks = "token" in inspect.signature(getattr(importlib.import_module(module), function)).parameters
+    token = media.resolve_token() if asks else None
+    if asks and not token:
+        speech.load_diarizer(lambda _: None, None, ("the environment's HF_TOKEN", ".env here", "~/.config/turnweave/.env"))
 
     def make():
-        module, _, function = spec.partition(":")
         if model:
             os.environ["TURNWEAVE_MODEL"] = model
-        return getattr(importlib.import_module(module), function)()
+        load = getattr(importlib.import_module(module), function)
+        return speech.load_diarizer(lambda t: load(token=t), token) if asks else load()
 
     return make
 
@@ -138,6 +152,65 @@ def write_all(heard: DataFrame, found: DataFrame, failed: DataFrame, args: argpa
     return 1 if errors else 0
 
 
+def fuse_media(spark: SparkSession, args: argparse.Namespace, folder: str) -> int:
+    """Writes <first file's stem>.fused.md of two recordings of one meeting, and their tables if asked; 1 if that failed."""
+    if args.media is None or os.path.isdir(args.media):
+        raise ValueError("--fuse needs a single media file beside it, not a folder or the default folder")
+    for path in (args.media, args.fuse):
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no such file: {path}")
+    if not args.recogniser:
+        raise ValueError("--fuse runs models on both recordings: give --recogniser and --diarizer")
+    name = os.path.splitext(os.path.basename(args.media))[0]
+    pairs = spark.createDataFrame([(name, args.media, args.fuse)], "recording string, a string, b string")
+    scratch, language = Scratch(spark), None if args.language == "auto" else args.language or "en"
+    filters = chosen_filter(args)
+    if filters:
+        print(f"cleaning the audio with {filters}")
+    try:
+        recogniser, diarizer = named(args.recogniser, media.resolve_model(args.model or "turbo")), named(args.diarizer)
+        tables, sounds, failed = pipelines.hear_both_sides(pairs, recogniser, diarizer, os.path.join(folder, ".clean"), scratch, filters, language, args.prompt, args.verbose, args.num_speakers)
+        errors = [f"error: {r['recording']}: {r['error']}" for r in failed.collect()]
+        if not errors:
+            out = pipelines.fuse(tables, sounds, smooth=args.smooth)
+            notes = out.diagnostics if args.num_speakers is None else out.diagnostics.unionByName(pipelines.count_warnings(tables, args.num_speakers))
+            if args.capture:
+                capture.write_capture(args.capture, tables | out.steps)
+            markdown.write_transcripts(out.markdown, folder, ".fused.md", allow_empty=True)
+            errors = pipelines.shown(notes)
+            out.close()
+    finally:
+        scratch.close()
+    for line in errors:
+        print(line, file=sys.stderr)
+    if any(line.startswith("error") for line in errors):
+        return 1
+    print(f"Fused transcript written to {os.path.join(folder, name)}.fused.md")
+    return 0
+
+
+def report(spark: SparkSession, path: str, k: int = 10) -> list[str]:
+    """Lines on the quality of rendered transcripts: fragments, loops, words that stand out, and repeated passages."""
+    blocks = markdown.read_transcripts(spark, path).withColumnRenamed("block_idx", "turn_idx")
+    turns = blocks.select("recording", "turn_idx", "speaker", stamp_seconds(F.col("stamp")).cast("double").alias("start"), "text").persist()
+    try:
+        lines = []
+        for r in reports.fragmentation(turns).orderBy("recording").collect():
+            lines += [f"{r['recording']}: {r['blocks']} blocks, {r['words']} words; blocks of at most 1, 2, 3, 5 words: {r['le_1']}, {r['le_2']}, {r['le_3']}, {r['le_5']}; {r['sandwiched']} between two of one other speaker; {r['same_as_before']} after one of their own speaker"]
+        lines += [f"{r['recording']}: {r['short']} blocks of at most two words, {r['squashed']} of them acknowledgements ({r['by_word']} by the smoothing's rule)" for r in reports.backchannel_split(turns).orderBy("recording").collect()]
+        lines += [f"short texts, {'acknowledgements' if r['backchannel'] else 'others'}: '{r['token']}' {r['n']} times" for r in reports.top_short_texts(turns).orderBy(F.desc("backchannel"), "place").collect()]
+        within = reports.degeneration_within(turns).agg(F.count("*").alias("n")).first()["n"]
+        lines.append(f"blocks with one word four times in a row: {within}")
+        lines += [f"across blocks: '{r['token']}' {r['count']} times in a row in {r['recording']}" for r in reports.degeneration_docwide(turns).collect()]
+        lines += [f"stands out: '{r['token']}' {r['n']} times" for r in reports.suspicious_tokens(turns).collect()]
+        lines += [f"passages repeated {r['distance']} blocks apart, {'one speaker' if r['same_speaker'] else 'two speakers'}: {r['n']}" for r in reports.redundancy(turns).orderBy("distance", "same_speaker").collect()]
+        top = duplicates.top_duplicates(duplicates.cross_speaker_duplicates(turns), k).collect()
+        lines += [f"{r['recording']}: {r['first_speaker']} and {r['second_speaker']} share {r['shared_chars']} characters, {r['distance']} blocks apart" for r in top]
+        return lines + ([f"  ... and {top[0]['n_more']} more"] if top and top[0]["n_more"] else [])
+    finally:
+        turns.unpersist()
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
@@ -147,13 +220,20 @@ def main(argv: list[str] | None = None) -> int:
         if bool(args.recogniser) != bool(args.diarizer):
             raise ValueError("--recogniser and --diarizer go together")
         spark = SparkSession.builder.appName("turnweave").getOrCreate()
-        if args.fuse or args.render_capture:
-            tables = capture.read_capture(spark, args.fuse or args.render_capture)
+        if args.capture and not args.fuse:
+            raise ValueError("--capture goes with --fuse")
+        if args.fuse:
+            return fuse_media(spark, args, media.resolve_output_dir(args.output_dir))
+        if args.report:
+            print("\n".join(report(spark, args.report)))
+            return 0
+        if args.fuse_capture or args.render_capture:
+            tables = capture.read_capture(spark, args.fuse_capture or args.render_capture)
             folder = media.resolve_output_dir(args.output_dir)
             if args.render_capture:
                 rendered, notes = pipelines.render_capture(tables, guard=not args.no_guard), []
             elif not args.sounds:
-                raise ValueError("--fuse needs --sounds for the clock offset")
+                raise ValueError("--fuse-capture needs --sounds for the clock offset")
             else:
                 out = pipelines.fuse(tables, pipelines.envelopes(spark.read.parquet(args.sounds)), smooth=args.smooth)
                 rendered, notes = out.markdown, pipelines.shown(out.diagnostics)
@@ -164,7 +244,7 @@ def main(argv: list[str] | None = None) -> int:
             return 1 if any(line.startswith("error") for line in notes) else 0
         if args.recogniser or (args.asr and args.diarization):
             return transcripts(spark, args, media.resolve_output_dir(args.output_dir))
-        raise ValueError("no recogniser is built in: give --recogniser and --diarizer, or --asr and --diarization, or --fuse")
+        raise ValueError("no recogniser is built in: give --recogniser and --diarizer, or --asr and --diarization, or --fuse-capture, or --report")
     except Exception as problem:  # noqa: BLE001  the exit code tells the caller
         print(f"turnweave: {problem}", file=sys.stderr)
         return 1

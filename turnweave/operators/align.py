@@ -30,28 +30,32 @@ def align_overlap(words: DataFrame, turns: DataFrame) -> DataFrame:
     return overlapping(words, turns).where("overlap > 0").groupBy(KEY, "word_idx").agg(best.alias("speaker"))
 
 
-def align_nearest(words: DataFrame, turns: DataFrame) -> DataFrame:
+def align_nearest(words: DataFrame, turns: DataFrame, cell_seconds: float = 30.0) -> DataFrame:
     """recording, word_idx, speaker by the nearest edge: turn ends against the word's start, turn starts against its end.
 
-    The edges of turns and the two edges of each word are sorted together once; one window pass looks up the nearest turn
-    edge before and after each of the two.
+    An as-of join by time cells: an edge of a word meets the turns' edges in its own cell, the last one before the cell and
+    the first one after it.  Those two are carried over cells without edges, so no window looks further than one row; a word
+    beyond all edges takes the cell next to them.
     """
-    kind = "struct<at: double, dturn_idx: bigint, speaker: string>"
-    none = F.lit(None).cast(kind)
-    edge = lambda c, e: turns.groupBy(KEY, F.col(c).alias("t")).agg(F.min(F.struct("dturn_idx", "speaker")).alias("x")).select(KEY, "t", F.struct(F.col("t").alias("at"), "x.dturn_idx", "x.speaker").cast(kind).alias(e))
-    ends = edge("end", "end_edge").select("*", none.alias("start_edge"), F.lit(None).cast("long").alias("word_idx"), F.lit(None).cast("boolean").alias("at_start"))
-    starts = edge("start", "start_edge").select(KEY, "t", none.alias("end_edge"), "start_edge", F.lit(None).cast("long").alias("word_idx"), F.lit(None).cast("boolean").alias("at_start"))
-    sides = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(True).alias("at_start")), F.struct(F.col("end").alias("t"), F.lit(False).alias("at_start"))))
-    asked = words.select(KEY, "word_idx", sides.alias("s")).select(KEY, "s.t", none.alias("end_edge"), none.alias("start_edge"), "word_idx", "s.at_start")
-    w = Window.partitionBy(KEY).orderBy("t")
-    upto, onward = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    near = ends.unionByName(starts).unionByName(asked).select(
-        KEY, "t", "word_idx",
-        *[F.when(F.col("at_start") == at_start, f(e, ignorenulls=True).over(frame)).alias(f"{e}_{name}") for e, at_start in (("end_edge", True), ("start_edge", False)) for name, f, frame in (("before", F.last, upto), ("after", F.first, onward))],
-    ).where("word_idx is not null")
-    found = F.array_compact(F.array(*[F.col(f"{e}_{n}") for e in ("end_edge", "start_edge") for n in ("before", "after")]))
-    ranked = F.array_min(F.transform(found, lambda x: F.struct(F.abs(F.col("t") - x["at"]).alias("distance"), x["dturn_idx"].alias("dturn_idx"), x["speaker"].alias("speaker"))))
-    return near.groupBy(KEY, "word_idx").agg(F.min(ranked).alias("best")).where("best is not null").select(KEY, "word_idx", "best.speaker")
+    sides = lambda ends, starts: F.explode(F.array(F.struct(F.lit("end").alias("kind"), F.col(ends).alias("t")), F.struct(F.lit("start").alias("kind"), F.col(starts).alias("t")))).alias("s")
+    cell = F.floor(F.col("t") / cell_seconds)
+    own = [KEY, "kind", "cell"]
+    edges = turns.select(KEY, sides("end", "start"), F.struct("dturn_idx", "speaker").alias("x")).groupBy(KEY, "s.kind", "s.t").agg(F.min("x").alias("x"))
+    edges = edges.select(KEY, "kind", cell.alias("cell"), F.struct(F.col("t").alias("at"), "x.dturn_idx", "x.speaker").alias("edge"))
+    order = Window.partitionBy(KEY, "kind").orderBy("cell")
+    used = edges.groupBy(*own).agg(F.min("edge").alias("first"), F.max("edge").alias("last"))
+    used = used.select("*", F.lag(F.struct("cell", "last")).over(order).alias("before"), F.lead("first").over(order).alias("after"))
+    # a used cell, and the cells without edges between it and the used one before
+    upto = used.select(KEY, "kind", F.explode(F.sequence(F.coalesce(F.col("before.cell") + 1, F.col("cell") - 1), "cell")).alias("at"), "cell", "first", F.col("before.last").alias("before"), "after")
+    upto = upto.select(KEY, "kind", F.col("at").alias("cell"), "before", F.when(F.col("at") < F.col("cell"), F.col("first")).otherwise(F.col("after")).alias("after"))
+    beyond = used.where("after is null").select(KEY, "kind", (F.col("cell") + 1).alias("cell"), F.col("last").alias("before"), "after")
+    carried = upto.unionByName(beyond).select(*own, F.explode(F.array_compact(F.array("before", "after"))).alias("edge"))
+    bounds = used.groupBy(KEY, "kind").agg((F.min("cell") - 1).alias("lo"), (F.max("cell") + 1).alias("hi"))
+    asked = words.select(KEY, "word_idx", sides("start", "end")).select(KEY, "word_idx", "s.kind", "s.t").join(bounds, [KEY, "kind"])
+    asked = asked.select(KEY, "kind", F.greatest("lo", F.least("hi", cell)).alias("cell"), "word_idx", "t")
+    met = asked.join(edges.unionByName(carried), own)
+    ranked = F.struct(F.abs(F.col("t") - F.col("edge.at")).alias("distance"), "edge.dturn_idx", "edge.speaker")
+    return met.groupBy(KEY, "word_idx").agg(F.min(ranked).alias("best")).select(KEY, "word_idx", "best.speaker")
 
 
 def align_words(words: DataFrame, turns: DataFrame) -> DataFrame:

@@ -129,4 +129,6 @@ def cross_speaker_duplicates(turns: DataFrame, loop_threshold: int = 10) -> Data
 
 def top_duplicates(pairs: DataFrame, k: int = 10) -> DataFrame:
     """The first k pairs by start, for the warning, with n_more: how many pairs there are besides."""
-    return pairs.orderBy("start", KEY, "distance", "i").limit(k).withColumn("n_more", F.lit(max(0, pairs.count() - k)).cast("long"))
+    total = pairs.agg(F.lit(1).alias("_one"), F.greatest(F.lit(0), F.count("*") - k).alias("n_more"))
+    top = pairs.orderBy("start", KEY, "distance", "i").limit(k).withColumn("_one", F.lit(1))
+    return top.join(total, "_one").orderBy("start", KEY, "distance", "i").select(*pairs.columns, "n_more")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 KEY = "recording"
 WINDOW_SECONDS, RIVAL_SECONDS, MIN_OVERLAP, WEAK = 0.1, 5.0, 0.5, 1.2
+#: Windows of a segment, and pairs of segments of one diagonal that a task takes together.
+SEGMENT, SHARE = 4096, 64
 
 
 def rms_envelope(samples: DataFrame, window: int) -> DataFrame:
@@ -34,27 +36,65 @@ def rms_envelope_chunked(chunks: DataFrame, window_seconds: float = WINDOW_SECON
     return usable.select(KEY, "_first", F.posexplode("_rms").alias("_at", "rms")).select(KEY, (F.col("_first") + F.col("_at")).alias("win_idx"), "rms")
 
 
-def cross_correlation(pairs: DataFrame, center: bool = True) -> DataFrame:
-    """pair_id, lag, corr, overlap for every lag of envelopes (pair_id, side 'a' or 'b', win_idx, rms).
+def _segments(pairs: DataFrame, center: bool, segment: int) -> DataFrame:
+    """Segments of both sides under all diagonals (segment of a less segment of b) that they have a part in."""
+    of = lambda s, f, c: f(F.when(F.col("side") == s, F.col(c)))
+    sizes = pairs.groupBy("pair_id").agg(*[(of(s, F.max, "win_idx") + 1).alias(f"n_{s}") for s in "ab"], *[of(s, F.avg, "rms").alias(f"mean_{s}") for s in "ab"]).where("n_a is not null and n_b is not null")
+    mean = F.when(F.col("side") == "a", F.col("mean_a")).otherwise(F.col("mean_b")) if center else F.lit(0.0)
+    placed = pairs.join(sizes, "pair_id").select("pair_id", "side", "n_a", "n_b", F.floor(F.col("win_idx") / segment).alias("seg"), F.struct((F.col("win_idx") % segment).cast("int").alias("at"), (F.col("rms") - mean).alias("v")).alias("x"))
+    cut = placed.groupBy("pair_id", "side", "seg").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.collect_list("x").alias("x"))
+    others = F.floor((F.when(F.col("side") == "a", F.col("n_b")).otherwise(F.col("n_a")) - 1) / segment)
+    met = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), others)).alias("other"))
+    i, j = (F.when(F.col("side") == s, F.col("seg")).otherwise(F.col("other")) for s in "ab")
+    return met.select("pair_id", (i - j).alias("diagonal"), F.floor(i / SHARE).alias("share"), i.alias("i"), "side", "n_a", "n_b", F.col("x.at").alias("at"), F.col("x.v").alias("v"))
 
-    lag is the place of b's first window in a.  Each pair is one envelope pair of a meeting, a few hundred kilobytes;
-    the transform costs n log n.  A pair of which a side has no window gets one row without a lag.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf.side == s].sort_values("win_idx").rms.to_numpy(float) for s in "ab")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"pair_id": [pdf.pair_id.iloc[0]], "lag": pd.array([None], "Int64"), "corr": [None], "overlap": [0], "n_min": [0]})
-        if center:
-            a, b = a - a.mean(), b - b.mean()
-        n = len(a) + len(b) - 1
-        size = 1 << (n - 1).bit_length()
-        corr = np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b[::-1], size), size)[:n]
-        lag = np.arange(n) - (len(b) - 1)
-        overlap = np.minimum(len(a), lag + len(b)) - np.maximum(0, lag)
-        return pd.DataFrame({"pair_id": pdf.pair_id.iloc[0], "lag": lag, "corr": corr, "overlap": overlap, "n_min": min(len(a), len(b))})
-
-    return pairs.groupBy("pair_id").applyInPandas(run, "pair_id string, lag long, corr double, overlap long, n_min long")
+def cross_correlation(pairs: DataFrame, center: bool = True, segment: int = SEGMENT) -> DataFrame:
+    """pair_id, lag, corr, overlap, n_min for every lag of envelopes (pair_id, side 'a' or 'b', win_idx, rms).
+
+    lag is the place of b's first window in a.  Both envelopes are cut into segments, and segments that lie equally far apart,
+    which have the same lags between them, are one diagonal: a task takes SHARE of its pairs of segments, adds up the products of their
+    transforms, and goes back from them once.  Sums by lag join the diagonals and shares.  So a task's work does not grow with
+    the recordings, and a long one is spread over many tasks.  A window that is missing counts as the mean.  A pair of
+    which a side has no window gets one row without a lag.
+    """
+    size = 2 * segment
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    lags = np.arange(size - 1) - (segment - 1)
+
+    def filled(row, reverse):
+        x = np.zeros(segment)
+        x[np.asarray(row.at, dtype=int)] = row.v
+        return np.fft.rfft(x[::-1] if reverse else x, size)
+
+    def settled(key, total, row):
+        corr = np.fft.irfft(total, size)[: size - 1]
+        lag = key[1] * segment + lags
+        usable = (lag > -row.n_b) & (lag < row.n_a)
+        return pd.DataFrame({"pair_id": key[0], "lag": lag[usable], "corr": corr[usable]})
+
+    def run(frames):
+        key, total, left, last = None, 0.0, (None, None), None
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                if (row.pair_id, row.diagonal, row.share) != key:
+                    if key is not None:
+                        yield settled(key, total, last)
+                    key, total, left, last = (row.pair_id, row.diagonal, row.share), np.zeros(segment + 1, dtype=complex), (None, None), row
+                if row.side == "a":
+                    left = (row.i, filled(row, False))
+                elif left[0] == row.i:
+                    total += left[1] * filled(row, True)
+        if key is not None:
+            yield settled(key, total, last)
+
+    dealt = _segments(pairs, center, segment).repartition("pair_id", "diagonal", "share").sortWithinPartitions("pair_id", "diagonal", "share", "i", "side")
+    summed = dealt.mapInPandas(run, f"pair_id {kind}, lag long, corr double").groupBy("pair_id", "lag").agg(F.sum("corr").alias("corr"))
+    n = lambda s: F.max(F.when(F.col("side") == s, F.col("win_idx"))) + 1
+    sizes = pairs.groupBy("pair_id").agg(n("a").alias("n_a"), n("b").alias("n_b"))
+    overlap = F.least("n_a", F.col("lag") + F.col("n_b")) - F.greatest(F.lit(0), F.col("lag"))
+    out = sizes.join(summed, "pair_id", "left").select("pair_id", "lag", "corr", F.coalesce(overlap, F.lit(0)).alias("overlap"), F.when(F.col("lag").isNotNull(), F.least("n_a", "n_b")).otherwise(F.lit(0)).alias("n_min"))
+    return out
 
 
 def offsets(correlation: DataFrame, window_seconds: float = WINDOW_SECONDS, rival_seconds: float = RIVAL_SECONDS, min_overlap: float = MIN_OVERLAP) -> DataFrame:

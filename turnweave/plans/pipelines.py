@@ -6,7 +6,8 @@ read is written to the shared folder first, so alignment and merge run once; clo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators.merge import merge_turns, shift_and_remap
 from ..operators.offset import cross_correlation, offsets, rms_envelope_chunked
 from ..operators.render import render_markdown
 from ..operators.turns import group_consecutive, group_into_turns, relabel_speakers, smooth_micro_turns
+from ..sources import media, speech, wav
 from ..sources.scratch import Scratch
 
 KEY = "recording"
@@ -33,6 +35,8 @@ class Transcript:
     diagnostics: DataFrame
     offsets: DataFrame | None = None
     scratch: Scratch | None = None
+    #: What a fusion knows besides: turns of both sides on their own clocks, and the offsets used; a capture keeps them.
+    steps: dict[str, DataFrame] = field(default_factory=dict)
 
     def close(self) -> None:
         """Delete the intermediate tables; the frames cannot be read after that."""
@@ -110,7 +114,42 @@ def fuse(tables: dict[str, DataFrame], envelope_rows: DataFrame, smooth: bool =
         merged = smooth_micro_turns(merged).drop("n_merged")
     turns = scratch.settle(relabel_speakers(merged))  # read by the rendering and by each kind of warning
     notes = offset_notes(found).unionByName(loop_warnings(turns)).unionByName(duplicate_warnings(turns))
-    return Transcript(turns, render_markdown(turns), notes, found, scratch)
+    return Transcript(turns, render_markdown(turns), notes, found, scratch, {"turns_a": side["a"], "turns_b": side["b"], "offsets": usable})
+
+
+def hear_both_sides(pairs: DataFrame, recogniser: Callable, diarizer: Callable, folder: str, scratch: Scratch, filters: str | None = None, language: str | None = "en", prompt: str | None = None, verbose: bool | None = None, num_speakers: int | None = None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """The tables of fuse(), envelope rows, and (recording, error), of pairs (recording, a, b) of media paths.
+
+    Both sides of all meetings go through one extraction, one recognition and one diarization, each run once and written to
+    the shared folder; the extracted files are read by byte ranges.  A side that fails takes its meeting out, and is named.
+    """
+    both = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("path")) for s in "ab"])).alias("x")
+    sides = pairs.select(KEY, both).select(KEY, "x.side", "x.path")
+    clean = scratch.settle(media.extract_audio(sides.select("path").distinct(), folder, filters).join(sides, "path").select(KEY, "side", "path", "cleaned", "error"))
+    # models know a side as a recording of its own
+    ready = clean.where("error is null").select(F.concat_ws("\u0001", KEY, "side").alias(KEY), F.col("cleaned").alias("path"))
+    part = lambda k: F.split(F.col(KEY), "\u0001")[k]
+    apart = lambda df: scratch.settle(df.withColumn("side", part(1)).withColumn(KEY, part(0)))
+    heard = apart(speech.transcribe(ready, recogniser, language, prompt, verbose))
+    found = apart(speech.diarize(ready, diarizer, num_speakers))
+    named = lambda df, what: df.where("error is not null").select(KEY, F.concat(F.lit(f"{what} of side "), "side", F.lit(": "), "error").alias("error"))
+    failed = named(clean, "audio").unionByName(named(heard, "recognition")).unionByName(named(found, "diarization"))
+    failed = scratch.settle(failed.groupBy(KEY).agg(F.min("error").alias("error")))
+    good = lambda df: df.join(failed, KEY, "left_anti")
+    tables = {}
+    for s in "ab":
+        of = lambda df: good(df.where(F.col("side") == s))  # noqa: B023, E731
+        tables |= {f"words_{s}": speech.flatten_words(of(heard)), f"diarization_{s}": speech.diarization_turns(of(found)), f"embeddings_{s}": speech.speaker_embeddings(of(found))}
+    sounds = wav.read_ranges(good(clean).select(KEY, "side", F.col("cleaned").alias("path")))
+    return {name: scratch.settle(df) for name, df in tables.items()}, scratch.settle(envelopes(sounds)), failed
+
+
+def count_warnings(tables: dict[str, DataFrame], requested: int) -> DataFrame:
+    """Sides whose diarizer found another number of speakers than was asked for."""
+    rows = tables["embeddings_a"].withColumn("side", F.lit("a")).unionByName(tables["embeddings_b"].withColumn("side", F.lit("b")))
+    found = rows.groupBy(KEY, "side").agg(F.count("*").alias("n")).where(F.col("n") != requested)
+    said = F.format_string(f"asked for {requested} speakers, found %d on side %s", "n", "side")
+    return found.select(KEY, F.lit("speaker_count").alias("kind"), F.lit("warning").alias("severity"), said.alias("message"), F.lit(None).cast("double").alias("start"))
 
 
 def render_capture(tables: dict[str, DataFrame], guard: bool = True) -> DataFrame:

@@ -21,7 +21,7 @@ def capture_folder(folder: str | None = None) -> str:
     """The capture's folder: as given, else from TURNWEAVE_CAPTURE; says how to make one if there is none."""
     folder = folder or os.environ.get("TURNWEAVE_CAPTURE")
     if not folder or ("://" not in folder and not os.path.isdir(folder)):
-        raise FileNotFoundError(f"no capture at {folder!r}: write one with write_capture(), or set TURNWEAVE_CAPTURE to its folder")
+        raise FileNotFoundError(f"no capture at {folder!r}: write one with --fuse ... --capture FOLDER (write_capture()), or set TURNWEAVE_CAPTURE to its folder")
     return folder
 
 
