@@ -1,6 +1,7 @@
 """HTML text, recurring passages, licenses, benchmark leaks, near copies."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,11 +283,69 @@ def test_html_markup(page, text):
     assert html_text.main_text(html_text.page_lines(page), None) == text
 
 
-def test_html_teasers_do_not_replace_the_body(spark):
-    plain = '<body><div>Site</div><article>Read this</article><div class="story"><p>{0} a long body of its own</p><p>{0} and more of it</p></div></body>'
-    rows = [(k, f"http://t.org/{k}", plain.format(k)) for k in (1, 2)]
-    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages(spark, rows)).collect()}
-    assert got == {k: f"{k} a long body of its own\n{k} and more of it" for k in (1, 2)}
+@pytest.mark.parametrize("name", "comment-thread wp-block-comments user-comments-v2 discussion responses ad-300x250 adsbygoogle related-posts share-buttons newsletter-signup-cta cookie-policy cookie-banner-v3 promo-card".split())
+def test_html_furniture_by_parts_of_names(name):
+    page = f'<article><p>Body</p><div class="{name}"><p>Not of the article</p></div><section id="x {name}">Nor this</section><p>End</article>'
+    assert html_text.main_text(html_text.page_lines(page), None) == "Body\nEnd"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><form id="aspnet"><main><p>text</p></main></form></body>', "text"),
+        ('<body><form id="aspnet"><div>Field of view</div><label>Name</label><input value="x"></form><p>after</body>', "Field of view\nafter"),
+        ('<div class="page-content main-banner">Big<article><p>Body</p></article>sale</div>', "Body"),
+        ('<div class="comments"><article><p>A reader says</p></article></div><p>Body', "Body"),
+        ('<aside><article>Other page</article></aside><article>Body</article>', "Body"),
+        ('<article><svg class="i"/><p>Body</p><svg><path d="M0"/><text>no</text></svg><p>End</article>', "Body\nEnd"),
+        ("<article><p title=it's>one</p><p title=a'b\"c>two</p><a href=/x/>three</a></article>", "one\ntwo\nthree"),
+        ('<article><p a="x>y" b=\'>\' c = d>one < two &lt; 3<br/>four</article>', "one < two < 3\nfour"),
+        ('<article><p data-id="ad" aria-role="menu">Body<!-- <p>no --><!doctype x><?php p?></article>', "Body"),
+        ("<article>Body<p>cut <a href='never closed>", "Body\ncut"),
+        ('<article>A short one</article><div><p>' + "an unnamed thread of reader comments " * 30 + "</p></div>", "A short one"),
+        ("<article><form><p>Write to us</p></form><p>Body<div><p>In", "Body\nIn"),
+    ],
+)
+def test_html_by_the_rules(page, text):
+    assert html_text.main_text(html_text.page_lines(page), None) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<p><b>", "<", "<!", "</p>", "<td><p>", "<a b='", '<a b="', "<li class=x", "<script>", "&amp", "<p/ ", "<button><p>"])
+def test_html_time_is_linear(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.page_lines(page[: len(page) // 8])
+    eighth = time.process_time() - began
+    began = time.process_time()
+    html_text.page_lines(page)
+    assert time.process_time() - began < max(1.0, 16 * eighth)
+
+
+def plain_main_text(page, other):
+    """A page of divs only, against its neighbour: its lines without one longest common subsequence, by the textbook table."""
+    a, b = (x.removeprefix("<div>").removesuffix("</div>").split("</div><div>") for x in (page, other))
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    return a, table[-1][-1]
+
+
+def test_html_differencing_against_a_plain_table(spark):
+    """Unmarked pages of one host: what is deleted is a common subsequence, and a longest one."""
+    rng = random.Random(9)
+    menu = [f"menu {k}" for k in range(6)]
+    rows = []
+    for k in range(40):
+        lines = [x for x in menu if rng.random() < 0.8] + [f"own {k} {j}" for j in range(rng.randint(0, 4))] + [rng.choice(menu) for _ in range(3)]
+        rows.append((k, f"http://p.org/{k // 2:02}/{k % 2}", "<div>" + "</div><div>".join(lines) + "</div>"))
+    got = {r["page_id"]: (r["text"].split("\n") if r["text"] else [], r["n_shared_lines"]) for r in html_text.extract_pages(pages(spark, rows)).collect()}
+    for k, _, page in rows:
+        a, longest = plain_main_text(page, rows[k ^ 1][2])
+        kept, shared = got[k]
+        assert shared == longest and len(kept) == len(a) - longest
+        rest = iter(a)
+        assert all(x in rest for x in kept) and {x for x in a if x.startswith("own")} == {x for x in kept if x.startswith("own")}
 
 
 def test_html_copies_of_unmarked_pages_keep_their_text(spark):

@@ -5,9 +5,13 @@ references decoded, and with a mark that says whether the markup around it is pa
 sorted by host and URL path, and each is paired with its nearest neighbour on the same host whose lines are not the
 same as its own, before or after it, the one that shares the longer beginning of the path.  The lines of a pair are
 aligned by a longest common subsequence, and shared lines are deleted as the host's template, unless the page marks
-them as its article.  Near copies of an article occur on one host, so deleting lines inside `article` or `main` would
-take text that is the page's own.  Where what is marked is less than 1 / TEASER of the lines that the neighbour does not
-share (a teaser beside a body in a plain block), the mark is not believed and the comparison decides alone.
+them as its article: near copies of an article occur on one host, so deleting lines inside `article` or `main` would
+take text that is the page's own.  A page with such a mark is its marked lines, whatever their length; on all others the comparison
+decides on every line that is not clearly furniture.
+
+Tags are read by the rules of HTML (quotes, values without quotes, end tags left out, self-closing foreign elements), in
+time linear in the page.  An `article` or `main` is believed inside any wrapper but clear furniture (nav, aside, footer,
+reader comments, adverts, related pages); a form or a banner may hold the page.
 
 Defined results: null or empty html gives an empty text with n_chars 0; a null or broken URL counts as a host of
 its own kind (the empty one); a page alone on its host, or with nothing but copies of itself, is judged by its markup
@@ -40,18 +44,17 @@ BLOCKS = frozenset(
 ) | FURNITURE
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Names in class, id or role that tell page furniture, and names that say nothing beside them: a name counts if its parts
-#: are of these two kinds and one is of the first ("comments-area" does, "has-comments" does not).
+#: Parts of a class, id or role that tell page furniture, also within an article.
 FURNITURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
-    "breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist disqus reply replies respond notice notices alert cookie "
-    "cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended widget pagination pager "
-    "search complementary contentinfo skip".split()
-)
-NEUTRAL_NAMES = frozenset(
-    "site page main global primary secondary top bottom left right upper lower post entry article user reader box area list item items wrap wrapper "
-    "container section block inner outer unit slot link links bar form content body title row group".split()
+    "ad ads adv advert adverts advertisement advertising adsbygoogle adslot sponsor sponsored promo promos promotion nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar aside footer toolbar comment comments commentlist disqus discussion reply replies respond response responses "
+    "notice notices alert cookie cookies consent gdpr newsletter subscribe signup login share sharing social related recommended pagination pager "
+    "complementary contentinfo skip".split()
 )
+#: Parts that tell furniture too, but that may hold an article.
+HOLDING_NAMES = frozenset("banner masthead topbar popup modal overlay widget search".split())
+#: Parts that turn the others into a statement about the element or make them a topic of its text.
+STATING_NAMES = frozenset("has with without no not is are show hide hidden enabled disabled open closed story policy results".split())
 #: Elements that never are furniture by their names: they hold the page or its article.
 HOLDERS = frozenset("html body main article".split())
 #: Open elements that an opening tag closes when their end tag is left out, and the elements that end the search.
@@ -66,23 +69,63 @@ IMPLIED_ENDS = {
 }
 OPEN_P = frozenset(("p",))
 P_SCOPE = frozenset("html body table caption td th button object template".split())
-#: What is marked as article must be a TEASERth of the page's own lines.
-TEASER = 2
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag as it should be written; what is not is read piece by piece.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)*+)\s*+(/?)>""")
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+TAG_NAME, GAP, ATTRIBUTE, EQUALS, BARE = (re.compile(x) for x in (r"</?([A-Za-z][^\s/>]*)", r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 SPLIT_NAME = re.compile(r"[^a-z]+")
 RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "iframe", "title", "svg", "textarea")}
-
-
-def is_furniture_name(name: str) -> bool:
-    parts = [p for p in SPLIT_NAME.split(name) if p]
-    return any(p in FURNITURE_NAMES for p in parts) and all(p in FURNITURE_NAMES or p in NEUTRAL_NAMES for p in parts)
-
-
-def is_furniture(name: str, attributes: str) -> bool:
+FOREIGN = frozenset(("svg", "math"))
+
+
+def read_tag(page: str, at: int) -> tuple[int, bool, str, list[str], bool] | None:
+    """(end, is an end tag, name, values of class, id and role, is self-closing) of the tag at a place; None if the page ends in it."""
+    m = TAG.match(page, at)
+    if m:
+        return m.end(), bool(m[1]), m[2].lower(), [x or y or z for x, y, z in NAMED.findall(m[3])] if m[3] else [], bool(m[4])
+    m = TAG_NAME.match(page, at)
+    named, p = [], m.end()
+    while True:
+        gap = GAP.match(page, p)
+        p = gap.end()
+        if p >= len(page):
+            return None
+        if page[p] == ">":
+            return p + 1, page[at + 1] == "/", m[1].lower(), named, gap[0].endswith("/")
+        attribute = ATTRIBUTE.match(page, p)
+        p, value = attribute.end(), ""
+        equals = EQUALS.match(page, p)
+        if equals:
+            p = equals.end()
+            if page[p : p + 1] in ("'", '"'):
+                end = page.find(page[p], p + 1)
+                if end < 0:
+                    return None
+                value, p = page[p + 1 : end], end + 1
+            else:
+                bare = BARE.match(page, p)
+                value, p = bare[0], bare.end()
+        if attribute[0].lower() in ("class", "id", "role"):
+            named.append(value)
+
+
+def furniture_kind(name: str, named: list[str]) -> int:
+    """2 for furniture, 1 for furniture that may hold an article, 0 for others."""
     if name in FURNITURE:
-        return True
-    return bool(attributes) and name not in HOLDERS and any(is_furniture_name(n) for m in NAMES.findall(attributes) for n in (m[0] or m[1] or m[2]).lower().split())
+        return 1 if name == "form" else 2
+    if name in HOLDERS:
+        return 0
+    kind = 0
+    for value in named:
+        for word in value.lower().split():
+            parts = [p for p in SPLIT_NAME.split(word) if p]
+            if not STATING_NAMES.isdisjoint(parts) and not ({"cookie", "cookies"} & set(parts)):
+                continue
+            if not FURNITURE_NAMES.isdisjoint(parts):
+                return 2
+            if not HOLDING_NAMES.isdisjoint(parts):
+                kind = 1
+    return kind
 
 
 def page_lines(page: str | None) -> list[tuple[str, int]]:
@@ -91,69 +134,87 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         return []
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    furniture = articles = 0
+    stack: list[tuple[str, int, int, bool]] = []  # name, clear furniture, furniture that may hold an article, article
+    places: dict[str, list[int]] = {}  # of each name in the stack
+    clear = holding = articles = 0
 
     def flush() -> None:
         if parts:
             line = " ".join(entities.unescape("".join(parts)).split())
             if line:
-                lines.append((line, 0 if furniture else 2 if articles else 1))
+                lines.append((line, 0 if clear or holding else 2 if articles else 1))
             parts.clear()
 
-    def close(count: int) -> None:
-        nonlocal furniture, articles
-        for _, f, a in stack[len(stack) - count :]:
-            furniture -= f
-            articles -= a
-        del stack[len(stack) - count :]
+    def close(height: int) -> None:
+        nonlocal clear, holding, articles
+        while len(stack) > height:
+            name, hard, soft, article = stack.pop()
+            places[name].pop()
+            clear -= hard
+            holding -= soft
+            articles -= article
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     def close_implied(names: frozenset, scope: frozenset) -> None:
-        for count, (open_name, _, _) in enumerate(reversed(stack), 1):
-            if open_name in names:
-                return close(count)
-            if open_name in scope:
-                return
+        found = last(names)
+        if found > last(scope - names):
+            close(found)
 
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if begin > at:
+            parts.append(page[at:begin])
+        then = page[begin + 1 : begin + 3]
+        if then[:1] in ("!", "?"):
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->", begin + 4) if comment else page.find(">", begin)
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        if not TAG_NAME.match(page, begin):
+            parts.append("<")
+            at = begin + 1
             continue
+        tag = read_tag(page, begin)
+        if tag is None:
+            break
+        at, ends, name, named, itself = tag
         if name in BLOCKS:
             flush()
-        if m[1]:
-            depth = next((count for count, s in enumerate(reversed(stack), 1) if s[0] == name), 0)
-            close(depth)
+        if ends:
+            if places.get(name):
+                close(places[name][-1])
+            continue
+        if name in VOID or (itself and name in FOREIGN):
             continue
         if name in RAW_END:
             end = RAW_END[name].search(page, at)
             at = end.end() if end else n
             continue
-        if name in VOID or m[3].endswith("/"):
-            continue
         if name in BLOCKS:
             close_implied(OPEN_P, P_SCOPE)
         if name in IMPLIED_ENDS:
             close_implied(*IMPLIED_ENDS[name])
-        if name in ("body", "article", "main") and any(s[0] == "head" for s in stack):
-            while stack and stack.pop()[0] != "head":
-                pass
-            furniture = sum(s[1] for s in stack)
-        f = name in UNSEEN or (name not in ("html", "body") and is_furniture(name, m[3] or ""))
+        if name in ("body", "article", "main") and places.get("head"):
+            close(places["head"][-1])
+        kind = 2 if name in UNSEEN else furniture_kind(name, named)
         if name == "header" and not articles:
-            f = True
-        a = name in ("article", "main") and not furniture
-        stack.append((name, f, a))
-        furniture += f
-        articles += a
+            kind = 2
+        if kind == 1 and name == "form" and all(x[0] in ("html", "body") for x in stack[-2:]) and len(stack) <= 2:
+            kind = 0  # a form round the whole page; its fields are furniture themselves
+        believed = name in ("article", "main") and not clear
+        # what holds a believed article does not make it furniture: taken back when the article ends
+        soft = -holding if believed else int(kind == 1)
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, int(kind == 2), soft, believed))
+        clear += kind == 2
+        holding += soft
+        articles += believed
     flush()
     return lines
 
@@ -199,14 +260,12 @@ def shared_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
 
 
 def main_text(lines: list[tuple[str, int]], shared: set[int] | None) -> str:
-    """Article lines; where none or little is marked, the lines outside furniture that the neighbour does not share.
+    """Article lines; where none is marked, the lines outside furniture that the neighbour does not share.
 
     shared is None for a page without a neighbour.
     """
     article = [x for x, m in lines if m == 2]
-    own = [x for i, (x, m) in enumerate(lines) if m and i not in (shared or ())]
-    teaser = shared is not None and TEASER * sum(map(len, article)) < sum(map(len, own))
-    return "\n".join(article if article and not teaser else own)
+    return "\n".join(article or [x for i, (x, m) in enumerate(lines) if m and i not in (shared or ())])
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared_lines", pa.int32())])
