@@ -1,6 +1,7 @@
 """HTML text, recurring passages, licenses, benchmark leaks, near copies."""
 
 import random
+import re
 import time
 
 import pytest
@@ -162,6 +163,37 @@ def test_templates_are_checked(spark):
         licenses.scan_licenses(docs(spark, EDGE), [("x", "too short")])
 
 
+def test_benchmark_in_scripts_without_spaces(spark):
+    """Items inside a run of letters count by their letters alone, with edits; others still only as whole words."""
+    rng = random.Random(12)
+    scripts = {"han": "東京日本首都人口多国語学校新聞", "kana": "あいうえおかきくけこさしすせそ", "thai": "กขคงจฉชซญดตถทนบ", "latin": "abcdefg"}
+    items, rows = [(1, "東京は日本の首都です。人口は多い"), (2, "ประเทศไทยมีเมืองหลวงชื่อกรุงเทพ"), (3, "日本語 and letters"), (4, "一")], []
+    for k, letters in enumerate(scripts.values()):
+        items += [(10 * (k + 1) + j, "".join(rng.choice(letters) for _ in range(rng.randint(12, 40)))) for j in range(4)]
+    for i in range(80):
+        _, x = rng.choice(items)
+        leak = list(x)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(leak))
+            leak[at : at + rng.randint(0, 1)] = rng.choice(("", "国", "z", "ก"))
+        around = [rng.choice(("前文です", "ですが", "ก", "xx", " x ", "")) for _ in range(2)]
+        rows.append((i, around[0] + "".join(leak) + around[1]))
+    rows += [(100, "前文です東京は日本の首都です。人口は多いですが"), (101, "前日本語 and letters"), (102, "日本語 and lettersx"), (103, "abcdefg" * 9)]
+    want = set()
+    for d, t in rows:
+        for i, x in items:
+            pattern, counted = decontaminate.pattern_of(x)
+            plain = " ".join(re.findall(r"\w+", x.lower()))
+            unspaced = [any(lo <= c <= hi for lo, hi in (("\u0e00", "\u0fff"), ("\u3040", "\u30ff"), ("\u4e00", "\u9fff"))) for c in (plain[0], plain[-1])]
+            assert pattern == ("" if unspaced[0] else " ") + plain + ("" if unspaced[1] else " ") and counted == len(plain)
+            if (best := brute.sub_distance(pattern, decontaminate.normalized(t))) <= int(0.08 * counted):
+                want.add((d, i, best))
+    for block_chars in (decontaminate.BLOCK_CHARS, 60):
+        got = {tuple(r) for r in decontaminate.find_items(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars).collect()}
+        assert got == want
+    assert (100, 1, 0) in want and {(101, 3, 0), (102, 3, 1)} <= want and len(want) > 20
+
+
 def test_benchmark_against_brute_force(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))

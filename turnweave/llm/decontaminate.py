@@ -2,7 +2,9 @@
 
 Texts are compared as lower-case words (runs of letters, digits and underscores) with single spaces, and with a space
 before the first and after the last word of text and item, so that an item does not occur inside a word for nothing.  An item
-of m characters may occur with up to k = floor(ERROR_RATE * m) edits, of which these spaces may take some.  It is split into k + 1 pieces; k edits leave
+of m characters may occur with up to k = floor(ERROR_RATE * m) edits, of which these spaces may take some.  At an end of an item whose letter belongs to a
+script without spaces between words (Chinese, Japanese, Thai and others) there is no such space: such an item may begin or end inside a run
+of letters.  An item is split into k + 1 pieces; k edits leave
 at least one piece untouched, so an Aho-Corasick automaton of all pieces finds every candidate place, and Myers'
 bit-parallel distance decides it exactly.
 
@@ -10,7 +12,7 @@ Defined results: null and empty texts and items match nothing; an item id that r
 texts; there is one row for each doc_id and item_id, with the smallest distance over all rows of either id, whatever the
 size of the benchmark; an empty table on either side gives no rows.  Extra columns are not read.  The benchmark is read in
 blocks of BLOCK_CHARS characters, one after another, and each block is sent to all workers, so no automaton grows with it;
-all blocks see all documents, which are read once for each block.
+documents are read once and pass by all blocks, one step of the same stage for each.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import portions, table
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
 WORD = re.compile(r"\w+")
+#: Blocks of scripts that put no spaces between words (Thai to Tibetan, Myanmar, Khmer, kana, Han).
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalized(text: str | None) -> str:
@@ -35,6 +39,15 @@ def normalized(text: str | None) -> str:
     return words and f" {words} "
 
 
+def pattern_of(text: str | None) -> tuple[str, int]:
+    """An item as it is looked for, and how many characters count for its budget."""
+    t = normalized(text)
+    if not t:
+        return "", 0
+    start, end = (1 if UNSPACED.match(t[1]) else 0), (1 if UNSPACED.match(t[-2]) else 0)
+    return t[start : len(t) - end], len(t) - 2
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """k + 1 pieces (offset, text) of nearly equal length."""
     n = len(item)
@@ -72,10 +85,10 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE):
         self.items, found = [], {}
         for item_id, text in items:
-            t = normalized(text)
+            t, counted = pattern_of(text)
             if not t:
                 continue
-            k, i = int(error_rate * (len(t) - 2)), len(self.items)
+            k, i = int(error_rate * counted), len(self.items)
             masks: dict[str, int] = {}
             for j, c in enumerate(t):
                 masks[c] = masks.get(c, 0) | 1 << j
@@ -121,9 +134,6 @@ class ItemIndex:
         return out
 
 
-MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64())])
-
-
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     """Lists of (item_id, text) of about block_chars characters, read one after another."""
     block, size = [], 0
@@ -140,25 +150,26 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
 def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id and distance of every benchmark item that occurs in a document within its budget of edits."""
     spark = docs.sparkSession
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    kind = "doc_id long, text string, items array<long>, distances array<long>"
+    lists = pa.list_(pa.int64())
 
     def matcher(shared):
         def run(batches):
             index = ItemIndex(shared.value, error_rate)
             for b in portions(batches):
-                rows = [(d, i, x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for i, x in index.matches(t).items()]
-                cols = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=MATCHES)
+                met = [index.matches(t) for t in b.column("text").to_pylist()]
+                items = [x + list(m) for x, m in zip(b.column("items").to_pylist(), met, strict=True)]
+                distances = [x + list(m.values()) for x, m in zip(b.column("distances").to_pylist(), met, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(items, lists), pa.array(distances, lists)], names=["doc_id", "text", "items", "distances"])
 
         return run
 
-    parts = [read.mapInArrow(matcher(spark.sparkContext.broadcast(block)), "doc_id long, item_id long, distance long") for block in item_blocks(benchmark, block_chars)]
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, distance long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+    none = F.array().cast("array<long>")
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), none.alias("items"), none.alias("distances"))
+    for block in item_blocks(benchmark, block_chars):
+        read = read.mapInArrow(matcher(spark.sparkContext.broadcast(block)), kind)
+    met = read.select("doc_id", F.explode(F.arrays_zip("items", "distances")).alias("m")).select("doc_id", F.col("m.items").alias("item_id"), F.col("m.distances").alias("distance"))
+    return met.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
