@@ -58,7 +58,7 @@ def test_labels_decide_over_the_built_in_lexicon(spark):
     rows = labelled(7, 300)
     rows = [(d, t.replace("TR@SH", "") + (" trash" if not x else ""), q, x) for d, t, q, x in rows]
     model = toxicity.train_toxicity(*frames(spark, rows))
-    assert "trash" not in model.weights and "vermin" in model.weights
+    assert "trash" not in model.words and "vermin" in model.words
     assert model.score("trash") == model.score("harmless")
 
 
@@ -79,11 +79,18 @@ def test_hits_in_long_texts_take_time_in_proportion():
 
 
 def test_folding_and_exceptions():
-    model = toxicity.ToxicityModel({toxicity.folded(w).strip(): 4.0 for w in toxicity.BUILT_IN})
+    model = toxicity.ToxicityModel({}, words={toxicity.folded(w).strip(): 4.0 for w in toxicity.BUILT_IN})
     assert model.hits("You іd1ot, m0ron!")[0] == 8.0
     assert model.hits("take the tr@sh out")[0] == 4.0
     assert model.hits("beside the trash can")[0] == 0.0
     assert model.hits("Pathétic")[0] == 4.0
+    assert model.hits("retardant Moronic Dumbledore Jerkins Creeping jerkin")[0] == 0.0 and model.hits("idiots! Crappy losers, b1tches")[0] == 16.0
+
+
+def test_without_labels_one_sure_insult_is_enough(spark):
+    docs = spark.createDataFrame([(1, "you are an 1d10t", 0, 0)], "doc_id long, text string, q int, h int")
+    model = toxicity.train_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert model.score("you are an 1d10t") >= toxicity.THRESHOLD > 0.5 > max(model.score(t) for t in ("that is ugly", "the trash can", "", None, "retardant foam", "a long text of words " * 400 + "idiot"))
     assert model.hits(None or "") == (0.0, 0)
 
 
