@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap_seconds
+from .spans import AT, met_first, on_cells
 
 KEY = "recording"
 
@@ -13,14 +14,13 @@ KEY = "recording"
 def overlapping(words: DataFrame, turns: DataFrame, cell_seconds: float = 30.0) -> DataFrame:
     """word_idx, dturn_idx, speaker and overlap of all pairs that overlap.
 
-    Both sides are cut into time cells; the join is an equi-join on (recording, cell), and a pair counts only in
-    the cell where its common part begins, so no pair is met twice.
+    Both sides stand on time cells of several sizes; the join is an equi-join on (recording, size, cell), and a pair counts only
+    in the cell where its common part begins, so no pair is met twice.
     """
-    first = lambda c: F.floor(F.col(c) / cell_seconds)
-    w = words.where("end > start").select(KEY, "word_idx", F.col("start").alias("ws"), F.col("end").alias("we"), F.explode(F.sequence(first("start"), first("end"))).alias("cell"))
-    t = turns.where("end > start").select(KEY, "dturn_idx", "speaker", F.col("start").alias("ts"), F.col("end").alias("te"), F.explode(F.sequence(first("start"), first("end"))).alias("cell"))
-    pairs = w.join(t, [KEY, "cell"]).where((F.col("ws") < F.col("te")) & (F.col("ts") < F.col("we")))
-    pairs = pairs.where(F.col("cell") == F.floor(F.greatest("ws", "ts") / cell_seconds))
+    w = words.where("end > start").select(KEY, "word_idx", F.col("start").alias("ws"), F.col("end").alias("we"))
+    t = turns.where("end > start").select(KEY, "dturn_idx", "speaker", F.col("start").alias("ts"), F.col("end").alias("te"))
+    met = on_cells(w, t, "ws", "we", "_ww", cell_seconds, "ts", "te").join(on_cells(t, w, "ts", "te", "_tt", cell_seconds, "ws", "we"), [KEY, *AT])
+    pairs = met.where((F.col("ws") < F.col("te")) & (F.col("ts") < F.col("we")) & met_first("_ww", "_tt", F.greatest("ws", "ts"), cell_seconds))
     return pairs.select(KEY, "word_idx", "dturn_idx", "speaker", overlap_seconds(F.col("ws"), F.col("we"), F.col("ts"), F.col("te")).alias("overlap"))
 
 

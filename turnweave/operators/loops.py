@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import loop_token, words
+from .scan import numbered_runs
+from .spans import AT, on_cells
 
 KEY = "recording"
 THRESHOLD = 10
+#: Turns that one task numbers at a time.
+RANGE_TURNS = 4096
 
 
 def token_runs(turns: DataFrame, token=loop_token) -> DataFrame:
     """recording, token, count, start, end, first_turn, last_turn of every run of equal tokens across turn borders."""
     exploded = turns.select(KEY, "turn_idx", "start", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    order = Window.partitionBy(KEY).orderBy("turn_idx", "pos")
     tokens = exploded.withColumn("token", token(F.col("word")))
-    fresh = F.coalesce((F.col("token") != F.lag("token").over(order)).cast("long"), F.lit(1))
-    runs = tokens.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order))
+    runs = numbered_runs(tokens, F.col("token"), ["turn_idx", "pos"], RANGE_TURNS, "_run")
     at = F.struct("turn_idx", "pos")
     return runs.groupBy(KEY, "_run").agg(
         F.first("token").alias("token"),
@@ -35,9 +37,12 @@ def repetition_loops(turns: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def turns_in_loops(turns: DataFrame, loops: DataFrame, cell_seconds: float = 60.0) -> DataFrame:
-    """turn_idx of turns that start within a loop's span (both ends included), of any speaker: a semi-join on time cells."""
-    cells = loops.select(KEY, F.col("start").alias("ls"), F.col("end").alias("le"), F.explode(F.sequence(F.floor(F.least("start", "end") / cell_seconds), F.floor(F.col("end") / cell_seconds))).alias("cell"))
-    asked = turns.select(KEY, "turn_idx", "start", F.floor(F.col("start") / cell_seconds).alias("cell"))
-    t, c = asked.alias("t"), cells.alias("c")
-    cond = (F.col(f"t.{KEY}") == F.col(f"c.{KEY}")) & (F.col("t.cell") == F.col("c.cell")) & F.col("t.start").between(F.col("c.ls"), F.col("c.le"))
-    return t.join(c, cond, "left_semi").select(KEY, "turn_idx")
+    """turn_idx of turns that start within a loop's span (both ends included), of any speaker: a semi-join on time cells
+    of several sizes."""
+    spans = loops.select(KEY, F.least("start", "end").alias("lo"), F.col("start").alias("ls"), F.col("end").alias("le"))
+    asked = turns.select(KEY, "turn_idx", "start", F.col("start").alias("upto"))
+    t = on_cells(asked, spans, "start", "upto", "_t", cell_seconds, "lo", "le").alias("t")
+    c = on_cells(spans, asked, "lo", "le", "_c", cell_seconds, "start", "upto").where(F.col("_size") == F.col("_c")).alias("c")
+    same = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in (KEY, *AT)]
+    cond = same[0] & same[1] & same[2] & F.col("t.start").between(F.col("c.ls"), F.col("c.le"))
+    return t.join(c, cond, "left_semi").select(KEY, "turn_idx").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import containment_text, gap_seconds, overlap_seconds
+from .spans import AT, met_first, on_cells
 
 KEY = "recording"
 RADIUS, MIN_CHARS, MAX_GAP, COVERED = 2, 20, 15.0, 0.5
@@ -33,25 +34,42 @@ def shift_and_remap(turns: DataFrame, offsets: DataFrame, mapping: DataFrame) ->
 def same_speaker_overlaps(a: DataFrame, b: DataFrame, cell_seconds: float = 60.0) -> DataFrame:
     """recording, a_idx, b_idx, overlap and the columns both sides are compared by.
 
-    An equi-join on (recording, speaker, time cell): a pair counts only in the cell where its common part begins, so turns
-    that are far apart never meet and no pair is met twice.
+    An equi-join on (recording, speaker, time cell), with cells of several sizes: a pair counts only in the cell where its common
+    part begins, so turns that are far apart never meet and no pair is met twice.
     """
-    cells = lambda: F.explode(F.sequence(F.floor(F.col("start") / cell_seconds), F.floor(F.col("end") / cell_seconds))).alias("_cell")
-    side = lambda t, k: t.where("end > start").select(KEY, "speaker", F.col("turn_idx").alias(f"{k}_idx"), F.col("start").alias(f"{k}_start"), F.col("end").alias(f"{k}_end"), F.col("confidence").alias(f"{k}_conf"), cells())
-    part = overlap_seconds(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    met = side(a, "a").join(side(b, "b"), [KEY, "speaker", "_cell"]).withColumn("overlap", part)
-    return met.where((F.col("overlap") > 0) & (F.col("_cell") == F.floor(F.greatest("a_start", "b_start") / cell_seconds))).drop("_cell")
+    side = lambda t, k: t.where("end > start").select(KEY, "speaker", F.col("turn_idx").alias(f"{k}_idx"), F.col("start").alias(f"{k}_start"), F.col("end").alias(f"{k}_end"), F.col("confidence").alias(f"{k}_conf"))
+    a, b = side(a, "a"), side(b, "b")
+    met = on_cells(a, b, "a_start", "a_end", "_a", cell_seconds, "b_start", "b_end").join(on_cells(b, a, "b_start", "b_end", "_b", cell_seconds, "a_start", "a_end"), [KEY, "speaker", *AT])
+    met = met.withColumn("overlap", overlap_seconds(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
+    return met.where((F.col("overlap") > 0) & met_first("_a", "_b", F.greatest("a_start", "b_start"), cell_seconds)).drop("_a", "_b", *AT)
+
+
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """recording, speaker, island, rows: a's turns in order with the surer b turns that overlap them, surest first.
+
+    An island is a maximal stretch of time that turns with candidates and their candidates cover without a break.  Turns that share
+    a candidate lie on one island, so islands do not know of one another and none is longer than unbroken talk.
+    """
+    edges = same_speaker_overlaps(a, b).where("b_conf > a_conf")
+    ranked = edges.groupBy(KEY, "speaker", "a_idx").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("b_conf")).alias("order"), F.col("b_idx")))).alias("c"),
+        F.min(F.least("a_start", "b_start")).alias("lo"),
+        F.max(F.greatest("a_end", "b_end")).alias("hi"),
+    )
+    order = Window.partitionBy(KEY, "speaker").orderBy("lo", "a_idx")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ranked.withColumn("_new", F.coalesce((reached <= F.col("lo")).cast("long"), F.lit(0))).withColumn("island", F.sum("_new").over(order))
+    rows = F.array_sort(F.collect_list(F.struct("a_idx", F.transform("c", lambda x: x["b_idx"]).alias("b"))))
+    return ranked.groupBy(KEY, "speaker", "island").agg(rows.alias("rows"))
 
 
 def replacements(a: DataFrame, b: DataFrame) -> DataFrame:
     """recording, a_idx, b_idx: a's turns in order each take the surest free b turn that overlaps and is surer than they are.
 
     A b turn that is not surer than a can never replace it, so only surer ones are listed; the fold then takes the
-    first free one, for each (recording, speaker) by itself, and remembers those taken as a set.
+    first free one, for each island by itself, and remembers those taken as a set.
     """
-    edges = same_speaker_overlaps(a, b).where("b_conf > a_conf")
-    ranked = edges.groupBy(KEY, "speaker", "a_idx").agg(F.array_sort(F.collect_list(F.struct((-F.col("b_conf")).alias("order"), F.col("b_idx")))).alias("c"))
-    lists = ranked.groupBy(KEY, "speaker").agg(F.array_sort(F.collect_list(F.struct("a_idx", F.transform("c", lambda x: x["b_idx"]).alias("b")))).alias("rows"))
+    lists = candidates(a, b)
 
     def fold(batches):
         for batch in batches:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_backchannel, strip, words
+from .scan import numbered_runs
 
 KEY = "recording"
+#: Words that one task numbers at a time.
+RANGE_WORDS = 1 << 16
 
 
 def group_consecutive(aligned: DataFrame) -> DataFrame:
     """One turn for each unbroken run of a speaker; start of the first and end of the last word by position."""
-    order = Window.partitionBy(KEY).orderBy("word_idx")
-    change = F.coalesce((F.col("speaker") != F.lag("speaker").over(order)).cast("long"), F.lit(0))
-    runs = aligned.withColumn("_new", change).withColumn("turn_idx", F.sum("_new").over(order))
+    runs = numbered_runs(aligned, F.col("speaker"), ["word_idx"], RANGE_WORDS, "turn_idx")
     ordered = F.array_sort(F.collect_list(F.struct("word_idx", "word", "probability")))
     turns = runs.groupBy(KEY, "turn_idx").agg(
         F.min_by("speaker", "word_idx").alias("speaker"),
