@@ -122,11 +122,43 @@ def guard_sweep(a: DataFrame, b: DataFrame, radii=(1, 2, 3, 4), floors=(0, 8, 20
 
 def smoothing_report(turns: DataFrame, threshold: int = 10) -> DataFrame:
     """Per recording: turns, eligible, absorbed, and eligible ones inside repetition loops."""
-    looped = turns_in_loops(turns, repetition_loops(turns, threshold)).withColumn("looped", F.lit(True))
-    m = smoothing_marks(turns).join(looped, [KEY, "turn_idx"], "left")
+    m = _marked(turns, threshold)
     return m.groupBy(KEY).agg(F.count("*").alias("turns"), F.count_if("eligible").alias("eligible"), F.count_if("absorbed").alias("absorbed"), F.count_if(F.col("eligible") & F.col("looped").isNotNull()).alias("eligible_in_loops"))
 
 
+def _marked(turns: DataFrame, threshold: int) -> DataFrame:
+    """smoothing_marks() with looped, true for turns inside repetition loops and else null."""
+    looped = turns_in_loops(turns, repetition_loops(turns, threshold)).withColumn("looped", F.lit(True))
+    return smoothing_marks(turns).join(looped, [KEY, "turn_idx"], "left")
+
+
+def smoothing_exclusions(turns: DataFrame) -> DataFrame:
+    """Per recording: short turns between two of one other speaker, how many of them the smoothing leaves because they last, how
+    many for the word list alone, and the texts of the latter with their counts, in order: what either rule is worth."""
+    m = smoothing_marks(turns).where(F.col("eligible") | F.col("kept_by").isNotNull())
+    by_text = m.groupBy(KEY, "text", "eligible", "kept_by").agg(F.count("*").alias("n"))
+    total = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    listed = F.array_sort(F.collect_list(F.when(F.col("kept_by") == "word list", F.struct("text", "n"))))
+    return by_text.groupBy(KEY).agg(
+        F.sum("n").alias("short"),
+        total(F.col("kept_by") == "duration").alias("by_duration"),
+        total(F.col("kept_by") == "word list").alias("by_word_list"),
+        F.array_join(F.transform(listed, lambda x: F.concat(x["text"], F.lit(" "), x["n"].cast("string"))), ", ").alias("words_listed"),
+    )
+
+
+def smoothing_candidates(turns: DataFrame, threshold: int = 10, chars: int = 70) -> DataFrame:
+    """Eligible turns outside repetition loops with what is said around them, to be judged by hand: recording, turn_idx, speaker,
+    start, text, into (the speaker around it), before (the last characters of the turn before) and after (the first of the next).
+
+    A turn stands between the turns next to it in order, whatever their numbers.
+    """
+    order = Window.partitionBy(KEY).orderBy("turn_idx")
+    said = turns.select(KEY, "turn_idx", F.lag("speaker").over(order).alias("into"), F.substring(F.lag("text").over(order), -chars, chars).alias("before"), F.substring(F.lead("text").over(order), 1, chars).alias("after"))
+    clean = _marked(turns, threshold).where(F.col("eligible") & F.col("looped").isNull())
+    return clean.join(said, [KEY, "turn_idx"]).select(KEY, "turn_idx", "speaker", "start", "text", "into", "before", "after")
+
+
 def word_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """word, removed, added where the word counts of two turn tables differ; a word is lost if after holds none."""
     bag = lambda df, n: df.select(F.explode(bag_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias(n))

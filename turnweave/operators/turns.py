@@ -36,7 +36,8 @@ def relabel_speakers(turns: DataFrame) -> DataFrame:
 
 
 def smoothing_marks(turns: DataFrame, max_words: int = 2) -> DataFrame:
-    """turns with eligible and absorbed.
+    """turns with eligible, absorbed, and kept_by: why a short turn between two of one other speaker is not eligible ("duration" or
+    "word list", in this order; null for all other turns).
 
     A turn is eligible between two turns of one other speaker, with few words, no duration, and no acknowledgement.  Of
     neighbouring eligible turns the first absorbs the second as its follower, which is then not asked itself: so
@@ -44,8 +45,10 @@ def smoothing_marks(turns: DataFrame, max_words: int = 2) -> DataFrame:
     """
     order = Window.partitionBy(KEY).orderBy("turn_idx")
     before, after = F.lag("speaker").over(order), F.lead("speaker").over(order)
-    eligible = (before == after) & (before != F.col("speaker")) & (F.size(words(F.col("text"))) <= max_words) & (F.col("end") - F.col("start") == 0) & ~is_backchannel(F.col("text"))
-    marked = turns.withColumn("eligible", F.coalesce(eligible, F.lit(False)))
+    short = (before == after) & (before != F.col("speaker")) & (F.size(words(F.col("text"))) <= max_words)
+    lasts, known = F.col("end") - F.col("start") != 0, is_backchannel(F.col("text"))
+    kept_by = F.when(short & lasts, "duration").when(short & known, "word list")
+    marked = turns.withColumns({"eligible": F.coalesce(short & ~lasts & ~known, F.lit(False)), "kept_by": kept_by})
     fresh = (F.col("eligible") != F.coalesce(F.lag("eligible").over(order), ~F.col("eligible"))).cast("long")
     marked = marked.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order))
     place = F.row_number().over(Window.partitionBy(KEY, "_run").orderBy("turn_idx"))

@@ -154,8 +154,16 @@ def match_speakers(spark, d):
     return match.match_speakers(*p.voices(spark, d)).select("speaker_a", "speaker_b")
 
 
-def _fusion(spark, d):
-    return p.turns_a(spark, d), merge.shift_and_remap(p.raw_turns_b(spark, d), *p.clock_and_labels(spark, d))
+def smoothing_exclusions(spark, d):
+    return reports.smoothing_exclusions(p.acknowledged_turns(spark, d))
+
+
+def smoothing_candidates(spark, d):
+    return reports.smoothing_candidates(p.acknowledged_turns(spark, d), 4, 3)
+
+
+def _fusion(spark, d, echoes=False):
+    return p.turns_a(spark, d, echoes), merge.shift_and_remap(p.raw_turns_b(spark, d, echoes), *p.clock_and_labels(spark, d))
 
 
 def shift_and_remap(spark, d):
@@ -184,11 +192,11 @@ def merge_origin_mix(spark, d):
 
 
 def cross_speaker_origins(spark, d):
-    return reports.cross_speaker_origins(merge.merge_turns(*_fusion(spark, d)))
+    return reports.cross_speaker_origins(merge.merge_turns(*_fusion(spark, d, echoes=True)))
 
 
 def cross_speaker_timing(spark, d):
-    return reports.cross_speaker_timing(merge.merge_turns(*_fusion(spark, d)))
+    return reports.cross_speaker_timing(merge.merge_turns(*_fusion(spark, d, echoes=True)))
 
 
 def guard_sweep(spark, d):
@@ -212,7 +220,7 @@ QUERIES = {
         degeneration_docwide, dominant_tokens, suspicious_tokens, top_short_texts, rms_envelope, cross_correlation, offset_confidence,
         offset_controls, offset_separation, cosine_matrix, match_speakers, shift_and_remap, merge_replacement,
         containment_consumed, gapfill_coverage, merge_turns, merge_origin_mix, cross_speaker_origins, cross_speaker_timing, guard_sweep,
-        lossless_diff, smoothing_lossless,
+        lossless_diff, smoothing_lossless, smoothing_exclusions, smoothing_candidates,
     )
 }
 #: Assignments have no SQL; tests hold them against brute force.

@@ -13,6 +13,8 @@ CENTS = """cents AS (
          CAST(sum(length(text) * 6) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e
   FROM conversations
 ), conv AS (SELECT *, e - len AS s FROM cents)"""
+#: The same with every third turn in the words of the turn before it.
+ECHOES = CENTS.replace("SELECT *, e - len", "SELECT * REPLACE (CASE WHEN turn_idx % 3 = 1 THEN coalesce(lag(text) OVER (PARTITION BY recording ORDER BY turn_idx), text) ELSE text END AS text), e - len")
 TURNS_A = CENTS + """, turns_a AS (
   SELECT recording, turn_idx, speaker, CAST(s AS DOUBLE) / CAST(100 AS DOUBLE) AS start, CAST(e AS DOUBLE) / CAST(100 AS DOUBLE) AS "end", text,
          CAST((recording * 31 + turn_idx * 17) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence FROM conv
@@ -92,13 +94,16 @@ ALIGN = WORDS + """, dturns AS (
          max(overlap) OVER (PARTITION BY recording, word_idx) AS most FROM pairs
 )"""
 EVENTS = """ew AS (
-  SELECT user_id % 8 AS recording, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS turn_idx, event_type AS speaker, event_id, value / CAST(500 AS DOUBLE) AS probability FROM events
+  SELECT user_id AS recording, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS turn_idx, event_type AS speaker, event_id, value / CAST(500 AS DOUBLE) AS probability FROM events
 ), et AS (
   SELECT recording, turn_idx, speaker, CAST(turn_idx AS DOUBLE) AS start, CAST(turn_idx AS DOUBLE) + CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS "end", speaker AS text, probability AS confidence FROM ew
 )"""
 RUNS = EVENTS + """, r0 AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY recording ORDER BY turn_idx) THEN 0 ELSE 1 END AS fresh FROM et),
 r1 AS (SELECT *, sum(fresh) OVER (PARTITION BY recording ORDER BY turn_idx) AS run FROM r0),
 runs AS (SELECT recording, run, min(speaker) AS token, count(*) AS n, min(start) AS start, max(start) AS "end", min(turn_idx) AS first_turn FROM r1 GROUP BY recording, run)"""
+ACKNOWLEDGED = """et2 AS (SELECT * REPLACE (CASE WHEN turn_idx % 5 = 2 THEN 'Yeah.' ELSE text END AS text) FROM et),
+around AS (SELECT *, lag(speaker) OVER w AS before, lead(speaker) OVER w AS after, lag(text) OVER w AS said_before, lead(text) OVER w AS said_after FROM et2 WINDOW w AS (PARTITION BY recording ORDER BY turn_idx)),
+sandwiched AS (SELECT *, "end" <> start AS lasts, text = 'Yeah.' AS listed FROM around WHERE before = after AND before <> speaker)"""
 SMOOTH = EVENTS + """, m0 AS (
   SELECT *, lag(speaker) OVER w AS before, lead(speaker) OVER w AS after FROM et WINDOW w AS (PARTITION BY recording ORDER BY turn_idx)
 ), m1 AS (
@@ -215,6 +220,18 @@ ORACLE: dict[str, str] = {
       FROM t GROUP BY lang""",
     "smooth_micro_turns": f"""WITH {SMOOTH} SELECT recording, CAST(block AS BIGINT) AS turn_idx, arg_min(speaker, turn_idx) AS speaker, min(start) AS start, arg_max("end", turn_idx) AS "end",
       string_agg(text, ' ' ORDER BY turn_idx) AS text, round(min(confidence), 6) AS confidence, count(*) AS n_merged FROM m6 GROUP BY recording, block""",
+    "smoothing_exclusions": f"""WITH {EVENTS}, {ACKNOWLEDGED}, counted AS (
+        SELECT recording, text, lasts, listed, count(*) AS n FROM sandwiched GROUP BY ALL)
+      SELECT recording, CAST(sum(n) AS BIGINT) AS short, CAST(coalesce(sum(n) FILTER (WHERE lasts), 0) AS BIGINT) AS by_duration,
+        CAST(coalesce(sum(n) FILTER (WHERE NOT lasts AND listed), 0) AS BIGINT) AS by_word_list,
+        coalesce(string_agg(text || ' ' || n, ', ' ORDER BY text) FILTER (WHERE NOT lasts AND listed), '') AS words_listed FROM counted GROUP BY recording""",
+    "smoothing_candidates": f"""WITH {EVENTS}, {ACKNOWLEDGED}, toks AS (
+        SELECT *, CASE WHEN token = lag(token) OVER (PARTITION BY recording ORDER BY turn_idx) THEN 0 ELSE 1 END AS nw
+        FROM (SELECT *, CASE WHEN text = 'Yeah.' THEN 'yeah' ELSE text END AS token FROM et2)
+      ), grp AS (SELECT *, sum(nw) OVER (PARTITION BY recording ORDER BY turn_idx) AS g FROM toks),
+      spans AS (SELECT recording, min(start) AS s, max(start) AS e FROM grp GROUP BY recording, g HAVING count(*) >= 4)
+      SELECT recording, turn_idx, speaker, start, text, before AS "into", right(said_before, 3) AS before, left(said_after, 3) AS after FROM sandwiched x
+      WHERE NOT lasts AND NOT listed AND NOT EXISTS (SELECT 1 FROM spans WHERE spans.recording = x.recording AND x.start BETWEEN spans.s AND spans.e)""",
     "smoothing_report": f"""WITH {SMOOTH}, g0 AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY recording ORDER BY turn_idx) THEN 0 ELSE 1 END AS nw FROM m4),
       g1 AS (SELECT *, sum(nw) OVER (PARTITION BY recording ORDER BY turn_idx) AS g FROM g0), g2 AS (SELECT recording, min(start) AS s, max(start) AS e FROM g1 GROUP BY recording, g HAVING count(*) >= 4)
       SELECT recording, count(*) AS turns, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE absorbed) AS absorbed,
@@ -252,10 +269,10 @@ ORACLE: dict[str, str] = {
     "gapfill_coverage": f"WITH RECURSIVE {MERGE} SELECT {_TURN_ROWS} FROM fill",
     "merge_turns": f"WITH RECURSIVE {MERGE} SELECT {_TURN_ROWS}, origin FROM merged",
     "merge_origin_mix": f"WITH RECURSIVE {MERGE} SELECT origin, count(*) AS n FROM merged GROUP BY origin",
-    "cross_speaker_origins": f"""WITH RECURSIVE {MERGE}, blocks AS (SELECT *, {SQUASH.format('text')} AS norm FROM merged), {DUPLICATES}
+    "cross_speaker_origins": f"""WITH RECURSIVE {MERGE.replace(CENTS, ECHOES)}, blocks AS (SELECT *, {SQUASH.format('text')} AS norm FROM merged), {DUPLICATES}
       SELECT least(x.origin, y.origin) || ' + ' || greatest(x.origin, y.origin) AS origins, count(*) AS n FROM dups d JOIN merged x ON x.recording = d.recording AND x.turn_idx = d.i
       JOIN merged y ON y.recording = d.recording AND y.turn_idx = d.j WHERE NOT same_speaker GROUP BY ALL""",
-    "cross_speaker_timing": f"""WITH RECURSIVE {MERGE}, blocks AS (SELECT *, {SQUASH.format('text')} AS norm FROM merged), {DUPLICATES},
+    "cross_speaker_timing": f"""WITH RECURSIVE {MERGE.replace(CENTS, ECHOES)}, blocks AS (SELECT *, {SQUASH.format('text')} AS norm FROM merged), {DUPLICATES},
       gaps AS (SELECT greatest(0, greatest(x.start, y.start) - least(x."end", y."end")) AS gap FROM dups d JOIN merged x ON x.recording = d.recording AND x.turn_idx = d.i
         JOIN merged y ON y.recording = d.recording AND y.turn_idx = d.j WHERE NOT same_speaker)
       SELECT count(*) FILTER (WHERE gap = 0) AS same_time, count(*) FILTER (WHERE gap > 0) AS different_time FROM gaps""",

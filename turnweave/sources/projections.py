@@ -18,22 +18,27 @@ def seconds(cents) -> F.Column:
     return cents.cast("double") / F.lit(100.0)
 
 
-def conversation_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations, six hundredths of a second a character, one after another."""
+def conversation_cents(spark: SparkSession, sf_dir: str, echoes: bool = False) -> DataFrame:
+    """Turns of conversations, six hundredths of a second a character, one after another.
+
+    With echoes every third turn has the words of the turn before it, as where one voice is heard by both microphones.
+    """
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias(KEY), F.col("turn").alias("turn_idx"), F.col("role").alias("speaker"), "text")
     order = Window.partitionBy(KEY).orderBy("turn_idx")
-    return c.withColumn("e", F.sum(F.length("text") * 6).over(order)).withColumn("s", F.col("e") - F.length("text") * 6)
+    c = c.withColumn("e", F.sum(F.length("text") * 6).over(order)).withColumn("s", F.col("e") - F.length("text") * 6)
+    heard = F.when(F.col("turn_idx") % 3 == 1, F.coalesce(F.lag("text").over(order), "text")).otherwise(F.col("text"))
+    return c.withColumn("text", heard) if echoes else c
 
 
-def turns_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns_a(spark: SparkSession, sf_dir: str, echoes: bool = False) -> DataFrame:
     confidence = F.pmod(F.col(KEY) * 31 + F.col("turn_idx") * 17, F.lit(100))
-    return conversation_cents(spark, sf_dir).select(KEY, "turn_idx", "speaker", seconds(F.col("s")).alias("start"), seconds(F.col("e")).alias("end"), "text", seconds(confidence).alias("confidence"))
+    return conversation_cents(spark, sf_dir, echoes).select(KEY, "turn_idx", "speaker", seconds(F.col("s")).alias("start"), seconds(F.col("e")).alias("end"), "text", seconds(confidence).alias("confidence"))
 
 
-def raw_turns_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_turns_b(spark: SparkSession, sf_dir: str, echoes: bool = False) -> DataFrame:
     """The second recording, on its own clock and with its own labels: some turns lost, some spanning, some too long."""
     order = Window.partitionBy(KEY).orderBy("turn_idx")
-    c = conversation_cents(spark, sf_dir)
+    c = conversation_cents(spark, sf_dir, echoes)
     for n in ("turn_idx", "speaker", "e", "text"):
         c = c.withColumn(f"next_{n}", F.lead(n, 2).over(order))
     place = F.col(KEY) + F.col("turn_idx")
@@ -88,8 +93,8 @@ def diarized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as aligned words: eight recordings, the event type speaks."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias(KEY), "event_id", "event_type", "value")
+    """Events as aligned words: a recording for each user, the event type speaks."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias(KEY), "event_id", "event_type", "value")
     index = F.row_number().over(Window.partitionBy(KEY).orderBy("event_id")).cast("long") - 1
     e = e.withColumn("word_idx", index)
     at = F.col("word_idx").cast("double")
@@ -103,6 +108,11 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(KEY, F.col("word_idx").alias("turn_idx"), "speaker", "start", end.alias("end"), F.col("speaker").alias("text"), F.col("probability").alias("confidence"))
 
 
+def acknowledged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_turns(), every fifth of them an acknowledgement."""
+    return event_turns(spark, sf_dir).withColumn("text", F.when(F.col("turn_idx") % 5 == 2, "Yeah.").otherwise(F.col("text")))
+
+
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as blocks; texts that begin alike share a recording and stand side by side."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("speaker"), "text", duplicate_text(F.col("text")).alias("norm"))
