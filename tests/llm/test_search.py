@@ -148,6 +148,39 @@ def test_licenses_against_brute_force(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_long_licenses_altered_and_scattered(spark):
+    """Full texts with altered words, halves, and shingles in any order: as brute force has it, by any number of blocks."""
+    rng = random.Random(14)
+    rows, long = [], [(n, licenses.template_words(t)) for n, t in licenses.TEMPLATES if n.endswith("-text")]
+    for i, (_, w) in enumerate(long):
+        for j, share in enumerate((0.0, 0.01, 0.03, 0.06)):
+            rows.append((10 * i + j, " ".join("altered" if rng.random() < share else x for x in w)))
+        rows.append((10 * i + 5, " ".join(w[: len(w) // 2])))
+        grams = sorted({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+        rng.shuffle(grams)
+        rows.append((10 * i + 6, " / ".join(" ".join(g) + f" filler{k} of other words" for k, g in enumerate(grams[: int(len(grams) * 0.9)]))))
+    rows.append((None, " ".join(long[0][1])))
+    model = {n: brute_grams(t) for n, t in licenses.TEMPLATES}
+    want = {(d, n, len(h & g), len(g)) for d, t in rows for h in [brute_grams(t)] for n, g in model.items() if len(h & g) * 10 >= len(g) * 8}
+    assert {n for n, _ in long} <= {n for d, n, *_ in want if d is not None and d % 10 == 6} and any(d is None for d, *_ in want)
+    for block_words in (licenses.BLOCK_WORDS, 3000):
+        got = licenses.scan_licenses(docs(spark, rows), block_words=block_words).collect()
+        assert {(r["doc_id"], r["license"], r["n_matched"], r["n_shingles"]) for r in got} == want and len(got) == len(want)
+
+
+def test_bands_retrieve_before_anything_is_counted(spark):
+    """Documents that no band finds are not counted; one window inside a long template is found surely."""
+    words = [f"w{i}" for i in range(400)]
+    inside = " ".join(words[100 : 100 + licenses.SHINGLE - 1 + licenses.WINDOW + licenses.STRIDE])
+    rows = [(1, inside), (2, " ".join(words[::-1])), (3, "w0 w1 w2 w3 w4"), (4, "x y z a b c d"), (5, None)]
+    (block,) = licenses.template_blocks([("long", " ".join(words)), ("note", "x y z a b"), ("note", "a b c d e f")], 1000)
+    assert [(n, k) for n, k, _ in block] == [("long", 396), ("note", 3), ("note", 3)]
+    given = spark.createDataFrame(block, "license string, n_shingles long, text string")
+    known = licenses.shingles_of(given.withColumn("_h", licenses.word_hashes(given["text"])), ["license", "n_shingles"])
+    found = {r["_id"]: r["licenses"] for r in licenses.retrieve(docs(spark, rows), known, [k for _, k, _ in block]).collect()}
+    assert found.pop(1) == ["long"] and found.pop(4) == ["note"] and set(found) <= {3}
+
+
 def brute_grams(text):
     w = licenses.template_words(text or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

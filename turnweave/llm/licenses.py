@@ -1,38 +1,53 @@
 """Operator 4 [native]: scan for license texts with MinHash over overlapping windows.
 
-Words are runs of ASCII letters and digits, A-Z lower-cased; a shingle is five words.  A text is cut into
-overlapping windows of WINDOW shingles, one every STRIDE shingles.  Each of BANDS hash functions takes the
-minimum over a window's shingles; a band whose minimum equals that of some window of a template retrieves this template for
-the document.  Every shingle lies in two windows that hold six shingles together, and a band takes it as the minimum of
-one of them with chance 1/4 + 1/4 - 1/6 = 1/3.  A template of two windows or more, of whose shingles the document holds
-CONTAINMENT, has two of them that share no window, and so escapes all bands with a chance of at most (2/3)**48 = 3.5e-9.
-Shorter templates do not depend on chance: each of their shingles retrieves them.
+Words are runs of ASCII letters and digits, A-Z lower-cased; a shingle is five words.
 
-The containment of every template retrieved is then counted exactly, over all shingles of the document: it holds a license
-if at least CONTAINMENT of the template's distinct shingles occur in it.
+1. Retrieval.  A text is cut into windows, whose length goes with the template: WINDOW shingles, one window every STRIDE,
+   for templates of at least two windows; one shingle for shorter ones, as most notices are.  Each of BANDS hash functions
+   takes the minimum over a window's shingles, and a band whose minimum is a template's value retrieves this template for the
+   document; so a window with a share f of its shingles in the template does it with chance 1 - (1 - f)**BANDS, and a window
+   that lies in a copy does it surely.  A minimum over one shingle is the shingle, so there one band says all and nothing is
+   left to chance.  A document that holds CONTAINMENT of a template of n shingles, however scattered, has shares that add up
+   to CONTAINMENT * n / WINDOW over windows side by side, so it escapes with a chance of at most
+   exp(-BANDS * CONTAINMENT * 2) = 1.2e-7, less for longer templates.
+2. Verification.  Only documents with a retrieved template are cut into shingles again, and only the retrieved templates are counted
+   in them: a document holds a license if at least CONTAINMENT of the template's distinct shingles occur in it.
+
+Windows between one shingle and about 2 * BANDS would cost more band rows than a look at each shingle, so there are none.
 
 Only DataFrame operations run here.  Templates are a parameter; blocks of BLOCK_WORDS of their words, a few megabytes as
-band minima, are broadcast one after another, and each block sees all documents.
+band values, are broadcast one after another, and each block sees all documents.  The retrieved documents are written to the
+shared folder; Spark broadcasts their ids where that table's size allows it and shuffles otherwise.
 
 Defined results: null and empty texts, and texts under five words, hold nothing; rows that repeat a doc_id count as one
-text; licenses that match equally are all reported; an empty table gives no rows.  Extra columns are not read.
-Very long texts are cut into overlapping segments, so no row grows with the text's square.
+text, and so do rows without one; licenses that match equally are all reported; templates that repeat a name count as one; an
+empty table gives no rows.  Extra columns are not read.  Very long texts are cut into overlapping segments, so no row grows
+with the text's square.
 """
 
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT = 5, 4, 2, 24, 0.8
+SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT = 5, 16, 8, 10, 0.8
 SEGMENT_WORDS = 2048
 BLOCK_WORDS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Licenses whose full text is a file of license_texts.
+FULL_TEXTS = ("Apache-2.0", "GPL-3.0", "MPL-2.0")
+
+
+def full_text(license: str) -> str:
+    return (resources.files(__package__) / "license_texts" / f"{license}.txt").read_text(encoding="utf-8")
+
+
 #: Notices by which texts state a license, and texts of licenses.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -121,6 +136,7 @@ TEMPLATES = (
         that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
         the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.""",
     ),
+    *((f"{name}-text", full_text(name)) for name in FULL_TEXTS),
 )
 
 
@@ -133,71 +149,92 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def windows_of(frame: DataFrame, keys: list[str], stride: int) -> DataFrame:
-    """keys and s0..s3, the hashes of the shingles of each window; the last windows may hold fewer."""
+def windows_of(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and s0.., the hashes of the shingles of each window, one every STRIDE; the last windows hold fewer, then null."""
     reach = SHINGLE + WINDOW - 1
     count = F.size("_h") - (SHINGLE - 1)
     segments = F.transform(F.sequence(F.lit(1), count, F.lit(SEGMENT_WORDS)), lambda i: F.slice("_h", i, SEGMENT_WORDS + reach))
-    cut = frame.where(count > 0).select(*keys, F.explode(segments).alias("_h")).where(F.size("_h") >= SHINGLE)
-    starts = F.sequence(F.lit(0), F.least(F.size("_h") - SHINGLE, F.lit(SEGMENT_WORDS - 1)), F.lit(stride))
-    rows = F.transform(starts, lambda i: F.struct(*[F.get("_h", i + j).alias(f"h{j}") for j in range(reach)]))
-    words = cut.select(*keys, F.inline(rows))
+    # a filter on the number of words would be pushed below the words and find them twice
+    cut = frame.select(*keys, F.explode(F.when(count > 0, segments)).alias("_h")).where(F.size("_h") >= SHINGLE)
+    starts = F.sequence(F.lit(0), F.least(F.size("_h") - SHINGLE, F.lit(SEGMENT_WORDS - 1)), F.lit(STRIDE))
+    words = cut.select(*keys, "_h", F.explode(starts).alias("_i")).select(*keys, *[F.get("_h", F.col("_i") + j).alias(f"h{j}") for j in range(reach)])
     names = [[f"h{j + n}" for n in range(SHINGLE)] for j in range(WINDOW)]
     return words.select(*keys, *[F.when(F.col(n[-1]).isNotNull(), F.xxhash64(*n)).alias(f"s{j}") for j, n in enumerate(names)])
 
 
-def band_minimum(band: Column) -> Column:
-    """The least hash of a window's shingles under the band's function."""
-    return F.least(*[F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{j}", band)) for j in range(WINDOW)])
+def shingles_of(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and value, the hash of each shingle, once for each place."""
+    places = F.array(*[F.col(f"s{j}") for j in range(STRIDE)])
+    return windows_of(frame, keys).select(*keys, F.explode(places).alias("value")).where("value is not null")
+
+
+def band_value(shingle: str, band: Column) -> Column:
+    return F.when(F.col(shingle).isNotNull(), F.xxhash64(shingle, band))
 
 
-def probes(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, band, value: the BANDS minima of each window, and its shingles as band -1."""
-    rows = windows.select("*", F.explode(F.array(*[F.lit(k) for k in range(-WINDOW, BANDS)])).alias("_k"))
-    value = F.when(F.col("_k") >= 0, band_minimum(F.col("_k")))
-    for j in range(WINDOW):
+def probes(windows: DataFrame, keys: list[str], single: bool, long: bool) -> DataFrame:
+    """keys, value: the BANDS minima of each window if long, and its first STRIDE shingles, windows of one, if single.
+
+    Places without a shingle have the value 0: a null would make the join compute each value once more, to filter it.
+    """
+    kinds = [*(range(-STRIDE, 0) if single else ()), *(range(BANDS) if long else ())]
+    rows = windows.select("*", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("_k"))
+    value = F.when(F.col("_k") >= 0, F.least(*[band_value(f"s{j}", F.col("_k")) for j in range(WINDOW)]))
+    for j in range(STRIDE):
         value = value.when(F.col("_k") == -1 - j, F.col(f"s{j}"))
-    return rows.select(*keys, F.greatest("_k", F.lit(-1)).alias("band"), value.alias("value"))
+    return rows.select(*keys, F.coalesce(value, F.lit(0)).alias("value"))
+
 
+def template_blocks(templates, block_words: int) -> list[list[tuple[str, int, str]]]:
+    """(license, number of its distinct shingles, words joined by spaces) in blocks of about block_words words.
 
-def template_blocks(templates, block_words: int) -> list[list[tuple[str, str]]]:
-    """(license, words joined by spaces) in blocks of about block_words words."""
-    words = [(name, template_words(text)) for name, text in templates]
-    short = [name for name, w in words if len(w) < SHINGLE]
+    All texts of one name are in one block.
+    """
+    words: dict[str, list[list[str]]] = {}
+    for name, text in templates:
+        words.setdefault(name, []).append(template_words(text))
+    short = [name for name, texts in words.items() if any(len(w) < SHINGLE for w in texts)]
     if short:
         raise ValueError(f"templates under {SHINGLE} words: {short}")
     blocks, size = [], block_words
-    for name, w in words:
+    for name, texts in words.items():
         if size >= block_words:
             blocks.append([])
             size = 0
-        blocks[-1].append((name, " ".join(w)))
-        size += len(w)
+        shingles = {tuple(w[i : i + SHINGLE]) for w in texts for i in range(len(w) - SHINGLE + 1)}
+        blocks[-1] += [(name, len(shingles), " ".join(w)) for w in texts]
+        size += sum(map(len, texts))
     return blocks
 
 
-def scan_block(windows: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """doc_id, license, n_matched and n_shingles of the templates of one block that windows (doc_id, s0..s3) hold.
+def retrieve(docs: DataFrame, known: DataFrame, sizes: list[int]) -> DataFrame:
+    """_id and licenses: the templates that a band of some window retrieves for a document; written, as counting reads it."""
+    is_long = F.col("n_shingles") >= 2 * WINDOW
+    single, long = any(n < 2 * WINDOW for n in sizes), any(n >= 2 * WINDOW for n in sizes)
+    bands = known.where(is_long).select("license", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("_k"), "value")
+    index = known.where(~is_long).select("license", "value").unionAll(bands.select("license", band_value("value", F.col("_k")).alias("value")))
+    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("_h"))
+    met = probes(windows_of(hashed, ["doc_id"]), ["doc_id"], single, long).join(F.broadcast(index), "value")
+    return materialize(met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("license").alias("licenses")))
 
-    One pass: minima and shingles of all windows meet those of the templates by value, hashes that differ from band to band.
-    """
-    spark = windows.sparkSession
-    hashed = spark.createDataFrame(templates, "license string, text string").select("license", word_hashes(F.col("text")).alias("_h"))
-    known = probes(windows_of(hashed, ["license"], 1), ["license"]).where("value is not null").distinct()
-    totals = known.where("band < 0").groupBy("license").agg(F.count("*").alias("n_shingles"))
-    known = known.join(F.broadcast(totals), "license")
 
-    met = probes(windows, ["doc_id"]).select("doc_id", "value").join(F.broadcast(known), "value").distinct()
-    retrieved = (F.col("band") >= 0) | (F.col("n_shingles") < 2 * WINDOW)
-    counted = met.groupBy("doc_id", "license").agg(F.count_if(F.col("band") < 0).alias("n_matched"), F.first("n_shingles").alias("n_shingles"), F.bool_or(retrieved).alias("_retrieved"))
-    return counted.where(F.col("_retrieved") & (F.col("n_matched") * 10 >= F.col("n_shingles") * int(CONTAINMENT * 10))).drop("_retrieved")
+def scan_block(docs: DataFrame, templates: list[tuple[str, int, str]]) -> DataFrame:
+    """doc_id, license, n_matched and n_shingles of the templates of one block that docs (doc_id, text) hold."""
+    given = docs.sparkSession.createDataFrame(templates, "license string, n_shingles long, text string")
+    known = shingles_of(given.withColumn("_h", word_hashes(F.col("text"))), ["license", "n_shingles"]).distinct()
+
+    met = retrieve(docs, known, [n for _, n, _ in templates])
+    suspects = docs.join(met, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "licenses", word_hashes(F.col("text")).alias("_h"))
+    held = shingles_of(suspects, ["doc_id", "licenses"]).join(F.broadcast(known), "value").where(F.array_contains("licenses", F.col("license")))
+    counted = held.select("doc_id", "license", "n_shingles", "value").distinct().groupBy("doc_id", "license", "n_shingles").agg(F.count("*").alias("n_matched"))
+    enough = F.col("n_matched") * 10 >= F.col("n_shingles") * int(CONTAINMENT * 10)
+    return counted.where(enough).select("doc_id", "license", "n_matched", "n_shingles")
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, license, n_matched, n_shingles and containment of every license that a document holds."""
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("_h"))
-    windows = windows_of(hashed, ["doc_id"], STRIDE)
-    found = [scan_block(windows, block) for block in template_blocks(templates, block_words)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [scan_block(texts, block) for block in template_blocks(templates, block_words)]
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, n_matched long, n_shingles long, containment double")
     out = found[0]
