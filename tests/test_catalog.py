@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from turnweave.plans import catalog
+from turnweave.sources import projections
 
 
 def written(spark, folder, name, rows, schema):
@@ -59,6 +60,24 @@ def test_voices_of_all_labels(spark, tmp_path):
     assert {r["speaker_a"]: r["speaker_b"] for r in catalog.match_speakers(spark, d).collect()} == {f"S{i}": f"S{j}" for i, j in enumerate(best)}
 
 
+def test_voices_of_many_meetings(spark, tmp_path):
+    """Every meeting is matched by itself; a label that one side lacks is not a speaker of it."""
+    size, rng = projections.MEETING_VECTORS, np.random.default_rng(6)
+    rows = [(m * size + v, v // 2 % 5, rng.normal(size=3).tolist()) for m in range(6) for v in range(40)]
+    rows += [(size + 100, 7, [1.0, 0.0, 0.0]), (3 * size + 101, 8, [0.0, 1.0, 0.0]), (2 * size + 102, None, [1.0, 1.0, 1.0])]
+    d = written(spark, tmp_path, "embeddings", rows, "vec_id long, label int, embedding array<float>")
+    unit = lambda m: m / np.linalg.norm(m)
+    want = set()
+    for m in range(6):
+        a, b = ([unit(np.mean([np.float32(x).astype(float) for v, y, x in rows if v // size == m and v % 2 == side and y == k], axis=0)) for k in range(5)] for side in (0, 1))
+        sim = np.array(a) @ np.array(b).T
+        best = max(itertools.permutations(range(5)), key=lambda p: sum(sim[i, j] for i, j in enumerate(p)))  # noqa: B023
+        want |= {(m, f"S{i}", f"S{j}") for i, j in enumerate(best)}
+    got = catalog.match_speakers(spark, d).collect()
+    assert {(r["meeting"], r["speaker_a"], r["speaker_b"]) for r in got} == want and len(got) == len(want)
+    assert catalog.cosine_matrix(spark, d).count() == 6 * 25
+
+
 def test_envelopes_of_all_events(spark, tmp_path):
     rng = np.random.default_rng(4)
     values = rng.uniform(1, 500, 1000)

@@ -147,11 +147,11 @@ def offset_separation(spark, d):
 
 
 def cosine_matrix(spark, d):
-    return match.cosine_matrix(*p.voices(spark, d)).select("speaker_a", "speaker_b", F.round("similarity", 6).alias("similarity"))
+    return match.cosine_matrix(*p.voices(spark, d)).select("meeting", "speaker_a", "speaker_b", F.round("similarity", 6).alias("similarity"))
 
 
 def match_speakers(spark, d):
-    return match.match_speakers(*p.voices(spark, d)).select("speaker_a", "speaker_b")
+    return match.match_speakers(*p.voices(spark, d)).select("meeting", "speaker_a", "speaker_b")
 
 
 def smoothing_exclusions(spark, d):

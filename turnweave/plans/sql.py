@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.text import BACKCHANNELS
 from ..operators.reports import COMMON
 from ..sources.media import MEDIA
+from ..sources.projections import MEETING_VECTORS
 
 _IN = lambda xs: "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
 
@@ -180,14 +181,18 @@ cases AS (
   SELECT pair_id, arg_max(lag, struct_pack(c := corr, l := -lag)) AS lag0, max(corr) AS most, min(corr) AS least, quantile_cont(corr, 0.5) AS median, stddev_pop(corr) AS deviation FROM products GROUP BY pair_id
 ), rivals AS (SELECT pair_id, max(corr) AS rival FROM products JOIN peaks USING (pair_id) WHERE abs(lag - lag0) > 50 GROUP BY pair_id),
 metrics AS (SELECT pair_id, lag0 * CAST(0.1 AS DOUBLE) AS offset_s, most / rival AS peak_over_rival, most / median AS peak_over_median, least, most, median, deviation FROM peaks LEFT JOIN rivals USING (pair_id))"""
-VOICES = """parts AS (
-  SELECT CAST(label AS BIGINT) AS label, vec_id % 2 AS side, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings WHERE label IS NOT NULL
-), means AS (SELECT side, label, k, avg(CAST(x AS DOUBLE)) AS x FROM parts GROUP BY side, label, k),
-norms AS (SELECT side, label, sqrt(sum(x * x)) AS n FROM means GROUP BY side, label),
+VOICES = f"""parts AS (
+  SELECT vec_id // {MEETING_VECTORS} AS meeting, CAST(label AS BIGINT) AS label, vec_id % 2 AS side, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k
+  FROM embeddings WHERE label IS NOT NULL
+), means AS (SELECT meeting, side, label, k, avg(CAST(x AS DOUBLE)) AS x FROM parts GROUP BY meeting, side, label, k),
+both_sides AS (SELECT meeting, label FROM means GROUP BY meeting, label HAVING count(DISTINCT side) = 2),
+heard AS (SELECT means.* FROM means JOIN both_sides USING (meeting, label)),
+norms AS (SELECT meeting, side, label, sqrt(sum(x * x)) AS n FROM heard GROUP BY meeting, side, label),
 sim AS (
-  SELECT a.label AS i, b.label AS j, sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)) AS similarity
-  FROM means a JOIN means b ON a.k = b.k AND a.side = 0 AND b.side = 1
-  JOIN norms na ON na.side = 0 AND na.label = a.label JOIN norms nb ON nb.side = 1 AND nb.label = b.label GROUP BY a.label, b.label
+  SELECT a.meeting, a.label AS i, b.label AS j, sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)) AS similarity
+  FROM heard a JOIN heard b ON a.meeting = b.meeting AND a.k = b.k AND a.side = 0 AND b.side = 1
+  JOIN norms na ON na.side = 0 AND na.meeting = a.meeting AND na.label = a.label JOIN norms nb ON nb.side = 1 AND nb.meeting = b.meeting AND nb.label = b.label
+  GROUP BY a.meeting, a.label, b.label
 )"""
 _TURN_ROWS = 'recording, turn_idx, speaker, round(start, 6) AS start, round("end", 6) AS "end", text, round(confidence, 6) AS confidence'
 _BAG = "unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> ''))"
@@ -258,7 +263,7 @@ ORACLE: dict[str, str] = {
     "offset_confidence": f"""WITH {CORRELATION}, usable AS (SELECT * FROM corr WHERE overlap >= 0.5 * n_min), peak AS (SELECT lag AS p, corr AS c FROM usable ORDER BY corr DESC, lag LIMIT 1),
       rival AS (SELECT max(corr) AS r FROM usable, peak WHERE abs(lag - p) > 50)
       SELECT round(p * CAST(0.1 AS DOUBLE), 6) AS offset_s, round(CASE WHEN r > 0 THEN c / r ELSE 0 END, 6) AS confidence, CASE WHEN r > 0 THEN c / r ELSE 0 END < 1.2 AS weak FROM peak, rival""",
-    "cosine_matrix": f"WITH {VOICES} SELECT 'S' || i AS speaker_a, 'S' || j AS speaker_b, round(similarity, 6) AS similarity FROM sim",
+    "cosine_matrix": f"WITH {VOICES} SELECT meeting, 'S' || i AS speaker_a, 'S' || j AS speaker_b, round(similarity, 6) AS similarity FROM sim",
     "offset_controls": f"WITH {CONTROLS} SELECT pair_id, round(offset_s, 6) AS offset_s, round(peak_over_rival, 4) AS peak_over_rival, round(peak_over_median, 4) AS peak_over_median, round(least, 0) AS least, round(most, 0) AS most, round(median, 0) AS median, round(deviation, 0) AS deviation FROM metrics",
     "offset_separation": f"""WITH {CONTROLS}, g AS (SELECT 'pair' AS pair_id, max(peak_over_rival) FILTER (WHERE pair_id = 'pair') AS t, min(peak_over_rival) FILTER (WHERE pair_id <> 'pair') AS lo,
         quantile_cont(peak_over_rival, 0.5) FILTER (WHERE pair_id <> 'pair') AS mid, max(peak_over_rival) FILTER (WHERE pair_id <> 'pair') AS hi FROM metrics)

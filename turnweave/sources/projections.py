@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import duplicate_text, words
 
 KEY = "recording"
+#: Vectors of a meeting in voices().
+MEETING_VECTORS = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,9 +135,14 @@ def envelope_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Mean embeddings of all labels, of even and of odd vectors."""
-    v = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").cast("long").alias("label"), (F.col("vec_id") % 2).alias("side"), F.posexplode("embedding").alias("k", "x"))
-    means = v.groupBy("side", "label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    m = means.groupBy("side", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("embedding"))
-    out = m.select(F.lit("meeting").alias("meeting"), "side", F.col("label").alias("label_idx"), F.concat(F.lit("S"), F.col("label").cast("string")).alias("speaker"), "embedding")
-    return out.where("side = 0").drop("side"), out.where("side = 1").drop("side")
+    """Mean embeddings of labels, of even and of odd vectors; every MEETING_VECTORS vectors in a row are a meeting.
+
+    A speaker of a meeting is a label that both sides have there, as matching needs equal numbers.
+    """
+    v = table(spark, sf_dir, "embeddings").where("label is not null")
+    v = v.select(F.floor(F.col("vec_id") / MEETING_VECTORS).alias("meeting"), F.col("label").cast("long").alias("label"), (F.col("vec_id") % 2).alias("side"), F.posexplode("embedding").alias("k", "x"))
+    means = v.groupBy("meeting", "side", "label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    m = means.groupBy("meeting", "label", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("embedding"))
+    pairs = m.groupBy("meeting", "label").agg(*[F.max(F.when(F.col("side") == n, F.col("embedding"))).alias(f"_{n}") for n in (0, 1)]).where("_0 is not null and _1 is not null")
+    side = lambda n: pairs.select("meeting", F.col("label").alias("label_idx"), F.concat(F.lit("S"), F.col("label").cast("string")).alias("speaker"), F.col(f"_{n}").alias("embedding"))
+    return side(0), side(1)
