@@ -60,6 +60,15 @@ def duplicate_text(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9 ]", "")
 
 
+#: All bytes that duplicate_string() leaves out.
+_OTHERS = bytes(sorted(set(range(256)) - set(b"abcdefghijklmnopqrstuvwxyz0123456789 ")))
+
+
+def duplicate_string(text: str) -> str:
+    """duplicate_text() of a string in a task, where a text is long and a pattern slow; never longer than the text."""
+    return text.lower().encode("ascii", "ignore").translate(None, _OTHERS).decode("ascii")
+
+
 def bag_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +"), lambda w: w != "")
 

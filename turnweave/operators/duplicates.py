@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import duplicate_text
+from ..functions.text import duplicate_string
 from .loops import repetition_loops, turns_in_loops
 
 KEY = "recording"
 MIN_CHARS, MIN_SHARE, MAX_DISTANCE = 40, 0.5, 5
+#: Neighbouring blocks that one task compares in a row, and pieces of a text and places of them that are looked up before all windows are hashed.
+CELL_BLOCKS, MOST_PIECES = 128, 64
 
 
 #: Base of the rolling hash and its inverse modulo 2**64.
@@ -78,53 +82,131 @@ def longest_shared(a: Windows, b: Windows, least: int) -> int:
     return low
 
 
-PAIR = "i {turn}, j {turn}, shared_chars long, first_speaker string, second_speaker string, start double, start_j double, length_i long, length_j long"
+class Text:
+    """A text with its code points and windows, each made when first asked for."""
+
+    def __init__(self, text: str, size: int) -> None:
+        self.text, self.size, self._codes, self._windows = text, size, None, None
+
+    @property
+    def codes(self) -> np.ndarray:
+        if self._codes is None:
+            self._codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self._codes
 
+    @property
+    def windows(self) -> Windows:
+        if self._windows is None:
+            self._windows = Windows(self.text, self.size)
+        return self._windows
 
-def shared_substrings(blocks: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, cross_speaker: bool = True) -> DataFrame:
-    """Pairs (recording, i, j) of blocks (turn_idx, speaker, start, norm) up to max_distance apart whose longest common substring
-    is over min_chars, with its length, both speakers, starts and lengths.
 
-    A task sees cells of max_distance + 1 neighbouring blocks and the max_distance blocks after them, so each block is
-    sent twice at most and frequent passages stay linear.  The longest common substring is searched for by halving.
+def equal_steps(a: np.ndarray, b: np.ndarray) -> int:
+    """How many places two arrays agree from their beginnings on."""
+    n = min(len(a), len(b))
+    unlike = a[:n] != b[:n]
+    at = int(unlike.argmax()) if n else 0
+    return at if n and unlike[at] else n
+
+
+def shared_run(a: Text, b: Text, least: int) -> int:
+    """As longest_shared().  A run of least characters holds a whole piece of the shorter text that begins at a multiple of a stride,
+    so where such pieces and their places in the other text are few, each place is grown to both sides; else all windows are hashed.
+    """
+    if len(a.text) > len(b.text):
+        a, b = b, a
+    n = len(a.text)
+    if n < least:
+        return 0
+    if a.text == b.text:
+        return n
+    piece = max(a.size, least // 2)
+    stride = least - piece + 1
+    if (n - piece) // stride >= MOST_PIECES:
+        return longest_shared(a.windows, b.windows, least)
+    longest, places, reached = 0, 0, {}
+    for p in range(0, n - piece + 1, stride):
+        wanted = a.text[p : p + piece]
+        q = b.text.find(wanted)
+        while q >= 0:
+            if reached.get(q - p, 0) < p + piece:
+                places += 1
+                if places > MOST_PIECES:
+                    return longest_shared(a.windows, b.windows, least)
+                after = p + equal_steps(a.codes[p:], b.codes[q:])
+                longest = max(longest, after - p + equal_steps(a.codes[:p][::-1], b.codes[:q][::-1]))
+                reached[q - p] = after
+            q = b.text.find(wanted, q + 1)
+    return longest if longest >= least else 0
+
+
+def shared_substrings(blocks: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, cross_speaker: bool = True, min_share: float = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (recording, i, j) of blocks (turn_idx, speaker, start, text) up to max_distance apart; the longest common substring of
+    their duplicate_string()s is over min_chars and over min_share of the shorter one.  With its length, both speakers, starts and lengths,
+    and the columns carry of both as <name>_i and <name>_j.
+
+    Cells of CELL_BLOCKS neighbouring blocks and the max_distance blocks after them are dealt over tasks, and a task reads its cells in
+    order with max_distance blocks at hand: few blocks are sent twice, and neither cells nor recordings are held.
     """
-    size, width = min_chars + 1, max_distance + 1
+    size, width = min_chars + 1, max(CELL_BLOCKS, max_distance + 1)
     cells = F.array_distinct(F.array(F.floor((F.col("turn_idx") - max_distance) / width), F.floor(F.col("turn_idx") / width)))
-    long = blocks.where((F.length("norm") >= size) & F.col(KEY).isNotNull())
-    near = long.select(KEY, "turn_idx", "speaker", F.col("start").cast("double").alias("start"), "norm", F.explode(cells).alias("_cell"))
+    long = blocks.where((F.length("text") >= size) & F.col(KEY).isNotNull() & F.col("turn_idx").isNotNull())
+    near = long.select(KEY, "turn_idx", "speaker", F.col("start").cast("double").alias("start"), "text", *carry, F.explode(cells).alias("_cell"))
+    dealt = near.repartition(KEY, "_cell").sortWithinPartitions(KEY, "_cell", "turn_idx")
     kinds = dict(near.dtypes)
-    columns = [c.split()[0] for c in PAIR.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        windows: dict[int, Windows] = {}
-        at = lambda k: windows.get(k) or windows.setdefault(k, Windows(pdf["norm"].iat[k], size))
-        turn, speaker, own = pdf["turn_idx"].to_numpy(), pdf["speaker"].tolist(), pdf["turn_idx"].to_numpy() // width == pdf["_cell"].to_numpy()
-        start, length = pdf["start"].to_numpy(), pdf["norm"].str.len().to_numpy()
-        out = []
-        for x in np.flatnonzero(own):
-            for y in np.flatnonzero((turn > turn[x]) & (turn <= turn[x] + max_distance)):
-                if cross_speaker and (speaker[x] is None or speaker[y] is None or speaker[x] == speaker[y]):
+    fields = [KEY, "i", "j", "shared_chars", "first_speaker", "second_speaker", "start", "start_j", "length_i", "length_j", *[f"{c}_{k}" for k in "ij" for c in carry]]
+    types = [kinds[KEY], kinds["turn_idx"], kinds["turn_idx"], "long", "string", "string", "double", "double", "long", "long", *[kinds[c] for c in carry] * 2]
+    names = [KEY, "_cell", "turn_idx", "speaker", "start", "text", *carry]
+
+    def run(batches):
+        cell, recent = None, deque()
+        for batch in batches:
+            out: list[tuple] = []
+            for key, at, turn, speaker, start, raw, *more in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if (key, at) != cell:
+                    cell = (key, at)
+                    recent.clear()
+                while recent and turn - recent[0][0] > max_distance:
+                    recent.popleft()
+                norm = duplicate_string(raw)
+                if len(norm) < size:
                     continue
-                n = longest_shared(at(x), at(y), size)
-                if n:
-                    out.append((pdf[KEY].iat[x], turn[x], turn[y], n, speaker[x], speaker[y], start[x], start[y], length[x], length[y]))
-        return pd.DataFrame(out, columns=[KEY, *columns])
-
-    return near.groupBy(KEY, "_cell").applyInPandas(run, f"{KEY} {kinds[KEY]}, {PAIR.format(turn=kinds['turn_idx'])}")
-
-
-def near_duplicates(turns: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, min_share: float = MIN_SHARE, cross_speaker: bool = True) -> DataFrame:
-    """Pairs whose shared run is over min_chars and over min_share of the shorter text, with both blocks' columns."""
-    blocks = turns.select(KEY, "turn_idx", "speaker", "start", duplicate_text(F.col("text")).alias("norm"))
-    pairs = shared_substrings(blocks, max_distance, min_chars, cross_speaker)
+                text = Text(norm, size)
+                for turn_x, speaker_x, start_x, text_x, more_x in recent:
+                    if turn_x == turn or (cross_speaker and (speaker_x is None or speaker is None or speaker_x == speaker)):
+                        continue
+                    least = max(size, int(min_share * min(len(norm), len(text_x.text))) + 1)
+                    n = shared_run(text_x, text, least)
+                    if n:
+                        out.append((key, turn_x, turn, n, speaker_x, speaker, start_x, start, len(text_x.text), len(norm), *more_x, *more))
+                if turn // width == at:
+                    recent.append((turn, speaker, start, text, more))
+            of = lambda c: batch.schema.field(c).type  # noqa: E731, B023
+            arrow = [of(KEY), of("turn_idx"), of("turn_idx"), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[of(c) for c in carry] * 2]
+            columns = zip(*out, strict=True) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=fields)
+
+    return dealt.select(names).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(fields, types, strict=True)))
+
+
+def near_duplicates(turns: DataFrame, max_distance: int = MAX_DISTANCE, min_chars: int = MIN_CHARS, min_share: float = MIN_SHARE, cross_speaker: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs whose shared run is over min_chars and over min_share of the shorter text, with both blocks' columns, and the columns carry
+    of both as <name>_i and <name>_j."""
+    pairs = shared_substrings(turns, max_distance, min_chars, cross_speaker, min_share, carry)
     kept = pairs.where(F.col("shared_chars") > min_share * F.least("length_i", "length_j"))
-    return kept.select(KEY, "i", "j", (F.col("j") - F.col("i")).alias("distance"), "first_speaker", "second_speaker", (F.col("first_speaker") == F.col("second_speaker")).alias("same_speaker"), "start", (F.col("start_j") - F.col("start")).alias("delta_seconds"), "shared_chars")
+    return kept.select(KEY, "i", "j", (F.col("j") - F.col("i")).alias("distance"), "first_speaker", "second_speaker", (F.col("first_speaker") == F.col("second_speaker")).alias("same_speaker"), "start", (F.col("start_j") - F.col("start")).alias("delta_seconds"), "shared_chars", *[f"{c}_{k}" for k in "ij" for c in carry])
 
 
 def cross_speaker_duplicates(turns: DataFrame, loop_threshold: int = 10) -> DataFrame:
-    """near_duplicates() of two speakers, without blocks inside repetition loops; the others keep their places."""
+    """near_duplicates() of two speakers, without blocks inside repetition loops; the others keep their places.
+
+    Pairs lose those blocks, and not the blocks their texts, which so are not sent once more.
+    """
     looped = turns_in_loops(turns, repetition_loops(turns, loop_threshold))
-    return near_duplicates(turns.join(looped, [KEY, "turn_idx"], "left_anti"))
+    pairs = near_duplicates(turns)
+    for place in "ij":
+        pairs = pairs.join(looped.withColumnRenamed("turn_idx", place), [KEY, place], "left_anti")
+    return pairs.select(KEY, "i", "j", "distance", "first_speaker", "second_speaker", "same_speaker", "start", "delta_seconds", "shared_chars")
 
 
 def top_duplicates(pairs: DataFrame, k: int = 10) -> DataFrame:

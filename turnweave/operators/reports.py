@@ -62,7 +62,7 @@ def degeneration_within(turns: DataFrame, run: int = 4) -> DataFrame:
 
 def degeneration_docwide(turns: DataFrame, run: int = 4, k: int = 6) -> DataFrame:
     """The k longest runs of run equal tokens or more, across blocks."""
-    return token_runs(turns).where((F.col("count") >= run) & (F.col("token") != "")).orderBy(F.desc("count"), KEY, "first_turn", "token").limit(k)
+    return token_runs(turns, least=run).where((F.col("count") >= run) & (F.col("token") != "")).orderBy(F.desc("count"), KEY, "first_turn", "token").limit(k)
 
 
 def dominant_tokens(turns: DataFrame, k: int = 40) -> DataFrame:

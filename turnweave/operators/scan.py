@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 KEY = "recording"
 
 
-def numbered_runs(rows: DataFrame, value: Column, order: list[str], span: int, name: str) -> DataFrame:
+def numbered_runs(rows: DataFrame, value: Column, order: list[str], span: int, name: str, opens: Column | None = None) -> DataFrame:
     """rows with name, the number of their run of equal values within the recording, from 0; a null value changes nothing.
+    Where opens is true a run begins whatever the value; the first row of a range must not be such a one.
 
     The first column of order is a whole number; span of it make a range, numbered by a task of its own.  A range's first and
     last value and its count, one row a range, then say with which number it begins.
@@ -18,7 +19,9 @@ def numbered_runs(rows: DataFrame, value: Column, order: list[str], span: int, n
     local = Window.partitionBy(*ranges).orderBy(*order)
     changes = lambda now, before: F.coalesce((now != before).cast("long"), F.lit(0))
     marked = rows.withColumns({"_range": F.floor(F.col(order[0]) / span), "_value": value})
-    marked = marked.withColumn("_new", changes(F.col("_value"), F.lag("_value").over(local))).withColumn(name, F.sum("_new").over(local))
+    fresh = changes(F.col("_value"), F.lag("_value").over(local))
+    fresh = fresh if opens is None else F.when(opens, F.lit(1).cast("long")).otherwise(fresh)
+    marked = marked.withColumn("_new", fresh).withColumn(name, F.sum("_new").over(local))
     at = F.struct(*order)
     ends = marked.groupBy(*ranges).agg(F.min_by("_value", at).alias("head"), F.max_by("_value", at).alias("tail"), F.max(name).alias("n"))
     along = Window.partitionBy(KEY).orderBy("_range")
