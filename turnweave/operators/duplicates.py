@@ -6,7 +6,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import duplicate_string
@@ -14,8 +14,9 @@ from .loops import repetition_loops, turns_in_loops
 
 KEY = "recording"
 MIN_CHARS, MIN_SHARE, MAX_DISTANCE = 40, 0.5, 5
-#: Neighbouring blocks that one task compares in a row, and pieces of a text and places of them that are looked up before all windows are hashed.
-CELL_BLOCKS, MOST_PIECES = 128, 64
+#: Neighbouring blocks that one task compares in a row, pieces of a text and places of them that are looked up before all windows are
+#: hashed, and shares of the pairs from which the first are taken.
+CELL_BLOCKS, MOST_PIECES, SHARES = 128, 64, 64
 
 
 #: Base of the rolling hash and its inverse modulo 2**64.
@@ -210,7 +211,15 @@ def cross_speaker_duplicates(turns: DataFrame, loop_threshold: int = 10) -> Data
 
 
 def top_duplicates(pairs: DataFrame, k: int = 10) -> DataFrame:
-    """The first k pairs by start, for the warning, with n_more: how many pairs there are besides."""
-    total = pairs.agg(F.lit(1).alias("_one"), F.greatest(F.lit(0), F.count("*") - k).alias("n_more"))
-    top = pairs.orderBy("start", KEY, "distance", "i").limit(k).withColumn("_one", F.lit(1))
-    return top.join(total, "_one").orderBy("start", KEY, "distance", "i").select(*pairs.columns, "n_more")
+    """The first k pairs by start, for the warning, with n_more: how many pairs there are besides.
+
+    The pairs are found once: shares of them are counted and give their first k, of which the first k are taken.
+    """
+    order = ["start", KEY, "distance", "i"]
+    share = Window.partitionBy("_share")
+    dealt = pairs.withColumn("_share", F.pmod(F.xxhash64(KEY, "i", "j"), F.lit(SHARES)))
+    first = dealt.withColumns({"_n": F.count("*").over(share), "_at": F.row_number().over(share.orderBy(*order))}).where(F.col("_at") <= k)
+    every = Window.partitionBy(F.lit(1))
+    total = F.sum(F.when(F.col("_at") == 1, F.col("_n"))).over(every)
+    top = first.withColumns({"n_more": F.greatest(F.lit(0), total - k), "_place": F.row_number().over(every.orderBy(*order))}).where(F.col("_place") <= k)
+    return top.orderBy("start", KEY, "distance", "i").select(*pairs.columns, "n_more")
