@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "recording"
 WINDOW_SECONDS, RIVAL_SECONDS, MIN_OVERLAP, WEAK = 0.1, 5.0, 0.5, 1.2
-#: Windows of a segment, and pairs of segments of one diagonal that a task takes together.
+#: Windows of a segment, and thousands (of 1,024) of numbers of all segments' transforms that a task takes together.
 SEGMENT, SHARE = 4096, 64
+#: Ranges of values that the middle one is looked for in.
+RANGES = 4096
 
 
 def rms_envelope(samples: DataFrame, window: int) -> DataFrame:
@@ -37,64 +39,117 @@ def rms_envelope_chunked(chunks: DataFrame, window_seconds: float = WINDOW_SECON
 
 
 def _segments(pairs: DataFrame, center: bool, segment: int) -> DataFrame:
-    """Segments of both sides under all diagonals (segment of a less segment of b) that they have a part in."""
+    """pair_id, side, seg, n_a, n_b, at, v: the segments of both sides; a segment meets its pair's sizes by its own number, so that no
+    task gets a whole side."""
     of = lambda s, f, c: f(F.when(F.col("side") == s, F.col(c)))
     sizes = pairs.groupBy("pair_id").agg(*[(of(s, F.max, "win_idx") + 1).alias(f"n_{s}") for s in "ab"], *[of(s, F.avg, "rms").alias(f"mean_{s}") for s in "ab"]).where("n_a is not null and n_b is not null")
-    mean = F.when(F.col("side") == "a", F.col("mean_a")).otherwise(F.col("mean_b")) if center else F.lit(0.0)
-    placed = pairs.join(sizes, "pair_id").select("pair_id", "side", "n_a", "n_b", F.floor(F.col("win_idx") / segment).alias("seg"), F.struct((F.col("win_idx") % segment).cast("int").alias("at"), (F.col("rms") - mean).alias("v")).alias("x"))
-    cut = placed.groupBy("pair_id", "side", "seg").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.collect_list("x").alias("x"))
-    others = F.floor((F.when(F.col("side") == "a", F.col("n_b")).otherwise(F.col("n_a")) - 1) / segment)
-    met = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), others)).alias("other"))
-    i, j = (F.when(F.col("side") == s, F.col("seg")).otherwise(F.col("other")) for s in "ab")
-    return met.select("pair_id", (i - j).alias("diagonal"), F.floor(i / SHARE).alias("share"), i.alias("i"), "side", "n_a", "n_b", F.col("x.at").alias("at"), F.col("x.v").alias("v"))
+    places = sizes.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"))
+    own = lambda c: F.when(F.col("side") == "a", F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    places = places.select("pair_id", "side", "n_a", "n_b", own("mean").alias("mean"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((own("n") - 1) / segment))).alias("seg"))
+    placed = pairs.select("pair_id", "side", F.floor(F.col("win_idx") / segment).alias("seg"), F.struct((F.col("win_idx") % segment).cast("int").alias("at"), F.col("rms").alias("v")).alias("x"))
+    cut = placed.groupBy("pair_id", "side", "seg").agg(F.collect_list("x").alias("x")).join(places, ["pair_id", "side", "seg"])
+    mean = F.col("mean") if center else F.lit(0.0)
+    return cut.select("pair_id", "side", "seg", "n_a", "n_b", F.col("x.at").alias("at"), F.transform("x.v", lambda v: v - mean).alias("v"))
+
+
+def _in_groups(batches, columns: list[str], keys: int):
+    """Rows of columns, of sorted batches, in lists of those that agree in the first keys columns."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
+            if group and group[0][:keys] != row[:keys]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
 
 
 def cross_correlation(pairs: DataFrame, center: bool = True, segment: int = SEGMENT) -> DataFrame:
     """pair_id, lag, corr, overlap, n_min for every lag of envelopes (pair_id, side 'a' or 'b', win_idx, rms).
 
-    lag is the place of b's first window in a.  Both envelopes are cut into segments, and segments that lie equally far apart,
-    which have the same lags between them, are one diagonal: a task takes SHARE of its pairs of segments, adds up the products of their
-    transforms, and goes back from them once.  Sums by lag join the diagonals and shares.  So a task's work does not grow with
-    the recordings, and a long one is spread over many tasks.  A window that is missing counts as the mean.  A pair of
-    which a side has no window gets one row without a lag.
+    lag is the place of b's first window in a.  Both envelopes are cut into segments, and each segment is transformed once.  Segments
+    that lie equally far apart have the same lags between them, so for each frequency the products are a correlation along the
+    segments' numbers, which a task takes by transforms of its own, for a few frequencies of all segments.  Those of one distance and of the
+    next, which has the other half of the same lags, then come together and go back, for SEGMENT lags at once.  So what is sent
+    grows with the envelopes and not with pairs of segments, and no task has a whole envelope.  A window that is missing counts
+    as the mean.  A pair of which a side has no window gets one row without a lag.
     """
-    size = 2 * segment
+    size, count = 2 * segment, segment + 1
     kind = pairs.schema["pair_id"].dataType.simpleString()
-    lags = np.arange(size - 1) - (segment - 1)
-
-    def filled(row, reverse):
-        x = np.zeros(segment)
-        x[np.asarray(row.at, dtype=int)] = row.v
-        return np.fft.rfft(x[::-1] if reverse else x, size)
-
-    def settled(key, total, row):
-        corr = np.fft.irfft(total, size)[: size - 1]
-        lag = key[1] * segment + lags
-        usable = (lag > -row.n_b) & (lag < row.n_a)
-        return pd.DataFrame({"pair_id": key[0], "lag": lag[usable], "corr": corr[usable]})
-
-    def run(frames):
-        key, total, left, last = None, 0.0, (None, None), None
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                if (row.pair_id, row.diagonal, row.share) != key:
-                    if key is not None:
-                        yield settled(key, total, last)
-                    key, total, left, last = (row.pair_id, row.diagonal, row.share), np.zeros(segment + 1, dtype=complex), (None, None), row
-                if row.side == "a":
-                    left = (row.i, filled(row, False))
-                elif left[0] == row.i:
-                    total += left[1] * filled(row, True)
-        if key is not None:
-            yield settled(key, total, last)
-
-    dealt = _segments(pairs, center, segment).repartition("pair_id", "diagonal", "share").sortWithinPartitions("pair_id", "diagonal", "share", "i", "side")
-    summed = dealt.mapInPandas(run, f"pair_id {kind}, lag long, corr double").groupBy("pair_id", "lag").agg(F.sum("corr").alias("corr"))
-    n = lambda s: F.max(F.when(F.col("side") == s, F.col("win_idx"))) + 1
-    sizes = pairs.groupBy("pair_id").agg(n("a").alias("n_a"), n("b").alias("n_b"))
-    overlap = F.least("n_a", F.col("lag") + F.col("n_b")) - F.greatest(F.lit(0), F.col("lag"))
-    out = sizes.join(summed, "pair_id", "left").select("pair_id", "lag", "corr", F.coalesce(overlap, F.lit(0)).alias("overlap"), F.when(F.col("lag").isNotNull(), F.least("n_a", "n_b")).otherwise(F.lit(0)).alias("n_min"))
-    return out
+    held = int(SHARE * 1024)
+
+    def width_of(n_a: int, n_b: int) -> int:
+        return max(1, min(count, held // (-(-n_a // segment) - (-n_b // segment))))
+
+    def spectra(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for pair, side, seg, n_a, n_b, at, v in zip(*[batch.column(c).to_pylist() for c in ("pair_id", "side", "seg", "n_a", "n_b", "at", "v")], strict=True):
+                x = np.zeros(segment)
+                x[np.asarray(at, dtype=int)] = v
+                f, width = np.fft.rfft(x, size), width_of(n_a, n_b)
+                out += [(pair, k // width, side, seg, n_a, n_b, f[k : k + width].tobytes()) for k in range(0, count, width)]
+                if len(out) >= 1024:
+                    yield arrow(batch.schema, out, ["pair_id", "band", "side", "seg", "n_a", "n_b", "f"])
+                    out = []
+            yield arrow(batch.schema, out, ["pair_id", "band", "side", "seg", "n_a", "n_b", "f"])
+
+    def arrow(schema, rows, names):
+        kinds = {"pair_id": schema.field("pair_id").type, "side": pa.string(), "f": pa.binary(), "corr": pa.float64()}
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns, strict=True)], names=names)
+
+    def along(batches):
+        schema = None
+
+        def seen():
+            nonlocal schema
+            for batch in batches:
+                schema = batch.schema
+                yield batch
+
+        for group in _in_groups(seen(), ["pair_id", "band", "side", "seg", "n_a", "n_b", "f"], 2):
+            pair, band, _, _, n_a, n_b, first = group[0]
+            segs = {"a": -(-n_a // segment), "b": -(-n_b // segment)}
+            k = len(first) // 16
+            sides = {s: np.zeros((n, k), dtype=complex) for s, n in segs.items()}
+            for _, _, side, seg, _, _, f in group:
+                sides[side][seg] = np.frombuffer(f, dtype=complex)
+            m, n = segs["a"], segs["b"]
+            met = np.fft.ifft(np.fft.fft(sides["a"], m + n, axis=0) * np.conj(np.fft.fft(sides["b"], m + n, axis=0)), axis=0)
+            # by distance from -n to m, of which the first and last have no pairs
+            apart = np.concatenate([np.zeros((1, k)), met[m + 1 :], met[:m], np.zeros((1, k))])
+            turned = (-1.0) ** (band * width_of(n_a, n_b) + np.arange(k))
+            both = apart[:-1] + turned * apart[1:]
+            yield arrow(schema, [(pair, d, band, n_a, n_b, f.tobytes()) for d, f in zip(range(-n, m), both, strict=True)], ["pair_id", "distance", "band", "n_a", "n_b", "f"])
+
+    def back(batches):
+        schema = None
+
+        def seen():
+            nonlocal schema
+            for batch in batches:
+                schema = batch.schema
+                yield batch
+
+        for group in _in_groups(seen(), ["pair_id", "distance", "band", "n_a", "n_b", "f"], 2):
+            pair, distance, _, n_a, n_b, _ = group[0]
+            corr = np.fft.irfft(np.frombuffer(b"".join(row[-1] for row in group), dtype=complex), size)[:segment]
+            lag = distance * segment + np.arange(segment)
+            usable = (lag > -n_b) & (lag < n_a)
+            lag, corr = lag[usable], corr[usable]
+            overlap = np.minimum(n_a, lag + n_b) - np.maximum(0, lag)
+            columns = [pa.array([pair] * len(lag), schema.field("pair_id").type), *map(pa.array, (lag, corr, overlap, np.full(len(lag), min(n_a, n_b))))]
+            yield pa.RecordBatch.from_arrays(columns, names=["pair_id", "lag", "corr", "overlap", "n_min"])
+
+    f = _segments(pairs, center, segment).mapInArrow(spectra, f"pair_id {kind}, band long, side string, seg long, n_a long, n_b long, f binary")
+    dealt = f.repartition("pair_id", "band").sortWithinPartitions("pair_id", "band", "side", "seg")
+    met = dealt.mapInArrow(along, f"pair_id {kind}, distance long, band long, n_a long, n_b long, f binary")
+    dealt = met.repartition("pair_id", "distance").sortWithinPartitions("pair_id", "distance", "band")
+    found = dealt.mapInArrow(back, f"pair_id {kind}, lag long, corr double, overlap long, n_min long")
+    alone = pairs.groupBy("pair_id").agg(*[F.max(F.col("side") == s).alias(s) for s in "ab"]).where("not (a and b)")
+    return found.unionByName(alone.select("pair_id", F.lit(None).cast("long").alias("lag"), F.lit(None).cast("double").alias("corr"), F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("n_min")))
 
 
 def offsets(correlation: DataFrame, window_seconds: float = WINDOW_SECONDS, rival_seconds: float = RIVAL_SECONDS, min_overlap: float = MIN_OVERLAP) -> DataFrame:
@@ -106,7 +161,7 @@ def offsets(correlation: DataFrame, window_seconds: float = WINDOW_SECONDS, riva
     """
     usable = correlation.where("lag is not null").where(F.col("overlap") >= min_overlap * F.col("n_min"))
     peak = usable.groupBy("pair_id").agg(F.min_by(F.struct("lag", "corr"), F.struct(-F.col("corr"), F.col("lag"))).alias("peak"))
-    rivals = usable.join(peak, "pair_id").where(F.abs(F.col("lag") - F.col("peak.lag")) > int(rival_seconds / window_seconds))
+    rivals = usable.join(F.broadcast(peak), "pair_id").where(F.abs(F.col("lag") - F.col("peak.lag")) > int(rival_seconds / window_seconds))
     rival = rivals.groupBy("pair_id").agg(F.max("corr").alias("rival"))
     confidence = F.when(F.col("rival") > 0, F.col("peak.corr") / F.col("rival")).otherwise(F.lit(0.0))
     out = peak.join(rival, "pair_id", "left").select("pair_id", (F.col("peak.lag") * window_seconds).alias("offset_s"), confidence.alias("confidence"))
@@ -122,15 +177,36 @@ def find_offset(envelopes: DataFrame, **options) -> DataFrame:
     return found.select("pair_id", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "pair_id", "error")).cast("double")).otherwise(F.col("offset_s")).alias("offset_s"))
 
 
+def medians(values: DataFrame, limits: DataFrame, column: str) -> DataFrame:
+    """pair_id, median of column of values, exactly; limits has least, most and n (how many are not null) of each pair.
+
+    Values are counted by RANGES equal ranges; only the one or two ranges that hold the middle are ordered.
+    """
+    x, span = F.col(column), F.col("most") - F.col("least")
+    at = F.when(span > 0, F.least(F.floor((x - F.col("least")) / span * RANGES), F.lit(RANGES - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    placed = values.where(x.isNotNull()).join(F.broadcast(limits.select("pair_id", "least", "most")), "pair_id").select("pair_id", x.alias("_x"), at.alias("_range"))
+    counted = placed.groupBy("pair_id", "_range").agg(F.count("*").alias("_here"))
+    before = F.sum("_here").over(Window.partitionBy("pair_id").orderBy("_range")) - F.col("_here")
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_here"))
+    middle = counted.withColumn("_before", before).join(F.broadcast(limits.select("pair_id", "n")), "pair_id").where(holds(low) | holds(high))
+    near = placed.join(F.broadcast(middle.select("pair_id", "_range", "_before", "n")), ["pair_id", "_range"])
+    same = near.groupBy("pair_id", "_range", "_x").agg(F.first("_before").alias("_first"), F.first("n").alias("n"), F.count("*").alias("_here"))
+    same = same.withColumn("_before", F.col("_first") + F.sum("_here").over(Window.partitionBy("pair_id", "_range").orderBy("_x")) - F.col("_here"))
+    ends = same.groupBy("pair_id").agg(*[F.max(F.when(holds(r), F.col("_x"))).alias(c) for r, c in ((low, "_low"), (high, "_high"))])
+    return ends.select("pair_id", (0.5 * F.col("_low") + 0.5 * F.col("_high")).alias("median"))
+
+
 def peak_metrics(correlation: DataFrame, window_seconds: float = WINDOW_SECONDS, rival_seconds: float = RIVAL_SECONDS) -> DataFrame:
     """pair_id, offset_s, peak_over_rival, peak_over_median, and least, greatest, median and deviation of the correlation.
 
     Over all lags, whatever their overlap; for the report on how far confidence can be trusted.
     """
-    peak = correlation.groupBy("pair_id").agg(F.min_by("lag", F.struct(-F.col("corr"), F.col("lag"))).alias("lag0"), F.max("corr").alias("most"), F.min("corr").alias("least"), F.percentile("corr", F.lit(0.5)).alias("median"), F.stddev_pop("corr").alias("deviation"))
-    far = correlation.join(peak, "pair_id").where(F.abs(F.col("lag") - F.col("lag0")) > int(rival_seconds / window_seconds)).groupBy("pair_id").agg(F.max("corr").alias("rival"))
+    peak = correlation.groupBy("pair_id").agg(F.min_by("lag", F.struct(-F.col("corr"), F.col("lag"))).alias("lag0"), F.max("corr").alias("most"), F.min("corr").alias("least"), F.count("corr").alias("n"), F.stddev_pop("corr").alias("deviation"))
+    far = correlation.join(F.broadcast(peak.select("pair_id", "lag0")), "pair_id").where(F.abs(F.col("lag") - F.col("lag0")) > int(rival_seconds / window_seconds)).groupBy("pair_id").agg(F.max("corr").alias("rival"))
     ratios = F.try_divide("most", "rival").alias("peak_over_rival"), F.try_divide("most", F.col("median")).alias("peak_over_median")
-    return peak.join(far, "pair_id", "left").select("pair_id", (F.col("lag0") * window_seconds).alias("offset_s"), *ratios, "least", "most", "median", "deviation")
+    all_of = peak.join(far, "pair_id", "left").join(medians(correlation, peak, "corr"), "pair_id", "left")
+    return all_of.select("pair_id", (F.col("lag0") * window_seconds).alias("offset_s"), *ratios, "least", "most", "median", "deviation")
 
 
 def unit_noise(k: Column, salt: int) -> Column:
