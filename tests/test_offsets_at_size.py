@@ -31,3 +31,10 @@ def test_medians_are_exact(spark, monkeypatch, ranges):
     rows = [(k, i, float(v)) for k, x in values.items() for i, v in enumerate(x)]
     got = offset.peak_metrics(spark.createDataFrame(rows, "pair_id string, lag long, corr double")).collect()
     assert {r["pair_id"]: r["median"] for r in got} == {k: pytest.approx(np.median(x)) for k, x in values.items()}
+
+
+def test_shuffled_places_over_ranges(spark, monkeypatch):
+    e = envelopes(spark, speechlike(90, 1), np.arange(70.0))
+    whole = sorted(map(tuple, offset.add_null_controls(e).collect()))
+    monkeypatch.setattr(offset, "SEGMENT", 8)
+    assert sorted(map(tuple, offset.add_null_controls(e).collect())) == whole

@@ -219,27 +219,31 @@ def unit_noise(k: Column, salt: int) -> Column:
 
 
 def add_null_controls(envelopes: DataFrame, seed: int = 7) -> DataFrame:
-    """envelopes and, for each pair, controls that hold no alignment: unlike halves, b shuffled, b reversed, gaussian noise."""
-    e = envelopes.withColumn("_n", F.count("*").over(Window.partitionBy("pair_id", "side")))
-    half = F.floor(F.col("_n") / 2)
-    k = F.col("win_idx")
-    b, a = e.where("side = 'b'"), e.where("side = 'a'")
-    shuffled = F.row_number().over(Window.partitionBy("pair_id").orderBy(unit_noise(k, seed), k)).cast("long") - 1
+    """envelopes and, for each pair, controls that hold no alignment: unlike halves, b shuffled, b reversed, gaussian noise.
+
+    Every window is read once and goes to its places in all controls.  Places in the shuffled order are counted by ranges of the
+    noise that orders them, so no task orders or counts a whole side.
+    """
+    k, on = F.col("win_idx"), ["pair_id", "side"]
+    sizes = envelopes.groupBy(*on).agg(F.count("*").alias("_n"), F.stddev_pop("rms").alias("_dev"), F.max("win_idx").alias("_last"))
+    sizes = sizes.select(*on, "_n", "_dev", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / SEGMENT))).alias("_seg"))
+    e = envelopes.withColumn("_seg", F.floor(k / SEGMENT)).join(sizes, [*on, "_seg"])
+    e = e.withColumn("_u", unit_noise(k, seed)).withColumn("_range", F.floor(F.col("_u") * (F.floor(F.col("_n") / SEGMENT) + 1)))
+    order = Window.partitionBy(*on, "_range")
+    counted = e.groupBy(*on, "_range").agg(F.count("*").alias("_here"))
+    counted = counted.select(*on, "_range", (F.sum("_here").over(Window.partitionBy(*on).orderBy("_range")) - F.col("_here")).alias("_before"))
+    e = e.withColumn("_at", F.row_number().over(order.orderBy("_u", "win_idx")).cast("long") - 1).join(counted, [*on, "_range"])
+    shuffled, half = F.col("_before") + F.col("_at"), F.floor(F.col("_n") / 2)
     gauss = F.sqrt(-2 * F.log(unit_noise(k, seed + 1))) * F.cos(2 * math.pi * unit_noise(k, seed + 2))
-    noise = F.abs(gauss * F.stddev_pop("rms").over(Window.partitionBy("pair_id")))
-    late = lambda side: side.where(k >= half).withColumn("win_idx", k - half)
-    kinds = {
-        "first half, second half": (a.where(k < half), late(b)),
-        "second half, first half": (late(a), b.where(k < half)),
-        "shuffled": (a, b.withColumn("win_idx", shuffled)),
-        "reversed": (a, b.withColumn("win_idx", F.col("_n") - 1 - k)),
-        "noise": (a, b.withColumn("rms", noise)),
-    }
-    out = envelopes
-    for kind, sides in kinds.items():
-        for side in sides:
-            out = out.unionByName(side.withColumn("pair_id", F.concat("pair_id", F.lit("/" + kind))).select(envelopes.columns))
-    return out
+    noise = F.abs(gauss * F.col("_dev"))
+    one = lambda kind, at=k, rms=F.col("rms"): F.struct(F.concat(F.col("pair_id").cast("string"), F.lit(kind)).alias("pair_id"), at.cast("long").alias("win_idx"), rms.alias("rms"))
+    early, late = F.when(k < half, k), F.when(k >= half, k - half)
+    halves = ("/first half, second half", "/second half, first half")
+    a = F.array(one(""), one(halves[0], early), one(halves[1], late), one("/shuffled"), one("/reversed"), one("/noise"))
+    b = F.array(one(""), one(halves[0], late), one(halves[1], early), one("/shuffled", shuffled), one("/reversed", F.col("_n") - 1 - k), one("/noise", rms=noise))
+    cases = F.filter(F.when(F.col("side") == "a", a).otherwise(b), lambda x: x["win_idx"].isNotNull())
+    others = [c for c in envelopes.columns if c not in ("pair_id", "win_idx", "rms")]
+    return e.select(*others, F.explode(cases).alias("_case")).select(*others, "_case.*").select(envelopes.columns)
 
 
 def control_report(envelopes: DataFrame) -> DataFrame:
