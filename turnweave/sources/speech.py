@@ -11,9 +11,11 @@ import sys
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .. import schemas
 
@@ -40,12 +42,22 @@ def read_asr(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias(KEY), "segments")
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def sums_before(numbers: pd.Series) -> pd.Series:
+    """For each place of an array of numbers the sum of those before it."""
+    return numbers.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64) - np.asarray(x, dtype=np.int64))
+
+
 def flatten_words(results: DataFrame) -> DataFrame:
-    """Words of (recording, segments) in the recogniser's order, which is not sorted by time."""
-    s = results.select(KEY, F.posexplode("segments").alias("_s", "segment"))
-    w = s.select(KEY, "_s", F.posexplode("segment.words").alias("_w", "word"))
-    index = F.row_number().over(Window.partitionBy(KEY).orderBy("_s", "_w")).cast("long") - 1
-    return w.select(KEY, index.alias("word_idx"), "word.word", "word.start", "word.end", "word.probability")
+    """Words of (recording, segments), a row a recording, in the recogniser's order, which is not sorted by time.
+
+    Words are numbered inside the row, by how many the segments before have, so nothing is sent or sorted.
+    """
+    counts = F.transform("segments", lambda s: F.coalesce(F.size(s["words"]), F.lit(0)))
+    counted = results.select(KEY, "segments", sums_before(F.transform(counts, lambda n: F.greatest(n, F.lit(0)).cast("long"))).alias("_before"))
+    s = counted.select(KEY, "_before", F.posexplode("segments").alias("_s", "segment"))
+    w = s.select(KEY, F.get("_before", F.col("_s")).alias("_before"), F.posexplode("segment.words").alias("_w", "word"))
+    return w.select(KEY, (F.col("_before") + F.col("_w")).alias("word_idx"), "word.word", "word.start", "word.end", "word.probability")
 
 
 def load_diarizer(load: Callable[[str], Diarizer], token: str | None, looked_in: tuple[str, ...] = (), move: Callable[[Diarizer], None] | None = None) -> Diarizer:
