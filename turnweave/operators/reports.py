@@ -85,9 +85,12 @@ def origin_mix(merged: DataFrame) -> DataFrame:
 
 
 def cross_speaker_pairs(merged: DataFrame) -> DataFrame:
-    """near_duplicates() of two speakers in a merge, with both origins and the seconds between the two spans."""
-    side = lambda k: merged.select(KEY, F.col("turn_idx").alias(k), F.col("_origin").alias(f"origin_{k}"), F.col("start").alias(f"s_{k}"), F.col("end").alias(f"e_{k}"))
-    pairs = near_duplicates(merged).join(side("i"), [KEY, "i"]).join(side("j"), [KEY, "j"])
+    """near_duplicates() of two speakers in a merge, with both origins and the seconds between the two spans.
+
+    The pairs carry what is asked of both turns, so the merge, which is long, is computed once.
+    """
+    turns = merged.select(KEY, "turn_idx", "speaker", "start", "text", F.col("_origin").alias("origin"), F.col("start").alias("s"), F.col("end").alias("e"))
+    pairs = near_duplicates(turns, carry=("origin", "s", "e"))
     return pairs.withColumn("gap", gap_seconds(F.col("s_i"), F.col("e_i"), F.col("s_j"), F.col("e_j"))).drop("s_i", "e_i", "s_j", "e_j")
 
 
