@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import many, turns
-from tests.test_catalog import longest_common
+from tests.test_catalog import longest_common, written
 from turnweave.functions.text import duplicate_string, duplicate_text
-from turnweave.operators import duplicates, loops
+from turnweave.operators import duplicates, loops, reports
+from turnweave.plans import catalog
 
 
 def test_strings_are_squashed_as_columns_are(spark):
@@ -49,3 +50,21 @@ def test_short_runs_inside_turns_are_not_sent(spark):
     some = sorted((r["first_turn"], r["last_turn"], r["token"], r["count"]) for r in loops.token_runs(table, least=3).collect())
     assert [r for r in some if r[3] >= 3] == [r for r in every if r[3] >= 3] == [(0, 3, "a", 3), (3, 3, "c", 4), (3, 4, "a", 3)]
     assert (0, 0, "b", 2) in every and (0, 0, "b", 2) not in some and (6, 6, "e", 1) not in some
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_and_merges_are_made_once(spark, tmp_path):
+    """Texts of documents meet their places without a window over them; first pairs and their number come from one search."""
+    rows = [(i, f"qq {i % 3} " + "words that are said again and again by all of them " * 2, f"s{i % 2}") for i in range(40)]
+    d = written(spark, tmp_path, "documents", rows, "doc_id long, text string, source string")
+    assert exchanges(catalog.top_duplicates(spark, d)).count("MapInArrow") == 1
+    top = catalog.top_duplicates(spark, d).collect()
+    every = catalog.cross_speaker_duplicates(spark, d).orderBy("start", "recording", "distance", "i").collect()
+    assert len(top) == 10 and [(r["i"], r["j"], r["shared_chars"]) for r in top] == [(r["i"], r["j"], r["shared_chars"]) for r in every[:10]]
+    assert {r["n_more"] for r in top} == {len(every) - 10}
+    merged = turns(spark, [(f"S{i % 2}", i, i + 1, rows[i][1]) for i in range(4)]).withColumn("_origin", F.lit("a_kept"))
+    assert "Join" not in exchanges(reports.cross_speaker_origins(merged))
+    assert reports.cross_speaker_origins(merged).collect()[0]["origins"] == "a_kept + a_kept"
