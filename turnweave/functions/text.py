@@ -52,7 +52,8 @@ def loop_token(word: Column) -> Column:
 
 def containment_text(text: Column) -> Column:
     """Lower case, letters digits and spaces only, single spaces, no spaces at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""), r"\s+", " "))
+    # single spaces, which are nearly all, stay as they are and are not replaced one by one
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", ""), "  +", " "))
 
 
 def duplicate_text(text: Column) -> Column:

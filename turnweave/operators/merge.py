@@ -90,17 +90,23 @@ def replacements(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def contained_neighbours(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int = RADIUS, max_gap: float | None = MAX_GAP) -> DataFrame:
     """Turns of a near a replaced turn, not replaced themselves, that overlap the b turn that replaced it, are at most max_gap
-    seconds away from the replaced one, and whose normalised text is part of b's: turn_idx, speaker and a_norm, with a_idx,
-    step and sp (the speaker) of the replaced turn.
+    seconds away from the replaced one, and whose normalised text is part of b's: turn_idx, speaker and chars (the length of that
+    text), with a_idx, step and sp (the speaker) of the replaced turn.
+
+    Neighbours meet by their spans alone; texts are sent to those that overlap, and only theirs are normalised.  chars is of both
+    texts, so that a filter on it is not made of all of a before that.
     """
-    replaced = a.join(picks.withColumnRenamed("a_idx", "turn_idx"), [KEY, "turn_idx"]).select(KEY, F.col("turn_idx").alias("a_idx"), "b_idx", F.col("speaker").alias("sp"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    winners = b.select(KEY, F.col("turn_idx").alias("b_idx"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), containment_text(F.col("text")).alias("b_norm"))
-    near = replaced.join(winners, [KEY, "b_idx"]).withColumn("step", F.explode(F.array(*[F.lit(d) for d in range(-radius, radius + 1) if d])))
+    spans = lambda t, *names: t.select(KEY, *[F.col(c).alias(n) for c, n in zip(("turn_idx", "speaker", "start", "end"), names, strict=True) if n])
+    replaced = picks.join(spans(a, "a_idx", "sp", "i_start", "i_end"), [KEY, "a_idx"])
+    near = replaced.join(spans(b, "b_idx", None, "b_start", "b_end"), [KEY, "b_idx"]).withColumn("step", F.explode(F.array(*[F.lit(d) for d in range(-radius, radius + 1) if d])))
     near = near.withColumn("turn_idx", F.col("a_idx") + F.col("step"))
-    siblings = a.select(KEY, "turn_idx", "speaker", "start", "end", containment_text(F.col("text")).alias("a_norm"))
-    siblings = siblings.join(picks.select(KEY, F.col("a_idx").alias("turn_idx")), [KEY, "turn_idx"], "left_anti")
-    met = near.join(siblings, [KEY, "turn_idx"]).where((overlap_seconds(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end")) > 0) & F.contains(F.col("b_norm"), F.col("a_norm")))
-    return met if max_gap is None else met.where(gap_seconds(F.col("i_start"), F.col("i_end"), F.col("start"), F.col("end")) <= max_gap)
+    siblings = a.select(KEY, "turn_idx", "speaker", "start", "end").join(picks.select(KEY, F.col("a_idx").alias("turn_idx")), [KEY, "turn_idx"], "left_anti")
+    met = near.join(siblings, [KEY, "turn_idx"]).where(overlap_seconds(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end")) > 0)
+    if max_gap is not None:
+        met = met.where(gap_seconds(F.col("i_start"), F.col("i_end"), F.col("start"), F.col("end")) <= max_gap)
+    met = met.join(a.select(KEY, "turn_idx", F.col("text").alias("a_text")), [KEY, "turn_idx"]).join(b.select(KEY, F.col("turn_idx").alias("b_idx"), F.col("text").alias("b_text")), [KEY, "b_idx"])
+    a_norm, b_norm = (containment_text(F.col(f"{k}_text")) for k in "ab")
+    return met.withColumn("chars", F.when(F.contains(b_norm, a_norm), F.length(a_norm))).where("chars is not null").drop("a_text", "b_text")
 
 
 def consumed_siblings(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int = RADIUS, min_chars: int = MIN_CHARS, max_gap: float | None = MAX_GAP) -> DataFrame:
@@ -109,7 +115,7 @@ def consumed_siblings(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int
     A sibling is a contained neighbour of the replaced turn's speaker with at least min_chars characters.
     """
     near = contained_neighbours(a, b, picks, radius, max_gap)
-    return near.where((F.col("speaker") == F.col("sp")) & (F.length("a_norm") >= min_chars)).select(KEY, "turn_idx").distinct()
+    return near.where((F.col("speaker") == F.col("sp")) & (F.col("chars") >= min_chars)).select(KEY, "turn_idx").distinct()
 
 
 def gap_filling(a: DataFrame, b: DataFrame, covered: float = COVERED) -> DataFrame:

@@ -108,7 +108,7 @@ def cross_speaker_timing(merged: DataFrame) -> DataFrame:
 def guard_fires(a: DataFrame, b: DataFrame, picks: DataFrame, radius: int = 4, max_gap: float = MAX_GAP) -> DataFrame:
     """recording, a_idx, turn_idx, step, same_speaker, chars: unreplaced turns near a replaced one whose words its new text holds."""
     near = contained_neighbours(a, b, picks, radius, max_gap)
-    return near.where("length(a_norm) > 0").select(KEY, "a_idx", "turn_idx", F.abs("step").alias("step"), (F.col("speaker") == F.col("sp")).alias("same_speaker"), F.length("a_norm").alias("chars"))
+    return near.where("chars > 0").select(KEY, "a_idx", "turn_idx", F.abs("step").alias("step"), (F.col("speaker") == F.col("sp")).alias("same_speaker"), "chars")
 
 
 def guard_sweep(a: DataFrame, b: DataFrame, radii=(1, 2, 3, 4), floors=(0, 8, 20, 40)) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.text import stamp, stamp_seconds
 from ..operators import align, duplicates, loops, match, merge, offset, render, reports, turns
 from ..sources import media, speech
 from ..sources import projections as p
+from ..sources.scratch import Scratch
 from .sql import ORACLE
 
 KEY = "recording"
@@ -191,12 +192,18 @@ def merge_origin_mix(spark, d):
     return reports.origin_mix(merge.merge_turns(*_fusion(spark, d)))
 
 
+def _merged_echoes(spark, d):
+    """The merge of both recordings with echoes.  Both are written once, as fuse() does: the merge reads each of them many times."""
+    settle = Scratch(spark).settle
+    return merge.merge_turns(*[settle(side) for side in _fusion(spark, d, echoes=True)])
+
+
 def cross_speaker_origins(spark, d):
-    return reports.cross_speaker_origins(merge.merge_turns(*_fusion(spark, d, echoes=True)))
+    return reports.cross_speaker_origins(_merged_echoes(spark, d))
 
 
 def cross_speaker_timing(spark, d):
-    return reports.cross_speaker_timing(merge.merge_turns(*_fusion(spark, d, echoes=True)))
+    return reports.cross_speaker_timing(_merged_echoes(spark, d))
 
 
 def guard_sweep(spark, d):
